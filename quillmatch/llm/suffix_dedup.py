@@ -148,7 +148,8 @@ class Segments:
         new[1:] = (best[1:] != best[:-1]) | (at[1:] != at[:-1] + 1)
         begin = np.flatnonzero(new)
         self.start, self.windows = at[begin], np.diff(np.append(begin, len(at)))
-        self.anchor = short(grams[best[begin]], bucket_bits, BITS)
+        # the least hashes crowd at the low end: mixed again, they spread evenly over the buckets
+        self.anchor = short(H.mix(grams[best[begin]] + U(0x9E3779B97F4A7C15)), bucket_bits, BITS)
         self.text = H.span_hashes(sums, self.start, self.start + self.windows + width - 1, H.BYTE_BASE)
         self.doc = ranks[np.searchsorted(self.text_starts, self.start, "right") - 1]
 
