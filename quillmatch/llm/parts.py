@@ -41,9 +41,9 @@ class Parts:
         bounds = sorted(set(rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
         self.bucket_bits = max(3, math.ceil(math.log2(max(1.0, total * keys_per_byte / keys_per_bucket))))
         self.rows = rows.select(_part(bounds).alias("part"), "k", "t")
-        keys = self.rows.select("part", "k", F.unhex(F.md5("t")).alias("m"))
-        firsts = keys.groupBy("m").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        copies = keys.join(firsts, "m").where("k > first").groupBy("part").agg(F.collect_list("k").alias("ids"))
+        keys = self.rows.select("part", "k", F.unhex(F.md5("t")).alias("m")).groupBy("part", "m").agg(F.collect_list("k").alias("ks"))
+        firsts = keys.groupBy("m").agg(F.min(F.array_min("ks")).alias("first"), F.sum(F.size("ks")).alias("n")).where("n > 1").drop("n")
+        copies = keys.join(firsts, "m").groupBy("part").agg(F.flatten(F.collect_list(F.filter("ks", lambda k: k > F.col("first")))).alias("ids"))
         self.copies = copies.select("part", F.lit(COPIES).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "ids")
 
     def each(self, fn: Callable, schema: str, *replies: DataFrame) -> DataFrame:
