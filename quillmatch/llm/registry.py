@@ -1,7 +1,7 @@
 """The registered queries of this folder and the SQL that gives the same rows."""
 
-from quillmatch.llm import substring_dedup, suffix_dedup
+from quillmatch.llm import bpe, decontamination, ogg, secrets_scan, substring_dedup, suffix_dedup, toxicity
 
-MODULES = [substring_dedup, suffix_dedup]
+MODULES = [substring_dedup, bpe, toxicity, ogg, decontamination, secrets_scan, suffix_dedup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in getattr(m, "ORACLE_SQL", {}).items()}

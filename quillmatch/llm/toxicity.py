@@ -5,8 +5,8 @@ score of its words, and the bag's is their noisy-or, 1 - prod(1 - p). The weight
 through the noisy-or; sentence probabilities then point at the offending sentences.
 
 A word's score is the sum of the weights of the word and its prefixes, so that inflected forms share what they have in common. The fit
-runs in one task on a bounded sample (`sample` documents of each label, `sample_bytes` of text at most, picked by a hash
-of doc_id); scoring is a map over all documents with the weights (2**bits floats) broadcast.
+runs in one task on a bounded sample (`sample` toxic and twice as many clean documents, `sample_bytes` of text at most, picked by a
+hash of doc_id); scoring is a map over all documents with the weights (2**bits floats) broadcast.
 """
 
 from __future__ import annotations
@@ -46,8 +46,12 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 80, rate: float = 0.15, decay: float = 2e-6) -> np.ndarray:
-    """Weights (float32, the last is the bias) by Adam on the noisy-or's likelihood."""
+def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 80, rate: float = 0.15, shrink: float = 1e-4, bias: float = -9.0) -> np.ndarray:
+    """Weights (float32, the last is the bias) by Adam on the noisy-or's likelihood.
+
+    Words can only speak for toxicity (weights of 0 or more), and each weight costs `shrink` times its size: what also
+    occurs in clean documents, or adds little, stays at 0. A low first bias keeps documents of thousands of instances near 0.
+    """
     numbers: dict[str, int] = {}
     word, instance, bag = [], [0], []
     for d, t in enumerate(texts):
@@ -65,7 +69,7 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 80, r
     owner = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(instance))
     named = [features(w, bits) for w in numbers]
     column, row = np.concatenate([np.array(f, np.int32) for f in named]), np.repeat(np.arange(len(named), dtype=np.int32), [len(f) for f in named])
-    weights[-1] = -5.0
+    weights[-1] = bias
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     positive = labels.astype(bool)
     for step in range(1, steps + 1):
@@ -75,10 +79,11 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 80, r
         # d loss / d mass: 1 for clean documents, -exp(-mass) / (1 - exp(-mass)) for toxic ones
         slope = np.where(positive, -1 / np.expm1(np.clip(mass, 1e-6, 50)), 1.0) / len(texts)
         dz = slope[bags] / (1 + np.exp(-z))
-        grad = np.bincount(column, np.bincount(words, dz[owner], len(named))[row], len(weights)) + decay * weights
+        grad = np.bincount(column, np.bincount(words, dz[owner], len(named))[row], len(weights)) + shrink
         grad[-1] = dz.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        np.maximum(weights[:-1], 0, out=weights[:-1])
     return weights.astype(np.float32)
 
 
@@ -112,17 +117,17 @@ class Scorer:
         return float(-np.expm1(-mass.sum())), [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes: int = 16 << 20, bits: int = 18, folds: int = 5) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes: int = 24 << 20, bits: int = 18, folds: int = 5) -> np.ndarray:
     """Weights from rows whose crc32(doc_id as text) mod folds isn't 0. labels(doc_id, toxic, ...).
 
-    sample: documents of each label at most; sample_bytes: their text in all at most (whole texts). Null doc_id, null toxic and labels without
+    sample: toxic documents at most, and half the clean ones; sample_bytes: their text in all at most (whole texts). Null doc_id, null toxic and labels without
     a document are left out; of several labels of one document the highest counts.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = chosen.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0).withColumn("h", F.xxhash64("doc_id"))
-    picked = chosen.where("toxic > 0").orderBy("h", "doc_id").limit(sample).unionAll(chosen.where("toxic <= 0").orderBy("h", "doc_id").limit(sample))
+    picked = chosen.where("toxic > 0").orderBy("h", "doc_id").limit(sample).unionAll(chosen.where("toxic <= 0").orderBy("h", "doc_id").limit(2 * sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    one = F.broadcast(picked).join(texts, "doc_id")  # at most 2 * sample rows
+    one = F.broadcast(picked).join(texts, "doc_id")  # at most 3 * sample documents
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "text"], ignore_index=True)
