@@ -135,10 +135,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes:
         return pd.DataFrame({"w": [fit(pdf["text"].tolist(), (pdf["toxic"] > 0).to_numpy(), bits).tobytes()]})
 
     # each text takes part by the running sum of the sizes, so what meets in the one task is bounded too
-    sized = one.withColumn("size", F.octet_length("text"))
+    sized = one.withColumn("size", F.octet_length("text")).withColumn("task", F.pmod("h", F.lit(1)))
     ids = sized.select("doc_id", "h", "size").distinct()
     limit = ids.select("doc_id", F.sum("size").over(_order()).alias("run")).where(F.col("run") <= sample_bytes).select("doc_id").distinct()
-    row = sized.join(F.broadcast(limit), "doc_id").groupBy(F.lit(0)).applyInPandas(run, "w binary").first()
+    row = sized.join(F.broadcast(limit), "doc_id").groupBy("task").applyInPandas(run, "w binary").first()
     return np.frombuffer(row[0], np.float32) if row else fit([], np.empty(0), bits)
 
 
