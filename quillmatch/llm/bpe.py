@@ -12,7 +12,6 @@ nothing is shuffled.
 from __future__ import annotations
 
 import functools
-import itertools
 import json
 import struct
 from collections.abc import Callable, Iterator
@@ -48,30 +47,51 @@ class Vocabulary:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pieces |= {v: k.encode() for k, v in self.specials.items()}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.merges = {(self.ids[as_bytes(a)], self.ids[as_bytes(b)]): (rank, self.ids[as_bytes(a + b)]) for rank, (a, b) in enumerate(pairs)}
-        self.longest = max(map(len, self.ids))
+        #: merges: rank of a pair; rank and parts of the token that a merge makes (bytes: -1)
+        self.merges: dict[tuple[int, int], int] = {}
+        self.rank, self.parts = dict.fromkeys(self.pieces, -1), {}
+        for rank, (a, b) in enumerate(pairs):
+            pair, made = (self.ids[as_bytes(a)], self.ids[as_bytes(b)]), self.ids[as_bytes(a + b)]
+            self.merges[pair] = self.rank[made] = rank
+            self.parts[made] = pair
+        self.length = {v: len(k) for k, v in self.ids.items()}
+        self.tokens: dict = {}  # a trie of the vocabulary; -1: the token that ends here
+        for token, number in self.ids.items():
+            node = self.tokens
+            for b in token:
+                node = node.setdefault(b, {})
+            node[-1] = number
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")").split if self.specials else lambda t: [t]
 
-    def merged(self, data: bytes) -> list[int]:
-        """Plain BPE: the pair of least rank first. Used for pairs of tokens only."""
-        out = [self.ids[data[i : i + 1]] for i in range(len(data))]
-        while len(out) > 1:
-            rank, i = min((self.merges.get(p, (1 << 60, 0))[0], i) for i, p in enumerate(itertools.pairwise(out)))
-            if rank == 1 << 60:
-                break
-            out[i : i + 2] = [self.merges[out[i], out[i + 1]][1]]
-        return out
-
     def compatible(self, a: int, b: int) -> bool:
+        """Whether tokens a and b, side by side, are what the merges make of their bytes.
+
+        Merges are undone at the border, the later one first (at equal rank the right one, as the left merge comes first): before it,
+        the parts then at the border must not have had an earlier merge of their own.
+        """
         known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= 4 * REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[a, b] = (a, b) not in self.merges and self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
-        return known
+        if known is not None:
+            return known
+        if len(self.pairs) >= 4 * REMEMBERED:
+            self.pairs.clear()
+        merges, rank, parts = self.merges, self.rank, self.parts
+        left, right, limit, ok = a, b, 1 << 60, True
+        while True:
+            if merges.get((left, right), limit) < limit:
+                ok = False
+                break
+            x, y = rank[left], rank[right]
+            if x < 0 and y < 0:
+                break
+            if x > y:
+                left, limit = parts[left][1], x
+            else:
+                right, limit = parts[right][0], y + 1
+        self.pairs[a, b] = ok
+        return ok
 
     def learn(self, words: set[str]) -> None:
         """Encode words: one trie, one walk."""
@@ -81,28 +101,30 @@ class Vocabulary:
             for b in w.encode("utf-8", "surrogatepass"):
                 node = node.setdefault(b, {})
             node[-1] = w
-        ids, longest, compatible = self.ids, self.longest, self.compatible
-        path = bytearray()
+        compatible, tokens, length = self.compatible, self.tokens, self.length
         last: list[int] = [-1]  # of the prefix of each length on the path
-        stack = [(0, -1, root)]
+        stack: list[tuple[int, int, dict, list]] = [(0, -1, root, [])]
         while stack:
-            depth, byte, node = stack.pop()
+            depth, byte, node, begun = stack.pop()
             if depth:
-                del path[depth - 1 :], last[depth:]
-                path.append(byte)
-                for begin in range(max(0, depth - longest), depth):
-                    token = ids.get(bytes(path[begin:]))
-                    if token is not None and (not begin or compatible(last[begin], token)):
-                        last.append(token)
-                        break
+                del last[depth:]
+                going, found = [], -1
+                for begin, at in [*begun, (depth - 1, tokens)]:  # tokens begun on the path that this byte carries on
+                    to = at.get(byte)
+                    if to is not None:
+                        going.append((begin, to))
+                        if found < 0 and -1 in to and (not begin or compatible(last[begin], to[-1])):
+                            found = to[-1]
+                last.append(found)
+                begun = going
             for b, child in node.items():
                 if b >= 0:
-                    stack.append((depth + 1, b, child))
+                    stack.append((depth + 1, b, child, begun))
                 else:
                     out, at = [], depth
                     while at:
                         out.append(last[at])
-                        at -= len(self.pieces[last[at]])
+                        at -= length[last[at]]
                     self.words[child] = struct.pack(f"<{len(out)}I", *reversed(out))
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -110,7 +132,7 @@ class Vocabulary:
         parts = [[self.find(p) if i % 2 == 0 else p for i, p in enumerate(self.split(t))] for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        if new := {w for text in parts for p in text[::2] for w in p} - self.words.keys():
+        if new := set().union(*(p for text in parts for p in text[::2])) - self.words.keys():
             self.learn(new)
         look = self.words.__getitem__
         special = {k: struct.pack("<I", v) for k, v in self.specials.items()}
@@ -125,7 +147,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, batch: int = 64) -> DataFrame:
+def encode(docs: DataFrame, path: str, batch: int = 512) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit ids), text as it was.
 
     path: a byte-level BPE vocabulary, readable on every executor. Null and empty text: no tokens. The strings of special

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the folder that the session names in spark.checkpoint.dir; a folder of its own only where that is unset."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint()
+    """df written as a table in the folder that the session names in spark.checkpoint.dir (one of its own only where that is unset), and read.
+
+    A table rather than checkpoint(): a checkpoint keeps what is known of its rows' partitioning, which doubles with every join, so that
+    planning takes longer than the work after a few rounds of a loop; a table also stores compressed columns. The folder is scratch space:
+    its owner clears it after the session.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = held.get() if held.isDefined() else os.path.join(tempfile.gettempdir(), "quillmatch-checkpoints")
+    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

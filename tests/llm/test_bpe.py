@@ -33,10 +33,26 @@ def test_against_library(spark):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
-def test_every_token_is_its_own_encoding():
+def plain_merges(v, data):
+    """The pair of least rank first, the leftmost on ties."""
+    out = [v.ids[data[i : i + 1]] for i in range(len(data))]
+    while True:
+        found = [(v.merges[p], i) for i, p in enumerate(zip(out, out[1:])) if p in v.merges]
+        if not found:
+            return out
+        _, i = min(found)
+        out[i : i + 2] = [v.ids[v.pieces[out[i]] + v.pieces[out[i + 1]]]]
+
+
+def test_pairs_against_plain_merges():
     v = bpe.Vocabulary(bpe.default_path())
-    tokens = random.Random(5).sample(sorted(v.ids), 3000)
-    assert [v.merged(t) for t in tokens] == [[v.ids[t]] for t in tokens]
+    rng = random.Random(5)
+    tokens = rng.sample(sorted(v.ids), 3000)
+    assert [plain_merges(v, t) for t in tokens] == [[v.ids[t]] for t in tokens]
+    short = [t for t in v.ids if len(t) < 4]
+    for _ in range(20_000):
+        a, b = (rng.choice(short) if rng.random() < 0.8 else rng.choice(tokens) for _ in range(2))
+        assert v.compatible(v.ids[a], v.ids[b]) == (plain_merges(v, a + b) == [v.ids[a], v.ids[b]])
 
 
 def test_memory_is_cleared(monkeypatch):
