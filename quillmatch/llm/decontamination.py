@@ -152,10 +152,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     named. Repeated rows of docs: a row each; rows of one item_id count as one item. Null doc_id: kept. Other columns are ignored.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # at least as many as the words: every word is followed by a separator, or ends the text
-    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")) + 1)).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
+    items, blocks = _items(benchmark, block_words)
     out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for b in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about block_words words
@@ -168,6 +165,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def _items(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, int]:
+    """item_id, text; the number of blocks."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # at least as many as the words: every word is followed by a separator, or ends the text
+    total = items.agg(F.sum(F.regexp_count("text", F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")) + 1)).first()[0] or 0
+    return items, max(1, math.ceil(total / block_words))
+
+
 def _stream(rows: DataFrame, automaton) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a: Automaton = automaton.value
@@ -184,26 +189,54 @@ def _stream(rows: DataFrame, automaton) -> DataFrame:
     return rows.mapInPandas(run, rows.schema)
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, span_words: int | None = None) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, span_words: int | None = None, block_words: int = 100_000) -> DataFrame:
     """The rows of docs that stay, all columns: contaminated ones go.
 
     span_words: in a document that stays, also cut the hit runs of at least so many words from text (None: leave texts as they are);
-    n_chars, if there, follows. Rows without a doc_id stay as they are.
+    n_chars, if there, follows. Every row is judged by itself, so rows without a doc_id and repeated rows are no case of their own. A benchmark
+    of one block is met on the way, without a shuffle; one of several blocks takes find_contamination's way, by a digest of the text.
     """
-    verdict = find_contamination(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("_id"), "contaminated", "spans")
-    one = verdict.groupBy("_id").agg(F.max("contaminated").alias("_out"), F.first("spans").alias("_spans"))
-    joined = docs.join(one, docs["doc_id"].cast("long") == F.col("_id"), "left").where(~F.coalesce("_out", F.lit(False)))
-    if span_words is None:
-        return joined.select(*docs.columns)
-
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or t is None else cut_words(t, [(x["start"], x["end"]) for x in s if x["end"] - x["start"] >= span_words]) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept("text", "_spans")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    spark = docs.sparkSession
+    items, blocks = _items(benchmark, block_words)
+    if blocks == 1:
+        automaton = spark.sparkContext.broadcast(Automaton([(r.item_id, r.text.encode()) for r in items.collect()], window))
+
+        @F.pandas_udf("struct<out:boolean,text:string>")
+        def judged(text: pd.Series) -> pd.DataFrame:
+            out = [_judged(automaton.value, t, span_words) for t in text]
+            return pd.DataFrame({"out": [o for o, _ in out], "text": pd.Series([t for _, t in out], dtype=object)})
+
+        kept = docs.withColumn("_judged", judged("text")).where("not _judged.out")
+    else:
+        texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").distinct()
+        found = find_contamination(texts, benchmark, window, block_words).where("n_hit > 0").select(F.col("doc_id").alias("_h"), "contaminated", "spans")
+        one = found.groupBy("_h").agg(F.max("contaminated").alias("_out"), F.first("spans").alias("_spans"))
+
+        @F.pandas_udf("string")
+        def shortened(text: pd.Series, spans: pd.Series) -> pd.Series:
+            return pd.Series([t if s is None or t is None else _shortened(t, [(x["start"], x["end"]) for x in s], span_words) for t, s in zip(text, spans, strict=True)], dtype=object)
+
+        kept = docs.withColumn("_h", F.xxhash64("text")).join(one, "_h", "left").where(~F.coalesce("_out", F.lit(False)))
+        kept = kept.withColumn("_judged", F.struct(shortened("text", "_spans").alias("text")))
+    if span_words is not None:
+        kept = kept.withColumn("text", F.col("_judged.text"))
+        if "n_chars" in docs.columns:
+            kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def _judged(automaton: Automaton, text: str | None, span_words: int | None) -> tuple[bool, str | None]:
+    """Whether the document goes, and its text if it stays."""
+    words = words_of((text or "").encode())
+    spans, _ = automaton.hits(words)
+    hit = sum(b - a for a, b in spans)
+    if hit and 20 * hit >= len(words):
+        return True, None
+    return False, _shortened(text, spans, span_words) if spans else text
+
+
+def _shortened(text: str, spans: list[tuple[int, int]], span_words: int | None) -> str:
+    return text if span_words is None else cut_words(text, [(a, b) for a, b in spans if b - a >= span_words])
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:

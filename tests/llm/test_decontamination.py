@@ -65,10 +65,11 @@ def test_removal(spark):
     filler = " ".join(f"z{i}" for i in range(500))
     docs = spark.createDataFrame([(1, item, 5), (2, f"{filler} {item}. {filler}", 9), (3, filler, 7), (None, None, None)], "doc_id long, text string, n_chars long")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    kept = D.remove_contamination(docs, bench)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 2, 3}
-    cut = {r.doc_id: r for r in D.remove_contamination(docs, bench, span_words=15).collect()}
-    assert cut[2].text == f"{filler} . {filler}" and cut[2].n_chars == len(cut[2].text) and cut[3].text == filler
+    for block in (10**6, 5):
+        kept = D.remove_contamination(docs, bench, block_words=block)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 2, 3}
+        cut = {r.doc_id: r for r in D.remove_contamination(docs, bench, span_words=15, block_words=block).collect()}
+        assert cut[2].text == f"{filler} . {filler}" and cut[2].n_chars == len(cut[2].text) and cut[3].text == filler
 
 
 def test_empty_tables(spark):
