@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmatch.plans import linkage
+from quillmatch.plans import linkage, settlement
 
-MODULES = [linkage]
+MODULES = [linkage, settlement]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
