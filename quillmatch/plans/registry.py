@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmatch.plans import linkage, settlement
+from quillmatch.plans import linkage, settlement, statements
 
-MODULES = [linkage, settlement]
+MODULES = [linkage, settlement, statements]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
