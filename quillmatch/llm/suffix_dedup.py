@@ -303,3 +303,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_suffix_dedup": op10_suffix_dedup}
+
+ORACLE_SQL = {
+    "op10_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT r, doc_id, i, md5_number(substring(h, 2 * i - 1, 100)) AS k FROM (SELECT r, doc_id, h, unnest(range(1, CAST(length(h) / 2 AS BIGINT) - 48)) AS i FROM d WHERE length(h) >= 100)),
+least_ AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k HAVING count(*) > 1),
+st AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM win JOIN least_ USING (k) WHERE m < doc_id),
+runs AS (SELECT r, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM st),
+spans AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY r, g),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS x, a AS y FROM spans UNION ALL SELECT r, max(b), 1000000000 FROM spans GROUP BY r),
+kept AS (SELECT r, string_agg(substring(h, 2 * x - 1, CAST(2 * (y - x) AS BIGINT)), '' ORDER BY x) AS t FROM gaps JOIN d USING (r) GROUP BY r),
+n AS (SELECT r, sum(b - a) AS gone, count(*) AS spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)
+"""
+}
