@@ -4,9 +4,9 @@ Pages of one host share a template. Every page's containers are scored by the te
 score, for generalised paths (tags and classes from body down, digits struck out); votes are summed by (host, path) in Spark, and
 pages are read again with the path that won on their host. A page without that path, or with nothing in it, takes its own best container.
 
-Votes are sums, added up within a task before they meet, so a host of a third of all pages sends as much as any other. The second
-reading joins pages and winners (one row a host) by host; a hot host is split by adaptive execution, as nothing but the join needs its
-pages together.
+Votes are sums, added up within a task before they meet, so a host of a third of all pages sends as much as any other. For the second
+reading the winners (one row a host) are broadcast if there are BROADCAST_HOSTS at most; beyond that, pages and winners are joined by host
+and one of SALTS salts, so a hot host is dealt out.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmatch.llm.checkpoints import cut
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.DOTALL,
@@ -28,6 +30,8 @@ NAME_PART = re.compile(r"[A-Za-z]+")
 DIGITS = re.compile(r"\d+")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
+BROADCAST_HOSTS = 1 << 18
+SALTS = 32
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Text up to the end tag, whatever it looks like.
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -234,8 +238,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     without a host: the pages without a host vote together. Repeated rows: a row each. Null page_id: kept. Empty table: no rows.
     Unclosed or cut-off markup ends with the page. Other columns are ignored.
     """
-    winners = host_paths(pages).select("host", "path")
-    joined = with_host(pages).join(winners, "host", "left")
+    winners = cut(host_paths(pages).select("host", "path"))
+    rows = with_host(pages)
+    if winners.count() <= BROADCAST_HOSTS:
+        joined = rows.join(F.broadcast(winners), "host", "left")
+    else:
+        spread = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(spread, ["host", "salt"], "left")
 
     @F.pandas_udf("string")
     def run(source: pd.Series, path: pd.Series) -> pd.Series:
