@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmatch.plans import linkage, settlement, statements
+from quillmatch.plans import audits, linkage, settlement, statements
 
-MODULES = [linkage, settlement, statements]
+MODULES = [linkage, settlement, statements, audits]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
