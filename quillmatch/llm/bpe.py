@@ -75,7 +75,7 @@ class Vocabulary:
         known = self.pairs.get((a, b))
         if known is not None:
             return known
-        if len(self.pairs) >= 4 * REMEMBERED:
+        if len(self.pairs) >= REMEMBERED:
             self.pairs.clear()
         merges, rank, parts = self.merges, self.rank, self.parts
         left, right, limit, ok = a, b, 1 << 60, True

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 #: Words of an instance; a longer sentence is several.
 INSTANCE = 25
 PREFIXES = (3, 4, 5, 6)
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 def features(word: str, bits: int) -> list[int]:
@@ -53,33 +54,39 @@ def fit(texts: list[str], labels: np.ndarray, bits: int = 18, steps: int = 80, r
     occurs in clean documents, or adds little, stays at 0. A low first bias keeps documents of thousands of instances near 0.
     """
     numbers: dict[str, int] = {}
-    word, instance, bag = [], [0], []
+    word, instance, bag = array("i"), array("i", [0]), array("i")  # flat: the sample's words are millions
     for d, t in enumerate(texts):
-        for _, _, words in sentences(t):
-            for lo in range(0, len(words), INSTANCE):
-                word.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words[lo : lo + INSTANCE]), np.int32))
-                instance.append(instance[-1] + len(word[-1]))
+        for _, _, own in sentences(t):
+            for lo in range(0, len(own), INSTANCE):
+                word.extend(numbers.setdefault(w, len(numbers)) for w in own[lo : lo + INSTANCE])
+                instance.append(len(word))
                 bag.append(d)
     weights = np.zeros((1 << bits) + 1)
     rate_1 = labels.mean() if len(labels) else 0.0
     if not word or rate_1 in (0.0, 1.0):  # nothing to tell apart
         weights[-1] = -30.0 if rate_1 < 1 else 30.0
         return weights.astype(np.float32)
-    words, starts, bags = np.concatenate(word), np.array(instance[:-1]), np.array(bag)
-    owner = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(instance))
-    named = [features(w, bits) for w in numbers]
-    column, row = np.concatenate([np.array(f, np.int32) for f in named]), np.repeat(np.arange(len(named), dtype=np.int32), [len(f) for f in named])
+    words, bounds, bags = (np.frombuffer(x, np.int32) for x in (word, instance, bag))
+    starts, owner = bounds[:-1], np.repeat(np.arange(len(bags), dtype=np.int32), np.diff(bounds))
+    flat, sizes = array("i"), array("i")
+    for w in numbers:
+        own = features(w, bits)
+        flat.extend(own)
+        sizes.append(len(own))
+    named = len(numbers)
+    numbers.clear()
+    column, row = np.frombuffer(flat, np.int32), np.repeat(np.arange(named, dtype=np.int32), np.frombuffer(sizes, np.int32))
     weights[-1] = bias
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     positive = labels.astype(bool)
     for step in range(1, steps + 1):
-        score = np.bincount(row, weights[column], len(named))
+        score = np.bincount(row, weights[column], named)
         z = weights[-1] + np.add.reduceat(score[words], starts)
         mass = np.bincount(bags, softplus(z), len(texts))  # -log(1 - p) of the document
         # d loss / d mass: 1 for clean documents, -exp(-mass) / (1 - exp(-mass)) for toxic ones
         slope = np.where(positive, -1 / np.expm1(np.clip(mass, 1e-6, 50)), 1.0) / len(texts)
         dz = slope[bags] / (1 + np.exp(-z))
-        grad = np.bincount(column, np.bincount(words, dz[owner], len(named))[row], len(weights)) + shrink
+        grad = np.bincount(column, np.bincount(words, dz[owner], named)[row], len(weights)) + shrink
         grad[-1] = dz.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         weights -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
