@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 SPACE, REST = r"\p{White_Space}", r"[^\p{White_Space}\p{L}\p{N}]"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{REST}+|{SPACE}+(?!\P{{White_Space}})|{SPACE}+"
-#: Words and pairs that a worker remembers.
+#: Words that a worker remembers, and twice the pairs. Workers outlive a stage, so this is memory that other stages lack.
 REMEMBERED = 1 << 19
 
 
@@ -75,7 +75,7 @@ class Vocabulary:
         known = self.pairs.get((a, b))
         if known is not None:
             return known
-        if len(self.pairs) >= REMEMBERED:
+        if len(self.pairs) >= REMEMBERED // 2:
             self.pairs.clear()
         merges, rank, parts = self.merges, self.rank, self.parts
         left, right, limit, ok = a, b, 1 << 60, True
