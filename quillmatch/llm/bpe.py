@@ -161,6 +161,8 @@ def encode(docs: DataFrame, path: str, batch: int = 512) -> DataFrame:
                 part = pdf.iloc[lo : lo + batch]
                 ids = v.encode(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
+        v.words.clear()  # the worker may serve other stages next
+        v.pairs.clear()
 
     rows = docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
     out = rows.mapInPandas(run, "doc_id string, n_tokens long, ids binary")
