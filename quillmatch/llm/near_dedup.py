@@ -4,14 +4,16 @@ A document's set is its distinct `shingle`-word runs. Equal sets become one clas
 signatures of DEPTH one-byte minima are made. Each signature order is sorted once: in every tree the classes lie in order of their signature, so
 those that share the longest prefixes are neighbours.
 
-Round 1 takes the neighbours of all orders that share MIN_DEPTH minima or more; of these candidates every class checks its two best
-(by the share of equal minima) on full sets, and the links form components. Round 2 checks the candidates left between different
-components. Round 3 takes what can still join two components: the classes of different components in one region. A region is a run of one order with a common prefix; it begins at MIN_DEPTH minima and goes deeper
-where it holds more than REGION classes, so dense regions are compared at a depth that fits them; at full depth, windows of
-REGION neighbours. All are checked on full sets.
+A region is the classes of one order that share its first MIN_DEPTH minima. Round 1 takes the neighbours within regions; of these
+candidates every class checks its two best (by the share of equal minima) on full sets, and the links form components. Round 2 checks the
+candidates left between different components. These two only spare work: they make round 3, which is complete, small. It takes what can still
+join two components: of a region of up to REGION classes all pairs of different components; the classes of larger (dense) regions with more than
+one component meet by prefix filter, an equi-join on their rarest shingles that holds every pair of the similarity, at any size of the
+region. All are checked on full sets, if the share of equal minima isn't five deviations below the limit (a pair at the limit fails that by chance
+with probability 3e-7).
 
-At similarity 0.8 an order shares MIN_DEPTH minima with probability 0.41, so 32 orders miss a pair with probability 5e-8. Inside a dense
-region the links that matter for components are those between components; each of them has 32 orders to meet in one region.
+At similarity 0.8 an order shares MIN_DEPTH minima with probability 0.41, so 32 orders miss a pair with probability 5e-8. Dense regions
+lose nothing more, and no result depends on how rows are dealt to tasks.
 
 Nothing is collected but counts. Orders are split by range, so a group of copies of any size is spread evenly; a class of equal
 sets takes part once.
@@ -94,9 +96,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     classes = signed.where("n > 0").groupBy("s").agg(F.min_by(F.struct("k", "n", "sig"), "k").alias("c")).select("s", "c.*")
     classes = cut(classes)  # k: the least document of each distinct set
 
-    orders = classes.select("k", F.posexplode("sig").alias("tree", "label"))
+    members = cut(_regions(classes.select("k", F.posexplode("sig").alias("tree", "label"))))
     tasks = max(1, -(-classes.count() * trees // TASK_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    neighbours = cut(_in_order(orders, tasks).mapInPandas(_neighbours, "a long, b long").distinct())
+    neighbours = cut(_in_order(members, tasks).mapInPandas(_neighbours, "a long, b long").distinct())
     pairs = cut(_estimated(neighbours, classes, percent))
 
     sets = cut(_sets(rows, pairs, shingle))
@@ -108,11 +110,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     links = cut(links.union(_confirmed(second, sets, classes, percent)))
     joined = components(links)
 
-    labelled = orders.join(_members(pairs), "k", "left_semi").join(joined.withColumnRenamed("v", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    across = _in_order(labelled, tasks).mapInPandas(_across, "a long, b long").distinct()
+    rooted = cut(members.join(joined.withColumnRenamed("v", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")))
+    across = _across(rooted).union(_dense(rows, rooted, shingle, percent)).distinct()
     # neighbours were estimated before: those of different components that may be links have been confirmed or not in round 2
-    third = _estimated(across.join(neighbours, ["a", "b"], "left_anti"), classes, percent)
-    links = links.union(cut(_confirmed(third, sets, classes, percent)))
+    third = cut(_estimated(across.join(neighbours, ["a", "b"], "left_anti"), classes, percent))
+    links = links.union(cut(_confirmed(third, cut(_sets(rows, third, shingle)), classes, percent)))
     roots = components(links).withColumnRenamed("v", "k")
 
     named = classes.select("s", "k").join(roots, "k", "left").select("s", F.coalesce("root", "k").alias("root"))
@@ -134,6 +136,13 @@ def _signed(rows: DataFrame, shingle: int, trees: int) -> DataFrame:
     return rows.mapInPandas(run, "k long, n long, s binary, sig array<long>")
 
 
+def _regions(orders: DataFrame) -> DataFrame:
+    """tree, label, k, p (the MIN_DEPTH minima), dense (more than REGION classes) of the regions with two classes or more."""
+    orders = orders.withColumn("p", F.shiftright("label", 8 * (DEPTH - MIN_DEPTH)))
+    sizes = orders.groupBy("tree", "p").count().where("count > 1").select("tree", "p", (F.col("count") > REGION).alias("dense"))
+    return orders.join(sizes, ["tree", "p"])
+
+
 def _in_order(orders: DataFrame, tasks: int) -> DataFrame:
     return orders.repartitionByRange(tasks, "tree", "label", "k").sortWithinPartitions("tree", "label", "k")
 
@@ -164,37 +173,43 @@ def _neighbours(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _pairs(k[near], k[near + 1])
 
 
-def _across(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of different components within one region, of a task's piece of the orders."""
-    held = list(frames)  # about TASK_ROWS rows
-    if not held:
-        return
-    pdf = pd.concat(held, ignore_index=True)
-    tree, label, k, root = (pdf[c].to_numpy() for c in ("tree", "label", "k", "root"))
-    common = np.zeros(len(k), np.int64)  # with the row before
-    common[1:] = np.where(tree[1:] == tree[:-1], _common(label[1:], label[:-1]), 0)
-    todo = [(0, len(k), MIN_DEPTH)]
-    a, b = [], []
-    while todo:
-        lo, hi, depth = todo.pop()
-        cuts = lo + np.flatnonzero(common[lo:hi] < depth)
-        begin = np.unique(np.concatenate(([lo], cuts)))
-        end = np.append(begin[1:], hi)
-        mixed = (np.minimum.reduceat(root[:hi], begin) != np.maximum.reduceat(root[:hi], begin)) & (end - begin > 1)
-        for x, y in zip(begin[mixed].tolist(), end[mixed].tolist(), strict=True):
-            if y - x > REGION and depth < DEPTH:
-                todo.append((x, y, depth + 1))
-                continue
-            for step in range(1, min(y - x, REGION)):
-                i = np.arange(x, y - step)
-                i = i[root[i] != root[i + step]]
-                a.append(k[i])
-                b.append(k[i + step])
-        if sum(map(len, a)) > 1 << 20:
-            yield _pairs(np.concatenate(a), np.concatenate(b))
-            a, b = [], []
-    if a:
-        yield _pairs(np.concatenate(a), np.concatenate(b))
+def _across(rooted: DataFrame) -> DataFrame:
+    """Pairs of different components within one region that isn't dense."""
+    held = rooted.where("not dense").groupBy("tree", "p").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.collect_list(F.struct("k", "root")).alias("c"))
+    one = held.where("lo < hi").select("c", F.explode("c").alias("x"))
+    two = one.select("x", F.explode(F.filter("c", lambda y: (y["k"] > F.col("x.k")) & (y["root"] != F.col("x.root")))).alias("y"))
+    return two.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+
+
+def _dense(rows: DataFrame, rooted: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs of different components among the classes of dense regions, by prefix filter: none that is a link is left out.
+
+    Shingles are ordered by the number of these classes that hold them, then by hash. A link has percent % of either set in common, so its first
+    common shingle is among the first n - ceil(percent * n / 100) + 1 of both, and what follows it in both can still hold what is missing.
+    """
+    dense = rooted.where("dense")
+    mixed = dense.groupBy("tree", "p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "p")
+    ids = cut(dense.join(mixed, ["tree", "p"], "left_semi").select("k", "root").distinct())
+    wanted = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            found = [own.astype(np.int64) for own in shingles(pdf["t"].tolist(), shingle)]
+            yield pd.DataFrame({"k": pdf["k"], "root": pdf["root"], "n": [len(h) for h in found], "hs": found})
+
+    held = cut(wanted.mapInPandas(run, "k long, root long, n long, hs array<long>").dropDuplicates(["k", "root", "n", "hs"]))
+    every = held.select("k", "root", "n", F.xxhash64("hs").alias("s"), F.explode("hs").alias("h"))
+    often = every.groupBy("h").agg(F.count("*").alias("f"))
+    ranked = every.join(often, "h").groupBy("k", "root", "n", "s").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    first = ranked.select("k", "root", "n", F.posexplode(F.slice("hs", 1, length)).alias("at", "w")).select("k", "root", "n", (F.col("n") - F.col("at")).alias("left"), F.col("w.h").alias("h"))
+    first = cut(first)
+    shared = first.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    first = cut(first.join(shared, "h", "left_semi"))
+    one, two = (first.select("h", *(F.col(c).alias(c + x) for c in ("k", "root", "n", "left"))) for x in "ab")
+    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * F.least("lefta", "leftb") >= percent * (F.col("na") + F.col("nb")))
+    met = one.join(two, (one["h"] == two["h"]) & (F.col("ka") < F.col("kb")) & (F.col("roota") != F.col("rootb")) & sized)
+    return met.select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:

@@ -79,6 +79,28 @@ def test_dense_region_goes_deeper(spark, monkeypatch):
     assert all(root[g[0]] == root[g[2]] for g in got)
 
 
+def test_dense_regions_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(N, "REGION", 6)
+    rng = random.Random(16)
+    base = [f"w{i}" for i in range(120)]
+
+    def edited(words, n):
+        w = list(words)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+        return w
+
+    # near copies at the limit; a crowd of variants that aren't links, with true links inside that are joined through nothing else
+    rows = [edited(base, rng.randrange(5)) for _ in range(150)]
+    crowd = [f"c{i}" for i in range(120)]
+    for _ in range(150):
+        variant = edited(crowd, 8)
+        rows += [variant, edited(variant, 3)] if rng.random() < 0.3 else [variant]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    assert sorted(tuple(r) for r in N.near_duplicates(df, shingle=4).collect()) == brute(rows, 4)
+
+
 def test_null_ids_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(None, text, 1, "x"), (4, text, 1, "x"), (4, text, 1, "x"), (9, "other words are here", 1, "x")], SCHEMA)
