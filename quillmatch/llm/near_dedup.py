@@ -37,8 +37,6 @@ from quillmatch.llm.parts import NULL_ID, outward, pack, unpack
 DEPTH, MIN_DEPTH = 8, 4
 REGION = 48
 SET_BITS = 48
-#: Rows of an order in a task.
-TASK_ROWS = 1 << 20
 #: Candidates up to which their ids (8 bytes each) are broadcast to pick their texts; beyond, texts are shuffled to meet them.
 BROADCAST_IDS = 1 << 21
 
@@ -97,8 +95,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     classes = cut(classes)  # k: the least document of each distinct set
 
     members = cut(_regions(classes.select("k", F.posexplode("sig").alias("tree", "label"))))
-    tasks = max(1, -(-classes.count() * trees // TASK_ROWS), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    neighbours = cut(_in_order(members, tasks).mapInPandas(_neighbours, "a long, b long").distinct())
+    neighbours = cut(_in_order(members).mapInPandas(_neighbours, "a long, b long").distinct())
     pairs = cut(_estimated(neighbours, classes, percent))
 
     sets = cut(_sets(rows, pairs, shingle))
@@ -143,8 +140,9 @@ def _regions(orders: DataFrame) -> DataFrame:
     return orders.join(sizes, ["tree", "p"])
 
 
-def _in_order(orders: DataFrame, tasks: int) -> DataFrame:
-    return orders.repartitionByRange(tasks, "tree", "label", "k").sortWithinPartitions("tree", "label", "k")
+def _in_order(orders: DataFrame) -> DataFrame:
+    """In tasks of Spark's choice: a pair across the edge of two is left to round 3."""
+    return orders.repartitionByRange("tree", "label", "k").sortWithinPartitions("tree", "label", "k")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -101,6 +101,21 @@ def test_dense_regions_lose_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in N.near_duplicates(df, shingle=4).collect()) == brute(rows, 4)
 
 
+def test_more_partitions_than_rows(spark):
+    held = {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "end"])), (3, "other words are here")]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = sorted(tuple(r) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows, 4) and got[1][2] == 1
+
+
 def test_null_ids_and_repeated_rows(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(None, text, 1, "x"), (4, text, 1, "x"), (4, text, 1, "x"), (9, "other words are here", 1, "x")], SCHEMA)
