@@ -1,8 +1,9 @@
 """Operator 9: secret scans with structural confirmation.
 
-Three base patterns report by their form alone. Beyond them, base64 and hex candidates are decoded and reported only if what they
-hold parses: DER private keys whose nested lengths all close, the binary OpenSSH form, PEM blocks around either, and signed
-tokens whose header and claims decode to JSON with an algorithm. Rows are independent, so nothing is shuffled.
+Three base patterns report by their form alone. Beyond them, every maximal run of base64 (MIN_BASE64 digits or more) or hex (MIN_HEX) is
+decoded whole and reported only if what it holds parses: DER private keys whose nested lengths all close, the binary OpenSSH form, PEM
+blocks around either, and signed tokens whose header and claims decode to JSON with an algorithm. Decoded text is looked through
+in the same way, so a PEM block or a token in base64 is found too; its kind is then key or token. Rows are independent, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 HINT = re.compile(r"(?ai:passw|secre|token|api)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}(?![0-9A-Fa-f])")
-BASE64_KEY = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:MI|MH|MF|MC|MD|ME|b3BlbnNzaC1)[A-Za-z0-9+/_-]{30,}={0,2}")
+MIN_HEX, MIN_BASE64 = 48, 32
+HEX_KEY = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{{MIN_HEX},}}")
+BASE64_KEY = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
@@ -126,6 +128,32 @@ def signed_token(text: str) -> bool:
     return unbase64(signature) is not None and (bool(signature) or head["alg"].lower() == "none")
 
 
+def held(data: bytes | None) -> str | None:
+    """key or token: what decoded data is, or holds as text."""
+    if not data:
+        return None
+    if private_key(data):
+        return "key"
+    if data.isascii() or b"-----BEGIN " in data or b"eyJ" in data:
+        kinds = {k for k, _, _ in structures(data.decode("latin-1"))}  # shorter at each level
+        return "key" if kinds & {"key", "pem"} else "token" if kinds else None
+    return None
+
+
+def structures(text: str) -> list[tuple[str, int, int]]:
+    """What parses in text."""
+    found = []
+    for m in HEX_KEY.finditer(text):
+        if len(m[0]) % 2 == 0 and (kind := held(bytes.fromhex(m[0]))):
+            found.append((kind, m.start(), m.end()))
+    found += [(kind, m.start(), m.end()) for m in BASE64_KEY.finditer(text) if (kind := held(unbase64(m[0])))]
+    if "-----BEGIN " in text:
+        found += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if private_key(unbase64("".join(m[2].split())) or b"")]
+    if "eyJ" in text:
+        found += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
+    return found
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind."""
     found = []
@@ -134,14 +162,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    for m in HEX_KEY.finditer(text):
-        if len(m[0]) % 2 == 0 and private_key(bytes.fromhex(m[0])):
-            found.append(("key", m.start(), m.end()))
-    found += [("key", m.start(), m.end()) for m in BASE64_KEY.finditer(text) if private_key(unbase64(m[0]) or b"")]
-    if "-----BEGIN " in text:
-        found += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if private_key(unbase64("".join(m[2].split())) or b"")]
-    if "eyJ" in text:
-        found += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
+    found += structures(text)
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

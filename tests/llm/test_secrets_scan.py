@@ -69,6 +69,22 @@ def test_structures():
     assert not any(S.private_key(b"\x30" + rng.randbytes(rng.randrange(100))) for _ in range(2000))
 
 
+def test_keys_behind_equals_signs_and_in_decoded_text():
+    rng = random.Random(10)
+    p224 = tlv(0x30, tlv(2, b"\1"), tlv(4, rng.randbytes(28)), tlv(0xA0, tlv(6, b"\x2b\x81\x04\0\x21")), tlv(0xA1, tlv(3, rng.randbytes(50))))
+    assert base64.b64encode(p224).startswith(b"MG")
+    for k in [*keys(), p224]:
+        text = base64.b64encode(k).decode()
+        pem = f"-----BEGIN PRIVATE KEY-----\n{text}\n-----END PRIVATE KEY-----\n".encode()
+        for held in (text, k.hex(), base64.b64encode(pem).decode(), base64.urlsafe_b64encode(pem).decode().rstrip("="), pem.hex()):
+            assert ("key", 8, 8 + len(held)) in S.scan(f"MY_PART={held} x")
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = base64.b64encode(f"bearer {part({'alg': 'HS256'})}.{part({'sub': 'a'})}.abcdefgh".encode()).decode()
+    assert ("token", 2, 2 + len(token)) in S.scan(f"a={token}")
+    for clean in (rng.randbytes(300), b"plain words of some length, again and again " * 9):
+        assert not any(x[0] in ("key", "pem", "token") for x in S.scan(f"a={base64.b64encode(clean).decode()} {clean.hex()}"))
+
+
 def test_tokens():
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     good = f"{part({'alg': 'HS256'})}.{part({'sub': 'é'})}.abcdefgh"
