@@ -11,6 +11,7 @@ else. The exchange of the texts by part is reused by every round.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 
@@ -41,10 +42,13 @@ class Parts:
         bounds = sorted(set(rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
         self.bucket_bits = max(3, math.ceil(math.log2(max(1.0, total * keys_per_byte / keys_per_bucket))))
         self.rows = rows.select(_part(bounds).alias("part"), "k", "t")
-        keys = self.rows.select("part", "k", F.unhex(F.md5("t")).alias("m")).groupBy("part", "m").agg(F.collect_list("k").alias("ks"))
+        keys = self.rows.select("part", "k", F.md5("t").alias("m")).groupBy("part", "m").agg(F.collect_list("k").alias("ks"))
         firsts = keys.groupBy("m").agg(F.min(F.array_min("ks")).alias("first"), F.sum(F.size("ks")).alias("n")).where("n > 1").drop("n")
-        copies = keys.join(firsts, "m").groupBy("part").agg(F.flatten(F.collect_list(F.filter("ks", lambda k: k > F.col("first")))).alias("ids"))
-        self.copies = copies.select("part", F.lit(COPIES).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "ids")
+        # a copy is a doc_id and a text: another text of the same doc_id is none
+        later = F.transform(F.filter("ks", lambda k: k > F.col("first")), lambda k: F.struct(k.alias("k"), F.col("m").alias("m")))
+        copies = keys.join(firsts, "m").groupBy("part").agg(F.flatten(F.collect_list(later)).alias("c"))
+        digests = F.unhex(F.array_join("c.m", ""))  # 16 bytes for each of ids
+        self.copies = copies.select("part", F.lit(COPIES).alias("kind"), F.lit(0).alias("bucket"), digests.alias("blob"), F.col("c.k").alias("ids"))
 
     def each(self, fn: Callable, schema: str, *replies: DataFrame) -> DataFrame:
         """fn(part, texts of one part in order of (doc_id, text), replies to it) -> frame, for every part."""
@@ -64,9 +68,15 @@ class Reply:
     """What came back to a part."""
 
     def __init__(self, docs: pd.DataFrame, back: pd.DataFrame) -> None:
-        ids = back.loc[back["kind"] == COPIES, "ids"]
+        copies = back[back["kind"] == COPIES]
         #: per row: whether its text is that of a document with a smaller doc_id
-        self.copy = docs["k"].isin(np.concatenate(list(ids))).to_numpy() if len(ids) else np.zeros(len(docs), bool)
+        self.copy = np.zeros(len(docs), bool)
+        if len(copies):
+            ids = np.concatenate(list(copies["ids"]))
+            blob = b"".join(copies["blob"])
+            pairs = set(zip(ids.tolist(), (blob[i : i + 16] for i in range(0, len(blob), 16)), strict=True))
+            for i in np.flatnonzero(docs["k"].isin(ids)):
+                self.copy[i] = (int(docs["k"].iloc[i]), hashlib.md5(docs["t"].iloc[i], usedforsecurity=False).digest()) in pairs
         self.back = back
 
     def _blobs(self, kind: int) -> dict[int, bytes]:

@@ -40,5 +40,14 @@ def test_against_brute_force(spark):
             assert sorted(got, key=key) == sorted(brute(rows, width), key=key)
 
 
+def test_one_doc_id_with_a_copy_and_another_text(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(2, one), (5, one), (5, two), (7, two + " c"), (None, "d " * 9)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    for size in (1 << 22, 1 << 6):
+        got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in remove_repeated_windows(df, 20, size).collect()]
+        assert sorted(got, key=key) == sorted(brute(rows, 20), key=key)
+
+
 def test_empty_table(spark):
     assert remove_repeated_windows(spark.createDataFrame([], SCHEMA)).count() == 0

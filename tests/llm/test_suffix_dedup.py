@@ -47,6 +47,15 @@ def test_against_brute_force(spark):
         assert sorted(got) == brute(rows, 50)
 
 
+def test_one_doc_id_with_a_copy_and_another_text(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(2, one), (5, one), (5, two), (7, two + " c"), (None, "d " * 9)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    for size in (1 << 22, 1 << 6):
+        got = [(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in remove_repeated_bytes(df, bytes_per_part=size).collect()]
+        assert sorted(got) == brute(rows, 50)
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     for n, letters, width in ((400, 2, 50), (3000, 3, 50), (2000, 1, 30), (500, 200, 7)):
