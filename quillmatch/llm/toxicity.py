@@ -5,8 +5,8 @@ score of its words, and the bag's is their noisy-or, 1 - prod(1 - p). The weight
 through the noisy-or; sentence probabilities then point at the offending sentences.
 
 A word's score is the sum of the weights of the word and its prefixes, so that inflected forms share what they have in common. The fit
-runs in one task on a bounded sample (`sample` toxic and twice as many clean documents, `sample_bytes` of text at most, picked by a
-hash of doc_id); scoring is a map over all documents with the weights (2**bits floats) broadcast.
+runs in one task on a bounded sample (`sample` toxic and twice as many clean documents, `sample_bytes` of text at most, a third of them for
+toxic documents, picked by a hash of doc_id; a text that doesn't fit any more is passed over); scoring is a map over all documents with the weights (2**bits floats) broadcast.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmatch.llm.checkpoints import cut
+
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
 #: Words of an instance; a longer sentence is several.
@@ -127,8 +129,10 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes: int = 24 << 20, bits: int = 18, folds: int = 5) -> np.ndarray:
     """Weights from rows whose crc32(doc_id as text) mod folds isn't 0. labels(doc_id, toxic, ...).
 
-    sample: toxic documents at most, and half the clean ones; sample_bytes: their text in all at most (whole texts). Null doc_id, null toxic and labels without
-    a document are left out; of several labels of one document the highest counts.
+    sample: toxic documents at most, and half the clean ones; sample_bytes: their text in all at most (whole texts), a third of it
+    for toxic documents and two for clean ones. In order of hash, a text that doesn't fit its share any more is passed over; ValueError where
+    none of a label fits. Null doc_id, null toxic and labels without a document are left out; of several labels of one document the highest
+    counts, of equal texts of one document one.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = chosen.where(F.crc32(F.col("doc_id").cast("string")) % folds != 0).withColumn("h", F.xxhash64("doc_id"))
@@ -136,25 +140,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     one = F.broadcast(picked).join(texts, "doc_id")  # at most 3 * sample documents
 
+    shares = {True: sample_bytes // 3, False: sample_bytes - sample_bytes // 3}
+
+    def fits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["h", "doc_id", "size", "t"], ignore_index=True)
+        room, taken = dict(shares), []
+        for y, size in zip(pdf["y"].tolist(), pdf["size"].tolist(), strict=True):
+            taken.append(size <= room[y])
+            room[y] -= size if taken[-1] else 0
+        return pdf[["doc_id", "t", "y"]].assign(taken=taken)
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "text"], ignore_index=True)
-        pdf = pdf[pdf["size"].cumsum() <= sample_bytes]
         return pd.DataFrame({"w": [fit(pdf["text"].tolist(), (pdf["toxic"] > 0).to_numpy(), bits).tobytes()]})
 
-    # each text takes part by the running sum of the sizes, so what meets in the one task is bounded too
-    sized = one.withColumn("size", F.octet_length("text")).withColumn("task", F.pmod("h", F.lit(1)))
-    ids = sized.select("doc_id", "h", "size").distinct()
-    limit = ids.select("doc_id", F.sum("size").over(_order()).alias("run")).where(F.col("run") <= sample_bytes).select("doc_id").distinct()
-    row = sized.join(F.broadcast(limit), "doc_id").groupBy("task").applyInPandas(run, "w binary").first()
+    # the sample is chosen by sizes alone, so what meets in the one task is bounded
+    sized = one.withColumns({"size": F.octet_length("text"), "t": F.xxhash64("text"), "y": F.col("toxic") > 0, "task": F.pmod("h", F.lit(1))})
+    ids = sized.select("task", "doc_id", "h", "t", "y", "size").distinct()
+    chosen = cut(ids.groupBy("task").applyInPandas(fits, "doc_id long, t long, y boolean, taken boolean"))
+    starved = [r.y for r in chosen.groupBy("y").agg(F.max("taken").alias("taken")).where("not taken").collect()]
+    if starved:
+        raise ValueError(f"no {' and no '.join('toxic' if y else 'clean' for y in starved)} text fits its share of sample_bytes = {sample_bytes}")
+    limit = chosen.where("taken").select("doc_id", "t")
+    row = sized.join(F.broadcast(limit), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).groupBy("task").applyInPandas(run, "w binary").first()
     return np.frombuffer(row[0], np.float32) if row else fit([], np.empty(0), bits)
 
 
-def _order():
-    from pyspark.sql import Window
-
-    return Window.orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)  # over the sample alone
-
-
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, score (0 to 1), sentences array<struct<start, end, score>> of the offending ones (code points).
 

@@ -42,6 +42,18 @@ def test_held_out_accuracy_and_sentences(spark, tmp_path):
     assert [df.first().text[s.start : s.end].strip() for s in row.sentences] == ["you are vile indeed"]
 
 
+def test_long_texts_do_not_starve_the_fit(spark):
+    rows = corpus(400)
+    size = 6 * sum(len(t) for _, t, _ in rows)
+    long = [(i, "word1 word2. " * (size // 10), y) for i, y in zip(range(1000, 1008), (0, 1) * 4)]  # some come first by hash
+    docs = spark.createDataFrame([r[:2] for r in rows + long], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows + long], "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in T.score(docs, T.train(docs, labels, sample_bytes=size)).collect()}
+    assert np.mean([(scores[i] >= 0.5) == y for i, _, y in rows]) > 0.97 and len(scores) == len(rows) + len(long)
+    with pytest.raises(ValueError, match="sample_bytes"):
+        T.train(docs, labels, sample_bytes=10)
+
+
 def test_noisy_or():
     w = np.zeros((1 << 10) + 1, np.float32)
     w[-1] = -1.0
