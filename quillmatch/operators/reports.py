@@ -80,6 +80,7 @@ def schema_clusters(cells: DataFrame, sheet: str, order: str, value: str) -> Dat
     """Sheets by their ordered distinct headers: signature, sheets, an example, rank by size."""
     from pyspark.sql import Window
 
-    signed = cells.groupBy(sheet).agg(F.array_join(unique_list(value, order), " > ").alias("signature"))
+    first = cells.groupBy(sheet, text(value).alias("_v")).agg(F.min(F.struct(F.col(order).alias("o"))).alias("_o"))  # gathered: a row a header
+    signed = first.withColumn("_o", F.col("_o.o")).groupBy(sheet).agg(F.array_join(unique_list("_v", "_o"), " > ").alias("signature"))
     out = signed.groupBy("signature").agg(F.count("*").alias("sheets"), F.min(sheet).alias("example"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sheets"), "signature")))  # one row a signature

@@ -113,3 +113,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert io.latest_snapshot(paths).first().path == "/a/20260301/y"
     periods = spark.createDataFrame([("x/2026-02/y", "2026-02"), ("2026년 2월", "2026-02"), ("202611_a", "2026-11"), ("3월 a", "2025-03"), ("none", "")], "p string, want string")
     assert [r.g for r in periods.select(io.period("p", 2025).alias("g")).collect()] == [r.want for r in periods.collect()]
+
+
+def test_schema_clusters_gather_a_header_once(spark):
+    from quillmatch.operators import reports
+
+    rows = [(1, 3, "b"), (1, 2, "a"), (1, 1, "b"), (1, None, "c"), (2, 1, "x"), (2, 2, ""), (3, 1, None), (4, 5, "x")]
+    out = reports.schema_clusters(spark.createDataFrame(rows, "sheet long, pos long, header string"), "sheet", "pos", "header")
+    assert [tuple(r) for r in out.orderBy("rank").collect()] == [("x", 2, 2, 1), ("", 1, 3, 2), ("c > b > a", 1, 1, 3)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3  # headers, sheets, signatures
