@@ -1,7 +1,8 @@
 """Vectorised Rabin-Karp hashing of bytes, words and windows (numpy, used inside Spark tasks).
 
 All arithmetic is modulo 2**64 with odd bases, so a window's hash is one difference of a prefix sum
-times an inverse power. Every result is mixed by a bijection before use.
+times an inverse power. Every result is mixed by a bijection before use. Words, whose letters anyone may choose, aren't hashed by powers (long
+texts with equal hashes are known for every base) but by a sum of one mixed number for each letter and its place in the word.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 U = np.uint64
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+BYTE_BASE, WORD_BASE, PLACE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 #: Bytes of text hashed at once; bounds the working memory of a task (about 60 bytes a byte).
 CHUNK = 1 << 20
 #: \x20 and \x09-\x0D, the white space of the word contracts.
@@ -113,18 +114,21 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(prefix_sums(byte_values(self.buf), BYTE_BASE), self.starts, self.ends, BYTE_BASE)
-
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Indexes of the words at which a window of width words of one text starts, and the windows' hashes."""
-        return windows_of(self.hashes(), self.first, width)
-
-
-def windows_of(values: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of windows that stay inside their text (items first[i] .. first[i + 1]), and their hashes."""
-    every = fixed_hashes(prefix_sums(values, WORD_BASE), width, WORD_BASE)
-    at = np.flatnonzero(inside(first, width, len(every)))
-    return at, every[at]
+        place = np.arange(len(self.buf))
+        begun = np.zeros(len(self.buf), np.int64)
+        begun[self.starts] = self.starts
+        place -= np.maximum.accumulate(begun)  # of each byte in its word
+        sums = np.zeros(len(self.buf) + 1, U)
+        np.cumsum(mix(_BYTE_CODES[self.buf] + place.astype(U) * U(PLACE)), out=sums[1:])
+        return mix(sums[self.ends] - sums[self.starts] + (self.ends - self.starts).astype(U) * U(0xA0761D6478BD642F))
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indexes of the words at which a window of width words of one text starts, and two independent hashes of each."""
+        values = self.hashes()
+        every = fixed_hashes(prefix_sums(values, WORD_BASE), width, WORD_BASE)
+        at = np.flatnonzero(inside(self.first, width, len(every)))
+        other = fixed_hashes(prefix_sums(mix(values + U(PLACE)), BYTE_BASE), width, BYTE_BASE)
+        return at, every[at], other[at]
 
 
 def inside(first: np.ndarray, width: int, n: int) -> np.ndarray:

@@ -1,23 +1,29 @@
 """Documents in parts: ranges of doc_id of a bounded number of bytes, and exchanges between parts and hash buckets.
 
 The exact dedup operators ask one kind of question many times: "does this key also occur in an earlier part?"
-Parts are ranges of doc_id, so the order of parts is the order of documents. A part sends each distinct key once, packed
-by hash bucket (so a key that a third of all rows hold is sent once a part); a bucket answers with bits in the
+Parts are ranges of (doc_id, beginning of the text), so the order of parts is the order of documents. A part sends each distinct key once,
+packed by hash bucket (so a key that a third of all rows hold is sent once a part); a bucket answers with bits in the
 order received. No document ids, positions or texts travel with the keys.
 
+The ranges are cut where the running sum of bytes in sorted order reaches the part's size, so a part holds at most that and one text more,
+whatever the sizes and ids; rows without a doc_id, or of one doc_id, are split by the beginnings of their texts. Tasks find a row's part
+in a table of the parts' first rows (a number each), which is broadcast: the plan doesn't grow with it. Up to GROWS bytes, parts and buckets have a fixed
+size; beyond, both grow with the square root of the input, and so do their numbers: at 100 TB there are 640,000 parts of 160 MB.
+
 Everything is one lazy plan over deterministic functions of the data: a lost executor costs a recomputation and nothing
 else. The exchange of the texts by part is reused by every round.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.llm.hashing import U
@@ -26,6 +32,11 @@ from quillmatch.llm.hashing import U
 NULL_ID = -(1 << 63)
 REPLY = "part int, kind int, bucket int, blob binary, ids array<long>"
 COPIES, BITS, MASKS = 0, 1, 2
+GROWS = 64 << 30
+#: Bytes of a text's beginning that order rows of one doc_id into parts; rows that agree in both stay together.
+BEGINNING = 64
+#: Parts whose bounds one task cuts.
+PARTS_A_TASK = 64
 
 
 class Parts:
@@ -38,10 +49,12 @@ class Parts:
     def __init__(self, docs: DataFrame, keys_per_byte: float, bytes_per_part: int = 4 << 20, keys_per_bucket: int = 1 << 19) -> None:
         rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("t"))
         total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-        n = max(1, math.ceil(total / bytes_per_part))
-        bounds = sorted(set(rows.agg(F.percentile_approx("k", [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
-        self.bucket_bits = max(3, math.ceil(math.log2(max(1.0, total * keys_per_byte / keys_per_bucket))))
-        self.rows = rows.select(_part(bounds).alias("part"), "k", "t")
+        scale = math.sqrt(max(1.0, total / GROWS))
+        self.bucket_bits = min(24, max(3, math.ceil(math.log2(max(1.0, total * keys_per_byte / (keys_per_bucket * scale))))))
+        number, homes = _part(rows, total, round(bytes_per_part * scale))
+        #: doc_ids whose rows are in several parts -> the first of them
+        self.homes = rows.sparkSession.sparkContext.broadcast(homes)
+        self.rows = rows.select(number.alias("part"), "k", "t")
         keys = self.rows.select("part", "k", F.md5("t").alias("m")).groupBy("part", "m").agg(F.collect_list("k").alias("ks"))
         firsts = keys.groupBy("m").agg(F.min(F.array_min("ks")).alias("first"), F.sum(F.size("ks")).alias("n")).where("n > 1").drop("n")
         # a copy is a doc_id and a text: another text of the same doc_id is none
@@ -84,7 +97,7 @@ class Reply:
         return dict(zip(rows["bucket"].astype(int), rows["blob"], strict=True))
 
     def bits(self, keys: np.ndarray, remainder_bits: int) -> np.ndarray:
-        """The answer for each of the sorted distinct keys."""
+        """The answer for each of the distinct keys, in the order of key_rows."""
         blobs = self._blobs(BITS)
         out = [np.unpackbits(np.frombuffer(blobs[b], np.uint8), count=n).astype(bool) for b, _, n in bucket_slices(keys, remainder_bits)]
         return np.concatenate(out) if out else np.empty(0, bool)
@@ -95,15 +108,38 @@ class Reply:
         return np.concatenate(out) if out else np.empty(0, np.uint32)
 
 
-def _part(bounds: list[int]):
-    """The number of bounds up to k, by two searches of the square root of their number."""
-    if not bounds:
-        return F.lit(0)
-    m = max(1, math.isqrt(len(bounds)))
-    lasts = F.lit([bounds[min(i + m, len(bounds)) - 1] for i in range(0, len(bounds), m)])
-    block = F.size(F.filter(lasts, lambda b: b <= F.col("k")))
-    inner = F.size(F.filter(F.slice(F.lit(bounds), block * m + 1, F.lit(m)), lambda b: b <= F.col("k")))
-    return (block * m + inner).cast("int")
+def _part(rows: DataFrame, total: int, limit: int) -> tuple[Column, dict[int, int]]:
+    """The number of a row's part, of limit bytes at most and one text more; the ids that are split, with their first part."""
+    if total <= limit:
+        return F.lit(0), {}
+    beginning = F.substring("t", 1, BEGINNING)
+    tasks = math.ceil(total / limit / PARTS_A_TASK)
+    sizes = rows.select("k", beginning.alias("b"), F.octet_length("t").alias("n"))
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, last, out = 0, None, []
+        for pdf in frames:
+            for k, b, n in zip(pdf["k"].tolist(), pdf["b"], pdf["n"].tolist(), strict=True):
+                if last is None or held + n > limit and (k, b) != last:
+                    out.append((k, b if last is None or last[0] == k else b""))
+                    held = 0
+                held, last = held + n, (k, b)
+        yield pd.DataFrame(out, columns=["k", "b"])
+
+    ordered = sizes.repartitionByRange(tasks, "k", "b").sortWithinPartitions("k", "b")
+    firsts = sorted((r.k, bytes(r.b)) for r in ordered.mapInPandas(cut, "k long, b binary").collect())  # one a part
+    firsts[0] = (firsts[0][0], b"")  # nothing comes before
+    table = rows.sparkSession.sparkContext.broadcast((np.array([k for k, _ in firsts], np.int64), {k for k, b in firsts if b}, firsts))
+
+    @F.pandas_udf("int")
+    def number(k: pd.Series, b: pd.Series) -> pd.Series:
+        ids, split, firsts = table.value
+        out = np.searchsorted(ids, k.to_numpy(), "right") - 1
+        for i in np.flatnonzero(k.isin(split)) if split else ():
+            out[i] = bisect.bisect_right(firsts, (int(k.iloc[i]), bytes(b.iloc[i]))) - 1
+        return pd.Series(np.maximum(out, 0).astype(np.int32))
+
+    return number("k", beginning), {k: bisect.bisect_right(firsts, (k, b"")) - 1 for k, b in firsts if b}
 
 
 def short(hashes: np.ndarray, bucket_bits: int, remainder_bits: int) -> np.ndarray:
@@ -135,26 +171,39 @@ def unpack(blob: bytes, remainder_bits: int) -> np.ndarray:
     return full.view(">u8").ravel().astype(U)
 
 
-def key_rows(part: int, keys: np.ndarray, remainder_bits: int) -> pd.DataFrame:
-    """Sorted distinct keys as rows (bucket, part, blob)."""
-    rows = [(b, part, pack(keys[lo : lo + n], remainder_bits)) for b, lo, n in bucket_slices(keys, remainder_bits)]
-    return pd.DataFrame(rows, columns=["bucket", "part", "blob"])
+def in_order(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys, of equal keys by `more`; and where in it a new key begins."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    if more is not None:
+        other = more[order][1:] != more[order][:-1]
+        if (other & ~new[1:]).any():  # equal in the first hash alone
+            order = np.lexsort((more, keys))
+            new[1:] = (keys[order][1:] != keys[order][:-1]) | (more[order][1:] != more[order][:-1])
+    return order, new
+
+
+def key_rows(part: int, keys: np.ndarray, remainder_bits: int, more: np.ndarray | None = None, more_bits: int = 0) -> pd.DataFrame:
+    """Distinct keys in order as rows (bucket, part, blob, more): more is a second hash of more_bits bits."""
+    rows = [(b, part, pack(keys[lo : lo + n], remainder_bits), b"" if more is None else pack(more[lo : lo + n], more_bits)) for b, lo, n in bucket_slices(keys, remainder_bits)]
+    return pd.DataFrame(rows, columns=["bucket", "part", "blob", "more"])
+
+
+KEYS = "bucket int, part int, blob binary, more binary"
 
 
-def answered(keys: DataFrame, remainder_bits: int, first_too: bool) -> DataFrame:
-    """Rows (bucket, part, blob) -> reply bits: whether an earlier part has the key; first_too: whether any other part has it."""
+def answered(keys: DataFrame, remainder_bits: int, first_too: bool, more_bits: int = 0) -> DataFrame:
+    """Rows of KEYS -> reply bits: whether an earlier part has the key; first_too: whether any other part has it."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part", ignore_index=True)
         held = [unpack(b, remainder_bits) for b in pdf["blob"]]
-        every = np.concatenate(held)
-        order = np.argsort(every, kind="stable")
-        ranked = every[order]
-        same = np.zeros(len(every), bool)
-        same[1:] = ranked[1:] == ranked[:-1]
+        order, new = in_order(np.concatenate(held), np.concatenate([unpack(b, more_bits) for b in pdf["more"]]) if more_bits else None)
+        same = ~new
         if first_too:
-            same[:-1] |= same[1:]
-        out = np.empty(len(every), bool)
+            same[:-1] |= ~new[1:]
+        out = np.empty(len(order), bool)
         out[order] = same
         cuts = np.cumsum([len(h) for h in held])[:-1]
         blobs = [np.packbits(x).tobytes() for x in np.split(out, cuts)]

@@ -3,10 +3,10 @@
 Rabin-Karp hashes of every window of `width` words are counted across the corpus in Spark; a window that also starts earlier
 is repeated, and repeated windows merge into maximal removal intervals.
 
-The count is kept as "has an earlier part this hash?", see parts.py: per part of 4 MB of text every distinct window hash
-goes out once, as the bucket's bits plus 48 more, and one bit comes back. False repeats are expected n**2 / 2**(49 + bucket bits)
-times for n windows (buckets double with n). Texts that repeat a smaller doc_id's whole text need no hashes: all their windows
-start earlier. Nothing is collected; a hash that every document holds costs one entry a part.
+The count is kept as "has an earlier part this hash?", see parts.py: per part of 4 MB of text every distinct window goes out once, as
+two independent hashes (the bucket's bits, 40 more, and 48 of the other), and one bit comes back. False repeats are expected
+n**2 / 2**(89 + bucket bits) times for n windows: 2**-37 at 30 GB, 2**-21 at 100 TB. Texts that repeat a smaller doc_id's whole text need no
+hashes: all their windows start earlier. Nothing is collected but the parts' bounds; a hash that every document holds costs one entry a part.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmatch.llm import hashing as H
-from quillmatch.llm.parts import Parts, Reply, answered, key_rows, outward, short
+from quillmatch.llm.parts import KEYS, Parts, Reply, answered, in_order, key_rows, outward, short
 
-BITS = 48
+BITS, MORE_BITS = 40, 48
 
 
 def remove_repeated_windows(docs: DataFrame, width: int = 20, bytes_per_part: int = 4 << 20) -> DataFrame:
@@ -30,35 +30,39 @@ def remove_repeated_windows(docs: DataFrame, width: int = 20, bytes_per_part: in
     A word goes if a window of `width` words that covers it has a word sequence that also starts earlier: in a row
     that precedes in order of (doc_id, text), or in the same text at an earlier word. Windows are judged on the input.
     Null text: no words. Empty or short text: nothing removed. Null doc_id: precedes all. A repeated row: the second
-    counts as later. Empty table: no rows. Other columns are ignored.
+    counts as later. A long text is one row of one part. Empty table: no rows. Other columns are ignored.
     """
     parts = Parts(docs, keys_per_byte=0.16, bytes_per_part=bytes_per_part)
     bits = parts.bucket_bits
 
-    def hashes(docs: pd.DataFrame, skip: np.ndarray):
-        """Per chunk of texts: row numbers, words, starts of windows, short hashes."""
-        rows = np.flatnonzero(~skip)
+    def hashes(docs: pd.DataFrame, skip: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+        """Per chunk of texts: row numbers, words, starts of windows; and both hashes of all windows."""
+        rows, pieces, one, two = np.flatnonzero(~skip), [], [np.empty(0, H.U)], [np.empty(0, H.U)]
         for first, texts in H.chunks(docs["t"].iloc[rows], 1 << 18):
             words = H.Words(texts)
-            at, found = words.windows(width)
-            yield rows[first : first + len(texts)], words, at, short(found, bits, BITS)
+            at, x, y = words.windows(width)
+            pieces.append((rows[first : first + len(texts)], words.first, len(words.starts), at))
+            one.append(short(x, bits, BITS))
+            two.append(y >> H.U(64 - MORE_BITS))
+        return pieces, np.concatenate(one), np.concatenate(two)
 
     def send(part: int, docs: pd.DataFrame, reply: Reply) -> pd.DataFrame:
-        found = [h for _, _, _, h in hashes(docs, reply.copy)]
-        return key_rows(part, np.unique(np.concatenate(found)) if found else np.empty(0, H.U), BITS)
+        _, keys, more = hashes(docs, reply.copy)
+        order, new = in_order(keys, more)
+        return key_rows(part, keys[order[new]], BITS, more[order[new]], MORE_BITS)
 
     def finish(part: int, docs: pd.DataFrame, reply: Reply) -> pd.DataFrame:
-        pieces = list(hashes(docs, reply.copy))
-        every = np.concatenate([h for *_, h in pieces]) if pieces else np.empty(0, H.U)
-        keys, index, inverse = np.unique(every, return_index=True, return_inverse=True)
-        again = reply.bits(keys, BITS)[inverse] | (np.arange(len(every)) != index[inverse])
+        pieces, keys, more = hashes(docs, reply.copy)
+        order, new = in_order(keys, more)
+        again = np.empty(len(keys), bool)
+        again[order] = ~new | reply.bits(keys[order[new]], BITS)[np.cumsum(new) - 1]
         gone: dict[int, np.ndarray] = {}
         seen = 0
-        for rows, words, at, h in pieces:
-            hit = H.covered(at[again[seen : seen + len(h)]], width, len(words.starts))
-            seen += len(h)
+        for rows, begins, n, at in pieces:
+            hit = H.covered(at[again[seen : seen + len(at)]], width, n)
+            seen += len(at)
             for i, row in enumerate(rows):
-                if (mine := hit[words.first[i] : words.first[i + 1]]).any():
+                if (mine := hit[begins[i] : begins[i + 1]]).any():
                     gone[row] = mine
         out = []
         for i, (k, t) in enumerate(zip(docs["k"], docs["t"], strict=True)):
@@ -73,8 +77,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = 20, bytes_per_part: in
                 out.append((k, len(own), int(mask.sum()), intervals(mask), kept.decode()))
         return pd.DataFrame(out, columns=["k", "n_words", "n_removed", "intervals", "kept"])
 
-    sent = parts.each(send, "bucket int, part int, blob binary")
-    done = parts.each(finish, "k long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept string", answered(sent, BITS, False))
+    sent = parts.each(send, KEYS)
+    done = parts.each(finish, "k long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept string", answered(sent, BITS, False, MORE_BITS))
     return done.select(outward(), "n_words", "n_removed", "intervals", "kept")
 
 

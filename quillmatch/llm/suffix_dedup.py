@@ -16,7 +16,7 @@ A copy of a whole text with a smaller doc_id takes no part. A passage that all d
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.llm import hashing as H
 from quillmatch.llm.hashing import U
-from quillmatch.llm.parts import MASKS, REPLY, Parts, Reply, answered, bucket_slices, key_rows, outward, pack, short, unpack
+from quillmatch.llm.parts import KEYS, MASKS, REPLY, Parts, Reply, answered, bucket_slices, key_rows, outward, pack, short, unpack
 from quillmatch.llm.substring_dedup import intervals
 
 BITS = 40
@@ -42,7 +42,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, gram: int = 24, byte
     if not 0 < gram <= width or width - gram > 31:
         raise ValueError("gram must be from width - 31 to width")
     parts = Parts(docs, keys_per_byte=0.075, bytes_per_part=bytes_per_part, keys_per_bucket=1 << 17)
-    bits = parts.bucket_bits
+    bits, homes = parts.bucket_bits, parts.homes
 
     def anchors(part: int, docs: pd.DataFrame, reply: Reply) -> pd.DataFrame:
         found = [s.anchor for s in segments(docs, reply.copy, width, gram, bits)]
@@ -53,35 +53,35 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, gram: int = 24, byte
         pieces = list(segments(docs, reply.copy, width, gram, bits))
         if not pieces:
             return [], np.empty(0, bool), np.empty(0, np.int64), np.empty(0, np.int64)
-        anchor, doc, text = (np.concatenate([getattr(p, x) for p in pieces]) for x in ("anchor", "doc", "text"))
+        anchor, doc = (np.concatenate([getattr(p, x) for p in pieces]) for x in ("anchor", "doc"))
         keys, inverse = np.unique(anchor, return_inverse=True)
         least, most = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), -1)
         np.minimum.at(least, inverse, doc)
         np.maximum.at(most, inverse, doc)
         maybe = (reply.bits(keys, BITS) | (least < most))[inverse]
         at = np.flatnonzero(maybe)
-        order = at[np.lexsort((at, text[at], anchor[at]))]
-        new = np.ones(len(order), bool)
-        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (text[order][1:] != text[order][:-1])
+        kind, first = distinct(text for p, m in zip(pieces, np.split(maybe, np.cumsum([len(p.anchor) for p in pieces])[:-1]), strict=True) for text in p.texts(np.flatnonzero(m), width))
+        first = at[first]
+        order = np.argsort(anchor[first], kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         number = np.full(len(anchor), -1)
-        number[order] = np.cumsum(new) - 1
-        return pieces, maybe, order[new], number
+        number[at] = rank[kind]
+        return pieces, maybe, first[order], number
 
     def send(part: int, docs: pd.DataFrame, reply: Reply) -> pd.DataFrame:
         pieces, _, firsts, _ = suspects(docs, reply)
         rows = []
         if len(firsts):
             anchor, doc, windows = (np.concatenate([getattr(p, x) for p in pieces]) for x in ("anchor", "doc", "windows"))
+            doc = doc_codes(part, docs["k"], homes.value)[doc]
             base = np.cumsum([0] + [len(p.anchor) for p in pieces])
             piece = np.searchsorted(base, firsts, "right") - 1
             for bucket, lo, n in bucket_slices(anchor[firsts], BITS):
-                own = firsts[lo : lo + n]
-                texts = []
+                own, texts = firsts[lo : lo + n], []
                 for j, p in zip(own.tolist(), piece[lo : lo + n].tolist(), strict=True):
-                    s = pieces[p]
-                    a = int(s.start[j - base[p]])
-                    texts.append(s.joined[a : a + int(s.windows[j - base[p]]) + width - 1])
-                rows.append((bucket, part, pack(anchor[own], BITS), windows[own].astype(np.uint8).tobytes(), doc[own].astype(np.uint32).tobytes(), b"".join(texts)))
+                    texts += pieces[p].texts([j - base[p]], width)
+                rows.append((bucket, part, pack(anchor[own], BITS), windows[own].astype(np.uint8).tobytes(), doc[own].tobytes(), b"".join(texts)))
         return pd.DataFrame(rows, columns=["bucket", "part", "anchors", "windows", "docs", "texts"])
 
     def sort(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -122,7 +122,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, gram: int = 24, byte
                 out.append((k, len(t), int(gone.sum()), intervals(gone), np.frombuffer(t, np.uint8)[~gone].tobytes()))
         return pd.DataFrame(out, columns=["k", "n_bytes", "n_removed", "spans", "kept"])
 
-    sent = parts.each(anchors, "bucket int, part int, blob binary")
+    sent = parts.each(anchors, KEYS)
     replies = answered(sent, BITS, True)
     texts = parts.each(send, "bucket int, part int, anchors binary, windows binary, docs binary, texts binary", replies)
     masks = texts.groupBy("bucket").applyInPandas(sort, REPLY)
@@ -131,7 +131,7 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 50, gram: int = 24, byte
 
 
 class Segments:
-    """Runs of windows over one anchor in a run of texts: start (byte of joined), windows, anchor (short hash), text (hash), doc
+    """Runs of windows over one anchor in a run of texts: start (byte of joined), windows, anchor (short hash), doc
     (rank of the doc_id in its part). joined: the texts, each with a byte behind it; rows: their rows in the part."""
 
     def __init__(self, rows: np.ndarray, texts: list[bytes], ranks: np.ndarray, width: int, gram: int, bucket_bits: int) -> None:
@@ -150,9 +150,30 @@ class Segments:
         self.start, self.windows = at[begin], np.diff(np.append(begin, len(at)))
         # the least hashes crowd at the low end: mixed again, they spread evenly over the buckets
         self.anchor = short(H.mix(grams[best[begin]] + U(0x9E3779B97F4A7C15)), bucket_bits, BITS)
-        self.text = H.span_hashes(sums, self.start, self.start + self.windows + width - 1, H.BYTE_BASE)
         self.doc = ranks[np.searchsorted(self.text_starts, self.start, "right") - 1]
 
+    def texts(self, of, width: int) -> list[bytes]:
+        begin = self.start[of]
+        return [self.joined[a:b] for a, b in zip(begin.tolist(), (begin + self.windows[of] + width - 1).tolist(), strict=True)]
+
+
+def doc_codes(part: int, ids: pd.Series, homes: dict[int, int]) -> np.ndarray:
+    """For each distinct doc_id of a part, in order, a number that orders like the ids of all parts. An id that goes on in other parts
+    is the last of the first of them."""
+    own = np.unique(ids.to_numpy())
+    codes = np.arange(len(own)) | part << 32
+    for i in {0, len(own) - 1}:
+        if int(own[i]) in homes:
+            codes[i] = homes[int(own[i])] << 32 | 0xFFFFFFFF
+    return codes
+
+
+def distinct(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each text's kind, in order of appearance, and where each kind appears first. Texts are compared, not hashes."""
+    kinds: dict[bytes, int] = {}
+    of = np.fromiter((kinds.setdefault(t, len(kinds)) for t in texts), np.int64)
+    return of, np.flatnonzero(np.diff(np.maximum.accumulate(of), prepend=-1))
+
 
 def segments(docs: pd.DataFrame, skip: np.ndarray, width: int, gram: int, bucket_bits: int) -> Iterator[Segments]:
     ranks = np.unique(docs["k"].to_numpy(), return_inverse=True)[1].astype(np.int64)
@@ -167,18 +188,17 @@ def removed_windows(pdf: pd.DataFrame, width: int) -> list[bytes]:
     anchor = np.concatenate([unpack(b, BITS) for b in pdf["anchors"]])
     windows = np.concatenate([np.frombuffer(b, np.uint8) for b in pdf["windows"]]).astype(np.int64)
     counts = [len(b) for b in pdf["windows"]]
-    # documents in order of (part, rank): parts are ranges of doc_id
-    doc = np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["docs"]]).astype(np.int64) | (np.repeat(np.arange(len(pdf)), counts) << 32)
+    doc = np.concatenate([np.frombuffer(b, np.int64) for b in pdf["docs"]])
     joined = b"".join(pdf["texts"])
     buf = np.frombuffer(joined, np.uint8)
     ends = np.cumsum(windows + width - 1)
     starts = ends - (windows + width - 1)
-    whole = H.span_hashes(H.prefix_sums(H.byte_values(buf), H.BYTE_BASE), starts, ends, H.BYTE_BASE)
 
     # equal segments: the least document stands for all
-    order = np.lexsort((doc, whole, anchor))
+    kinds, _ = distinct(joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    order = np.lexsort((doc, kinds))
     new = np.ones(len(order), bool)
-    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (whole[order][1:] != whole[order][:-1])
+    new[1:] = kinds[order][1:] != kinds[order][:-1]
     own = np.empty(len(order), np.int64)
     own[order] = np.cumsum(new) - 1
     lead = order[new]  # one segment of each kind, of the least document

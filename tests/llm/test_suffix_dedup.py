@@ -56,6 +56,23 @@ def test_one_doc_id_with_a_copy_and_another_text(spark):
         assert sorted(got) == brute(rows, 50)
 
 
+def test_rows_of_one_id_in_several_parts(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(d, f"{d}{i} {base[i * 9 : i * 9 + 120]}") for i in range(25) for d in (None, 4, 9)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) for r in remove_repeated_bytes(df, bytes_per_part=1 << 9).collect()]
+    assert sorted(got) == brute(rows, 50)
+
+
+def test_very_long_text(spark):
+    rng = random.Random(10)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2_000_000))
+    rows = [(1, long), (2, "x" * 70 + long[5000:1_500_000])]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans)) for r in remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 2_000_000, 0, 0), (2, 1_495_070, 1_495_000, 1)]
+
+
 def test_suffix_order():
     rng = np.random.default_rng(3)
     for n, letters, width in ((400, 2, 50), (3000, 3, 50), (2000, 1, 30), (500, 200, 7)):
