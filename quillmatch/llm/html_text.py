@@ -4,6 +4,10 @@ Pages of one host share a template. Every page's containers are scored by the te
 score, for generalised paths (tags and classes from body down, digits struck out); votes are summed by (host, path) in Spark, and
 pages are read again with the path that won on their host. A page without that path, or with nothing in it, takes its own best container.
 
+Tags of what isn't text (scripts, menus, footers) are left out. Names (class, id) are only a hint, as anyone may name an article "no-comments":
+what is inside a container named like a comment list, an advert or a form counts for MARKED of its score, once for each such container around it.
+Where the host's path lies inside such a container or is one, the name says nothing; marked parts further in are left out of the text.
+
 Votes are sums, added up within a task before they meet, so a host of a third of all pages sends as much as any other. For the second
 reading the winners (one row a host) are broadcast if there are BROADCAST_HOSTS at most; beyond that, pages and winners are joined by host
 and one of SALTS salts, so a hot host is dealt out.
@@ -11,9 +15,12 @@ and one of SALTS salts, so a hot host is dealt out.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,16 +28,18 @@ from pyspark.sql import functions as F
 
 from quillmatch.llm.checkpoints import cut
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.DOTALL,
-)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+#: A comment, a declaration, or the beginning of a tag up to its name.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.DOTALL)
+GAP, NAME, EQUALS, PLAIN = (re.compile(p) for p in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 NAME_PART = re.compile(r"[A-Za-z]+")
 DIGITS = re.compile(r"\d+")
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 BROADCAST_HOSTS = 1 << 18
+#: Share of the score that text in a container with such a name counts.
+MARKED = 0.1
+#: Levels of a path that are spelled out; a digest stands for those above.
+LEVELS = 32
 SALTS = 32
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Text up to the end tag, whatever it looks like.
@@ -38,28 +47,87 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 #: Start tags that end an open element: tag -> (ended tags, where the search stops).
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-NOT_TEXT = frozenset("aside button canvas datalist dialog footer form frame frameset head iframe input label link menu meta nav noframes noscript object script search select style svg template textarea title audio video map".split())
+_CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+CLOSES = {tag: tuple(tuple(x.split()) for x in pair) for tag, pair in _CLOSES.items()}
+ANY_BLOCK = "<block>"
+NOT_TEXT = frozenset("aside button canvas datalist dialog footer frame frameset head iframe input label link menu meta nav noframes noscript object script search select style svg template textarea title audio video map".split())
 #: Words of class and id names, and roles, of what surrounds an article or follows it.
 NOT_TEXT_NAMES = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer form gdpr hidden login masthead menu menus modal nav navbar navigation newsletter "
     "notice notices overlay pagination pager paywall popup promo promoted promotion recommended related reply replies respond search share sharing shares sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
 )
+#: A name with one of these words says what is not there, or where.
+NOT_NAMES = frozenset("disabled enabled free has less no non not off print with without".split())
 NOT_TEXT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 
-def boilerplate(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+def left_out(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """Whether nothing in the element is text of the page."""
     if tag in NOT_TEXT or tag == "header" and not inside_article:
         return True
     if not attributes:
         return False
-    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in NOT_TEXT_ROLES or "display:none" in attributes.get("style", "").replace(" ", "").lower():
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in NOT_TEXT_ROLES or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def marked(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """Whether the element is a form, or named like something around or behind an article."""
+    if tag == "form":
         return True
-    if tag in ("body", "html", "main"):
+    if not attributes or tag in ("body", "html", "main"):
         return False
-    names = attributes.get("class", "") + " " + attributes.get("id", "")
-    parts = {p.lower() for p in NAME_PART.findall(names)}
-    return bool(parts & NOT_TEXT_NAMES) or "header" in parts and not inside_article
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        parts = {p.lower() for p in NAME_PART.findall(name)}
+        if (parts & NOT_TEXT_NAMES or "header" in parts and not inside_article) and not parts & NOT_NAMES:
+            return True
+    return False
+
+
+def attributes_at(source: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes behind a tag's name (of several with one name the first), and where the tag ends. In one pass: each letter is
+    looked at a fixed number of times, whatever is left open. A quote that is never closed is part of a plain value."""
+    found: dict[str, str] = {}
+    while True:
+        at = GAP.match(source, at).end()
+        if at >= len(source):
+            return found, at
+        if source[at] == ">":
+            return found, at + 1
+        name = NAME.match(source, at)
+        at, value = name.end(), ""
+        if equals := EQUALS.match(source, at):
+            at = equals.end()
+            quote = source[at : at + 1]
+            end = source.find(quote, at + 1) if quote in ("'", '"') else -1
+            if end >= 0:
+                value, at = source[at + 1 : end], end + 1
+            else:
+                plain = PLAIN.match(source, at)
+                value, at = plain[0], plain.end()
+        found.setdefault(name[0].lower(), html.unescape(value) if "&" in value else value)
+
+
+class Level(NamedTuple):
+    """An open element."""
+
+    tag: str
+    container: int  # the innermost container, itself included
+    out: bool  # left out, or inside what is
+    path: str
+    article: bool  # inside an article or main element
+    marks: int  # marked elements around it, itself included
+    mark: int  # the container around the innermost marked element; -1: none, or at the top
+
+
+OUTSIDE = Level("", -1, False, "", False, 0, -1)
+
+
+def deeper(path: str, name: str) -> str:
+    path = f"{path}/{name}"
+    if path.count("/") > LEVELS:
+        levels = path.split("/")
+        path = "/".join([hashlib.blake2b("/".join(levels[: LEVELS // 2]).encode("utf-8", "replace"), digest_size=8).hexdigest(), *levels[LEVELS // 2 :]])
+    return path
 
 
 class Page:
@@ -69,107 +137,105 @@ class Page:
         #: containers: path, number of the container around it (-1: none)
         self.paths: list[str] = []
         self.parents: list[int] = []
-        #: blocks: innermost container, text, letters inside links
-        self.blocks: list[tuple[int, str, int]] = []
+        #: blocks: innermost container, text, letters inside links, marks around it, the innermost mark's container
+        self.blocks: list[tuple[int, str, int, int, int]] = []
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int, bool, str]] = []  # tag, container inside it, left out, path
+        stack = [OUTSIDE]
+        places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a tag on the stack, and of all blocks
         text: list[str] = []
-        linked = links = 0
+        linked = 0
 
         def flush() -> None:
             nonlocal linked
             if text:
                 line = " ".join(html.unescape("".join(text)).split())
                 if line:
-                    self.blocks.append((stack[-1][1] if stack else -1, line, linked))
+                    top = stack[-1]
+                    self.blocks.append((top.container, line, linked, top.marks, top.mark))
                 text.clear()
             linked = 0
 
         def close(depth: int) -> None:
-            nonlocal links
             while len(stack) > depth:
-                tag = stack[-1][0]
+                tag = stack[-1].tag
                 if tag in BLOCKS:
                     flush()
-                links -= tag == "a"
+                    places[ANY_BLOCK].pop()
+                places[tag].pop()
                 stack.pop()
 
+        def close_last(ended: tuple[str, ...], border: tuple[str, ...]) -> bool:
+            """Close the last open element of ended, unless one of border is open inside it."""
+            last, limit = (max((places[t][-1] for t in tags if places[t]), default=0) for tags in (ended, border))
+            if last and last >= limit:
+                close(last)
+            return last > 0 and last >= limit
+
         at = 0
         while at < len(source):
             m = TOKEN.search(source, at)
             begin = m.start() if m else len(source)
-            if begin > at and not (stack and stack[-1][2]):
+            if begin > at and not stack[-1].out:
                 piece = source[at:begin]
                 text.append(piece)
-                if links > 0:
+                if places["a"]:
                     linked += len(piece)
             if not m:
                 break
             at = m.end()
-            tag = (m[2] or "").lower()
-            if not tag:
+            if not m[2]:
                 continue
+            attributes, at = ({}, at + 1) if source[at : at + 1] == ">" else attributes_at(source, at)
+            tag = m[2].lower()
             if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        close(i)
-                        break
-                    if tag not in BLOCKS and stack[i][0] in BLOCKS:  # a stray inline end tag ends no block
-                        break
+                close_last((tag,), () if tag in BLOCKS else (ANY_BLOCK,))  # a stray inline end tag ends no block
                 if tag in BLOCKS:
                     flush()
                 continue
-            attributes = {a[0].lower(): html.unescape(a[1] or a[2] or a[3]) for a in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {}
-            if tag in BLOCKS:
-                # a block ends an open paragraph with what is open in it
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
+            if tag in BLOCKS and places["p"]:  # a block ends an open paragraph with what is open in it
+                close_last(("p",), (ANY_BLOCK,))
             if tag in CLOSES:
-                ended, border = CLOSES[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in border:
-                        break
-                    if stack[i][0] in ended:
-                        close(i)
-                        if tag != "tr":
-                            break
+                while close_last(*CLOSES[tag]) and tag == "tr":
+                    pass
             if tag in VOID:
                 if tag == "hr":
                     flush()
-                elif tag in ("br", "wbr") and not (stack and stack[-1][2]):
+                elif tag in ("br", "wbr") and not stack[-1].out:
                     text.append(" " if tag == "br" else "")
                 continue
-            container, out, path = (stack[-1][1], stack[-1][2], stack[-1][3]) if stack else (-1, False, "")
-            away = out or boilerplate(tag, attributes, "/article" in path or "/main" in path)
+            top = stack[-1]
+            out = top.out or left_out(tag, attributes, top.article)
             if tag in BLOCKS:
                 flush()
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.IGNORECASE).search(source, at)
                 at = end.end() if end else len(source)
                 continue
-            if not away and tag not in ("html",):
-                names = sorted(DIGITS.sub("#", attributes.get("class", "").lower()).split())
-                path = f"{path}/{tag}" + "".join(f".{n}" for n in names[:3]) if tag in BLOCKS else path
+            container, path, marks, mark = top.container, top.path, top.marks, top.mark
+            if not out and tag != "html":
+                if marked(tag, attributes, top.article):
+                    marks, mark = marks + 1, container
+                if tag in BLOCKS:
+                    names = sorted(DIGITS.sub("#", attributes.get("class", "").lower()).split())
+                    path = deeper(path, ".".join([tag, *(n[:40].replace("/", "_") for n in names[:3])]))
                 if tag in CONTAINERS:
                     self.paths.append(path)
                     self.parents.append(container)
                     container = len(self.paths) - 1
-            links += tag == "a"
-            stack.append((tag, container, away, path))
-        close(0)
+            stack.append(Level(tag, container, out, path, top.article or tag in ("article", "main"), marks, mark))
+            places[tag].append(len(stack) - 1)
+            if tag in BLOCKS:
+                places[ANY_BLOCK].append(len(stack) - 1)
+        close(1)
         flush()
 
     def scores(self) -> list[float]:
         """Per container: the text of its own blocks, and half as much of the blocks one container further in."""
         out = [0.0] * len(self.paths)
-        for c, line, linked in self.blocks:
-            share = (1 + line.count(",") + min(len(line) / 100, 30)) * (1 - min(1.0, linked / len(line)))
+        for c, line, linked, marks, _ in self.blocks:
+            share = (1 + line.count(",") + min(len(line) / 100, 30)) * (1 - min(1.0, linked / len(line))) * MARKED ** min(marks, 4)
             if c >= 0:
                 out[c] += share
                 if self.parents[c] >= 0:
@@ -194,7 +260,7 @@ class Page:
             scores = self.scores()
             lines = self._inside({max(range(len(scores)), key=lambda i: (scores[i], -i))})
         if not lines and not self.paths:
-            lines = [t for _, t, _ in self.blocks]
+            lines = [t for _, t, *_ in self.blocks]
         return "\n".join(lines)
 
     def _inside(self, chosen: set[int]) -> list[str]:
@@ -203,7 +269,7 @@ class Page:
         inside = [False] * len(self.paths)
         for i, parent in enumerate(self.parents):  # a parent comes first
             inside[i] = i in chosen or parent >= 0 and inside[parent]
-        return [t for c, t, _ in self.blocks if c >= 0 and inside[c]]
+        return [t for c, t, _, marks, mark in self.blocks if c >= 0 and inside[c] and not (marks and mark >= 0 and inside[mark])]
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -236,7 +302,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Blocks are joined by one newline; white space inside a block becomes one space. Null or empty html: empty text. Null url, or one
     without a host: the pages without a host vote together. Repeated rows: a row each. Null page_id: kept. Empty table: no rows.
-    Unclosed or cut-off markup ends with the page. Other columns are ignored.
+    Unclosed or cut-off markup ends with the page; a page of any length is read in one pass. Other columns are ignored.
     """
     winners = cut(host_paths(pages).select("host", "path"))
     rows = with_host(pages)

@@ -1,5 +1,6 @@
 import html
 import random
+import time
 
 from quillmatch.llm import html_text
 from quillmatch.llm.html_text import Page, host_paths, main_text, op4_html_extraction
@@ -61,3 +62,25 @@ def test_markup():
     assert text("<div>one<ul><li>two<li>three</ul>four</div>") == "one\ntwo\nthree\nfour"
     assert text("<div hidden>no</div><div><p>yes</p></div>") == "yes"
     assert text("<table><tr><td>a<td>b<tr><td>c</table>") in ("a\nb\nc", "a")
+
+
+def test_names_are_only_hints():
+    long = "A sentence of the article, which goes on for a while. " * 5
+    text = lambda s: Page(s).text(None)
+    assert text(f"<body><div class='layout with-sidebar'><p>{long}</p></div><div class=sidebar>side</div>") == long.strip()
+    assert text(f"<body><article class='post no-comments'><p>{long}</p></article>") == long.strip()
+    assert text(f"<body><div class='story ad-free'><p>{long}</p></div><div class=teaser><p>short</p></div>") == long.strip()
+    assert text(f"<body><div class=story><p class='lead hidden-print'>Lead.</p><p>{long}</p></div>") == "Lead.\n" + long.strip()
+    # all of the article inside a form, or under a name of the list: the name loses against the text
+    assert text(f"<body><form><div class=post><p>{long}</p><div class=related>no</div></div></form>") == long.strip()
+    assert text(f"<body><div class=comments><p>{long}</p><div class=comments-form>no</div></div>") == long.strip()
+    assert text(f"<body><div class=post><p>{long}</p><div class=comments>{'<p>A comment, longer.</p>' * 9}</div></div>") == long.strip()
+
+
+def test_reading_is_linear():
+    """A megabyte of unclosed tags, attributes, quotes, nested or stray elements takes a second or so each."""
+    for part in ("<a ", "<a x='", "<a x", "<div class=abcdefgh>", "<b>", "<p><b><i>", "</i>", "<td>", "<!", "<!-", "</", "&amp", "<script"):
+        for end in ("", '"', ">", "</i>" * 1000 + "<div>" * 1000):
+            began = time.process_time()
+            Page(part * (1_000_000 // len(part)) + end).text(None)
+            assert time.process_time() - began < 10, part
