@@ -1,8 +1,8 @@
 """Operator 9: secret scans with structural confirmation.
 
 Three base patterns report by their form alone. Beyond them, every maximal run of base64 (MIN_BASE64 digits or more) or hex (MIN_HEX) is
-decoded whole and reported only if what it holds parses: DER private keys whose nested lengths all close, the binary OpenSSH form, PEM
-blocks around either, and signed tokens whose header and claims decode to JSON with an algorithm. Decoded text is looked through
+decoded whole and reported only if what it holds parses: DER private keys whose nested lengths all close (plain, or encrypted by a password),
+the binary OpenSSH form, PEM blocks around either (with headers, or with line ends written out as in JSON), and signed tokens whose header and claims decode to JSON with an algorithm. Decoded text is looked through
 in the same way, so a PEM block or a token in base64 is found too; its kind is then key or token. Rows are independent, so nothing is shuffled.
 """
 
@@ -29,7 +29,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_HEX, MIN_BASE64 = 48, 32
 HEX_KEY = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{{MIN_HEX},}}")
 BASE64_KEY = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_BASE64},}}={{0,2}}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+PEM_LINE = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY)-----")
+#: Line ends that are written out, as in JSON and shell variables.
+ESCAPED_ENDS = re.compile(r"\\+[rn]")
+PEM_HEADER = re.compile(r"([A-Za-z0-9-]{1,40}):[ \t]*(.*)")
+CIPHER = re.compile(r"[A-Za-z0-9-]{3,40},[0-9A-Fa-f]{16,64}\Z")
+#: Object ids, in DER, under which keys are encrypted by a password.
+PASSWORD_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
 INTEGER, BIT_STRING, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
@@ -57,7 +63,7 @@ def elements(data: bytes) -> list[tuple[int, bytes]]:
 
 
 def private_key(data: bytes) -> bool:
-    """Whether data is one private key: PKCS 1, PKCS 8, SEC 1 or DSA in DER, or the OpenSSH form."""
+    """Whether data is one private key: PKCS 1, PKCS 8 (plain or encrypted), SEC 1 or DSA in DER, or the OpenSSH form."""
     if data.startswith(b"openssh-key-v1\0"):
         return _openssh(data[15:])
     try:
@@ -66,6 +72,9 @@ def private_key(data: bytes) -> bool:
             return False
         inner = elements(outer[0][1])
         tags = [t for t, _ in inner]
+        if tags == [SEQUENCE, OCTETS]:
+            algorithm = elements(inner[0][1])
+            return len(algorithm) == 2 and algorithm[0][0] == OID and algorithm[0][1].startswith(PASSWORD_OIDS) and algorithm[1][0] == SEQUENCE and len(inner[1][1]) >= 16
         if len(inner) < 3 or tags[0] != INTEGER or len(inner[0][1]) != 1:
             return False
         version = inner[0][1][0]
@@ -107,6 +116,37 @@ def _openssh(data: bytes) -> bool:
         return False
 
 
+def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Where a private key's PEM block begins and ends: a BEGIN line whose next marker is its END line, with a key between."""
+    begin = None
+    for m in PEM_LINE.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None:
+            if begin[2] == m[2] and pem_key(text[begin.end() : m.start()]):
+                yield begin.start(), m.end()
+            begin = None
+
+
+def pem_key(body: str) -> bool:
+    """Whether the lines between the markers hold a key: base64 that parses, or behind headers that name a cipher, what it may have made."""
+    lines = [x.strip() for x in ESCAPED_ENDS.sub("\n", body).split("\n")]
+    headers: dict[str, str] = {}
+    for i, line in enumerate(lines):
+        header = PEM_HEADER.match(line)
+        if header:
+            headers[header[1].lower()] = header[2].strip()
+        elif line and not headers or not line and headers:
+            lines = lines[i:]
+            break
+    data = unbase64("".join("".join(lines).split()))
+    if not data:
+        return False
+    if "encrypted" in headers.get("proc-type", "").lower():
+        return CIPHER.match(headers.get("dek-info", "")) is not None and len(data) >= 16 and len(data) % 8 == 0
+    return private_key(data)
+
+
 def unbase64(text: str) -> bytes | None:
     plain = text.rstrip("=").translate({0x2D: 0x2B, 0x5F: 0x2F})
     if len(plain) % 4 == 1:
@@ -148,7 +188,7 @@ def structures(text: str) -> list[tuple[str, int, int]]:
             found.append((kind, m.start(), m.end()))
     found += [(kind, m.start(), m.end()) for m in BASE64_KEY.finditer(text) if (kind := held(unbase64(m[0])))]
     if "-----BEGIN " in text:
-        found += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if private_key(unbase64("".join(m[2].split())) or b"")]
+        found += [("pem", a, b) for a, b in pem_blocks(text)]
     if "eyJ" in text:
         found += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
     return found
@@ -183,7 +223,8 @@ def redact(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
 def find_secrets(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, spans array<struct<kind, start, end>> (code points, end exclusive), redacted (text with marks).
 
-    Null text: no spans, redacted null. Repeated rows: a row each. Null doc_id: kept. Empty table: no rows. Other columns are ignored.
+    Null text: no spans, redacted null. Repeated rows: a row each. Null doc_id: kept. A long text is read whole, in one pass for each
+    pattern. Empty table: no rows. Other columns are ignored.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

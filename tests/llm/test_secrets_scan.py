@@ -3,6 +3,7 @@ import hashlib
 import json
 import random
 import re
+import time
 
 from quillmatch.llm import secrets_scan as S
 
@@ -99,3 +100,29 @@ def test_redaction(spark):
     got = {r.doc_id: r for r in S.redact_secrets(df).collect()}
     assert got[1].text == "x <secret> y" and got[1].n_chars == 12 and got[2].text is None and got[None].text == "clean"
     assert S.find_secrets(df.limit(0)).count() == 0
+
+
+def test_more_forms_of_pem():
+    rng = random.Random(11)
+    b64 = lambda data: base64.b64encode(data).decode()
+    sealed = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")), tlv(0x30, number(rng))), tlv(4, rng.randbytes(160)))
+    digest = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d0205")), b"\5\0"), tlv(4, rng.randbytes(16)))
+    assert S.private_key(sealed) and not S.private_key(digest)
+    lines = lambda x: "\n".join(x[i : i + 64] for i in range(0, len(x), 64))
+    block = lambda name, body: f"-----BEGIN {name}-----\n{body}\n-----END {name}-----"
+    rsa = keys()[0]
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    good = [block("ENCRYPTED PRIVATE KEY", lines(b64(sealed))), block("RSA PRIVATE KEY", headers + lines(b64(rng.randbytes(320)))), block("RSA PRIVATE KEY", "Comment: mine\n\n" + lines(b64(rsa)))]
+    good += [g.replace("\n", "\\n") for g in good] + [g.replace("\n", "\r\n") for g in good] + [block("PRIVATE KEY", lines(b64(rsa))).replace("\n", "\\\\n")]
+    for g in good:
+        assert ("pem", 3, 3 + len(g)) in S.scan(f'a="{g}"'), g
+    bad = [block("RSA PRIVATE KEY", lines(b64(rng.randbytes(320)))), block("RSA PRIVATE KEY", headers + "no key here"), block("RSA PRIVATE KEY", headers.replace("4,ENC", "4,X") + lines(b64(rng.randbytes(320)))), good[0].replace("END ENCRYPTED", "END RSA")]
+    for b in bad:
+        assert not any(x[0] == "pem" for x in S.scan(b)), b
+
+
+def test_very_long_texts_take_linear_time():
+    for part in ("-----BEGIN RSA PRIVATE KEY-----", "token ", "token = ", "eyJ", "eyJ.", "MIIE", "0a", "AKIA", "A B-----", "passwd" + " " * 50):
+        began = time.process_time()
+        S.scan(part * (2_000_000 // len(part)))
+        assert time.process_time() - began < 10, part
