@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,7 +133,8 @@ def read(data: bytes) -> dict[int, Stream]:
 
 
 def samples(data: bytes) -> tuple[bytes, str]:
-    """The samples that write() stored, and a line on the container: streams, pages, packets, seconds, page times' end and mean level."""
+    """The samples that write() stored, and a line on them and their container: streams, pages, packets, samples, seconds, time of the last page;
+    mean, root mean square and peak of the levels (128 is silence), and how often their sign changes."""
     streams = read(data)
     tracks: dict[int, list[bytes]] = {}
     count = total = 0
@@ -151,7 +153,9 @@ def samples(data: bytes) -> tuple[bytes, str]:
         raise ValueError("samples are missing")
     pages, packets = sum(s.pages for s in streams.values()), sum(len(s.packets) for s in streams.values())
     last = max(s.times[-1] for s in streams.values())
-    return payload, f"streams={len(streams)};pages={pages};packets={packets};samples={total};seconds={total / RATE:.3f};last_page={last:.3f}"
+    level = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    loud = f"mean={level.mean():.3f};rms={np.sqrt((level * level).mean()):.3f};peak={np.abs(level).max()};crossings={np.count_nonzero(np.diff(level < 0))}"
+    return payload, f"streams={len(streams)};pages={pages};packets={packets};samples={total};seconds={total / RATE:.3f};last_page={last:.3f};{loud}"
 
 
 def media(docs: DataFrame, batch: int = 64) -> DataFrame:

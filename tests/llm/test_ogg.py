@@ -31,6 +31,15 @@ def test_round_trip(n, streams):
     assert payload == data and f"streams={streams};" in feature and f"seconds={n / 8000:.3f}" in feature
 
 
+def test_levels():
+    data = bytes([128, 130, 126, 255, 0, 128]) * 96
+    _, feature = ogg.samples(ogg.write(data))
+    levels = [b - 128 for b in data]
+    mean, rms = sum(levels) / 576, (sum(x * x for x in levels) / 576) ** 0.5
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(levels, levels[1:]))
+    assert feature.endswith(f"mean={mean:.3f};rms={rms:.3f};peak=128;crossings={crossings}")
+
+
 def test_packets_over_pages():
     packets = [b"h", b"", b"x" * 255, b"y" * 200_000, b"z" * 510]
     data = b"".join(ogg.pages_of(packets, [0, 1, 2, 3, 4], 9))
