@@ -129,7 +129,7 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes: int = 24 << 20, bits: int = 18, folds: int = 5) -> np.ndarray:
     """Weights from rows whose crc32(doc_id as text) mod folds isn't 0. labels(doc_id, toxic, ...).
 
-    sample: toxic documents at most, and half the clean ones; sample_bytes: their text in all at most (whole texts), a third of it
+    sample: toxic documents at most; twice as many clean ones at most; sample_bytes: their text in all at most (whole texts), a third of it
     for toxic documents and two for clean ones. In order of hash, a text that doesn't fit its share any more is passed over; ValueError where
     none of a label fits. Null doc_id, null toxic and labels without a document are left out; of several labels of one document the highest
     counts, of equal texts of one document one.
@@ -169,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes:
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, score (0 to 1), sentences array<struct<start, end, score>> of the offending ones (code points).
 
-    Null texts, empty texts and texts without words: 0. Repeated rows: a row each. Null doc_id: kept. Empty table: no rows.
-    Only text is read; other columns are ignored.
+    Null texts, empty texts and texts without words: 0. Repeated rows: a row each. Null doc_id: kept. A long text is many sentences and
+    scored whole. Empty table: no rows. Only text is read; other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -202,9 +202,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out is false where doc_id is null: such a row has no label."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score(docs, train(docs, labels))
-    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_toxicity": op6_toxicity}

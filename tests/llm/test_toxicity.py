@@ -33,7 +33,7 @@ def test_held_out_accuracy_and_sentences(spark, tmp_path):
     assert len(got) == len(docs)
     truth = {i: y for i, _, y in rows}
     held = [r for r in got if r.held_out and r.doc_id in truth]
-    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
     assert all(r.score == 0 for r in got if r.doc_id in (5000, 5001, 5002)) and all(0 <= r.score <= 1 for r in got)
     df = spark.createDataFrame([(1, "word1 word2 word3. you are vile indeed! word5 word6.")], "doc_id long, text string")
