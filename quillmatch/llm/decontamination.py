@@ -2,12 +2,14 @@
 
 The normalised test items become one automaton over words. A training text is streamed through it, which gives the longest
 run of words ending at each place that some item contains; where it reaches a window's length (13 words, or a whole shorter item)
-the window's words are hit. Documents are never shuffled. The automaton goes to every task, so it is bounded:
-benchmarks of more than `block_words` words are dealt out to several automata, met one after another with a checkpoint between.
+the window's words are hit. Documents are never shuffled by a benchmark of one block. The automaton goes to every task, so it is bounded:
+benchmarks of more than `block_words` words are dealt out to several automata. The texts are then read once for each, only hits are
+written, by a digest of the text, and documents meet what all automata found at the end.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterable, Iterator
 
@@ -151,20 +153,48 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     Null and empty texts: no words; items without words have no windows; an item of null id counts towards hits and is not
     named. Repeated rows of docs: a row each; rows of one item_id count as one item. Null doc_id: kept. Other columns are ignored.
     """
-    spark = docs.sparkSession
     items, blocks = _items(benchmark, block_words)
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about block_words words
-        automaton = spark.sparkContext.broadcast(Automaton([(r.item_id, r.text.encode()) for r in mine], window))
-        out = _stream(out, automaton)
-        if b + 1 < blocks:
-            out = cut(out)
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    if blocks == 1:
+        out = _stream(rows, _automaton(items.collect(), rows.sparkSession, window))
+    else:
+        words = F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
+        out = rows.select("doc_id", words.alias("n_words"), _digest("text").alias("key")).join(_in_blocks(rows.select("text"), items, blocks, window), "key", "left")
+        out = out.withColumns({"spans": F.coalesce("spans", F.array().cast(SPANS)), "items": F.coalesce("items", F.array().cast("array<string>"))})
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     out = out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", hit.alias("n_hit"), F.array_sort("items").alias("items"), "spans")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+SPANS = "array<struct<start:long,end:long>>"
+
+
+def _automaton(items: list, spark: SparkSession, window: int):
+    return spark.sparkContext.broadcast(Automaton([(r.item_id, r.text.encode()) for r in items], window))
+
+
+def _digest(text: str):
+    """Names a text: 256 bits and its length."""
+    return F.concat_ws(":", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), F.octet_length(F.coalesce(text, F.lit(""))))
+
+
+def _in_blocks(texts: DataFrame, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """texts(text) -> key (digest), spans, items: of the texts with hits, what all automata of `blocks` find."""
+    found = None
+    for b in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about block_words words
+        hits = _stream(texts.select(F.lit(None).cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text")), _automaton(mine, texts.sparkSession, window), True)
+        hits = cut(hits.select(F.col("doc_id").alias("key"), F.struct(F.lit(b).alias("block"), "spans", "items").alias("part")).distinct())
+        found = hits if found is None else found.union(hits)
+
+    @F.pandas_udf(SPANS)
+    def joined(parts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b} for a, b in merged([(int(s["start"]), int(s["end"])) for s in p])] for p in parts])
+
+    parts = found.groupBy("key").agg(F.collect_list("part").alias("parts"))
+    return parts.select("key", joined(F.flatten("parts.spans")).alias("spans"), F.array_distinct(F.flatten("parts.items")).alias("items"))
+
+
 def _items(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, int]:
     """item_id, text; the number of blocks."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -173,20 +203,22 @@ def _items(benchmark: DataFrame, block_words: int) -> tuple[DataFrame, int]:
     return items, max(1, math.ceil(total / block_words))
 
 
-def _stream(rows: DataFrame, automaton) -> DataFrame:
+def _stream(rows: DataFrame, automaton, hits_only: bool = False) -> DataFrame:
+    """rows(doc_id, text) -> doc_id, n_words, spans, items. hits_only: rows with spans, under the digest of the text in place of doc_id."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a: Automaton = automaton.value
         for pdf in frames:
-            counts, spans, items = [], [], []
-            for text, old, named in zip(pdf["text"], pdf["spans"], pdf["items"], strict=True):
+            out = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 words = words_of(text)
-                found, names = a.hits(words)
-                counts.append(len(words))
-                spans.append([{"start": s, "end": e} for s, e in merged([(int(o["start"]), int(o["end"])) for o in old] + found)])
-                items.append(sorted(names.union(named)))
-            yield pdf.assign(n_words=counts, spans=spans, items=items)
+                spans, names = a.hits(words)
+                if spans or not hits_only:
+                    name = f"{hashlib.sha256(text).hexdigest()}:{len(text)}" if hits_only else doc_id
+                    out.append((name, len(words), [{"start": s, "end": e} for s, e in merged(spans)], sorted(names)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "spans", "items"])
 
-    return rows.mapInPandas(run, rows.schema)
+    return rows.mapInPandas(run, f"doc_id string, n_words long, spans {SPANS}, items array<string>")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, span_words: int | None = None, block_words: int = 100_000) -> DataFrame:
@@ -196,41 +228,45 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13
     n_chars, if there, follows. Every row is judged by itself, so rows without a doc_id and repeated rows are no case of their own. A benchmark
     of one block is met on the way, without a shuffle; one of several blocks takes find_contamination's way, by a digest of the text.
     """
-    spark = docs.sparkSession
     items, blocks = _items(benchmark, block_words)
+    temporary, key = _free(docs, "judged"), _free(docs, "key")
     if blocks == 1:
-        automaton = spark.sparkContext.broadcast(Automaton([(r.item_id, r.text.encode()) for r in items.collect()], window))
+        automaton = _automaton(items.collect(), docs.sparkSession, window)
 
         @F.pandas_udf("struct<out:boolean,text:string>")
         def judged(text: pd.Series) -> pd.DataFrame:
-            out = [_judged(automaton.value, t, span_words) for t in text]
+            out = [_judged(text, automaton.value.hits(words_of((text or "").encode()))[0], span_words) for text in text]
             return pd.DataFrame({"out": [o for o, _ in out], "text": pd.Series([t for _, t in out], dtype=object)})
 
-        kept = docs.withColumn("_judged", judged("text")).where("not _judged.out")
+        kept = docs.withColumn(temporary, judged("text"))
     else:
-        texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").distinct()
-        found = find_contamination(texts, benchmark, window, block_words).where("n_hit > 0").select(F.col("doc_id").alias("_h"), "contaminated", "spans")
-        one = found.groupBy("_h").agg(F.max("contaminated").alias("_out"), F.first("spans").alias("_spans"))
 
-        @F.pandas_udf("string")
-        def shortened(text: pd.Series, spans: pd.Series) -> pd.Series:
-            return pd.Series([t if s is None or t is None else _shortened(t, [(x["start"], x["end"]) for x in s], span_words) for t, s in zip(text, spans, strict=True)], dtype=object)
+        @F.pandas_udf("struct<out:boolean,text:string>")
+        def judged(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+            out = [_judged(t, [] if s is None else [(int(x["start"]), int(x["end"])) for x in s], span_words) for t, s in zip(text, spans, strict=True)]
+            return pd.DataFrame({"out": [o for o, _ in out], "text": pd.Series([t for _, t in out], dtype=object)})
 
-        kept = docs.withColumn("_h", F.xxhash64("text")).join(one, "_h", "left").where(~F.coalesce("_out", F.lit(False)))
-        kept = kept.withColumn("_judged", F.struct(shortened("text", "_spans").alias("text")))
+        found = _in_blocks(docs.select("text").where("text is not null"), items, blocks, window).select(F.col("key").alias(key), F.col("spans").alias(temporary))
+        kept = docs.withColumn(key, _digest("text")).join(found, key, "left").withColumn(temporary, judged("text", temporary))
+    kept = kept.where(~F.col(temporary)["out"])
     if span_words is not None:
-        kept = kept.withColumn("text", F.col("_judged.text"))
+        kept = kept.withColumn("text", F.col(temporary)["text"])
         if "n_chars" in docs.columns:
             kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*docs.columns)
 
 
-def _judged(automaton: Automaton, text: str | None, span_words: int | None) -> tuple[bool, str | None]:
+def _free(docs: DataFrame, name: str) -> str:
+    """name, made longer until docs has no such column."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _judged(text: str | None, spans: list[tuple[int, int]], span_words: int | None) -> tuple[bool, str | None]:
     """Whether the document goes, and its text if it stays."""
-    words = words_of((text or "").encode())
-    spans, _ = automaton.hits(words)
     hit = sum(b - a for a, b in spans)
-    if hit and 20 * hit >= len(words):
+    if hit and 20 * hit >= len(words_of((text or "").encode())):
         return True, None
     return False, _shortened(text, spans, span_words) if spans else text
 

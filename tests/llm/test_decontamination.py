@@ -78,3 +78,24 @@ def test_empty_tables(spark):
     assert D.find_contamination(d, b).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert D.find_contamination(one, b).first().n_hit == 0
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    rows = [(1, item, "a", "b", 1), (None, "other words", "c", "d", 2), (None, "other words", "c", "d", 2), (4, None, "e", "f", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, judged string, key string, spans long")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for block in (10**6, 5):
+        kept = D.remove_contamination(docs, bench, block_words=block)
+        assert kept.columns == docs.columns and sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, rows[1:]))
+        assert D.remove_contamination(docs.limit(0), bench, block_words=block).count() == 0
+
+
+def test_very_long_text(spark):
+    rng = random.Random(3)
+    item = [f"q{i}" for i in range(40)]
+    words = [rng.choice([*item, "z"]) for _ in range(400_000)]
+    words[1000:1040] = words[300_000:300_040] = item
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    r = D.find_contamination(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).first()
+    assert (r.n_words, r.n_hit, r.contaminated) == (400_000, 80, False)
