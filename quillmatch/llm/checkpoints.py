@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written as a table in the folder that the session names in spark.checkpoint.dir (one of its own only where that is unset), and read.
+    """df written as a table in the folder that the session names in spark.checkpoint.dir (ValueError if that is unset, but
+    for sessions of one machine, which take a temporary folder), and read.
 
     A table rather than checkpoint(): a checkpoint keeps what is known of its rows' partitioning, which doubles with every join, so that
     planning takes longer than the work after a few rounds of a loop; a table also stores compressed columns. The folder is scratch space:
@@ -20,7 +21,11 @@ def cut(df: DataFrame) -> DataFrame:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else os.path.join(tempfile.gettempdir(), "quillmatch-checkpoints")
+        folder = held.get() if held.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "quillmatch-checkpoints")
     path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
