@@ -1,30 +1,38 @@
 """Operator 5: byte-level BPE encoding and decoding by prefix-sharing trie traversal.
 
-A text is split by the vocabulary's pattern. The distinct words not met before go into a trie; a depth-first walk gives every
-node the last token of its prefix's encoding. A token t may end a prefix p + t if (last token of p, t) is a pair that the merges leave
-as it is; exactly one token does, as any valid encoding is a sequence of such pairs. So the states of a prefix that many words share are
-computed once, and a word's encoding is read off its node by stepping back from last token to last token.
-
-Words known to a Python worker stay in a bounded memory that is cleared when full; nothing grows with the corpus, and
-nothing is shuffled.
+A text is split by the vocabulary's pattern. The distinct words not met before form a trie, laid out as the words in order of their bytes with
+the lengths of the prefixes that neighbours share; reading them in order is its depth-first walk. The walk gives every node the last
+token of its prefix's encoding. A token t may end a prefix p + t if (last token of p, t) is a pair that the merges leave as it is; exactly one
+token does, as any valid encoding is a sequence of such pairs. So the states of a prefix that many words share are computed once, and a word's
+encoding is read off its node by stepping back from last token to last token.
+
+Words known to a task stay in a memory bounded by bytes that is cleared when full; nothing grows with the corpus or outlives the
+task, and nothing is shuffled. One Python worker encodes and decodes.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import json
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmatch.llm.workers import sparing
+
 SPACE, REST = r"\p{White_Space}", r"[^\p{White_Space}\p{L}\p{N}]"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{REST}+|{SPACE}+(?!\P{{White_Space}})|{SPACE}+"
-#: Words that a worker remembers, and twice the pairs. Workers outlive a stage, so this is memory that other stages lack.
-REMEMBERED = 1 << 19
+#: Bytes of known words that a task remembers (WORD_COST is what one takes beside its letters and ids), and pairs of tokens.
+WORD_BYTES, WORD_COST, PAIRS = 32 << 20, 200, 1 << 17
+#: Letters of text, and words of a long text, that are encoded at a time.
+LETTERS, WORDS = 1 << 20, 1 << 17
 
 
 def byte_letters() -> dict[str, int]:
@@ -35,35 +43,43 @@ def byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """A byte-level BPE vocabulary in a tokenizers JSON file."""
+    """A byte-level BPE vocabulary in a tokenizers JSON file, held flat."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
         as_bytes = lambda s: bytes(letters[c] for c in s)
-        self.ids = {as_bytes(k): v for k, v in spec["model"]["vocab"].items()}
-        self.pieces = {v: k for k, v in self.ids.items()}
+        ids = {as_bytes(k): v for k, v in spec["model"]["vocab"].items()}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pieces |= {v: k.encode() for k, v in self.specials.items()}
+        self.size = 1 + max(itertools.chain(ids.values(), self.specials.values()))
+        self.pieces = [b""] * self.size
+        for k, v in itertools.chain(ids.items(), ((k.encode(), v) for k, v in self.specials.items())):
+            self.pieces[v] = k
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        #: merges: rank of a pair; rank and parts of the token that a merge makes (bytes: -1)
-        self.merges: dict[tuple[int, int], int] = {}
-        self.rank, self.parts = dict.fromkeys(self.pieces, -1), {}
+        #: merges: rank of a pair a * size + b; rank and parts of the token that a merge makes (bytes: -1)
+        self.merges: dict[int, int] = {}
+        self.rank, self.left, self.right = (array("i", [-1]) * self.size for _ in range(3))
         for rank, (a, b) in enumerate(pairs):
-            pair, made = (self.ids[as_bytes(a)], self.ids[as_bytes(b)]), self.ids[as_bytes(a + b)]
-            self.merges[pair] = self.rank[made] = rank
-            self.parts[made] = pair
-        self.length = {v: len(k) for k, v in self.ids.items()}
-        self.tokens: dict = {}  # a trie of the vocabulary; -1: the token that ends here
-        for token, number in self.ids.items():
-            node = self.tokens
-            for b in token:
-                node = node.setdefault(b, {})
-            node[-1] = number
+            x, y, made = ids[as_bytes(a)], ids[as_bytes(b)], ids[as_bytes(a + b)]
+            self.merges[x * self.size + y] = self.rank[made] = rank
+            self.left[made], self.right[made] = x, y
+        self.length = array("i", map(len, self.pieces))
+        #: arcs of a trie of the vocabulary, node + byte; the node of token t is t << 8, other nodes and the root come behind
+        self.root, self.arcs = self.size << 8, {}
+        new = self.root + 256
+        for token in sorted(ids, key=len):  # a prefix that is a token is named first
+            node = self.root
+            for b in token[:-1]:
+                to = self.arcs.setdefault(node + b, new)
+                new += 256 * (to == new)
+                node = to
+            self.arcs[node + token[-1]] = ids[token] << 8
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.find = regex.compile(PATTERN).findall
+        self.held = 0
+        self.pairs: dict[int, bool] = {}
+        compiled = regex.compile(PATTERN)
+        self.find, self.each = compiled.findall, compiled.finditer
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")").split if self.specials else lambda t: [t]
 
     def compatible(self, a: int, b: int) -> bool:
@@ -72,116 +88,144 @@ class Vocabulary:
         Merges are undone at the border, the later one first (at equal rank the right one, as the left merge comes first): before it,
         the parts then at the border must not have had an earlier merge of their own.
         """
-        known = self.pairs.get((a, b))
+        size = self.size
+        known = self.pairs.get(a * size + b)
         if known is not None:
             return known
-        if len(self.pairs) >= REMEMBERED // 2:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        merges, rank, parts = self.merges, self.rank, self.parts
+        merges, rank = self.merges, self.rank
         left, right, limit, ok = a, b, 1 << 60, True
         while True:
-            if merges.get((left, right), limit) < limit:
+            if merges.get(left * size + right, limit) < limit:
                 ok = False
                 break
             x, y = rank[left], rank[right]
             if x < 0 and y < 0:
                 break
             if x > y:
-                left, limit = parts[left][1], x
+                left, limit = self.right[left], x
             else:
-                right, limit = parts[right][0], y + 1
-        self.pairs[a, b] = ok
+                right, limit = self.left[right], y + 1
+        self.pairs[a * size + b] = ok
         return ok
 
     def learn(self, words: set[str]) -> None:
         """Encode words: one trie, one walk."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for b in w.encode("utf-8", "surrogatepass"):
-                node = node.setdefault(b, {})
-            node[-1] = w
-        compatible, tokens, length = self.compatible, self.tokens, self.length
-        last: list[int] = [-1]  # of the prefix of each length on the path
-        stack: list[tuple[int, int, dict, list]] = [(0, -1, root, [])]
-        while stack:
-            depth, byte, node, begun = stack.pop()
-            if depth:
-                del last[depth:]
-                going, found = [], -1
-                for begin, at in [*begun, (depth - 1, tokens)]:  # tokens begun on the path that this byte carries on
-                    to = at.get(byte)
+        order = sorted([(w.encode("utf-8", "surrogatepass"), w) for w in words])
+        compatible, arc, length, root = self.compatible, self.arcs.get, self.length, self.root
+        last: list[int] = []  # the last token of the prefix of each length on the path, from 1 on
+        begun: list[list[tuple[int, int]]] = [[]]  # by length of the prefix: tokens begun on the path that may go on
+        shared = 0
+        for i, (path, word) in enumerate(order):
+            beyond = _common(path, order[i + 1][0]) if i + 1 < len(order) else 0
+            del last[shared:], begun[shared + 1 :]
+            going = begun[shared]
+            for depth in range(shared, len(path)):
+                byte, found, on = path[depth], -1, []
+                for begin, node in (*going, (depth, root)):
+                    to = arc(node + byte)
                     if to is not None:
-                        going.append((begin, to))
-                        if found < 0 and -1 in to and (not begin or compatible(last[begin], to[-1])):
-                            found = to[-1]
+                        on.append((begin, to))
+                        if found < 0 and to < root and (not begin or compatible(last[begin - 1], to >> 8)):
+                            found = to >> 8
                 last.append(found)
-                begun = going
-            for b, child in node.items():
-                if b >= 0:
-                    stack.append((depth + 1, b, child, begun))
-                else:
-                    out, at = [], depth
-                    while at:
-                        out.append(last[at])
-                        at -= length[last[at]]
-                    self.words[child] = struct.pack(f"<{len(out)}I", *reversed(out))
+                going = on
+                if depth < beyond:
+                    begun.append(on)
+            out, at = [], len(path)
+            while at:
+                out.append(last[at - 1])
+                at -= length[last[at - 1]]
+            out.reverse()
+            self.words[word] = struct.pack(f"<{len(out)}I", *out)
+            self.held += WORD_COST + len(path) + 4 * len(out)
+            shared = beyond
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text, packed as little-endian unsigned 32-bit integers."""
+        return [b"".join(self._chunks(t)) for t in texts] if any(len(t) > LETTERS for t in texts) else self._together(texts)
+
+    def _together(self, texts: list[str]) -> list[bytes]:
         parts = [[self.find(p) if i % 2 == 0 else p for i, p in enumerate(self.split(t))] for t in texts]
-        if len(self.words) > REMEMBERED:
+        self._know(set().union(*(p for text in parts for p in text[::2])))
+        look = self.words.__getitem__
+        return [b"".join(b"".join(map(look, p)) if i % 2 == 0 else struct.pack("<I", self.specials[p]) for i, p in enumerate(text)) for text in parts]
+
+    def _chunks(self, text: str) -> Iterator[bytes]:
+        """The ids of a long text, some words at a time."""
+        for i, p in enumerate(self.split(text)):
+            if i % 2:
+                yield struct.pack("<I", self.specials[p])
+                continue
+            every = (m[0] for m in self.each(p))
+            while some := list(itertools.islice(every, WORDS)):
+                self._know(set(some))
+                yield b"".join(map(self.words.__getitem__, some))
+
+    def _know(self, words: set[str]) -> None:
+        new = words - self.words.keys()
+        if new and self.held > WORD_BYTES:
             self.words.clear()
-        if new := set().union(*(p for text in parts for p in text[::2])) - self.words.keys():
+            self.held, new = 0, words
+        if new:
             self.learn(new)
-        look = self.words.__getitem__
-        special = {k: struct.pack("<I", v) for k, v in self.specials.items()}
-        return [b"".join(b"".join(map(look, p)) if i % 2 == 0 else special[p] for i, p in enumerate(text)) for text in parts]
 
     def decode(self, packed: bytes) -> str:
-        return b"".join(map(self.pieces.__getitem__, memoryview(packed).cast("I").tolist())).decode("utf-8", "replace")
+        return b"".join(map(self.pieces.__getitem__, memoryview(packed).cast("I"))).decode("utf-8", "replace")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Leading bytes that a and b share."""
+    n = min(len(a), len(b))
+    return n - ((int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])).bit_length() + 7) // 8
 
 
-@functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def batches(frames: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in smaller batches: of about `most` bytes of a text column, one row at least."""
+    for frame in frames:
+        ends = pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.binary_length(frame[column]), 0).cast("int64")).to_pylist()
+        lo = before = 0
+        for i, end in enumerate(ends):
+            if end - before >= most or i + 1 == len(ends):
+                yield frame.slice(lo, i + 1 - lo)
+                lo, before = i + 1, end
 
 
-def encode(docs: DataFrame, path: str, batch: int = 512) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit ids), text as it was.
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit ids), decoded (text, read back from ids).
 
-    path: a byte-level BPE vocabulary, readable on every executor. Null and empty text: no tokens. The strings of special
-    tokens in a text give their ids. Repeated rows: a row each. Null doc_id: kept. Empty table: no rows. Other columns are ignored.
+    path: a byte-level BPE vocabulary, readable on every executor. Null and empty text: no tokens, decoded is empty. The strings of special
+    tokens in a text give their ids. Repeated rows: a row each. Null doc_id: kept. A long text is encoded some words at a time. Empty table:
+    no rows. Other columns are ignored. Bytes that aren't UTF-8 decode to U+FFFD.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = vocabulary(path)
-        for pdf in frames:
-            for lo in range(0, len(pdf), batch):
-                part = pdf.iloc[lo : lo + batch]
-                ids = v.encode(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
-        v.words.clear()  # the worker may serve other stages next
-        v.pairs.clear()
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary(path)
+        for part in batches(frames, "text", LETTERS):
+            ids = v.encode(part["text"].to_pylist())
+            columns = [part["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(list(map(v.decode, ids)), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    rows = docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.mapInPandas(run, "doc_id string, n_tokens long, ids binary")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(sparing(run), "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
-    """Adds decoded (string) to tokens(ids binary, ...). Null ids: null. Bytes that aren't UTF-8: U+FFFD."""
+    """Adds decoded (string) to tokens(ids binary, ...), in place of a column of that name. Null ids: null. Bytes that aren't UTF-8: U+FFFD."""
 
     @F.pandas_udf("string")
-    def run(ids: pd.Series) -> pd.Series:
-        v = vocabulary(path)
-        return pd.Series([None if x is None else v.decode(x) for x in ids], dtype=object)
+    @sparing
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        v = Vocabulary(path)
+        for ids in batches:
+            yield pd.Series([None if x is None else v.decode(x) for x in ids], dtype=object)
 
     return tokens.withColumn("decoded", run("ids"))
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    out = decode(encode(docs, path), path)
+    out = encode(docs, path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

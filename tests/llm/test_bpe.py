@@ -33,36 +33,52 @@ def test_against_library(spark):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
-def plain_merges(v, data):
+def plain_merges(v, ids, data):
     """The pair of least rank first, the leftmost on ties."""
-    out = [v.ids[data[i : i + 1]] for i in range(len(data))]
+    out = [ids[data[i : i + 1]] for i in range(len(data))]
     while True:
-        found = [(v.merges[p], i) for i, p in enumerate(zip(out, out[1:])) if p in v.merges]
+        found = [(v.merges[x * v.size + y], i) for i, (x, y) in enumerate(zip(out, out[1:])) if x * v.size + y in v.merges]
         if not found:
             return out
         _, i = min(found)
-        out[i : i + 2] = [v.ids[v.pieces[out[i]] + v.pieces[out[i + 1]]]]
+        out[i : i + 2] = [ids[v.pieces[out[i]] + v.pieces[out[i + 1]]]]
 
 
 def test_pairs_against_plain_merges():
     v = bpe.Vocabulary(bpe.default_path())
+    ids = {p: i for i, p in enumerate(v.pieces) if i not in v.specials.values()}
     rng = random.Random(5)
-    tokens = rng.sample(sorted(v.ids), 3000)
-    assert [plain_merges(v, t) for t in tokens] == [[v.ids[t]] for t in tokens]
-    short = [t for t in v.ids if len(t) < 4]
+    tokens = rng.sample(sorted(ids), 3000)
+    assert [plain_merges(v, ids, t) for t in tokens] == [[ids[t]] for t in tokens]
+    short = [t for t in ids if len(t) < 4]
     for _ in range(20_000):
         a, b = (rng.choice(short) if rng.random() < 0.8 else rng.choice(tokens) for _ in range(2))
-        assert v.compatible(v.ids[a], v.ids[b]) == (plain_merges(v, a + b) == [v.ids[a], v.ids[b]])
+        assert v.compatible(ids[a], ids[b]) == (plain_merges(v, ids, a + b) == [ids[a], ids[b]])
+
+
+def library_ids(texts):
+    t = tokenizers.Tokenizer.from_file(bpe.default_path())
+    return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_memory_is_cleared(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    monkeypatch.setattr(bpe, "WORD_BYTES", 2000)
+    monkeypatch.setattr(bpe, "PAIRS", 10)
     v = bpe.Vocabulary(bpe.default_path())
-    t = tokenizers.Tokenizer.from_file(bpe.default_path())
-    words = [f"w{i} x{i}" for i in range(20)]
-    for w in words:
-        v.encode([w])
-    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in v.encode(words)] == [t.encode(w, add_special_tokens=False).ids for w in words]
+    words = [f"w{i} x{i}" for i in range(40)]
+    assert [v.encode([w])[0] for w in words] == library_ids(words)
+    assert v.held <= 2000 + 1000 and len(v.words) < 20
+    assert v.encode(words) == library_ids(words)
+
+
+def test_long_texts(monkeypatch):
+    """Texts beyond LETTERS go some words at a time; one endless word, many words, and special tokens between them."""
+    monkeypatch.setattr(bpe, "LETTERS", 1000)
+    monkeypatch.setattr(bpe, "WORDS", 7)
+    rng = random.Random(6)
+    long = ["ab" * 20_000, " ".join(f"word{rng.randrange(300)}" for _ in range(5000)), "<|endoftext|>".join("many words here " * 30 for _ in range(20)), "  \n" * 3000 + "é" * 999]
+    v = bpe.Vocabulary(bpe.default_path())
+    assert v.encode(long) == library_ids(long)
 
 
 def test_empty_table(spark):
