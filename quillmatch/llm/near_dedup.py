@@ -6,9 +6,11 @@ those that share the longest prefixes are neighbours.
 
 A region is the classes of one order that share its first MIN_DEPTH minima. Round 1 takes the neighbours within regions; of these
 candidates every class checks its two best (by the share of equal minima) on full sets, and the links form components. Round 2 checks the
-candidates left between different components. These two only spare work: they make round 3, which is complete, small. It takes what can still
-join two components: of a region of up to REGION classes all pairs of different components; the classes of larger (dense) regions with more than
-one component meet by prefix filter, an equi-join on their rarest shingles that holds every pair of the similarity, at any size of the
+candidates left between different components. Larger (dense) regions then take a round of stars: their classes are indexed by their rarest
+shingles (prefix filter), and every class meets the one class of each of its shingles that has the fewest rare ones, the likeliest centre
+of a group of near copies. These three only spare work: they make the last round, which is complete, small. It takes what can still
+join two components: of a region of up to REGION classes all pairs of different components; the classes of dense regions with more than
+one component meet by the whole prefix filter, an equi-join that holds every pair of the similarity, at any size of the
 region. All are checked on full sets, if the share of equal minima isn't five deviations below the limit (a pair at the limit fails that by chance
 with probability 3e-7).
 
@@ -33,6 +35,7 @@ from quillmatch.llm import hashing as H
 from quillmatch.llm.checkpoints import cut
 from quillmatch.llm.components import components
 from quillmatch.llm.parts import NULL_ID, outward, pack, unpack
+from quillmatch.llm.workers import sparing
 
 DEPTH, MIN_DEPTH = 8, 4
 REGION = 48
@@ -95,7 +98,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     classes = cut(classes)  # k: the least document of each distinct set
 
     members = cut(_regions(classes.select("k", F.posexplode("sig").alias("tree", "label"))))
-    neighbours = cut(_in_order(members).mapInPandas(_neighbours, "a long, b long").distinct())
+    neighbours = cut(_in_order(members).mapInPandas(sparing(_neighbours), "a long, b long").distinct())
     pairs = cut(_estimated(neighbours, classes, percent))
 
     sets = cut(_sets(rows, pairs, shingle))
@@ -107,12 +110,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     links = cut(links.union(_confirmed(second, sets, classes, percent)))
     joined = components(links)
 
-    rooted = cut(members.join(joined.withColumnRenamed("v", "k"), "k", "left").withColumn("root", F.coalesce("root", "k")))
-    across = _across(rooted).union(_dense(rows, rooted, shingle, percent)).distinct()
-    # neighbours were estimated before: those of different components that may be links have been confirmed or not in round 2
-    third = cut(_estimated(across.join(neighbours, ["a", "b"], "left_anti"), classes, percent))
-    links = links.union(cut(_confirmed(third, cut(_sets(rows, third, shingle)), classes, percent)))
-    roots = components(links).withColumnRenamed("v", "k")
+    def checked(pairs: DataFrame) -> DataFrame:
+        # neighbours were estimated before: those of different components that may be links have been confirmed or not in round 2
+        likely = cut(_estimated(pairs.join(neighbours, ["a", "b"], "left_anti"), classes, percent))
+        return cut(_confirmed(likely, cut(_sets(rows, likely, shingle)), classes, percent))
+
+    rare = cut(_rare(rows, cut(_rooted(members, joined)), shingle, percent))
+    links = links.union(checked(_stars(cut(_rooted(rare, joined)), percent)))
+    joined = components(links)
+
+    across = _across(cut(_rooted(members, joined))).union(_sharing(_rooted(rare, joined), percent)).distinct()
+    roots = components(links.union(checked(across))).withColumnRenamed("v", "k")
 
     named = classes.select("s", "k").join(roots, "k", "left").select("s", F.coalesce("root", "k").alias("root"))
     out = signed.select("k", "n", "s").join(named, "s", "left").select("k", "n", F.coalesce("root", "k").alias("root"))
@@ -130,7 +138,7 @@ def _signed(rows: DataFrame, shingle: int, trees: int) -> DataFrame:
                 out.append((k, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), make.signature(own).tolist() if len(own) else []))
             yield pd.DataFrame(out, columns=["k", "n", "s", "sig"])
 
-    return rows.mapInPandas(run, "k long, n long, s binary, sig array<long>")
+    return rows.mapInPandas(sparing(run), "k long, n long, s binary, sig array<long>")
 
 
 def _regions(orders: DataFrame) -> DataFrame:
@@ -179,34 +187,60 @@ def _across(rooted: DataFrame) -> DataFrame:
     return two.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
 
 
-def _dense(rows: DataFrame, rooted: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs of different components among the classes of dense regions, by prefix filter: none that is a link is left out.
+def _rooted(of: DataFrame, joined: DataFrame) -> DataFrame:
+    """of(k, ...) with root, the component of each class (itself where it has no links)."""
+    return of.join(joined.withColumnRenamed("v", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+
+def _rare(rows: DataFrame, rooted: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """k, n, left, h: the index of a prefix filter over the classes of dense regions that hold more than one component.
 
     Shingles are ordered by the number of these classes that hold them, then by hash. A link has percent % of either set in common, so its first
-    common shingle is among the first n - ceil(percent * n / 100) + 1 of both, and what follows it in both can still hold what is missing.
+    common shingle is among the first n - ceil(percent * n / 100) + 1 of both; left counts h and what follows it in the set.
     """
     dense = rooted.where("dense")
     mixed = dense.groupBy("tree", "p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "p")
-    ids = cut(dense.join(mixed, ["tree", "p"], "left_semi").select("k", "root").distinct())
+    ids = cut(dense.join(mixed, ["tree", "p"], "left_semi").select("k").distinct())
     wanted = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             found = [own.astype(np.int64) for own in shingles(pdf["t"].tolist(), shingle)]
-            yield pd.DataFrame({"k": pdf["k"], "root": pdf["root"], "n": [len(h) for h in found], "hs": found})
+            yield pd.DataFrame({"k": pdf["k"], "n": [len(h) for h in found], "hs": found})
 
-    held = cut(wanted.mapInPandas(run, "k long, root long, n long, hs array<long>").dropDuplicates(["k", "root", "n", "hs"]))
-    every = held.select("k", "root", "n", F.xxhash64("hs").alias("s"), F.explode("hs").alias("h"))
+    held = cut(wanted.mapInPandas(sparing(run), "k long, n long, hs array<long>").dropDuplicates(["k", "n", "hs"]))
+    every = held.select("k", "n", F.xxhash64("hs").alias("s"), F.explode("hs").alias("h"))
     often = every.groupBy("h").agg(F.count("*").alias("f"))
-    ranked = every.join(often, "h").groupBy("k", "root", "n", "s").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    ranked = every.join(often, "h").groupBy("k", "n", "s").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    first = ranked.select("k", "root", "n", F.posexplode(F.slice("hs", 1, length)).alias("at", "w")).select("k", "root", "n", (F.col("n") - F.col("at")).alias("left"), F.col("w.h").alias("h"))
-    first = cut(first)
-    shared = first.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    first = cut(first.join(shared, "h", "left_semi"))
-    one, two = (first.select("h", *(F.col(c).alias(c + x) for c in ("k", "root", "n", "left"))) for x in "ab")
-    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * F.least("lefta", "leftb") >= percent * (F.col("na") + F.col("nb")))
-    met = one.join(two, (one["h"] == two["h"]) & (F.col("ka") < F.col("kb")) & (F.col("roota") != F.col("rootb")) & sized)
+    first = ranked.select("k", "n", F.posexplode(F.slice("hs", 1, length)).alias("at", "w"))
+    return first.where("w.f > 1").select("k", "n", (F.col("n") - F.col("at")).alias("left"), F.col("w.h").alias("h"))
+
+
+def _linkable(percent: int):
+    """Whether rows (n, left) of two sides, ending in a and b, can belong to a link whose first common shingle this is."""
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * F.least("lefta", "leftb") >= percent * (F.col("na") + F.col("nb")))
+
+
+def _side(rare: DataFrame, end: str) -> DataFrame:
+    return rare.select("h", *(F.col(c).alias(c + end) for c in ("k", "root", "n", "left")))
+
+
+def _stars(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each class and the one class of each of its shingles that has the fewest rare ones (most is left; ties: the least)."""
+    row = F.struct("k", "root", "n", "left")
+    held = rare.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by(row, F.struct("left", -F.col("k"))).alias("c")).where("lo < hi")
+    met = _side(rare, "a").join(_side(held.select("h", "c.*"), "b"), "h").where((F.col("roota") != F.col("rootb")) & _linkable(percent))
+    return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+
+
+def _sharing(rare: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share a row of the index and can be links: none that is one is left out."""
+    rare = cut(rare)
+    shared = rare.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    rare = cut(rare.join(shared, "h", "left_semi"))
+    one, two = _side(rare, "a"), _side(rare, "b").withColumnRenamed("h", "h_")
+    met = one.join(two, (F.col("h") == F.col("h_")) & (F.col("ka") < F.col("kb")) & (F.col("roota") != F.col("rootb")) & _linkable(percent))
     return met.select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
 
 
@@ -248,7 +282,7 @@ def _sets(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
             found = [pack(np.unique(h >> H.U(64 - SET_BITS)), SET_BITS) for h in shingles(pdf["t"].tolist(), shingle)]
             yield pd.DataFrame({"k": pdf["k"], "set": found})
 
-    return wanted.mapInPandas(run, "k long, set binary")
+    return wanted.mapInPandas(sparing(run), "k long, set binary")
 
 
 def _best(pairs: DataFrame) -> DataFrame:
