@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.llm import hashing as H
 from quillmatch.llm.checkpoints import cut
+from quillmatch.llm.workers import sparing
 
 #: Everything in ASCII but digits and letters (upper case is lowered first).
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -218,7 +219,7 @@ def _stream(rows: DataFrame, automaton, hits_only: bool = False) -> DataFrame:
                     out.append((name, len(words), [{"start": s, "end": e} for s, e in merged(spans)], sorted(names)))
             yield pd.DataFrame(out, columns=["doc_id", "n_words", "spans", "items"])
 
-    return rows.mapInPandas(run, f"doc_id string, n_words long, spans {SPANS}, items array<string>")
+    return rows.mapInPandas(sparing(run), f"doc_id string, n_words long, spans {SPANS}, items array<string>")
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, span_words: int | None = None, block_words: int = 100_000) -> DataFrame:
@@ -234,9 +235,11 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13
         automaton = _automaton(items.collect(), docs.sparkSession, window)
 
         @F.pandas_udf("struct<out:boolean,text:string>")
-        def judged(text: pd.Series) -> pd.DataFrame:
-            out = [_judged(text, automaton.value.hits(words_of((text or "").encode()))[0], span_words) for text in text]
-            return pd.DataFrame({"out": [o for o, _ in out], "text": pd.Series([t for _, t in out], dtype=object)})
+        @sparing
+        def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for text in batches:
+                out = [_judged(t, automaton.value.hits(words_of((t or "").encode()))[0], span_words) for t in text]
+                yield pd.DataFrame({"out": [o for o, _ in out], "text": pd.Series([t for _, t in out], dtype=object)})
 
         kept = docs.withColumn(temporary, judged("text"))
     else:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmatch.llm.checkpoints import cut
+from quillmatch.llm.workers import sparing
 
 #: A comment, a declaration, or the beginning of a tag up to its name.
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.DOTALL)
@@ -286,7 +287,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 held = {}
         yield pd.DataFrame([(*k, round(v * 1e9)) for k, v in held.items()], columns=["host", "path", "votes"])
 
-    votes = with_host(pages).select("host", "html").mapInPandas(run, "host string, path string, votes long")
+    votes = with_host(pages).select("host", "html").mapInPandas(sparing(run), "host string, path string, votes long")
     votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     # ties: the shorter path, then by name
     best = F.max_by("path", F.struct("votes", -F.length("path"), "path"))

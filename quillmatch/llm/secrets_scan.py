@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmatch.llm.workers import sparing
+
 #: The kinds in the order in which they are listed.
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "key", "pem", "token")
@@ -235,7 +237,7 @@ def find_secrets(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "spans": spans, "redacted": redacted})
 
     rows = docs.select(F.col("doc_id").cast("string"), "text")
-    out = rows.mapInPandas(run, "doc_id string, spans array<struct<kind:string,start:long,end:long>>, redacted string")
+    out = rows.mapInPandas(sparing(run), "doc_id string, spans array<struct<kind:string,start:long,end:long>>, redacted string")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -243,8 +245,10 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """docs with the secrets in text replaced by mark; n_chars, if there, follows. All rows and columns stay."""
 
     @F.pandas_udf("string")
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, scan(t), mark) if t else t for t in text], dtype=object)
+    @sparing
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            yield pd.Series([redact(t, scan(t), mark) if t else t for t in text], dtype=object)
 
     out = docs.withColumn("text", run("text"))
     if "n_chars" in docs.columns:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmatch.llm.checkpoints import cut
+from quillmatch.llm.workers import give_back, sparing
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -152,7 +153,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "text"], ignore_index=True)
-        return pd.DataFrame({"w": [fit(pdf["text"].tolist(), (pdf["toxic"] > 0).to_numpy(), bits).tobytes()]})
+        weights = fit(pdf["text"].tolist(), (pdf["toxic"] > 0).to_numpy(), bits).tobytes()
+        del pdf
+        give_back()
+        return pd.DataFrame({"w": [weights]})
 
     # the sample is chosen by sizes alone, so what meets in the one task is bounded
     sized = one.withColumns({"size": F.octet_length("text"), "t": F.xxhash64("text"), "y": F.col("toxic") > 0, "task": F.pmod("h", F.lit(1))})
@@ -182,7 +186,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "score": [s for s, _ in found], "sentences": spans})
 
     rows = docs.select(F.col("doc_id").cast("string"), "text")
-    out = rows.mapInPandas(run, "doc_id string, score double, sentences array<struct<start:long,end:long,score:double>>")
+    out = rows.mapInPandas(sparing(run), "doc_id string, score double, sentences array<struct<start:long,end:long,score:double>>")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -190,13 +194,13 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     """The rows of docs, all columns, whose text scores below threshold."""
     weights = train(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    scorers: list[Scorer] = []
 
     @F.pandas_udf("double")
-    def run(text: pd.Series) -> pd.Series:
-        if not scorers:
-            scorers.append(Scorer(sent.value))
-        return pd.Series([scorers[0].text(t)[0] if t else 0.0 for t in text], dtype=float)
+    @sparing
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(sent.value)
+        for text in batches:
+            yield pd.Series([scorer.text(t)[0] if t else 0.0 for t in text], dtype=float)
 
     return docs.where(run("text") < threshold)
 
