@@ -58,8 +58,13 @@ def grade_pivot(graded: DataFrame, by: str) -> DataFrame:
     return graded.groupBy(by).pivot("grade", grades).count().select(by, *(F.coalesce(F.col(g), F.lit(0)).cast("long").alias(g.lower()) for g in grades))
 
 
-def safe_candidates(rows: DataFrame, reason: str, master_ids: DataFrame, special: Sequence[str], channel: str, label: str = "id", evidence: str = "detail_evidence", detail: str = "detail_reason") -> DataFrame:
-    """Rows of exactly this reason: content_id if the evidence names one that the master has, and why others are excluded ("" if safe)."""
+def safe_candidates(rows: DataFrame, reason: str, master_ids: DataFrame, special: Sequence[str], channel: str, label: str = "id", evidence: str = "detail_evidence", detail: str = "detail_reason", guard: str = "") -> DataFrame:
+    """Rows of exactly this reason: content_id if the evidence names one that the master has, and why others are excluded ("" if safe).
+
+    guard: only that guard's section of the evidence counts; all sections if empty.
+    """
+    sections = F.filter(F.split(evidence, r" \|\| "), lambda s: s.startswith(f"{guard}: " if guard else ""))
+    rows = rows.withColumn(evidence, F.array_join(sections, " || "))
     ids = F.array_distinct(pipe_ids(evidence, label))
     known = master_ids.select(text(master_ids.columns[0]).alias("content_id")).distinct().withColumn("_m", F.lit(True))
     out = rows.where(F.col(detail) == reason).withColumn("_ids", ids).withColumn("content_id", F.when(F.size("_ids") == 1, F.col("_ids")[0]).otherwise(F.lit("")))

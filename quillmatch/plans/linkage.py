@@ -130,7 +130,7 @@ def explain_no_match(spark, sf_dir):
 
 def other_channels(spark, sf_dir):
     s = statements(spark, sf_dir).select(*ROW, "p_brand", "clean_key")
-    return L.with_other_channels(s, keyed_parts(spark, sf_dir).where("p_size <= 3"), "clean_key", "p_brand").select(*ROW, "other_channels")
+    return L.with_other_channels(s, keyed_parts(spark, sf_dir).where("p_size <= 25"), "clean_key", "p_brand").select(*ROW, "other_channels")
 
 
 def gated(spark, sf_dir):
@@ -149,7 +149,7 @@ def transfer_blocked(spark, sf_dir):
 
 def residual_partition(spark, sf_dir):
     un = statements(spark, sf_dir).join(reference(spark, sf_dir), ["p_brand", "clean_key"], "left_anti")
-    return L.residual_partition(un, keyed_parts(spark, sf_dir).where("p_size <= 2"), "p_brand", "clean_key", "l_orderkey", least=0.5)
+    return L.residual_partition(un, keyed_parts(spark, sf_dir).where("p_size <= 25"), "p_brand", "clean_key", "l_orderkey", least=0.65, gram=1)
 
 
 def rule_impact(spark, sf_dir):
@@ -241,8 +241,13 @@ ORACLE_SQL = {
     "duplicate_candidates": REF_SQL + "SELECT p_brand, clean_key, id_count, selected_id, ids FROM ref WHERE id_count > 1 AND EXISTS (SELECT 1 FROM st WHERE st.p_brand = ref.p_brand AND st.clean_key = ref.clean_key)",
     "exclude_missing": "SELECT p_partkey, p_retailprice, CASE WHEN p_retailprice > 1500 THEN 'settlement missing' ELSE '' END AS excluded_reason FROM part",
     "explain_no_match": REF_SQL + f"SELECT {R}, ref_status, detail_reason, split_reason, md5(evidence) AS evidence_md5 FROM xp",
-    "other_channels": REF_SQL + f", oc AS (SELECT DISTINCT clean_key, p_brand FROM kp WHERE p_size <= 3) SELECT {R}, coalesce((SELECT string_agg(oc.p_brand, ' | ' ORDER BY oc.p_brand) FROM oc WHERE oc.clean_key = st.clean_key AND oc.p_brand <> st.p_brand), '') AS other_channels FROM st",
+    "other_channels": REF_SQL + f", oc AS (SELECT DISTINCT clean_key, p_brand FROM kp WHERE p_size <= 25) SELECT {R}, coalesce((SELECT string_agg(oc.p_brand, ' | ' ORDER BY oc.p_brand) FROM oc WHERE oc.clean_key = st.clean_key AND oc.p_brand <> st.p_brand), '') AS other_channels FROM st",
     "transfer_rows": REF_SQL + f'SELECT {R}, ref_selected_id, round(l_extendedprice * 100) AS sale, round(l_discount * 100) AS base, round(l_tax * 100) AS "offset" FROM tg WHERE block_reasons = \'\'',
     "transfer_blocked": REF_SQL + f"SELECT {R}, block_reasons FROM tg WHERE block_reasons <> ''",
+    "residual_partition": REF_SQL + """, un AS (SELECT p_brand, clean_key, count(*) AS "rows" FROM st WHERE clean_key <> '' AND NOT EXISTS (SELECT 1 FROM ref WHERE ref.p_brand = st.p_brand AND ref.clean_key = st.clean_key) GROUP BY 1, 2),
+rd AS (SELECT DISTINCT p_brand AS rc, clean_key AS rk FROM kp WHERE p_size <= 25 AND clean_key <> ''),
+nr AS (SELECT p_brand, clean_key, bool_or(rk = clean_key AND rc <> p_brand) AS exact, bool_or(rc = p_brand) FILTER (near) AS same, bool_or(rc <> p_brand) FILTER (near) AS other
+       FROM (SELECT *, 1 - levenshtein(clean_key, rk) / greatest(length(clean_key), length(rk)) >= 0.65 AS near FROM un, rd) GROUP BY 1, 2)
+SELECT p_brand, clean_key, "rows", CASE WHEN same THEN 'same_channel_fuzzy' WHEN exact THEN 'other_channel_exact' WHEN other THEN 'other_channel_fuzzy' ELSE 'absent' END AS kind FROM un LEFT JOIN nr USING (p_brand, clean_key)""",
     "detect_channel": "SELECT p_partkey, p_brand AS channel FROM part",
 }

@@ -143,7 +143,7 @@ def grade_pivot(spark, sf_dir):
 
 def safe_candidates(spark, sf_dir):
     master = table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.col("p_partkey").cast("string").alias("content_id"))
-    out = P.safe_candidates(linkage.explained(spark, sf_dir), "billing", master, ["Brand#11"], "p_brand")
+    out = P.safe_candidates(linkage.explained(spark, sf_dir), "billing | master", master, ["Brand#11"], "p_brand", guard="billing")
     return out.select(*ROW, "content_id", "excluded_because")
 
 
@@ -154,7 +154,7 @@ def reflection(spark, sf_dir):
 
 
 def schema_clusters(spark, sf_dir):
-    return P.schema_clusters(table(spark, sf_dir, "events").where("user_id % 2 = 0"), "user_id", "event_id", "event_type").select("signature", "sheets", "example", "rank")
+    return P.schema_clusters(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type").select("signature", "sheets", "example", "rank")
 
 
 _STATUS = """WITH jd AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS content, CASE WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 'Y' ELSE 'N' END AS paid,
@@ -209,7 +209,7 @@ ORACLE_SQL = {
     "reconcile_amounts": "WITH a AS (SELECT l_suppkey, count(*) AS r, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey, count(*) AS r, round(sum(l_quantity + CASE WHEN l_suppkey % 5 = 2 THEN 1 ELSE 0 END), 2) AS q FROM lineitem WHERE l_suppkey % 5 <> 1 GROUP BY 1), j AS (SELECT CAST(s_suppkey AS VARCHAR) AS s, coalesce(a.r, 0) AS a_rows, coalesce(a.q, 0) AS a_l_quantity, coalesce(b.r, 0) AS b_rows, coalesce(b.q, 0) AS b_l_quantity FROM supplier LEFT JOIN a ON a.l_suppkey = s_suppkey LEFT JOIN b ON b.l_suppkey = s_suppkey) SELECT *, round(a_l_quantity - b_l_quantity, 2) AS delta_l_quantity, CASE WHEN a_rows = 0 AND b_rows = 0 THEN 'absent' WHEN a_rows = 0 THEN 'only_b' WHEN b_rows = 0 THEN 'only_a' WHEN abs(a_l_quantity - b_l_quantity) < 1 THEN CASE WHEN a_rows = b_rows THEN 'equal' ELSE 'amounts_equal' END ELSE 'differs' END AS status FROM j",
     "gap_grades": _GRADE + "SELECT p_partkey, paid, sample_files, grade FROM gg",
     "grade_pivot": _GRADE + "SELECT p_brand, count(*) FILTER (grade = 'A_SEEN_WITHOUT_PAYMENT') AS a_seen_without_payment, count(*) FILTER (grade = 'B_WITHOUT_PAYMENT') AS b_without_payment, count(*) FILTER (grade = 'C_DISABLED') AS c_disabled, count(*) FILTER (grade = 'OK_PAID') AS ok_paid FROM gg GROUP BY 1",
-    "safe_candidates": linkage.REF_SQL + f", bx AS (SELECT *, string_split(b_ids, ' | ') AS bl FROM xp WHERE detail_reason = 'billing') SELECT {_R}, CASE WHEN len(bl) = 1 THEN bl[1] ELSE '' END AS content_id, CASE WHEN p_brand = 'Brand#11' THEN 'special channel' WHEN len(bl) <> 1 THEN 'not one content' WHEN NOT EXISTS (SELECT 1 FROM part WHERE CAST(p_partkey AS VARCHAR) = bl[1] AND p_size % 2 = 0) THEN 'not in master' ELSE '' END AS excluded_because FROM bx",
+    "safe_candidates": linkage.REF_SQL + f", bx AS (SELECT *, string_split(b_ids, ' | ') AS bl FROM xp WHERE detail_reason = 'billing | master') SELECT {_R}, CASE WHEN len(bl) = 1 THEN bl[1] ELSE '' END AS content_id, CASE WHEN p_brand = 'Brand#11' THEN 'special channel' WHEN len(bl) <> 1 THEN 'not one content' WHEN NOT EXISTS (SELECT 1 FROM part WHERE CAST(p_partkey AS VARCHAR) = bl[1] AND p_size % 2 = 0) THEN 'not in master' ELSE '' END AS excluded_because FROM bx",
     "reflection": linkage.REF_SQL + "SELECT kp.p_brand, kp.clean_key, CAST(p_partkey AS VARCHAR) AS id, (SELECT count(*) FROM mp WHERE mp.p_brand = kp.p_brand AND mp.clean_key = kp.clean_key) AS rerun_rows, (SELECT count(DISTINCT nullif(ref_selected_id, '')) FROM mp WHERE mp.p_brand = kp.p_brand AND mp.clean_key = kp.clean_key) AS rerun_ids, CASE WHEN EXISTS (SELECT 1 FROM mp WHERE mp.p_brand = kp.p_brand AND mp.clean_key = kp.clean_key AND ref_selected_id = CAST(p_partkey AS VARCHAR)) THEN 'Y' ELSE 'N' END AS reflected FROM kp WHERE p_partkey % 5 = 0",
-    "schema_clusters": "WITH f AS (SELECT user_id, event_type, min(event_id) AS e FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2), s AS (SELECT user_id, string_agg(event_type, ' > ' ORDER BY e) AS signature FROM f GROUP BY 1), g AS (SELECT signature, count(*) AS sheets, min(user_id) AS example FROM s GROUP BY 1) SELECT *, row_number() OVER (ORDER BY sheets DESC, signature) AS rank FROM g",
+    "schema_clusters": "WITH f AS (SELECT user_id, event_type, min(event_id) AS e FROM events GROUP BY 1, 2), s AS (SELECT user_id, string_agg(event_type, ' > ' ORDER BY e) AS signature FROM f GROUP BY 1), g AS (SELECT signature, count(*) AS sheets, min(user_id) AS example FROM s GROUP BY 1) SELECT *, row_number() OVER (ORDER BY sheets DESC, signature) AS rank FROM g",
 }
