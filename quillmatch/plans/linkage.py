@@ -18,9 +18,15 @@ def titled(parts: DataFrame) -> DataFrame:
     return parts.withColumn("title", F.concat(F.lit("[연재] "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("화")))
 
 
+_KEPT: dict[tuple[str, str], DataFrame] = {}
+
+
 def keyed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys are made once for each part, never for each line."""
-    return add_clean_key(titled(table(spark, sf_dir, "part")), "title")
+    """Keys are made once for each part, never for each line, and kept for the session: every index and every statement takes them."""
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _KEPT:
+        _KEPT[name] = add_clean_key(titled(table(spark, sf_dir, "part")), "title").persist()
+    return _KEPT[name]
 
 
 def dated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
