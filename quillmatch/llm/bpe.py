@@ -30,7 +30,7 @@ from quillmatch.llm.workers import sparing
 SPACE, REST = r"\p{White_Space}", r"[^\p{White_Space}\p{L}\p{N}]"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{REST}+|{SPACE}+(?!\P{{White_Space}})|{SPACE}+"
 #: Bytes of known words that a task remembers (WORD_COST is what one takes beside its letters and ids), and pairs of tokens.
-WORD_BYTES, WORD_COST, PAIRS = 32 << 20, 200, 1 << 17
+WORD_BYTES, WORD_COST, PAIRS = 64 << 20, 200, 1 << 17
 #: Letters of text, and words of a long text, that are encoded at a time.
 LETTERS, WORDS = 1 << 20, 1 << 17
 
