@@ -157,3 +157,20 @@ def unique_list(value: Text, order: Text, limit: int | None = None) -> Column:
     rows = F.array_sort(F.collect_list(F.struct(col(order).alias("o"), text(value).alias("v"))))
     values = F.array_distinct(F.filter(F.transform(rows, lambda r: r["v"]), lambda v: v != ""))
     return values if limit is None else F.slice(values, 1, limit)
+
+
+# Words of a rule that name no header, and parts of a rule that say there is none.
+RULE_WORDS = ("후보", "정책 필요", "필요", "있는 그룹만", "직접", "그 외", "상단", "기반", "적용 여부")
+RULE_NONE = ("정책", "확정", "없음", "아님")
+
+
+def field_candidates(rule: Text) -> Column:
+    """The headers that a field's rule names, as an array in order: parts between / + x 또는 및 and commas, without words that name none."""
+    r = F.coalesce(col(rule).cast("string"), F.lit(""))
+    t = r
+    for word in RULE_WORDS:
+        t = F.replace(t, F.lit(word), F.lit(""))
+    t = F.regexp_replace(t, r"(?U)\s+x\s+|\s*\+\s*| 또는 | 및 |,", "/")
+    parts = F.transform(F.split(t, "/"), lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.trim(p, F.lit(" .")), r"(?U)\s*\([^)]*불명[^)]*\)", ""), r"(?U)\s*컬럼 선택 기준 확정 후.*$", "")))
+    kept = F.filter(parts, lambda p: (p != "") & ~contains_any(p, RULE_NONE))
+    return F.when(F.contains(r, F.lit("거래내용")), F.array(F.lit("거래내용"))).otherwise(kept)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmatch.functions.text import contains_any, text
@@ -82,3 +82,59 @@ def platform_rollup(files: DataFrame, dim: DataFrame, key: str, sums: Sequence[s
     totals = files.groupBy(key).agg(F.count("*").alias("files"), *(F.sum(c).alias(c) for c in sums))
     out = dim.select(key).distinct().join(totals, key, "left").join(errors, key, "left").na.fill(0).na.fill("", ["errors"])
     return out.withColumn("status", F.when(F.col("files") == 0, "no files").when(F.col("errors") != "", "errors").otherwise("ok"))
+
+
+#: Platforms whose channels depend on words in the file's name, by first match, and the channels each then takes.
+NAME_RULES = [
+    ("네이버", ["광고", "장르"], ["네이버_장르(광고수익)"]),
+    ("네이버", ["광고", "연재"], ["네이버_연재(광고수익)"]),
+    ("네이버", ["장르"], ["네이버_장르"]),
+    ("네이버", ["연재"], ["네이버_연재"]),
+    ("네이버", ["일반"], ["네이버_일반"]),
+    ("네이버", [], ["네이버_장르", "네이버_연재", "네이버_일반"]),
+    ("문피아", ["후원"], ["문피아(후원금 정산)"]),
+    ("리디북스", ["이벤트"], ["리디북스(이벤트)"]),
+    ("카카오", ["선투자"], ["카카오페이지(선투자)"]),
+    ("카카오", ["창작지원금"], ["카카오페이지(창작지원금)"]),
+    ("카카오", [], ["카카오페이지(소설)"]),
+]
+
+
+def name_rules(spark: SparkSession) -> DataFrame:
+    """NAME_RULES as a table; rules of other platforms (no tokens, all their channels) are added to it from the channel rules."""
+    rows = [(p, t, c, [], [], i) for i, (p, t, c) in enumerate(NAME_RULES)]
+    return spark.createDataFrame(rows, "platform string, tokens array<string>, exact array<string>, include array<string>, exclude array<string>, pos int")
+
+
+def choose_rule(files: DataFrame, rules: DataFrame, name: str, platform: str = "platform") -> DataFrame:
+    """files with the rule of their platform that comes first by pos and whose tokens are all in the name without its spaces; null where there is none.
+
+    rules(platform, tokens, exact, include, exclude, pos) has a few rows a platform, gathered by platform and joined once.
+    """
+    known = rules.groupBy(F.col("platform").alias("_p")).agg(F.array_sort(F.collect_list(F.struct("pos", "tokens", "exact", "include", "exclude"))).alias("_rules"))
+    bare = F.replace(text(name), F.lit(" "), F.lit(""))
+    fits = F.filter("_rules", lambda r: F.forall(r["tokens"], lambda t: F.contains(bare, t)))
+    out = files.join(known, text(platform) == F.col("_p"), "left").withColumn("_rule", F.try_element_at(fits, F.lit(1)))
+    return out.select(*files.columns, "_rule.exact", "_rule.include", "_rule.exclude", F.col("_rule").isNotNull().alias("active"))
+
+
+def channels_for(chosen: DataFrame, file: str, channels: DataFrame, channel: str) -> DataFrame:
+    """file, channel: the channels of a table of distinct channels that each file's rule lets pass; all of them where no rule applies."""
+    table = channels.select(text(channel).alias("c")).where("c <> ''").agg(F.collect_set("c")).scalar()
+    cols = ["exact", "include", "exclude", "active"]
+    rules = chosen.select(*(F.col(c).alias(f"_{c}") for c in cols)).distinct().withColumn("_c", table)
+    passes = lambda c: (F.array_contains("_exact", c) | F.exists("_include", lambda t: F.contains(c, t))) & ~F.exists("_exclude", lambda t: F.contains(c, t))
+    rules = rules.withColumn("_c", F.when(F.col("_active"), F.filter("_c", passes)).otherwise(F.col("_c")))
+    return chosen.join(rules, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols]).select(file, F.explode("_c").alias(channel))
+
+
+def history_view(runs: DataFrame, names: Mapping[str, str], labels: Mapping[str, Mapping[str, str]], n: int) -> DataFrame:
+    """The n latest runs under the names of a page, with values relabelled; columns that runs lacks are left out, unknown values stay."""
+
+    def shown(c: str) -> Column:
+        value = F.col(c)
+        for old, new in labels.get(c, {}).items():
+            value = F.when(F.col(c) == old, F.lit(new)).otherwise(value)
+        return value.alias(names[c])
+
+    return latest_runs(runs, n).select(*(shown(c) for c in names if c in runs.columns))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions.text import amount_or_null, append_reasons, text
+from quillmatch.functions.text import amount_or_null, append_reasons, nfkc, norm_header, text
 
 MATCHED, NO_MATCH, AMBIGUOUS, BLANK, SKIPPED = "matched", "no_match", "ambiguous", "blank_key", "skipped"
 LIST_LIMIT = 30
@@ -116,33 +116,62 @@ def evidence_index(df: DataFrame, keys: Sequence[str], fields: Sequence[str], ro
     return out.select(*keys, "hits", *(F.array_join(F.coalesce(f, F.array()), " | ").alias(f) for f in fields))
 
 
-def explain_no_match(rows: DataFrame, guards: Sequence[tuple[str, DataFrame, Sequence[str], Sequence[str]]], status: str = "ref_status", key: str = "clean_key") -> DataFrame:
-    """Adds detail_reason, detail_evidence and split_reason to rows that have no match; review_reason gets the split reasons too.
+#: What to do about a row that has no match, by the guard that hit or the state of the row.
+ACTIONS = {
+    "missing": "complete the settlement or leave the content out",
+    "service": "decide whether a settlement is made for the channel's content",
+    "billing": "decide whether this is a billing case",
+    "other_channel": "decide whether this channel needs a settlement",
+    "master": "decide whether content and settlement are made for the channel",
+    BLANK: "check the raw title or the cleaning rules",
+    AMBIGUOUS: "choose the right id among the candidates",
+    "other": "check the status and the reasons of the review",
+    "none": "check whether the title is new or takes no settlement",
+}
 
-    guards: (name, evidence index, columns to join on, fields shown), in order of output. `service` is left out where `missing` hit;
-    hits of `missing` and `billing` are split reasons. `other_channel` is given by key alone, and counts where a channel differs from the row's.
+
+def explain_no_match(rows: DataFrame, guards: Sequence[tuple[str, DataFrame, Sequence[str], Sequence[str]]], status: str = "ref_status", key: str = "clean_key", channel: str | None = None) -> DataFrame:
+    """Adds detail_reason, detail_evidence, detail_action, split_reason and <guard>_hits to rows that have no match; review_reason gets the split
+    reasons too, and review follows it.
+
+    guards: (name, evidence index, columns to join on, fields shown), in order of output. `service` is left out where `missing` hit; hits of
+    `missing` and `billing` are split reasons of every row that isn't matched. `other_channel` is joined by key alone; the first of its fields
+    holds its channels, of which those other than the row's own (column `channel`) are shown. It hits if there are any, or none is known.
     """
     out = rows
+    open_ = F.col(status) != MATCHED
     hits: dict[str, Column] = {}
     shown: dict[str, Column] = {}
     for name, index, on, fields in guards:
+        value = {f: F.coalesce(F.col(f"_{name}_{f}"), F.lit("")) for f in fields}
         mine = index.select(*on, F.col("hits").alias(f"_{name}_hits"), *(F.col(f).alias(f"_{name}_{f}") for f in fields))
         out = out.join(mine, list(on), "left")
-        hits[name] = F.coalesce(F.col(f"_{name}_hits"), F.lit(0)) > 0
-        pieces = [F.when(F.coalesce(F.col(f"_{name}_{f}"), F.lit("")) != "", F.concat(F.lit(f"{f}="), F.col(f"_{name}_{f}"))) for f in fields]
+        hits[name] = open_ & (F.coalesce(F.col(f"_{name}_hits"), F.lit(0)) > 0)
+        if name == "other_channel" and channel:
+            known = value[fields[0]]
+            others = F.array_join(F.filter(F.split(known, r" \| "), lambda c: (c != "") & (c != text(channel))), " | ")
+            hits[name] = hits[name] & ((known == "") | (others != ""))
+            value[fields[0]] = others
+        pieces = [F.when(v != "", F.concat(F.lit(f"{f}="), v)) for f, v in value.items()]
         shown[name] = F.concat(F.lit(f"{name}: "), F.array_join(F.array_compact(F.array(*pieces)), ", "))
     if "service" in hits and "missing" in hits:
         hits["service"] = hits["service"] & ~hits["missing"]
+    joined = lambda by, names, sep: F.array_join(F.array_compact(F.array(*(F.when(hits[n], by(n)) for n in names))), sep)
+    names = [n for n, *_ in guards]
     none = F.col(status) == NO_MATCH
-    found = [F.when(hits[n], F.lit(n)) for n, *_ in guards]
-    reason = F.array_join(F.array_compact(F.array(*found)), " | ")
-    evidence = F.array_join(F.array_compact(F.array(*(F.when(hits[n], shown[n]) for n, *_ in guards))), " || ")
-    split = F.array_join(F.array_compact(F.array(*(F.when(hits[n], F.lit(n)) for n, *_ in guards if n in ("missing", "billing")))), " | ")
-    detail = F.when(F.col(status) == MATCHED, F.lit("")).when(F.col(status) == BLANK, F.lit("no key")).when(~none, F.concat(F.lit("status "), F.col(status))).when(reason == "", F.lit("no candidate")).otherwise(reason)
-    proof = F.when(none & (reason != ""), evidence).when(none, F.concat(F.lit("key="), F.col(key))).otherwise(F.lit(""))
-    split = F.when(none, split).otherwise(F.lit(""))
-    review = [F.when(split != "", append_reasons("review_reason", split)).otherwise(F.col("review_reason")).alias("review_reason")] if "review_reason" in rows.columns else []
-    return out.select(*(c for c in rows.columns if c != "review_reason"), *review, detail.alias("detail_reason"), proof.alias("detail_evidence"), split.alias("split_reason"))
+    reason = joined(F.lit, names, " | ")
+    split = joined(F.lit, [n for n in names if n in ("missing", "billing")], " | ")
+    act = joined(lambda n: F.lit(ACTIONS.get(n, f"check {n}")), names, " | ")
+    detail = F.when(~open_, "").when(F.col(status) == BLANK, "no key").when(~none, F.concat(F.lit("status "), F.col(status))).when(reason == "", "no candidate").otherwise(reason)
+    proof = F.when(none & (reason != ""), joined(lambda n: shown[n], names, " || ")).when(none, F.concat(F.lit("key="), F.col(key))).otherwise("")
+    todo = F.when(~open_, "").when(F.col(status) == BLANK, ACTIONS[BLANK]).when(F.col(status) == AMBIGUOUS, ACTIONS[AMBIGUOUS]).when(~none, ACTIONS["other"]).when(reason == "", ACTIONS["none"]).otherwise(act)
+    counts = [F.when(hits[n], F.col(f"_{n}_hits")).otherwise(F.lit(0)).cast("long").alias(f"{n}_hits") for n in names]
+    kept = [c for c in rows.columns if c not in ("review_reason", "review")]
+    review = []
+    if "review_reason" in rows.columns:
+        why = F.when(split != "", append_reasons("review_reason", split)).otherwise(F.col("review_reason"))
+        review = [why.alias("review_reason"), F.when(why != "", "Y").otherwise("N").alias("review")]
+    return out.select(*kept, *review, detail.alias("detail_reason"), proof.alias("detail_evidence"), todo.alias("detail_action"), split.alias("split_reason"), *counts)
 
 
 def other_channels(ref: DataFrame, key: str, channel: str, limit: int = LIST_LIMIT) -> DataFrame:
@@ -247,3 +276,40 @@ def longest_contained(df: DataFrame, name: str, words: DataFrame, word: str, ran
     table = ranked.agg(F.array_sort(F.collect_set("s")).alias("_table"))
     hit = F.filter("_table", lambda s: F.contains(F.col(name), s["w"]))
     return df.withColumn("_table", table.scalar()).withColumn("found", F.coalesce(F.try_element_at(hit, F.lit(1))["w"], F.lit(""))).drop("_table")
+
+
+def channel_key(c: Column | str) -> Column:
+    """Channel and file names in the form in which they are compared."""
+    return norm_header(nfkc(F.translate(text(c), "_", "")))
+
+
+def detect_channel(files: DataFrame, name: str, channels: DataFrame, channel: str, platform: str) -> DataFrame:
+    """files with the channel and platform their name tells ("" if none): the second of three or more parts between __, if that is a channel; else
+    the longest channel in the name, ties by channel, then platform, both descending.
+
+    channels is a rules table of a few dozen rows, looked up as one map and one array.
+    """
+    rules = channels.where(text(channel) != "").select(channel_key(channel).alias("k"), F.col(channel).alias("c"), F.col(platform).alias("p")).where("k <> ''")
+    ranked = rules.groupBy("k").agg(F.max(F.struct("c", "p")).alias("v")).agg(F.sort_array(F.collect_list(F.struct(F.length("k").alias("n"), F.col("v.c").alias("c"), F.col("v.p").alias("p"), F.col("k").alias("k"))), asc=False).alias("t"))
+    out = files.withColumn("_t", ranked.scalar()).withColumn("_base", F.regexp_extract(text(name), r"([^/\\]*)$", 1)).withColumn("_k", channel_key("_base"))
+    parts = F.split(F.regexp_replace("_base", r"\.[^.]*$", ""), "__")
+    out = out.withColumn("_e", channel_key(F.when(F.size(parts) >= 3, parts[1]).otherwise(F.lit(""))))
+    said = F.filter("_t", lambda r: r["k"] == F.col("_e"))
+    held = F.filter("_t", lambda r: F.contains(F.col("_k"), r["k"]))
+    hit = F.coalesce(F.try_element_at(said, F.lit(1)), F.try_element_at(held, F.lit(1)))
+    return out.withColumn("_hit", hit).select(*files.columns, F.coalesce("_hit.c", F.lit("")).alias("channel"), F.coalesce("_hit.p", F.lit("")).alias("platform"))
+
+
+def detect_platform(files: DataFrame, name: str, aliases: DataFrame, platforms: DataFrame) -> DataFrame:
+    """files with the platform their name tells: the first alias of aliases(platform, alias, pos) in it, else the longest of platforms(platform)."""
+    words = aliases.select(channel_key("alias").alias("k"), "platform", "pos").unionByName(platforms.select(channel_key("platform").alias("k"), "platform", F.lit(1 << 30).alias("pos")))
+    ranked = words.where("k <> ''").agg(F.array_sort(F.collect_list(F.struct("pos", (-F.length("k")).alias("n"), "platform", "k"))).alias("t"))
+    out = files.withColumn("_t", ranked.scalar()).withColumn("_k", channel_key(name))
+    hit = F.try_element_at(F.filter("_t", lambda r: F.contains(F.col("_k"), r["k"])), F.lit(1))
+    return out.withColumn("_hit", hit).select(*files.columns, F.coalesce("_hit.platform", F.lit("")).alias("platform"))
+
+
+def assign_channels(files: DataFrame, detected: str = "channel", platform: str = "platform", chosen: str = "") -> DataFrame:
+    """Detected files with the channel that applies (chosen by hand for all, or detected) and a status."""
+    status = F.lit("chosen") if chosen else F.when((text(detected) != "") & (text(platform) != ""), "ok").otherwise("choose")
+    return files.withColumns({"applied": F.lit(chosen) if chosen else text(detected), "status": status})

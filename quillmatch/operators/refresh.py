@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions.text import id_text, text
+from quillmatch.functions.text import excel_date, id_text, text
+from quillmatch.functions.titles import add_master_title, drop_disabled
 
 
 def latest_per_id(df: DataFrame, id_col: str, date: str, row_no: Sequence[str | Column]) -> DataFrame:
@@ -79,3 +81,53 @@ def compare_ids(a: DataFrame, b: DataFrame, id_col: str) -> DataFrame:
     n = lambda c, name: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long").alias(name)
     x, y = F.col("x").isNotNull(), F.col("y").isNotNull()
     return both.agg(n(x & y, "overlap"), n(x & ~y, "only_a"), n(y & ~x, "only_b")).withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+
+
+#: A column is an author's if its name holds one of these.
+AUTHOR_TOKENS = ("작가", "저자", "author", "writer")
+
+
+def normalize_frame(df: DataFrame) -> DataFrame:
+    """Rows with a value in any column; headers trimmed, white space inside them one space."""
+    return df.toDF(*(" ".join(c.split()) for c in df.columns)).dropna("all")
+
+
+def audit_snapshot(df: DataFrame, id_col: str, date: str, row_no: Sequence[str | Column], title: str, ids: Sequence[str]) -> DataFrame:
+    """The latest row of each id, reduced to what a diff compares: title (a master's title reduced to the work), ids, authors (distinct values of all
+    author columns, joined). Columns that df lacks are ""."""
+    authors = [c for c in df.columns if any(t in c.lower() for t in AUTHOR_TOKENS)]
+    rows = df.withColumn(id_col, id_text(id_col))
+    rows = latest_per_id(rows.withColumn("_d", excel_date(date) if date in df.columns else F.lit("")), id_col, "_d", row_no)
+    out = add_master_title(rows, title, "_title") if title in df.columns else rows.withColumn("_title", F.lit(""))
+    values = F.array_distinct(F.filter(F.array(*(text(F.col(f"`{c}`")) for c in authors)), lambda v: v != "")) if authors else F.array().cast("array<string>")
+    return out.select(id_col, text("_title").alias("title"), *((id_text(c) if c in df.columns else F.lit("")).alias(c) for c in ids), F.array_join(values, " | ").alias("authors"))
+
+
+class Refreshed(NamedTuple):
+    lookup: DataFrame
+    changes: DataFrame
+    summary: DataFrame
+    conflicts: DataFrame
+
+
+def refresh_lookup(old: DataFrame, new: DataFrame, id_col: str, date: str, row_no: Sequence[str | Column], title: str, ids: Sequence[str], shape: str | None = None, mode: str = "full") -> Refreshed:
+    """A lookup replaced whole by a new export: the new lookup (rows without a disabled marker, latest of each id), its changes against the old one
+    within the shapes that the export has, their summary, and how often ids conflict. Merging isn't defined."""
+    if mode != "full":
+        raise ValueError(f"a lookup is replaced whole, not by mode {mode}")
+    rows = drop_disabled(normalize_frame(new))
+    was = old if shape is None else scope_existing(old, rows, shape)
+    fields = ["title", *ids, "authors"]
+    changes = snapshot_diff(audit_snapshot(drop_disabled(was), id_col, date, row_no, title, ids), audit_snapshot(rows, id_col, date, row_no, title, ids), id_col, fields)
+    return Refreshed(latest_per_id(rows, id_col, date, row_no), changes, change_summary(changes), conflict_counts(rows, id_col, [title, *ids]))
+
+
+def split_master(df: DataFrame, required: Sequence[str], owner: str, owned_by: str, shape: str, classes: Mapping[str, str]) -> DataFrame:
+    """Rows of one owner with a value in a required column, by class: classes maps a shape to its name, other shapes are "other". write_by_class
+    writes them."""
+    absent = [c for c in required if c not in df.columns]
+    if absent:
+        raise ValueError("the master lacks columns: " + ", ".join(absent))
+    rows = df.select(*required).dropna("all").where(text(owner) == owned_by)
+    name = F.coalesce(*(F.when(text(shape) == s, F.lit(c)) for s, c in classes.items()), F.lit("other"))
+    return rows.withColumn("class", name)

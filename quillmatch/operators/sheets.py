@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions.text import norm_header, parse_amount, text
+from quillmatch.functions.text import field_candidates, norm_header, parse_amount, text
+from quillmatch.functions.titles import add_clean_key
 
 SHEET = ["source_file", "sheet"]
 #: Weight of a field's header in a header row's score; a row without a title header scores 0.
@@ -28,10 +29,16 @@ def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return both.select(*SHEET, "row", "col", F.when(text("value") != "", F.col("value")).otherwise(F.coalesce("filled", "value")).alias("value"))
 
 
+def _by(candidates: DataFrame) -> list[str]:
+    return ["platform"] if "platform" in candidates.columns else []
+
+
 def header_scores(cells: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Score of every row that has a title header. candidates(field, header, pos): the names under which a field is known."""
-    known = candidates.select("field", norm_header("header").alias("h")).distinct()
-    hit = cells.where(text("value") != "").select(*SHEET, "row", norm_header("value").alias("h")).join(known, "h").select(*SHEET, "row", "field").distinct()
+    """Score of every row that has a title header. candidates(field, header, pos): the names under which a field is known; with a platform there,
+    a sheet's cells have one too, and only its platform's names count."""
+    by = _by(candidates)
+    known = candidates.select(*by, "field", norm_header("header").alias("h")).distinct()
+    hit = cells.where(text("value") != "").select(*SHEET, *by, "row", norm_header("value").alias("h")).join(known, [*by, "h"]).select(*SHEET, "row", "field").distinct()
     weight = F.coalesce(*(F.when(F.col("field") == f, w) for f, w in WEIGHTS.items()), F.lit(0))
     return hit.groupBy(*SHEET, "row").agg(F.sum(weight).alias("score"), F.max(F.col("field") == "title").alias("titled")).where("titled").drop("titled")
 
@@ -70,8 +77,9 @@ def standardize(cells: DataFrame, candidates: DataFrame, fields: Sequence[str] =
     else:
         body = cells.join(find_header(cells, candidates).select(*SHEET, "header_row"), SHEET).where("row > header_row")
     heads = body.select(*SHEET, "header_row").distinct().join(cells.withColumnRenamed("row", "header_row"), [*SHEET, "header_row"])
-    known = candidates.select("field", norm_header("header").alias("h"), "pos")
-    named = heads.select(*SHEET, "header_row", "col", norm_header("value").alias("h")).join(known, "h")
+    by = _by(candidates)
+    known = candidates.select(*by, "field", norm_header("header").alias("h"), "pos")
+    named = heads.select(*SHEET, *by, "header_row", "col", norm_header("value").alias("h")).join(known, [*by, "h"])
     column = named.groupBy(*SHEET, "header_row", "field").agg(F.min_by("col", F.struct("pos", "col")).alias("col"))
     wide = body.join(column, [*SHEET, "header_row", "col"]).groupBy(*SHEET, "row").pivot("field", list(fields)).agg(F.first("value"))
     return wide.select(*SHEET, F.col("row").alias("source_row"), *(text(f).alias(f) for f in fields))
@@ -104,3 +112,58 @@ def audit(rows: DataFrame, cells: DataFrame) -> DataFrame:
     out = seen.join(made, SHEET, "left").na.fill(0)
     messages = F.array_compact(F.array(F.when(F.col("data_rows") == 0, "no data rows"), F.when(F.col("bad_sale") > 0, "sales that are no numbers")))
     return out.withColumn("messages", F.array_join(messages, " | "))
+
+
+def registry_candidates(registry: DataFrame) -> DataFrame:
+    """registry(platform, <field>_from, ...), the adapters' rules as text -> candidates(platform, field, header, pos)."""
+    each = [F.struct(F.lit(f).alias("field"), field_candidates(f"{f}_from").alias("headers")) for f in WEIGHTS if f"{f}_from" in registry.columns]
+    rules = registry.select("platform", F.explode(F.array(*each)).alias("x")).select("platform", "x.field", F.posexplode("x.headers").alias("pos", "header"))
+    return rules.groupBy("platform", "field", "header").agg(F.min("pos").alias("pos"))
+
+
+def statement_rows(rows: DataFrame, files: DataFrame, registry: DataFrame) -> DataFrame:
+    """standardize()'s rows in the statement schema of 16 columns: files(source_file, platform, file_status) and the adapter's policy beside them."""
+    policy = registry.groupBy("platform").agg(*(F.first(c).alias(c) for c in ("parser_contract", "amount_rule_status", "s2_gate")))
+    out = rows.join(files.select("source_file", "platform", "file_status"), "source_file").join(policy, "platform", "left")
+    status = F.when(text("title") == "", "no_title").when(parse_amount("sale").isNull(), "no_amount").otherwise("parsed")
+    out = add_clean_key(out.withColumn("row_status", status), "title")
+    return out.select("platform", "source_file", "sheet", "source_row", "file_status", "row_status", "title", "author", "external_id", "sale", "base", "offset", "clean_key", "parser_contract", "amount_rule_status", "s2_gate")
+
+
+def drop_blocked_columns(cells: DataFrame, header_row: DataFrame, blocked: DataFrame) -> DataFrame:
+    """cells (with a platform) without the columns whose header holds a word of blocked(platform, word); header_row: find_header's.
+
+    Headers come to one row a column before the words are joined by platform, so cells aren't multiplied.
+    """
+    heads = cells.join(header_row.select(*SHEET, F.col("header_row").alias("row")), [*SHEET, "row"]).select(*SHEET, "platform", "col", norm_header("value").alias("h"))
+    words = blocked.select("platform", norm_header("word").alias("w")).where("w <> ''")
+    gone = heads.join(words, "platform").where(F.contains("h", "w")).select(*SHEET, "col").distinct()
+    return cells.join(gone, [*SHEET, "col"], "left_anti")
+
+
+def drop_platform_totals(rows: DataFrame, rules: DataFrame, title: str = "title") -> DataFrame:
+    """rows without titles that begin and end as rules(platform, prefix, suffix) says: totals that look like titles."""
+    known = rules.groupBy(F.col("platform").alias("_p")).agg(F.collect_list(F.struct("prefix", "suffix")).alias("_rules"))
+    t = text(title)
+    hit = F.exists("_rules", lambda r: F.startswith(t, r["prefix"]) & F.endswith(t, r["suffix"]))
+    return rows.join(known, F.col("platform") == F.col("_p"), "left").where(~F.coalesce(hit, F.lit(False))).select(*rows.columns)
+
+
+def row_numbers(rows: DataFrame, file: str, order: Sequence[str], out: str = "row_no") -> DataFrame:
+    """Rows numbered from 1 within each file."""
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(file).orderBy(*order)))
+
+
+def legacy_rows(cells: DataFrame, id_headers: Sequence[str], preferred: str = "Sheet1") -> DataFrame:
+    """Cells of the rows that carry a mapped id, of the preferred sheet of each file or else its first by name, with their header; row 1 is the header.
+
+    A file whose sheet has none of id_headers keeps all its rows.
+    """
+    sheets = cells.groupBy("source_file").agg(F.coalesce(F.max(F.when(F.col("sheet") == preferred, preferred)), F.min("sheet")).alias("sheet"))
+    mine = cells.join(sheets, SHEET)
+    heads = mine.where("row = 1").select(*SHEET, "col", F.when(text("value") == "", F.concat(F.lit("column_"), F.col("col").cast("string"))).otherwise(text("value")).alias("header"))
+    ids = heads.where(F.col("header").isin(list(id_headers))).groupBy(*SHEET).agg(F.min_by("col", F.struct(F.array_position(F.array(*map(F.lit, id_headers)), F.col("header")).alias("p"), "col")).alias("_id"))
+    body = mine.where("row > 1").join(ids, SHEET, "left")
+    filled = body.where((F.col("col") == F.col("_id")) & ~text("value").isin("", "None", "nan")).select(*SHEET, "row")
+    kept = body.where("_id is null").select(*SHEET, "row").distinct().unionByName(filled)
+    return mine.join(kept, [*SHEET, "row"], "left_semi").join(heads, [*SHEET, "col"]).select(*SHEET, "row", "col", "header", "value")

@@ -121,13 +121,15 @@ def guards(spark, sf_dir):
     return p
 
 
-def explained(spark, sf_dir):
+def explained(spark, sf_dir, other=False):
     p = guards(spark, sf_dir)
     keys = ["p_brand", "clean_key"]
     pick = lambda lo, hi: L.evidence_index(p.where(f"p_size between {lo} and {hi}"), keys, ["id", "title"], "p_partkey")
     named = [("missing", pick(26, 32), keys, ["id", "title"]), ("service", pick(30, 38), keys, ["id", "title"]), ("billing", pick(36, 42), keys, ["id"])]
     named.append(("master", L.evidence_index(p.where("p_size <= 45"), ["clean_key"], ["id"], "p_partkey"), ["clean_key"], ["id"]))
-    return L.explain_no_match(mapped(spark, sf_dir), named)
+    if other:
+        named.insert(3, ("other_channel", L.evidence_index(p.where("p_size <= 25"), ["clean_key"], ["p_brand", "id"], "p_partkey"), ["clean_key"], ["p_brand", "id"]))
+    return L.explain_no_match(mapped(spark, sf_dir), named, channel="p_brand" if other else None)
 
 
 def explain_no_match(spark, sf_dir):
@@ -255,5 +257,8 @@ rd AS (SELECT DISTINCT p_brand AS rc, clean_key AS rk FROM kp WHERE p_size <= 25
 nr AS (SELECT p_brand, clean_key, bool_or(rk = clean_key AND rc <> p_brand) AS exact, bool_or(rc = p_brand) FILTER (near) AS same, bool_or(rc <> p_brand) FILTER (near) AS other
        FROM (SELECT *, 1 - levenshtein(clean_key, rk) / greatest(length(clean_key), length(rk)) >= 0.65 AS near FROM un, rd) GROUP BY 1, 2)
 SELECT p_brand, clean_key, "rows", CASE WHEN same THEN 'same_channel_fuzzy' WHEN exact THEN 'other_channel_exact' WHEN other THEN 'other_channel_fuzzy' ELSE 'absent' END AS kind FROM un LEFT JOIN nr USING (p_brand, clean_key)""",
+    "rule_impact": REF_SQL + f""", sh AS (SELECT DISTINCT p_brand, regexp_extract(clean_key, '^[^aeiou]*') AS k FROM kp WHERE p_size <= 25),
+ af AS (SELECT mp.p_brand, ref_status, CASE WHEN regexp_extract(clean_key, '^[^aeiou]*') = '' THEN 'blank_key' WHEN EXISTS (SELECT 1 FROM sh WHERE sh.p_brand = mp.p_brand AND sh.k = regexp_extract(clean_key, '^[^aeiou]*')) THEN 'matched' ELSE 'no_match' END AS new_status FROM mp)
+SELECT p_brand, ref_status AS old_status, new_status, count(*) AS "rows" FROM af WHERE ref_status <> new_status GROUP BY ALL""",
     "detect_channel": "SELECT p_partkey, p_brand AS channel FROM part",
 }

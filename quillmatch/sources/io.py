@@ -159,3 +159,19 @@ def write_mapping(tables: dict[str, DataFrame], path: str) -> None:
     """The tables of one mapping run, each in a folder of its own."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_payment(tables: Sequence[DataFrame], required: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """The first table that has the required columns, or has them once raw names are made standard ones; tables come in order of preference."""
+    for df in tables:
+        for made in (df, df.withColumnsRenamed({old: new for new, old in names.items() if old in df.columns and new not in df.columns})):
+            if all(c in made.columns for c in required):
+                return made
+    absent = [c for c in required if not tables or c not in tables[0].columns]
+    raise ValueError("the payment source lacks columns: " + ", ".join(absent))
+
+
+def discover(files: DataFrame, keyword: str, month: str, path: str = "path", year: int | None = None) -> DataFrame:
+    """Paths whose file name holds keyword and whose path tells the period month (YYYY-MM)."""
+    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    return files.withColumn("period", period(path, year)).where(F.contains(name, F.lit(keyword)) & (F.col("period") == month))
