@@ -24,6 +24,19 @@ def capped_list(df: DataFrame, keys: Sequence[str], value: str, order: Column, n
     return lists.join(firsts.groupBy(*keys).agg(F.count("*").alias(f"n_{name}")), list(keys))
 
 
+def capped_lists(df: DataFrame, keys: Sequence[str], values: Sequence[str], order: Column, counted: bool = False, limit: int = LIST_LIMIT) -> DataFrame:
+    """keys, hits (rows of the key) and for each of values an array as capped_list makes it, in one pass over df; counted: n_<value> too."""
+    tagged = [F.struct(F.lit(-1).alias("f"), F.lit("").alias("v")), *(F.struct(F.lit(i).alias("f"), text(v).alias("v")) for i, v in enumerate(values))]
+    long = df.select(*keys, order.alias("_by"), F.explode(F.array(*tagged)).alias("_x")).where("_x.f = -1 or _x.v <> ''")
+    firsts = long.groupBy(*keys, F.col("_x.f").alias("_f"), F.col("_x.v").alias("_v")).agg(F.min("_by").alias("_by"), F.count("*").alias("_c"))
+    ranked = firsts.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_f").orderBy("_by"))).where(F.col("_r") <= limit)
+    one = lambda i: F.transform(F.array_sort(F.collect_list(F.when(F.col("_f") == i, F.struct("_r", "_v")))), lambda x: x["_v"])
+    lists = ranked.groupBy(*keys).agg(F.max(F.when(F.col("_f") == -1, F.col("_c"))).alias("hits"), *(one(i).alias(v) for i, v in enumerate(values)))
+    if not counted:
+        return lists
+    return lists.join(firsts.groupBy(*keys).agg(*(F.sum((F.col("_f") == i).cast("long")).alias(f"n_{v}") for i, v in enumerate(values))), list(keys))
+
+
 def candidate_order(df: DataFrame, keys: Sequence[str], dates: Sequence[str], row_no: str, out: str = "_o") -> DataFrame:
     """Adds out, an order within each key: by the first of `dates` that has a value anywhere in the key, latest first, then input order;
     and basis, the name of that column ("" if none)."""
@@ -49,11 +62,11 @@ def candidate_index(df: DataFrame, keys: Sequence[str], id_col: str, title_col:
     picked = [F.count("*").alias("rows"), first(id_col).alias("selected_id"), first(title_col).alias("selected_title"), F.min_by("basis_value", "_o").alias("basis_value"), F.first("basis").alias("basis")]
     if content_col:
         picked.append(first(content_col).alias("selected_content"))
-    out = rows.groupBy(*keys).agg(*picked)
-    for c, name in ((id_col, "ids"), (title_col, "titles"), *((x, f"list_{x}") for x in extras)):
-        out = out.join(capped_list(rows, keys, c, F.col("_o"), name), list(keys), "left")
-    ids = F.coalesce("n_ids", F.lit(0)).cast("long")
-    shown = [F.array_join(F.coalesce(c, F.array()), " | ").alias(c) for c in ("ids", "titles", *(f"list_{x}" for x in extras))]
+    listed = dict(zip(("ids", "titles", *(f"list_{x}" for x in extras)), (id_col, title_col, *extras), strict=True))
+    lists = capped_lists(rows.withColumns({n: F.col(c) for n, c in listed.items()}), keys, list(listed), F.col("_o"), counted=True).drop("hits")
+    out = rows.groupBy(*keys).agg(*picked).join(lists, list(keys))
+    ids = F.col("n_ids")
+    shown = [F.array_join(c, " | ").alias(c) for c in listed]
     content = [F.coalesce("selected_content", F.lit("")).alias("selected_content")] if content_col else []
     return out.select(
         *keys, F.when(ids > 0, F.lit(MATCHED)).otherwise(F.lit(NO_MATCH)).alias("status"), "rows", ids.alias("id_count"),
@@ -109,11 +122,8 @@ def exclude(ref: DataFrame, guard: DataFrame, id_col: str, reason: str) -> tuple
 
 def evidence_index(df: DataFrame, keys: Sequence[str], fields: Sequence[str], row_no: str) -> DataFrame:
     """Per key the rows behind it and, for each field, its distinct values joined (capped)."""
-    rows = df.where(text(keys[-1]) != "")
-    out = rows.groupBy(*keys).agg(F.count("*").alias("hits"))
-    for f in fields:
-        out = out.join(capped_list(rows, keys, f, F.col(row_no), f).drop(f"n_{f}"), list(keys), "left")
-    return out.select(*keys, "hits", *(F.array_join(F.coalesce(f, F.array()), " | ").alias(f) for f in fields))
+    out = capped_lists(df.where(text(keys[-1]) != ""), keys, fields, F.col(row_no))
+    return out.select(*keys, "hits", *(F.array_join(f, " | ").alias(f) for f in fields))
 
 
 #: What to do about a row that has no match, by the guard that hit or the state of the row.
