@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmatch.functions.text import numeric_sum, pipe_ids, text, unique_list
-from quillmatch.operators.linkage import capped_list
+from quillmatch.operators.linkage import capped_list, capped_lists
 
 
 def combined_report(rows: DataFrame, columns: Sequence[str], status: str, order: Sequence[str]) -> DataFrame:
@@ -21,9 +21,10 @@ def work_order(rows: DataFrame, keys: Sequence[str], order: str, lists: Sequence
     """One row a group of keys: first_no (place of its first row), group_size, the first value of `firsts`, distinct values of `lists` in
     order (capped, joined). Groups are pre-aggregated, lists ranked before they are gathered."""
     base = rows.groupBy(*keys).agg(F.min(order).alias("first_no"), F.count("*").alias("group_size"), *(F.min_by(f, order).alias(f) for f in firsts))
-    for c in lists:
-        base = base.join(capped_list(rows, keys, c, F.col(order), f"{c}_list").drop(f"n_{c}_list"), list(keys), "left")
-    return base.select(*keys, "first_no", "group_size", *firsts, *(F.array_join(F.coalesce(f"{c}_list", F.array()), " | ").alias(f"{c}_list") for c in lists))
+    if lists:
+        made = capped_lists(rows.withColumns({f"{c}_list": F.col(c) for c in lists}), keys, [f"{c}_list" for c in lists], F.col(order)).drop("hits")
+        base = base.join(made, [base[k].eqNullSafe(made[k]) for k in keys]).drop(*(made[k] for k in keys))
+    return base.select(*keys, "first_no", "group_size", *firsts, *(F.array_join(f"{c}_list", " | ").alias(f"{c}_list") for c in lists))
 
 
 def batch_summary(rows: DataFrame, file: str, status: str = "ref_status", review: str = "review") -> DataFrame:
