@@ -179,7 +179,7 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op11_prefix_trie": op11_prefix_trie}
 
 #: crc32 of a number's digits; a macro can't be made in one statement, so it is written out.
-_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda s: CAST(ascii(s) AS UBIGINT))),
+CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda s: CAST(ascii(s) AS UBIGINT))),
   lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda r: CAST(0 AS UBIGINT))),
     lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y >> 1, CAST(3988292384 AS UBIGINT)) ELSE y >> 1 END)), CAST(4294967295 AS UBIGINT))"""
 
@@ -187,7 +187,7 @@ ORACLE_SQL = {
     "op11_prefix_trie": f"""
 WITH t AS (SELECT conv_id AS c, turn, sha256(sha256(coalesce(role, '')) || sha256(coalesce(text, ''))) AS k, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
 o AS (SELECT c, k, n, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS i FROM t),
-h AS (SELECT c, CAST({_CRC.format(x="c")} % 6 AS BIGINT) AS h FROM (SELECT DISTINCT c FROM o)),
+h AS (SELECT c, CAST({CRC.format(x="c")} % 6 AS BIGINT) AS h FROM (SELECT DISTINCT c FROM o)),
 r AS (SELECT h.c, i, k, n FROM h JOIN o ON o.c = h.c - h.c % 100 WHERE i <= h UNION ALL SELECT h.c, i, k, n FROM h JOIN o ON o.c = h.c WHERE i > h),
 s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, k, n FROM r),
 l AS (SELECT h.c, count(k) AS len FROM h LEFT JOIN s ON s.c = h.c GROUP BY h.c),
