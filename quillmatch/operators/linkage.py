@@ -226,49 +226,6 @@ def transfer_summary(gated: DataFrame, policy_locked: bool) -> DataFrame:
     return gated.agg(n(free).alias("transferable"), n(~free).alias("blocked")).withColumn("exportable", F.lit(policy_locked) & (F.col("transferable") > 0) & (F.col("blocked") == 0))
 
 
-def residual_partition(unmatched: DataFrame, ref: DataFrame, channel: str, key: str, row_no: str, least: float = 0.8, gram: int = 2) -> DataFrame:
-    """Unmatched (channel, key) groups by what is nearest: same_channel_fuzzy, other_channel_exact, other_channel_fuzzy or absent; with rows.
-
-    Fuzzy: 1 - levenshtein / longer length of at least `least`. Candidates are distinct keys that share one of their rarest runs of `gram`
-    letters, of which each key gives as many as make sure that no near pair is left out; keys too short for that meet each other too.
-    """
-    groups = unmatched.where(text(key) != "").groupBy(channel, key).agg(F.count(row_no).alias("rows"))
-    keys = ref.where(text(key) != "").select(F.col(channel).alias("rc"), F.col(key).alias("rk")).distinct()
-    exact = groups.join(keys, (F.col(key) == F.col("rk")) & (F.col(channel) != F.col("rc")), "left_semi").select(channel, key).withColumn("exact", F.lit(True))
-    near = _near_keys(groups.select(key).distinct(), key, keys.select("rk").distinct(), least, gram)
-    best = groups.join(near, key).join(keys, "rk").groupBy(channel, key).agg(F.max(F.col("rc") == F.col(channel)).alias("same"), F.max(F.col("rc") != F.col(channel)).alias("other"))
-    joined = groups.join(exact, [channel, key], "left").join(best, [channel, key], "left")
-    kind = F.when(F.col("same"), "same_channel_fuzzy").when(F.col("exact"), "other_channel_exact").when(F.col("other"), "other_channel_fuzzy").otherwise("absent")
-    return joined.select(channel, key, "rows", kind.alias("kind"))
-
-
-def _near_keys(a: DataFrame, key: str, b: DataFrame, least: float, gram: int) -> DataFrame:
-    """a(key), b(rk), both distinct -> the pairs with 1 - levenshtein / longer length >= least.
-
-    One edit changes `gram` runs at most, so near keys of length n share n * (1 - gram * (1 - least)) - gram + 1 runs or more, and at least one of the
-    rarest floor(gram * (1 - least) * n) + 1 of either. Equal runs of one key are told apart by a number.
-    """
-    share = 1 - gram * (1 - least)
-
-    def runs(df: DataFrame, c: str) -> DataFrame:
-        each = df.select(c, F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - gram + 1, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(gram)))).alias("at", "g"))
-        return each.withColumn("no", F.row_number().over(Window.partitionBy(c, "g").orderBy("at")))
-
-    often = runs(b, "rk").groupBy("g", "no").agg(F.count("*").alias("f"))
-
-    def rarest(df: DataFrame, c: str) -> DataFrame:
-        weak = F.length(c) * share - gram + 1 < 1e-9
-        many = F.floor(gram * (1 - least) * F.length(c) + 1e-9).cast("int") + 1
-        rows = runs(df, c).join(often, ["g", "no"], "left").groupBy(c).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g", "no"))).alias("s"))
-        shown = F.when(weak, F.concat("s", F.array(F.struct(F.lit(0).cast("long").alias("f"), F.lit("").alias("g"), F.lit(0).alias("no"))))).otherwise(F.slice("s", F.lit(1), many))
-        return rows.select(c, F.explode(shown).alias("x")).select(c, F.col("x.g").alias("g"), F.col("x.no").alias("no"))
-
-    met = rarest(a, key).join(rarest(b, "rk"), ["g", "no"]).select(key, "rk").distinct()
-    longer = F.greatest(F.length(key), F.length("rk"))
-    met = met.where(F.least(F.length(key), F.length("rk")) >= least * longer - 1e-9)
-    return met.where(1 - F.levenshtein(key, "rk") / longer >= least)
-
-
 def rule_impact(before: DataFrame, after: DataFrame, row_ids: Sequence[str], status: str = "ref_status", groups: Sequence[str] = ()) -> DataFrame:
     """Rows whose status differs between two mappings of the same statements, counted by groups and both statuses."""
     b = after.select(*row_ids, F.col(status).alias("new_status"))

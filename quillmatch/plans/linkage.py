@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillmatch.functions.text import id_text, numeric_zero, parse_amount
 from quillmatch.functions.titles import KEYWORDS, PHRASES, CleaningPolicy, add_clean_key, add_master_title, drop_disabled
 from quillmatch.operators import linkage as L
+from quillmatch.operators.nearkeys import nearest_text
+from quillmatch.operators.nearkeys import residual_partition as residual
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -157,7 +159,16 @@ def transfer_blocked(spark, sf_dir):
 
 def residual_partition(spark, sf_dir):
     un = statements(spark, sf_dir).join(reference(spark, sf_dir), ["p_brand", "clean_key"], "left_anti")
-    return L.residual_partition(un, keyed_parts(spark, sf_dir).where("p_size <= 25"), "p_brand", "clean_key", "l_orderkey", least=0.65, gram=1)
+    out = residual(un, keyed_parts(spark, sf_dir).where("p_size <= 25"), "p_brand", "clean_key", "l_orderkey", least=0.65)
+    return out.withColumn("nearest", nearest_text())
+
+
+def near_titles(spark, sf_dir):
+    """Titles with their brand (1,600 keys at most), by type: those that the reference lacks, by what is nearest."""
+    p = table(spark, sf_dir, "part").withColumn("key", F.lower(F.regexp_replace(F.concat("p_name", "p_brand"), "[ #]", "")))
+    ref = p.where("p_size <= 25")
+    out = residual(p.where("p_size > 25").join(ref, ["p_type", "key"], "left_anti"), ref, "p_type", "key", "p_partkey", least=0.85, top=5)
+    return out.withColumn("nearest", nearest_text())
 
 
 def rule_impact(spark, sf_dir):
@@ -190,6 +201,14 @@ def _clean(e: str) -> str:
     return f"(SELECT regexp_replace({u}, '\\s+', '', 'g') FROM (SELECT {t} AS b))"
 
 
+def _residual(least: float, top: int) -> str:
+    """DuckDB: res, from un(c, k, rows) and rd(rc, rk), by comparing all pairs."""
+    return f"""al AS (SELECT c, k, rk, 1 - levenshtein(k, rk) / greatest(length(k), length(rk)) AS s, bool_or(rc = c) AS same, bool_or(rc <> c) AS other FROM un, rd GROUP BY c, k, rk),
+nr AS (SELECT *, row_number() OVER (PARTITION BY c, k ORDER BY s DESC, same DESC, rk) AS n FROM al WHERE s >= {least}),
+kd AS (SELECT c, k, bool_or(same) AS same, bool_or(other AND rk = k) AS exact, bool_or(other) AS other, max(s) AS score, string_agg(rk || ':' || CAST(floor(s * 1000 + 1e-6) AS BIGINT), ' | ' ORDER BY n) FILTER (n <= {top}) AS nearest FROM nr GROUP BY c, k),
+res AS (SELECT un.*, CASE WHEN same THEN 'same_channel_fuzzy' WHEN exact THEN 'other_channel_exact' WHEN other THEN 'other_channel_fuzzy' ELSE 'absent' END AS kind, score, coalesce(nearest, '') AS nearest FROM un LEFT JOIN kd USING (c, k)) """
+
+
 PART_SQL = f"""kp AS (SELECT *, {_clean("title")} AS clean_key FROM (SELECT *, '[연재] ' || p_name || ' ' || p_size || '화' AS title FROM part)),
 """
 REF_SQL = f"""WITH {PART_SQL}
@@ -232,7 +251,7 @@ QUERIES = {
     "clean_title_parts": clean_title_parts, "clean_title_docs": clean_title_docs, "master_title": master_title, "scalar_parsing": scalar_parsing, "drop_disabled": drop_disabled_orders,
     "candidate_index": candidate_index, "candidate_index_capped": candidate_index_capped, "map_rows": map_rows, "map_review": map_review, "map_summary": map_summary,
     "duplicate_candidates": duplicate_candidates, "exclude_missing": exclude_missing, "explain_no_match": explain_no_match, "other_channels": other_channels,
-    "transfer_rows": transfer_rows, "transfer_blocked": transfer_blocked, "residual_partition": residual_partition, "rule_impact": rule_impact, "detect_channel": detect_channel,
+    "transfer_rows": transfer_rows, "transfer_blocked": transfer_blocked, "residual_partition": residual_partition, "near_titles": near_titles, "rule_impact": rule_impact, "detect_channel": detect_channel,
 }
 
 ORACLE_SQL = {
@@ -252,11 +271,10 @@ ORACLE_SQL = {
     "other_channels": REF_SQL + f", oc AS (SELECT DISTINCT clean_key, p_brand FROM kp WHERE p_size <= 25) SELECT {R}, coalesce((SELECT string_agg(oc.p_brand, ' | ' ORDER BY oc.p_brand) FROM oc WHERE oc.clean_key = st.clean_key AND oc.p_brand <> st.p_brand), '') AS other_channels FROM st",
     "transfer_rows": REF_SQL + f'SELECT {R}, ref_selected_id, round(l_extendedprice * 100) AS sale, round(l_discount * 100) AS base, round(l_tax * 100) AS "offset" FROM tg WHERE block_reasons = \'\'',
     "transfer_blocked": REF_SQL + f"SELECT {R}, block_reasons FROM tg WHERE block_reasons <> ''",
-    "residual_partition": REF_SQL + """, un AS (SELECT p_brand, clean_key, count(*) AS "rows" FROM st WHERE clean_key <> '' AND NOT EXISTS (SELECT 1 FROM ref WHERE ref.p_brand = st.p_brand AND ref.clean_key = st.clean_key) GROUP BY 1, 2),
-rd AS (SELECT DISTINCT p_brand AS rc, clean_key AS rk FROM kp WHERE p_size <= 25 AND clean_key <> ''),
-nr AS (SELECT p_brand, clean_key, bool_or(rk = clean_key AND rc <> p_brand) AS exact, bool_or(rc = p_brand) FILTER (near) AS same, bool_or(rc <> p_brand) FILTER (near) AS other
-       FROM (SELECT *, 1 - levenshtein(clean_key, rk) / greatest(length(clean_key), length(rk)) >= 0.65 AS near FROM un, rd) GROUP BY 1, 2)
-SELECT p_brand, clean_key, "rows", CASE WHEN same THEN 'same_channel_fuzzy' WHEN exact THEN 'other_channel_exact' WHEN other THEN 'other_channel_fuzzy' ELSE 'absent' END AS kind FROM un LEFT JOIN nr USING (p_brand, clean_key)""",
+    "residual_partition": REF_SQL + """, un AS (SELECT p_brand AS c, clean_key AS k, count(*) AS "rows" FROM st WHERE clean_key <> '' AND NOT EXISTS (SELECT 1 FROM ref WHERE ref.p_brand = st.p_brand AND ref.clean_key = st.clean_key) GROUP BY 1, 2),
+rd AS (SELECT DISTINCT p_brand AS rc, clean_key AS rk FROM kp WHERE p_size <= 25 AND clean_key <> ''), """ + _residual(0.65, 3) + "SELECT c AS p_brand, k AS clean_key, \"rows\", kind, score, nearest FROM res",
+    "near_titles": """WITH p AS (SELECT *, lower(regexp_replace(p_name || p_brand, '[ #]', '', 'g')) AS key FROM part), rd AS (SELECT DISTINCT p_type AS rc, key AS rk FROM p WHERE p_size <= 25),
+un AS (SELECT p_type AS c, key AS k, count(*) AS "rows" FROM p WHERE p_size > 25 AND NOT EXISTS (SELECT 1 FROM rd WHERE rc = p_type AND rk = key) GROUP BY 1, 2), """ + _residual(0.85, 5) + "SELECT c AS p_type, k AS key, \"rows\", kind, score, nearest FROM res",
     "rule_impact": REF_SQL + f""", sh AS (SELECT DISTINCT p_brand, regexp_extract(clean_key, '^[^aeiou]*') AS k FROM kp WHERE p_size <= 25),
  af AS (SELECT mp.p_brand, ref_status, CASE WHEN regexp_extract(clean_key, '^[^aeiou]*') = '' THEN 'blank_key' WHEN EXISTS (SELECT 1 FROM sh WHERE sh.p_brand = mp.p_brand AND sh.k = regexp_extract(clean_key, '^[^aeiou]*')) THEN 'matched' ELSE 'no_match' END AS new_status FROM mp)
 SELECT p_brand, ref_status AS old_status, new_status, count(*) AS "rows" FROM af WHERE ref_status <> new_status GROUP BY ALL""",

@@ -124,30 +124,3 @@ def test_schema_clusters_gather_a_header_once(spark):
     out = reports.schema_clusters(spark.createDataFrame(rows, "sheet long, pos long, header string"), "sheet", "pos", "header")
     assert [tuple(r) for r in out.orderBy("rank").collect()] == [("x", 2, 2, 1), ("", 1, 3, 2), ("c > b > a", 1, 1, 3)]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3  # headers, sheets, signatures
-
-
-@pytest.mark.parametrize("least,gram", [(0.8, 2), (0.65, 1), (0.7, 2), (0.5, 3)])
-def test_near_keys_against_brute_force(spark, least, gram):
-    """Edits anywhere, the first letter included; short keys; repeated runs."""
-    rng = random.Random(5)
-    base = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 14))) for _ in range(60)] + ["aaaaaaaa", "a", "ab", "가나다라마바", "나나나나나"]
-    other = []
-    for w in base:
-        w = list(w)
-        for _ in range(rng.randrange(4)):
-            i = rng.randrange(len(w) + 1)
-            w[i : i + rng.randrange(2)] = rng.choice(["", "x", "a", "나"])
-        other.append("".join(w) or "q")
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    a, b = sorted(set(base)), sorted(set(other))
-    got = L._near_keys(spark.createDataFrame([(x,) for x in a], "k string"), "k", spark.createDataFrame([(x,) for x in b], "rk string"), least, gram)
-    want = {(x, y) for x in a for y in b if 1 - distance(x, y) / max(len(x), len(y)) >= least}
-    assert {tuple(r) for r in got.select("k", "rk").collect()} == want
