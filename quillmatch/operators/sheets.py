@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmatch.functions.text import field_candidates, norm_header, parse_amount, text
+from quillmatch.functions.text import field_candidates, nfkc, norm_header, parse_amount, text
 from quillmatch.functions.titles import add_clean_key
 
 SHEET = ["source_file", "sheet"]
@@ -29,6 +29,11 @@ def fill_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
     return both.select(*SHEET, "row", "col", F.when(text("value") != "", F.col("value")).otherwise(F.coalesce("filled", "value")).alias("value"))
 
 
+def header_key(c: Column | str) -> Column:
+    """A header in the form in which headers are compared: NFKC, then norm_header()."""
+    return norm_header(nfkc(text(c)))
+
+
 def _by(candidates: DataFrame) -> list[str]:
     return ["platform"] if "platform" in candidates.columns else []
 
@@ -37,8 +42,8 @@ def header_scores(cells: DataFrame, candidates: DataFrame) -> DataFrame:
     """Score of every row that has a title header. candidates(field, header, pos): the names under which a field is known; with a platform there,
     a sheet's cells have one too, and only its platform's names count."""
     by = _by(candidates)
-    known = candidates.select(*by, "field", norm_header("header").alias("h")).distinct()
-    hit = cells.where(text("value") != "").select(*SHEET, *by, "row", norm_header("value").alias("h")).join(known, [*by, "h"]).select(*SHEET, "row", "field").distinct()
+    known = candidates.select(*by, "field", header_key("header").alias("h")).distinct()
+    hit = cells.where(text("value") != "").select(*SHEET, *by, "row", header_key("value").alias("h")).join(known, [*by, "h"]).select(*SHEET, "row", "field").distinct()
     weight = F.coalesce(*(F.when(F.col("field") == f, w) for f, w in WEIGHTS.items()), F.lit(0))
     return hit.groupBy(*SHEET, "row").agg(F.sum(weight).alias("score"), F.max(F.col("field") == "title").alias("titled")).where("titled").drop("titled")
 
@@ -78,8 +83,8 @@ def standardize(cells: DataFrame, candidates: DataFrame, fields: Sequence[str] =
         body = cells.join(find_header(cells, candidates).select(*SHEET, "header_row"), SHEET).where("row > header_row")
     heads = body.select(*SHEET, "header_row").distinct().join(cells.withColumnRenamed("row", "header_row"), [*SHEET, "header_row"])
     by = _by(candidates)
-    known = candidates.select(*by, "field", norm_header("header").alias("h"), "pos")
-    named = heads.select(*SHEET, *by, "header_row", "col", norm_header("value").alias("h")).join(known, [*by, "h"])
+    known = candidates.select(*by, "field", header_key("header").alias("h"), "pos")
+    named = heads.select(*SHEET, *by, "header_row", "col", header_key("value").alias("h")).join(known, [*by, "h"])
     column = named.groupBy(*SHEET, "header_row", "field").agg(F.min_by("col", F.struct("pos", "col")).alias("col"))
     wide = body.join(column, [*SHEET, "header_row", "col"]).groupBy(*SHEET, "row").pivot("field", list(fields)).agg(F.first("value"))
     return wide.select(*SHEET, F.col("row").alias("source_row"), *(text(f).alias(f) for f in fields))
@@ -123,20 +128,74 @@ def registry_candidates(registry: DataFrame) -> DataFrame:
 
 def statement_rows(rows: DataFrame, files: DataFrame, registry: DataFrame) -> DataFrame:
     """standardize()'s rows in the statement schema of 16 columns: files(source_file, platform, file_status) and the adapter's policy beside them."""
-    policy = registry.groupBy("platform").agg(*(F.first(c).alias(c) for c in ("parser_contract", "amount_rule_status", "s2_gate")))
+    policy = registry.groupBy("platform").agg(*(F.min(c).alias(c) for c in ("parser_contract", "amount_rule_status", "s2_gate")))
     out = rows.join(files.select("source_file", "platform", "file_status"), "source_file").join(policy, "platform", "left")
     status = F.when(text("title") == "", "no_title").when(parse_amount("sale").isNull(), "no_amount").otherwise("parsed")
     out = add_clean_key(out.withColumn("row_status", status), "title")
     return out.select("platform", "source_file", "sheet", "source_row", "file_status", "row_status", "title", "author", "external_id", "sale", "base", "offset", "clean_key", "parser_contract", "amount_rule_status", "s2_gate")
 
 
+#: The contract of adapters whose sheets hold several sections, each with a header of its own.
+REPEATED = "multi_section_repeated_header_parser"
+
+
+def in_scope(sheets: DataFrame, scope: DataFrame) -> DataFrame:
+    """sheets(platform, sheet, ...) with in_scope: scope(platform, wanted, unwanted) has regular expressions for names of sheets, a null counts as none. A
+    sheet needs one of its platform's wanted ones, if there are any, and none of the unwanted ones; platforms without rules take all."""
+    said = sheets.select("platform", "sheet").distinct().join(scope, "platform", "left")
+    hit = lambda c: F.coalesce(F.max(F.expr(f"sheet rlike {c}")), F.lit(False))
+    judged = said.groupBy("platform", F.col("sheet").alias("_s")).agg((((F.count("wanted") == 0) | hit("wanted")) & ~hit("unwanted")).alias("in_scope"))
+    judged = judged.withColumnRenamed("platform", "_p")
+    return sheets.join(judged, (F.col("platform") == F.col("_p")) & F.col("sheet").eqNullSafe(F.col("_s"))).drop("_p", "_s")  # no sheet: a broken file
+
+
+def normalize_statements(
+    cells: DataFrame, merges: DataFrame, files: DataFrame, registry: DataFrame, scope: DataFrame, blocked: DataFrame | None = None, totals: DataFrame | None = None,
+    repairs: tuple[DataFrame, Sequence[str]] | None = None, exact: Sequence[str] = (), markers: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Workbooks to statement rows, and an audit of every sheet.
+
+    cells and merges as io.split_merges() gives them, errors included; files(source_file, platform, file_status); registry: the adapters, see
+    registry_candidates(); scope: see in_scope(); blocked, totals, repairs (rules and their columns): see drop_blocked_columns(),
+    drop_platform_totals(), repair_titles(). Files excluded by rule aren't parsed; merged cells are filled; adapters of REPEATED find a header for each section.
+
+    The audit has status (excluded_by_rule, excluded_sheet, unreadable, header_not_found, no_data, parsed), header_row (the first), parsed_rows and titled_rows.
+    A file without an adapter has none of its sheets parsed: no header is known to it.
+    """
+    known = files.select("source_file", "platform", "file_status")
+    broken = cells.where("value_type = 'error'").select(F.col("source_file").alias("_file"), F.col("sheet").alias("_sheet")).distinct()
+    sheets = in_scope(cells.select(*SHEET).distinct().join(known, "source_file"), scope)
+    open_ = sheets.where("in_scope and file_status <> 'excluded_by_rule'").select(*SHEET, "platform")
+    filled = fill_merged(cells.where("value_type <> 'error'").select(*SHEET, "row", "col", "value"), merges).join(open_, SHEET)
+    names = registry_candidates(registry)
+    if blocked is not None:
+        filled = drop_blocked_columns(filled, find_header(filled, names), blocked)
+    several = registry.where(F.col("parser_contract") == REPEATED).select("platform").distinct()
+    rows = standardize(filled.join(several, "platform", "left_anti"), names).unionByName(standardize(filled.join(several, "platform", "left_semi"), names, repeated=True))
+    rows = drop_non_data(rows.join(open_, SHEET), exact, markers)
+    if totals is not None:
+        rows = drop_platform_totals(rows, totals)
+    if repairs is not None:
+        rows = repair_titles(rows, *repairs)
+    out = statement_rows(rows.drop("platform"), files, registry)
+    made = out.groupBy(*SHEET).agg(F.count("*").alias("parsed_rows"), F.sum((text("title") != "").cast("long")).alias("titled_rows"))
+    heads = header_scores(filled, names).where(F.col("score") >= LEAST_SCORE).groupBy(*SHEET).agg(F.min("row").alias("header_row"))
+    audit = sheets.join(heads, SHEET, "left").join(made, SHEET, "left")
+    audit = audit.join(broken, (F.col("source_file") == F.col("_file")) & F.col("sheet").eqNullSafe(F.col("_sheet")), "left")
+    status = (
+        F.when(F.col("file_status") == "excluded_by_rule", "excluded_by_rule").when(~F.col("in_scope"), "excluded_sheet").when(F.col("_file").isNotNull(), "unreadable")
+        .when(F.col("header_row").isNull(), "header_not_found").when(F.col("parsed_rows").isNull(), "no_data").otherwise("parsed")
+    )
+    return out, audit.select(*SHEET, "platform", status.alias("status"), "header_row", F.coalesce("parsed_rows", F.lit(0)).alias("parsed_rows"), F.coalesce("titled_rows", F.lit(0)).alias("titled_rows"))
+
+
 def drop_blocked_columns(cells: DataFrame, header_row: DataFrame, blocked: DataFrame) -> DataFrame:
     """cells (with a platform) without the columns whose header holds a word of blocked(platform, word); header_row: find_header's.
 
     Headers come to one row a column before the words are joined by platform, so cells aren't multiplied.
     """
-    heads = cells.join(header_row.select(*SHEET, F.col("header_row").alias("row")), [*SHEET, "row"]).select(*SHEET, "platform", "col", norm_header("value").alias("h"))
-    words = blocked.select("platform", norm_header("word").alias("w")).where("w <> ''")
+    heads = cells.join(header_row.select(*SHEET, F.col("header_row").alias("row")), [*SHEET, "row"]).select(*SHEET, "platform", "col", header_key("value").alias("h"))
+    words = blocked.select("platform", header_key("word").alias("w")).where("w <> ''")
     gone = heads.join(words, "platform").where(F.contains("h", "w")).select(*SHEET, "col").distinct()
     return cells.join(gone, [*SHEET, "col"], "left_anti")
 

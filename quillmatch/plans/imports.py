@@ -118,14 +118,15 @@ def drop_platform_totals(spark, sf_dir):
 
 
 def row_numbers(spark, sf_dir):
-    return sheets.row_numbers(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey"), "o_orderpriority", ["o_orderkey"])
+    return sheets.row_numbers(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"])
 
 
 def legacy_rows(spark, sf_dir):
-    """A file a priority, with one sheet or two; the last file has no column of mapped ids."""
-    o = table(spark, sf_dir, "orders").withColumn("row", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey")) + 1)
+    """A file for each priority and customer, with one sheet or two; files of low priority have no column of mapped ids."""
+    o = table(spark, sf_dir, "orders").withColumn("file", F.concat("o_orderpriority", F.lit(" "), F.col("o_custkey").cast("string")))
+    o = o.withColumn("row", F.row_number().over(Window.partitionBy("file").orderBy("o_orderkey")) + 1)
     data = F.array(F.struct(F.lit(1).alias("col"), F.when(F.col("o_orderkey") % 3 == 0, "nan").otherwise(F.col("o_orderkey").cast("string")).alias("value")), F.struct(F.lit(2).alias("col"), F.col("o_orderstatus").alias("value")))
-    body = o.select(F.col("o_orderpriority").alias("source_file"), "row", F.explode(data).alias("c")).select("source_file", "row", "c.*")
+    body = o.select(F.col("file").alias("source_file"), "row", F.explode(data).alias("c")).select("source_file", "row", "c.*")
     head = F.array(F.struct(F.lit(1).alias("col"), F.when(F.col("source_file") < "5", "매핑_판매채널콘텐츠ID").otherwise("other").alias("value")), F.struct(F.lit(2).alias("col"), F.lit("").alias("value")))
     heads = body.select("source_file").distinct().select("source_file", F.lit(1).alias("row"), F.explode(head).alias("c")).select("source_file", "row", "c.*")
     sheet = F.when(F.col("source_file") < "3", F.array(F.lit("A"), F.lit("Sheet1"))).otherwise(F.array(F.lit("data"), F.lit("extra")))
@@ -167,12 +168,12 @@ ORACLE_SQL = {
     "load_status": "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 9 <> 0",
     "normalize_frame": "SELECT CASE WHEN event_id % 7 > 0 THEN event_type END AS \"event type\", CASE WHEN event_id % 14 > 0 THEN user_id END AS user_id FROM events WHERE event_id % 14 > 0",
     "split_master": "SELECT p_partkey, p_brand, p_type, CASE p_type WHEN 'ECONOMY' THEN 'novel' WHEN 'SMALL' THEN 'webtoon' ELSE 'other' END AS class FROM part WHERE p_brand = 'Brand#2'",
-    "drop_blocked_columns": "SELECT o_orderpriority AS sheet, CAST(c AS INT) AS col, count(*) + CASE WHEN c = 1 THEN 2 ELSE 1 END AS cells FROM orders, range(1, 6) t(c) WHERE NOT (o_orderpriority < '3' AND c = 5) GROUP BY o_orderpriority, c",
+    "drop_blocked_columns": statements._ROWS + "SELECT sheet, CAST(c AS INT) AS col, count(*) + CASE WHEN c = 1 THEN any_value(top) ELSE 1 END AS cells FROM s, range(1, 6) t(c) WHERE NOT (o_orderpriority < '3' AND c = 5) GROUP BY sheet, c",
     "field_rules": "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '거래내용' ELSE p_brand || '|' || p_name || '|' || p_type END AS headers FROM part",
-    "normalize_registry": statements._ROWS + "SELECT CASE WHEN sheet < '3' THEN 'A' ELSE 'B' END AS platform, sheet || '.xlsx' AS source_file, sheet, r AS source_row, 'include' AS file_status, 'parsed' AS row_status, 'order ' || o_orderkey AS title, CASE WHEN sheet < '3' THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS author, CASE WHEN sheet < '3' THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS external_id, format('{:,}', CAST(round(o_totalprice) AS BIGINT)) || '원' AS sale, 'order' AS clean_key, CASE WHEN sheet < '3' THEN 'contract a' ELSE 'contract b' END AS parser_contract, CASE WHEN sheet < '3' THEN 'locked' ELSE 'candidate' END AS amount_rule_status, CASE WHEN sheet < '3' THEN 'open' ELSE 'closed' END AS s2_gate FROM s WHERE NOT again",
+    "normalize_registry": statements._ROWS + "SELECT CASE WHEN sheet < '3' THEN 'A' ELSE 'B' END AS platform, sheet || '.xlsx' AS source_file, sheet, r AS source_row, 'include' AS file_status, CASE WHEN low THEN 'no_amount' ELSE 'parsed' END AS row_status, 'order ' || o_orderkey AS title, CASE WHEN sheet < '3' THEN CAST(o_custkey AS VARCHAR) ELSE '' END AS author, CASE WHEN sheet < '3' THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS external_id, CASE WHEN low THEN '' ELSE format('{:,}', CAST(round(o_totalprice) AS BIGINT)) || '원' END AS sale, 'order' AS clean_key, CASE WHEN sheet < '3' THEN 'contract a' ELSE 'contract b' END AS parser_contract, CASE WHEN sheet < '3' THEN 'locked' ELSE 'candidate' END AS amount_rule_status, CASE WHEN sheet < '3' THEN 'open' ELSE 'closed' END AS s2_gate FROM s WHERE NOT again",
     "drop_platform_totals": "SELECT p_partkey, p_brand AS platform, p_name AS title FROM part WHERE NOT (p_brand = 'Brand#2' AND (p_name LIKE 'small%ring' OR p_name LIKE 'red%'))",
-    "row_numbers": "SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS row_no FROM orders",
-    "legacy_rows": "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) + 1 AS r FROM orders) SELECT o_orderpriority AS source_file, CASE WHEN o_orderpriority < '3' THEN 'Sheet1' ELSE 'data' END AS sheet, r AS \"row\", CAST(c AS INT) AS col, CASE WHEN c = 2 THEN 'column_2' WHEN o_orderpriority < '5' THEN '매핑_판매채널콘텐츠ID' ELSE 'other' END AS header, CASE WHEN c = 2 THEN o_orderstatus WHEN o_orderkey % 3 = 0 THEN 'nan' ELSE CAST(o_orderkey AS VARCHAR) END AS value FROM o, range(1, 3) t(c) WHERE o_orderpriority >= '5' OR o_orderkey % 3 <> 0",
+    "row_numbers": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row_no FROM orders",
+    "legacy_rows": "WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) + 1 AS r FROM orders) SELECT o_orderpriority || ' ' || o_custkey AS source_file, CASE WHEN o_orderpriority < '3' THEN 'Sheet1' ELSE 'data' END AS sheet, r AS \"row\", CAST(c AS INT) AS col, CASE WHEN c = 2 THEN 'column_2' WHEN o_orderpriority < '5' THEN '매핑_판매채널콘텐츠ID' ELSE 'other' END AS header, CASE WHEN c = 2 THEN o_orderstatus WHEN o_orderkey % 3 = 0 THEN 'nan' ELSE CAST(o_orderkey AS VARCHAR) END AS value FROM o, range(1, 3) t(c) WHERE o_orderpriority >= '5' OR o_orderkey % 3 <> 0",
     "payment_layout": "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders",
     "discover": "SELECT p_partkey, '2026-03' AS period FROM part WHERE p_size % 9 = 2 AND contains(p_name, 'blue')",
 }

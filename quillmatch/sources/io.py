@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import io
-import posixpath
-import re
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmatch.functions.text import col, text
+from quillmatch.sources.workbooks import BROKEN, CELLS, shared_strings, sheet_cells, sheet_parts
 
-CELLS = "source_file string, sheet string, row int, col int, value string, value_type string, error string"
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def scan_lookup(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -37,50 +32,18 @@ def payment_from_json(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*out)
 
 
-def _column(ref: str) -> int:
-    n = 0
-    for c in re.match(r"[A-Z]+", ref)[0]:
-        n = n * 26 + ord(c) - 64
-    return n
-
-
 def _read_workbook(data: bytes) -> Iterator[tuple]:
     """(sheet, row, col, value, type) of every cell, and (sheet, min row, min col, 'max row,max col', 'merge')."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet"):
-            target = targets[s.get(_REL)]
-            path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
-            with z.open(path) as f:
-                for _, e in ElementTree.iterparse(f):
-                    if e.tag == f"{_NS}c":
-                        kind, v = e.get("t", "n"), e.find(f"{_NS}v")
-                        if kind == "inlineStr":
-                            value = "".join(t.text or "" for t in e.iter(f"{_NS}t"))
-                        else:
-                            value = None if v is None else v.text
-                        if value is not None:
-                            if kind == "s":
-                                value = shared[int(value)]
-                            elif kind == "b":
-                                value = "TRUE" if value == "1" else "FALSE"
-                            elif kind == "n" and re.fullmatch(r"-?\d+\.0*", value):
-                                value = value.split(".")[0]
-                            ref = e.get("r")
-                            yield s.get("name"), int(re.sub(r"\D", "", ref)), _column(ref), value, {"s": "text", "inlineStr": "text", "str": "text", "b": "bool"}.get(kind, "number")
-                    elif e.tag == f"{_NS}row":
-                        e.clear()
-                    elif e.tag == f"{_NS}mergeCell":
-                        a, b = e.get("ref").split(":")
-                        yield s.get("name"), int(re.sub(r"\D", "", a)), _column(a), f"{re.sub(r'[^0-9]', '', b)},{_column(b)}", "merge"
+        shared = shared_strings(z)
+        for sheet, part in sheet_parts(z).items():
+            for cell in sheet_cells(z, part, shared):
+                yield sheet, *cell
 
 
 def scan_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> tuple[DataFrame, DataFrame]:
-    """cells and merges of all workbooks below path; a file that can't be read gives one row with its error. A workbook is read in one task."""
+    """cells and merges of all workbooks below path; a file that can't be read gives one row with its error. A workbook is read in one task: read_workbooks() has a
+    task for each sheet, this one reaches whatever Spark's readers reach."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -92,12 +55,16 @@ def scan_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> tupl
                         if len(rows) == 50_000:
                             yield pd.DataFrame(rows, columns=[x.split()[0] for x in CELLS.split(", ")])
                             rows = []
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, IndexError, ValueError) as e:
+                except BROKEN as e:
                     rows.append((name, None, 0, 0, None, "error", f"{type(e).__name__}: {e}"))
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in CELLS.split(", ")])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    every = files.select("path", "content").mapInPandas(run, CELLS)
+    return split_merges(files.select("path", "content").mapInPandas(run, CELLS))
+
+
+def split_merges(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a scan of workbooks gives as cells (errors too) and merged ranges."""
     ends = F.split("value", ",")
     merges = every.where("value_type = 'merge'").select("source_file", "sheet", F.col("row").alias("min_row"), F.col("col").alias("min_col"), ends[0].cast("int").alias("max_row"), ends[1].cast("int").alias("max_col"))
     return every.where("value_type <> 'merge'"), merges
