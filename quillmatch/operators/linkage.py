@@ -101,13 +101,19 @@ def duplicates(index: DataFrame, stmt: DataFrame, on: Sequence[str]) -> DataFram
     return index.where("id_count > 1").join(stmt.where(text(on[-1]) != "").select(*on), list(on), "left_semi")
 
 
-def mapping_summary(rows: DataFrame, dup: DataFrame | None = None) -> DataFrame:
-    """item, value over mapped rows, in one pass (and the number of duplicate keys)."""
+def summary_counts() -> dict[str, Column]:
+    """What a mapping's summary counts, by name, as aggregates over mapped rows."""
     n = lambda cond: F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("long")
     items = {"rows": F.count("*"), "review": n(F.col("review") == "Y")}
     for side in ("ref", "master"):
         for status in (MATCHED, AMBIGUOUS, NO_MATCH, BLANK) + ((SKIPPED,) if side == "master" else ()):
             items[f"{side} {status}"] = n(F.col(f"{side}_status") == status)
+    return items
+
+
+def mapping_summary(rows: DataFrame, dup: DataFrame | None = None) -> DataFrame:
+    """item, value over mapped rows, in one pass (and the number of duplicate keys)."""
+    items = summary_counts()
     wide = rows.agg(*(c.alias(f"c{i}") for i, c in enumerate(items.values())))
     long = wide.select(F.explode(F.array(*(F.struct(F.lit(k).alias("item"), F.col(f"c{i}").alias("value")) for i, k in enumerate(items)))).alias("x")).select("x.*")
     return long if dup is None else long.unionAll(dup.agg(F.lit("duplicate keys").alias("item"), F.count("*").alias("value")).select("item", "value"))

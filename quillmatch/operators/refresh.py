@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions.text import excel_date, id_text, text
 from quillmatch.functions.titles import add_master_title, drop_disabled
+from quillmatch.sources.io import append_changes, append_run
+from quillmatch.sources.versions import read_table, replace_table, versions
 
 
 def latest_per_id(df: DataFrame, id_col: str, date: str, row_no: Sequence[str | Column]) -> DataFrame:
@@ -122,6 +124,35 @@ def refresh_lookup(old: DataFrame, new: DataFrame, id_col: str, date: str, row_n
     return Refreshed(latest_per_id(rows, id_col, date, row_no), changes, change_summary(changes), conflict_counts(rows, id_col, [title, *ids]))
 
 
+RUNS = "run_id string, status string, mode string, version long, added long, deleted long, modified long, message string"
+
+
+def replace_lookup(new: DataFrame, path: str, log: str, run_id: str, id_col: str, date: str, row_no: Sequence[str | Column], title: str, ids: Sequence[str], shape: str | None = None, mode: str = "full") -> int:
+    """refresh_lookup() of the table at path (see versions), logged below log: runs gets a row, whether the refresh goes well or not, changes the
+    changes. -> the new version.
+
+    The new lookup is made against the version that is the latest at the beginning and becomes the next one; where another refresh has got
+    in between, nothing is replaced and the run is logged as failed. The first refresh has all ids added.
+    """
+    spark = new.sparkSession
+
+    def logged(status: str, version: int | None, counts: Sequence[int | None], message: str) -> None:
+        append_run(spark.createDataFrame([(run_id, status, mode, version, *counts, message)], RUNS), f"{log}/runs")
+
+    try:
+        there = versions(spark, path)
+        old = read_table(spark, path, there[-1]) if there else normalize_frame(new).limit(0)
+        made = refresh_lookup(old, new, id_col, date, row_no, title, ids, shape, mode)
+        version = replace_table(made.lookup, path, based_on=there[-1] if there else 0)
+        append_changes(made.changes, f"{log}/changes", F.lit(run_id))
+        done = spark.read.parquet(f"{log}/changes").where(F.col("run_id") == run_id)
+        logged("success", version, tuple(change_summary(done).first()), "")
+    except Exception as e:
+        logged("failed", None, (None, None, None), f"{type(e).__name__}: {str(e)[:500]}")
+        raise
+    return version
+
+
 def split_master(df: DataFrame, required: Sequence[str], owner: str, owned_by: str, shape: str, classes: Mapping[str, str]) -> DataFrame:
     """Rows of one owner with a value in a required column, by class: classes maps a shape to its name, other shapes are "other". write_by_class
     writes them."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions.text import numeric_sum, pipe_ids, text, unique_list
 from quillmatch.operators.linkage import capped_list, capped_lists
+from quillmatch.operators.ranks import global_rank
 
 
 def combined_report(rows: DataFrame, columns: Sequence[str], status: str, order: Sequence[str]) -> DataFrame:
@@ -27,9 +28,10 @@ def work_order(rows: DataFrame, keys: Sequence[str], order: str, lists: Sequence
     return base.select(*keys, "first_no", "group_size", *firsts, *(F.array_join(f"{c}_list", " | ").alias(f"{c}_list") for c in lists))
 
 
-def batch_summary(rows: DataFrame, file: str, status: str = "ref_status", review: str = "review") -> DataFrame:
+def batch_summary(rows: DataFrame, file: str, status: str = "ref_status", review: str = "review", by: Sequence[str] = ()) -> DataFrame:
+    """Per file (and what else `by` names): rows, matched ones, unmatched ones, ones to review."""
     n = lambda c, a: F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(a)
-    return rows.groupBy(file).agg(F.count("*").alias("rows"), n(F.col(status) == "matched", "matched"), n(F.col(status) == "no_match", "no_match"), n(F.col(review) == "Y", "to_review"))
+    return rows.groupBy(*by, file).agg(F.count("*").alias("rows"), n(F.col(status) == "matched", "matched"), n(F.col(status) == "no_match", "no_match"), n(F.col(review) == "Y", "to_review"))
 
 
 def reconcile(dim: DataFrame, a: DataFrame, b: DataFrame, key: str, amounts: Sequence[str], tolerance: float = 1.0) -> DataFrame:
@@ -84,9 +86,7 @@ def reflection(added: DataFrame, rows: DataFrame, on: Sequence[str], id_col: str
 
 def schema_clusters(cells: DataFrame, sheet: str, order: str, value: str) -> DataFrame:
     """Sheets by their ordered distinct headers: signature, sheets, an example, rank by size."""
-    from pyspark.sql import Window
-
     first = cells.groupBy(sheet, text(value).alias("_v")).agg(F.min(F.struct(F.col(order).alias("o"))).alias("_o"))  # gathered: a row a header
     signed = first.withColumn("_o", F.col("_o.o")).groupBy(sheet).agg(F.array_join(unique_list("_v", "_o"), " > ").alias("signature"))
     out = signed.groupBy("signature").agg(F.count("*").alias("sheets"), F.min(sheet).alias("example"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sheets"), "signature")))  # one row a signature
+    return global_rank(out, [F.desc("sheets"), F.col("signature")])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillmatch.operators import audit as A
-from quillmatch.plans.linkage import ROW, keyed_parts, table
+from quillmatch.plans.linkage import ROW, Keys, keyed_parts, table
 
 
 def catalog(spark, sf_dir):
@@ -46,7 +46,8 @@ def health(spark, sf_dir):
 
 
 def self_check(spark, sf_dir):
-    p = keyed_parts(spark, sf_dir).select(F.col("p_partkey").alias("l_partkey"), "title", F.when(F.col("p_partkey") % 97 == 0, F.lit("")).otherwise(F.col("clean_key")).alias("clean_key"))
+    k = Keys(spark, sf_dir)
+    p = keyed_parts(k).select(F.col("p_partkey").alias("l_partkey"), "title", F.when(F.col("p_partkey") % 97 == 0, F.lit("")).otherwise(F.col("clean_key")).alias("clean_key"))
     stmt = table(spark, sf_dir, "lineitem").select(*ROW).join(p, "l_partkey")
     return A.self_check(stmt, "clean_key", "title", "l_orderkey")
 

@@ -8,7 +8,7 @@ from quillmatch.operators import guards as G
 from quillmatch.operators import linkage as L
 from quillmatch.operators import reports as P
 from quillmatch.plans import linkage
-from quillmatch.plans.linkage import ROW, keyed_parts, table
+from quillmatch.plans.linkage import ROW, Keys, keyed_parts, table
 
 KEYS = ["p_brand", "clean_key"]
 
@@ -24,18 +24,21 @@ def guard_normalize(spark, sf_dir):
 
 
 def explain_sources(spark, sf_dir):
-    rows = linkage.explained(spark, sf_dir, other=True)
+    k = Keys(spark, sf_dir)
+    rows = linkage.explained(k, other=True)
     return rows.select(*ROW, "detail_reason", "detail_action", "split_reason", "missing_hits", "other_channel_hits", F.md5("detail_evidence").alias("evidence_md5"))
 
 
 def guard_summary(spark, sf_dir):
-    rows = linkage.explained(spark, sf_dir, other=True)
-    return G.guard_summary(L.mapping_summary(linkage.mapped(spark, sf_dir)), rows)
+    k = Keys(spark, sf_dir)
+    rows = linkage.explained(k, other=True)
+    return G.guard_summary(L.mapping_summary(linkage.mapped(k)), rows)
 
 
 def input_validation(spark, sf_dir):
-    p = keyed_parts(spark, sf_dir)
-    sides = {"reference": (p.where("p_size <= 25"), "title", "id", linkage.reference(spark, sf_dir)), "statement": (linkage.statements(spark, sf_dir), "title", None, None), "master": (p.where("p_size between 10 and 40"), "title", "id", linkage.master(spark, sf_dir))}
+    k = Keys(spark, sf_dir)
+    p = keyed_parts(k)
+    sides = {"reference": (p.where("p_size <= 25"), "title", "id", k.reference), "statement": (linkage.statements(k), "title", None, None), "master": (p.where("p_size between 10 and 40"), "title", "id", linkage.master(k))}
     return G.input_validation(sides, listed={"master": ["p_type"]})
 
 
@@ -53,16 +56,18 @@ def verify_ids(spark, sf_dir):
 
 
 def candidate_counts(spark, sf_dir):
+    k = Keys(spark, sf_dir)
     master = table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.col("p_partkey").cast("string").alias("content_id"))
-    return G.candidate_counts(P.safe_candidates(linkage.explained(spark, sf_dir), "billing | master", master, ["Brand#11"], "p_brand", guard="billing"), "p_brand")
+    return G.candidate_counts(P.safe_candidates(linkage.explained(k), "billing | master", master, ["Brand#11"], "p_brand", guard="billing"), "p_brand")
 
 
 def rerun_affected(spark, sf_dir):
-    stmt = linkage.statements(spark, sf_dir)
-    p = keyed_parts(spark, sf_dir).withColumn("id", F.col("p_partkey").cast("string"))
+    k = Keys(spark, sf_dir)
+    stmt = linkage.statements(k)
+    p = keyed_parts(k).withColumn("id", F.col("p_partkey").cast("string"))
     added = p.where("p_size = 26 and p_partkey % 11 = 0")
     more = L.candidate_index(p.where("p_size <= 25").unionByName(added), KEYS, "id", "title", "p_partkey")
-    before = L.map_statements(stmt, linkage.reference(spark, sf_dir), KEYS)
+    before = L.map_statements(stmt, k.reference, KEYS)
     return G.rerun_affected(before, stmt, added, "p_brand", lambda s: L.map_statements(s, more, KEYS), ROW)
 
 

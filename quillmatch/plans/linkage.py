@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from quillmatch.functions.titles import KEYWORDS, PHRASES, CleaningPolicy, add_c
 from quillmatch.operators import linkage as L
 from quillmatch.operators.nearkeys import nearest_text
 from quillmatch.operators.nearkeys import residual_partition as residual
+from quillmatch.sources.reference import index_table
+from quillmatch.sources.scratch import landed, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,54 +24,68 @@ def titled(parts: DataFrame) -> DataFrame:
     return parts.withColumn("title", F.concat(F.lit("[연재] "), "p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("화")))
 
 
-_KEPT: dict[tuple[str, str], DataFrame] = {}
+class Keys:
+    """The tables of one query, with what its parts have in common: keys are made once for each part, never for each line, and kept as a table of
+    the query's own; so is the reference."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return table(self.spark, self.sf_dir, name)
+
+    @functools.cached_property
+    def parts(self) -> DataFrame:
+        return landed(add_clean_key(spread(titled(self.table("part"))), "title"))
+
+    @functools.cached_property
+    def reference(self) -> DataFrame:
+        """As an index in buckets of its keys: whoever joins it has only the statements to move."""
+        return index_table(reference(self), ["p_brand", "clean_key"])
 
 
-def keyed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys are made once for each part, never for each line, and kept for the session: every index and every statement takes them."""
-    name = (spark.sparkContext.applicationId, sf_dir)
-    if name not in _KEPT:
-        _KEPT[name] = add_clean_key(titled(table(spark, sf_dir, "part")), "title").persist()
-    return _KEPT[name]
+def keyed_parts(k: Keys) -> DataFrame:
+    return k.parts
 
 
-def dated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dated_parts(k: Keys) -> DataFrame:
     """Parts with two dates: the first only for some brands."""
-    shipped = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_shipdate").alias("s"))
-    out = keyed_parts(spark, sf_dir).join(shipped, "p_partkey", "left")
+    shipped = k.table("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_shipdate").alias("s"))
+    out = keyed_parts(k).join(shipped, "p_partkey", "left")
     odd = F.col("p_partkey") % 3 == 0
     return out.withColumn("registered", F.when((F.col("p_size") > 25) & odd, F.col("s"))).withColumn("created", F.when(~odd, F.col("s")))
 
 
-def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = dated_parts(spark, sf_dir).where("p_size <= 25").withColumn("id", F.col("p_partkey").cast("string"))
+def reference(k: Keys) -> DataFrame:
+    parts = dated_parts(k).where("p_size <= 25").withColumn("id", F.col("p_partkey").cast("string"))
     return L.candidate_index(parts, ["p_brand", "clean_key"], "id", "title", "p_partkey", ["registered", "created"])
 
 
-def master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = keyed_parts(spark, sf_dir).where("p_size between 10 and 40").withColumn("id", F.col("p_partkey").cast("string"))
+def master(k: Keys) -> DataFrame:
+    parts = keyed_parts(k).where("p_size between 10 and 40").withColumn("id", F.col("p_partkey").cast("string"))
     return L.candidate_index(parts, ["clean_key"], "id", "title", "p_partkey")
 
 
-def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax")
-    parts = keyed_parts(spark, sf_dir).select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.when(F.col("p_partkey") % 97 == 0, F.lit("")).otherwise(F.col("clean_key")).alias("clean_key"))
+def statements(k: Keys) -> DataFrame:
+    lines = k.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax")
+    parts = keyed_parts(k).select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.when(F.col("p_partkey") % 97 == 0, F.lit("")).otherwise(F.col("clean_key")).alias("clean_key"))
     return lines.join(parts, "l_partkey")
 
 
-def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.map_statements(statements(spark, sf_dir), reference(spark, sf_dir), ["p_brand", "clean_key"], master(spark, sf_dir))
+def mapped(k: Keys) -> DataFrame:
+    return L.map_statements(statements(k), k.reference, ["p_brand", "clean_key"], master(k))
 
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def clean_title_parts(spark, sf_dir):
-    return keyed_parts(spark, sf_dir).select("p_partkey", "title", "clean_key")
+    k = Keys(spark, sf_dir)
+    return keyed_parts(k).select("p_partkey", "title", "clean_key")
 
 
 def clean_title_docs(spark, sf_dir):
-    return add_clean_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "clean_key")
+    return add_clean_key(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "text").select("doc_id", "clean_key")
 
 
 def master_title(spark, sf_dir):
@@ -87,28 +105,34 @@ def drop_disabled_orders(spark, sf_dir):
 
 
 def candidate_index(spark, sf_dir):
-    return reference(spark, sf_dir)
+    k = Keys(spark, sf_dir)
+    return reference(k)
 
 
 def candidate_index_capped(spark, sf_dir):
-    return master(spark, sf_dir).select("clean_key", "status", "rows", "id_count", "selected_id", "selected_title", "ids", "titles")
+    k = Keys(spark, sf_dir)
+    return master(k).select("clean_key", "status", "rows", "id_count", "selected_id", "selected_title", "ids", "titles")
 
 
 def map_rows(spark, sf_dir):
-    return mapped(spark, sf_dir).select(*ROW, "p_brand", "clean_key", "ref_status", "ref_selected_id", "ref_id_count", "master_status", "master_selected_id", "review_reason", "review")
+    k = Keys(spark, sf_dir)
+    return mapped(k).select(*ROW, "p_brand", "clean_key", "ref_status", "ref_selected_id", "ref_id_count", "master_status", "master_selected_id", "review_reason", "review")
 
 
 def map_review(spark, sf_dir):
-    return mapped(spark, sf_dir).where("review = 'Y'").select(*ROW, "review_reason")
+    k = Keys(spark, sf_dir)
+    return mapped(k).where("review = 'Y'").select(*ROW, "review_reason")
 
 
 def map_summary(spark, sf_dir):
-    dup = L.duplicates(reference(spark, sf_dir), statements(spark, sf_dir), ["p_brand", "clean_key"])
-    return L.mapping_summary(mapped(spark, sf_dir), dup)
+    k = Keys(spark, sf_dir)
+    dup = L.duplicates(k.reference, statements(k), ["p_brand", "clean_key"])
+    return L.mapping_summary(mapped(k), dup)
 
 
 def duplicate_candidates(spark, sf_dir):
-    dup = L.duplicates(reference(spark, sf_dir), statements(spark, sf_dir), ["p_brand", "clean_key"])
+    k = Keys(spark, sf_dir)
+    dup = L.duplicates(k.reference, statements(k), ["p_brand", "clean_key"])
     return dup.select("p_brand", "clean_key", "id_count", "selected_id", "ids")
 
 
@@ -118,48 +142,53 @@ def exclude_missing(spark, sf_dir):
     return kept.withColumn("excluded_reason", F.lit("")).unionByName(gone)
 
 
-def guards(spark, sf_dir):
-    p = keyed_parts(spark, sf_dir).withColumn("id", F.col("p_partkey").cast("string"))
+def guards(k: Keys):
+    p = keyed_parts(k).withColumn("id", F.col("p_partkey").cast("string"))
     return p
 
 
-def explained(spark, sf_dir, other=False):
-    p = guards(spark, sf_dir)
+def explained(k: Keys, other=False):
+    p = guards(k)
     keys = ["p_brand", "clean_key"]
     pick = lambda lo, hi: L.evidence_index(p.where(f"p_size between {lo} and {hi}"), keys, ["id", "title"], "p_partkey")
     named = [("missing", pick(26, 32), keys, ["id", "title"]), ("service", pick(30, 38), keys, ["id", "title"]), ("billing", pick(36, 42), keys, ["id"])]
     named.append(("master", L.evidence_index(p.where("p_size <= 45"), ["clean_key"], ["id"], "p_partkey"), ["clean_key"], ["id"]))
     if other:
         named.insert(3, ("other_channel", L.evidence_index(p.where("p_size <= 25"), ["clean_key"], ["p_brand", "id"], "p_partkey"), ["clean_key"], ["p_brand", "id"]))
-    return L.explain_no_match(mapped(spark, sf_dir), named, channel="p_brand" if other else None)
+    return L.explain_no_match(mapped(k), named, channel="p_brand" if other else None)
 
 
 def explain_no_match(spark, sf_dir):
-    return explained(spark, sf_dir).select(*ROW, "ref_status", "detail_reason", "split_reason", F.md5("detail_evidence").alias("evidence_md5"))
+    k = Keys(spark, sf_dir)
+    return explained(k).select(*ROW, "ref_status", "detail_reason", "split_reason", F.md5("detail_evidence").alias("evidence_md5"))
 
 
 def other_channels(spark, sf_dir):
-    s = statements(spark, sf_dir).select(*ROW, "p_brand", "clean_key")
-    return L.with_other_channels(s, keyed_parts(spark, sf_dir).where("p_size <= 25"), "clean_key", "p_brand").select(*ROW, "other_channels")
+    k = Keys(spark, sf_dir)
+    s = statements(k).select(*ROW, "p_brand", "clean_key")
+    return L.with_other_channels(s, keyed_parts(k).where("p_size <= 25"), "clean_key", "p_brand").select(*ROW, "other_channels")
 
 
-def gated(spark, sf_dir):
+def gated(k: Keys):
     money = lambda c: F.when(F.col("l_orderkey") % 50 == 0, F.lit("")).otherwise(F.concat(F.format_number(F.round(F.col(c) * 100), 0), F.lit("원")))
-    rows = explained(spark, sf_dir).withColumns({"sale_text": money("l_extendedprice"), "base_text": money("l_discount"), "offset_text": money("l_tax")})
+    rows = explained(k).withColumns({"sale_text": money("l_extendedprice"), "base_text": money("l_discount"), "offset_text": money("l_tax")})
     return L.transfer_gate(rows, True, "sale_text", "base_text", "offset_text", blank_offset_as_zero=True)
 
 
 def transfer_rows(spark, sf_dir):
-    return gated(spark, sf_dir).where("size(block_reasons) = 0").select(*ROW, "ref_selected_id", "sale", "base", "offset")
+    k = Keys(spark, sf_dir)
+    return gated(k).where("size(block_reasons) = 0").select(*ROW, "ref_selected_id", "sale", "base", "offset")
 
 
 def transfer_blocked(spark, sf_dir):
-    return gated(spark, sf_dir).where("size(block_reasons) > 0").select(*ROW, F.array_join("block_reasons", " | ").alias("block_reasons"))
+    k = Keys(spark, sf_dir)
+    return gated(k).where("size(block_reasons) > 0").select(*ROW, F.array_join("block_reasons", " | ").alias("block_reasons"))
 
 
 def residual_partition(spark, sf_dir):
-    un = statements(spark, sf_dir).join(reference(spark, sf_dir), ["p_brand", "clean_key"], "left_anti")
-    out = residual(un, keyed_parts(spark, sf_dir).where("p_size <= 25"), "p_brand", "clean_key", "l_orderkey", least=0.65)
+    k = Keys(spark, sf_dir)
+    un = statements(k).join(k.reference, ["p_brand", "clean_key"], "left_anti")
+    out = residual(un, keyed_parts(k).where("p_size <= 25"), "p_brand", "clean_key", "l_orderkey", least=0.65)
     return out.withColumn("nearest", nearest_text())
 
 
@@ -172,10 +201,11 @@ def near_titles(spark, sf_dir):
 
 
 def rule_impact(spark, sf_dir):
-    before = L.map_statements(statements(spark, sf_dir), reference(spark, sf_dir), ["p_brand", "clean_key"])
+    k = Keys(spark, sf_dir)
+    before = L.map_statements(statements(k), k.reference, ["p_brand", "clean_key"])
     short = lambda d: d.withColumn("clean_key", F.split("clean_key", "[aeiou]")[0])
-    ref = short(keyed_parts(spark, sf_dir).where("p_size <= 25")).withColumn("id", F.col("p_partkey").cast("string"))
-    after = L.map_statements(short(statements(spark, sf_dir)), L.candidate_index(ref, ["p_brand", "clean_key"], "id", "title", "p_partkey"), ["p_brand", "clean_key"])
+    ref = short(keyed_parts(k).where("p_size <= 25")).withColumn("id", F.col("p_partkey").cast("string"))
+    after = L.map_statements(short(statements(k)), L.candidate_index(ref, ["p_brand", "clean_key"], "id", "title", "p_partkey"), ["p_brand", "clean_key"])
     return L.rule_impact(before, after, ROW, groups=["p_brand"])
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmatch.plans import audits, guards, imports, linkage, settlement, statements
+from quillmatch.plans import audits, guards, imports, linkage, runs, settlement, statements
 
-MODULES = [linkage, settlement, statements, audits, guards, imports]
+MODULES = [linkage, settlement, statements, audits, guards, imports, runs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from quillmatch.operators import gates as G
 from quillmatch.operators import refresh as R
 from quillmatch.operators import reports as P
 from quillmatch.plans import linkage
-from quillmatch.plans.linkage import ROW, keyed_parts, table
+from quillmatch.plans.linkage import ROW, Keys, keyed_parts, table
 
 
 def judged(spark, sf_dir):
@@ -50,13 +50,15 @@ def status_by_department(spark, sf_dir):
 
 
 def only_blocked_alerts(spark, sf_dir):
-    p = keyed_parts(spark, sf_dir).withColumn("k", F.concat("clean_key", "p_brand"))
+    k = Keys(spark, sf_dir)
+    p = keyed_parts(k).withColumn("k", F.concat("clean_key", "p_brand"))
     stmt = table(spark, sf_dir, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), "k"), "l_partkey")
     return G.only_blocked_alerts(stmt, p.where("p_size > 20").select("k"), p.where("p_size <= 20").select("k"), "k").select(*ROW, "k", "blocked_rows")
 
 
 def blocked_title_hits(spark, sf_dir):
-    p = keyed_parts(spark, sf_dir).withColumn("k", F.concat("clean_key", "p_brand"))
+    k = Keys(spark, sf_dir)
+    p = keyed_parts(k).withColumn("k", F.concat("clean_key", "p_brand"))
     stmt = table(spark, sf_dir, "lineitem").join(p.select(F.col("p_partkey").alias("l_partkey"), "k"), "l_partkey")
     return G.blocked_title_hits(stmt.select(*ROW, "k"), p.where("p_size <= 5").select("k", F.col("p_partkey").alias("blocked_id")), "k").select(*ROW, "k", "blocked_id")
 
@@ -105,17 +107,20 @@ def compare_ids(spark, sf_dir):
 
 
 def work_order(spark, sf_dir):
-    rows = linkage.explained(spark, sf_dir).where("review = 'Y'").withColumn("no", F.col("l_orderkey") * 10**9 + F.col("l_partkey") * 10**4 + F.col("l_suppkey") * 10 + F.col("l_linenumber"))
+    k = Keys(spark, sf_dir)
+    rows = linkage.explained(k).where("review = 'Y'").withColumn("no", F.col("l_orderkey") * 10**9 + F.col("l_partkey") * 10**4 + F.col("l_suppkey") * 10 + F.col("l_linenumber"))
     return P.work_order(rows, ["p_brand", "clean_key", "detail_reason"], "no", ["l_orderkey"], ["review_reason"]).select("p_brand", "clean_key", "detail_reason", "first_no", "group_size", "review_reason", F.md5("l_orderkey_list").alias("orders_md5"))
 
 
 def combined_report(spark, sf_dir):
-    rows = linkage.explained(spark, sf_dir)
+    k = Keys(spark, sf_dir)
+    rows = linkage.explained(k)
     return P.combined_report(rows, [*ROW, "ref_status", "detail_reason", "note"], "ref_status", ROW)
 
 
 def batch_summary(spark, sf_dir):
-    return P.batch_summary(linkage.mapped(spark, sf_dir), "p_brand")
+    k = Keys(spark, sf_dir)
+    return P.batch_summary(linkage.mapped(k), "p_brand")
 
 
 def reconcile_amounts(spark, sf_dir):
@@ -126,7 +131,8 @@ def reconcile_amounts(spark, sf_dir):
 
 
 def graded(spark, sf_dir):
-    p = keyed_parts(spark, sf_dir).select("p_partkey", "p_brand", "clean_key", F.when(F.col("p_size") == 1, "Y").otherwise("N").alias("disabled"))
+    k = Keys(spark, sf_dir)
+    p = keyed_parts(k).select("p_partkey", "p_brand", "clean_key", F.when(F.col("p_size") == 1, "Y").otherwise("N").alias("disabled"))
     l = table(spark, sf_dir, "lineitem")
     paid = l.where("l_returnflag = 'R' and l_partkey % 4 = 0").select(F.col("l_partkey").alias("p_partkey"))
     seen = l.where("l_partkey % 9 = 0").join(p.select(F.col("p_partkey").alias("l_partkey"), "clean_key"), "l_partkey").select("clean_key", F.concat(F.lit("file"), F.col("l_suppkey").cast("string")).alias("f"))
@@ -142,15 +148,17 @@ def grade_pivot(spark, sf_dir):
 
 
 def safe_candidates(spark, sf_dir):
+    k = Keys(spark, sf_dir)
     master = table(spark, sf_dir, "part").where("p_size % 2 = 0").select(F.col("p_partkey").cast("string").alias("content_id"))
-    out = P.safe_candidates(linkage.explained(spark, sf_dir), "billing | master", master, ["Brand#11"], "p_brand", guard="billing")
+    out = P.safe_candidates(linkage.explained(k), "billing | master", master, ["Brand#11"], "p_brand", guard="billing")
     return out.select(*ROW, "content_id", "excluded_because")
 
 
 def reflection(spark, sf_dir):
-    p = keyed_parts(spark, sf_dir)
+    k = Keys(spark, sf_dir)
+    p = keyed_parts(k)
     added = p.where("p_partkey % 5 = 0").select("p_brand", "clean_key", F.col("p_partkey").cast("string").alias("id"))
-    return P.reflection(added, linkage.mapped(spark, sf_dir).select("p_brand", "clean_key", "ref_selected_id"), ["p_brand", "clean_key"], "id", "ref_selected_id")
+    return P.reflection(added, linkage.mapped(k).select("p_brand", "clean_key", "ref_selected_id"), ["p_brand", "clean_key"], "id", "ref_selected_id")
 
 
 def schema_clusters(spark, sf_dir):

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quillmatch.functions.text import col, text
+from quillmatch.operators.linkage import summary_counts
+from quillmatch.sources.versions import _hadoop
 from quillmatch.sources.workbooks import BROKEN, CELLS, shared_strings, sheet_cells, sheet_parts
 
 
@@ -102,32 +104,68 @@ def write_by_class(df: DataFrame, column: str, path: str) -> None:
     df.write.mode("overwrite").partitionBy(column).parquet(path)
 
 
-def replace_table(df: DataFrame, path: str) -> str:
-    """Writes a new version beside the old ones and points at it; readers see the old rows or the new. -> the version's path."""
-    version = f"{path}/versions/{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    stamp = df.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-    stamp.write.mode("append").parquet(f"{path}/pointer")
-    return version
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The version written last."""
-    return spark.read.parquet(spark.read.parquet(f"{path}/pointer").agg(F.max_by("version", "at")).first()[0])
-
-
 def append_run(df: DataFrame, path: str, statuses: Sequence[str] = ("success", "failed", "running")) -> None:
     """Appends to the run log; a status that isn't known becomes failed."""
     status = text("status")
     df.withColumn("status", F.when(status.isin(list(statuses)), status).otherwise("failed")).write.mode("append").parquet(path)
 
 
+def append_changes(changes: DataFrame, path: str, run_id: Column, kinds: Sequence[str] = ("added", "deleted", "modified")) -> None:
+    """Appends the changes of a run to the log; kinds of change that aren't known are dropped."""
+    changes.where(text("change").isin(list(kinds))).withColumn("run_id", run_id).write.mode("append").parquet(path)
+
+
 def write_mapping(tables: dict[str, DataFrame], path: str) -> None:
     """The tables of one mapping run, each in a folder of its own."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def write_mapping_run(rows: DataFrame, dup: DataFrame, validation: DataFrame, path: str) -> DataFrame:
+    """A mapping run's five tables: rows, review, duplicates, validation and summary (item, value), which is returned.
+
+    The mapped rows are made once: what the summary counts is observed while they are written, and the rows to review are read from
+    what was written.
+    """
+    spark = rows.sparkSession
+    counters = summary_counts()
+    seen = Observation()
+    rows.observe(seen, *(c.alias(f"c{i}") for i, c in enumerate(counters.values()))).write.mode("overwrite").parquet(f"{path}/rows")
+    dup.write.mode("overwrite").parquet(f"{path}/duplicates")
+    got = seen.get
+    items = [(name, int(got[f"c{i}"] or 0)) for i, name in enumerate(counters)]
+    items.append(("duplicate keys", spark.read.parquet(f"{path}/duplicates").count()))
+    spark.createDataFrame(items, "item string, value long").coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
+    spark.read.parquet(f"{path}/rows").where("review = 'Y'").write.mode("overwrite").parquet(f"{path}/review")
+    validation.write.mode("overwrite").parquet(f"{path}/validation")
+    return spark.read.parquet(f"{path}/summary")
+
+
+def write_reports(df: DataFrame, by: str, path: str) -> None:
+    """The reports of all channels, a partition of the folder each; what was there goes."""
+    df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+
+
+def rewrite_reports(df: DataFrame, touched: DataFrame, by: str, path: str, lineage: DataFrame | None = None) -> None:
+    """Replaces the reports of the touched channels (touched has the column by) and leaves the files of the others as they are.
+
+    Partitions that df has are overwritten dynamically; one that is touched and has no rows any more is removed. lineage: rows that tell
+    which additions touched which channel, appended to <path>-lineage.
+    """
+    spark = df.sparkSession
+    held = df.join(touched.select(by).distinct(), by, "left_semi")
+    held.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    emptied = touched.select(by).distinct().join(spark.read.parquet(path).select(by).distinct(), by).join(held.select(by).distinct(), by, "left_anti")
+    gone = {row[0] for row in emptied.collect()}  # channels that have lost all their rows
+    files, make = _hadoop(spark, path)
+    for status in files.listStatus(make(path)) if gone else ():
+        name, _, value = status.getPath().getName().partition("=")
+        if name == by and unquote(value) in gone:
+            files.delete(status.getPath(), True)
+    if lineage is not None:
+        lineage.write.mode("append").parquet(f"{path}-lineage")
+
+
 def load_payment(tables: Sequence[DataFrame], required: Sequence[str], names: dict[str, str]) -> DataFrame:
     """The first table that has the required columns, or has them once raw names are made standard ones; tables come in order of preference."""
     for df in tables:

@@ -29,3 +29,9 @@ def landed(df: DataFrame) -> DataFrame:
     path = folder(df.sparkSession, "tables")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over the session's tasks where its scan has fewer (a small file is one task, however much is made of its rows)."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
