@@ -84,9 +84,13 @@ def reflection(added: DataFrame, rows: DataFrame, on: Sequence[str], id_col: str
     return out.select(*(added[c] for c in added.columns), F.coalesce("rerun_rows", F.lit(0)).alias("rerun_rows"), F.coalesce("rerun_ids", F.lit(0)).alias("rerun_ids"), F.coalesce("_y", F.lit("N")).alias("reflected"))
 
 
-def schema_clusters(cells: DataFrame, sheet: str, order: str, value: str) -> DataFrame:
-    """Sheets by their ordered distinct headers: signature, sheets, an example, rank by size."""
+def header_signatures(cells: DataFrame, sheet: str, order: str, value: str) -> DataFrame:
+    """Sheets by their ordered distinct headers: signature, sheets, an example."""
     first = cells.groupBy(sheet, text(value).alias("_v")).agg(F.min(F.struct(F.col(order).alias("o"))).alias("_o"))  # gathered: a row a header
     signed = first.withColumn("_o", F.col("_o.o")).groupBy(sheet).agg(F.array_join(unique_list("_v", "_o"), " > ").alias("signature"))
-    out = signed.groupBy("signature").agg(F.count("*").alias("sheets"), F.min(sheet).alias("example"))
-    return global_rank(out, [F.desc("sheets"), F.col("signature")])
+    return signed.groupBy("signature").agg(F.count("*").alias("sheets"), F.min(sheet).alias("example"))
+
+
+def schema_clusters(cells: DataFrame, sheet: str, order: str, value: str) -> DataFrame:
+    """header_signatures() with their rank by size."""
+    return global_rank(header_signatures(cells, sheet, order, value), [F.desc("sheets"), F.col("signature")])

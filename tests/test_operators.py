@@ -9,7 +9,7 @@ from quillmatch.operators import linkage as L
 from quillmatch.operators import refresh as R
 from quillmatch.operators import reports as P
 from quillmatch.operators import sheets as S
-from quillmatch.sources import io
+from quillmatch.sources import io, versions
 
 
 def test_latest_date_is_selected_and_lists_are_capped(spark):
@@ -104,9 +104,9 @@ def test_sources_and_sinks(spark, tmp_path):
     back = io.scan_lookup(spark, f"{tmp_path}/csv", ["title", "id", "absent"])
     assert sorted(map(tuple, back.collect())) == [("", "2", ""), ('a "q"\nb', "1", "")]
     assert io.scan_lookup(spark, [], ["id"]).count() == 0
-    io.replace_table(df, f"{tmp_path}/t")
-    io.replace_table(io.read_table(spark, f"{tmp_path}/t").where("id = '1'"), f"{tmp_path}/t")
-    assert [r.id for r in io.read_table(spark, f"{tmp_path}/t").collect()] == ["1"]
+    versions.replace_table(df, f"{tmp_path}/t")
+    versions.replace_table(versions.read_table(spark, f"{tmp_path}/t").where("id = '1'"), f"{tmp_path}/t")
+    assert [r.id for r in versions.read_table(spark, f"{tmp_path}/t").collect()] == ["1"]
     io.write_by_class(df, "kind", f"{tmp_path}/k")
     assert spark.read.parquet(f"{tmp_path}/k/kind=x").count() == 1
     io.append_run(spark.createDataFrame([(1, "odd")], "run_id int, status string"), f"{tmp_path}/runs")
@@ -121,6 +121,8 @@ def test_schema_clusters_gather_a_header_once(spark):
     from quillmatch.operators import reports
 
     rows = [(1, 3, "b"), (1, 2, "a"), (1, 1, "b"), (1, None, "c"), (2, 1, "x"), (2, 2, ""), (3, 1, None), (4, 5, "x")]
-    out = reports.schema_clusters(spark.createDataFrame(rows, "sheet long, pos long, header string"), "sheet", "pos", "header")
+    cells = spark.createDataFrame(rows, "sheet long, pos long, header string")
+    out = reports.schema_clusters(cells, "sheet", "pos", "header")
     assert [tuple(r) for r in out.orderBy("rank").collect()] == [("x", 2, 2, 1), ("", 1, 3, 2), ("c > b > a", 1, 1, 3)]
+    out = reports.header_signatures(cells, "sheet", "pos", "header")  # ranks are of what this has written
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3  # headers, sheets, signatures
