@@ -2,7 +2,7 @@
 
 All arithmetic is modulo 2**64 with odd bases, so a window's hash is one difference of a prefix sum
 times an inverse power. Every result is mixed by a bijection before use. Words, whose letters anyone may choose, aren't hashed by powers (long
-texts with equal hashes are known for every base) but by a sum of one mixed number for each letter and its place in the word.
+texts with equal hashes are known for every base) but by a sum of one mixed number for each letter, its place in the word and a key.
 """
 
 from __future__ import annotations
@@ -113,22 +113,23 @@ class Words:
         self.first = np.searchsorted(self.starts, self.text_starts)
         self.counts = np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, key: int = 0) -> np.ndarray:
+        """A sum over a word's letters, mixed. For a key that is known, words of equal sums can be made (a sum of many terms has many ways to come
+        out even); for one drawn at random they can't."""
         place = np.arange(len(self.buf))
         begun = np.zeros(len(self.buf), np.int64)
         begun[self.starts] = self.starts
         place -= np.maximum.accumulate(begun)  # of each byte in its word
         sums = np.zeros(len(self.buf) + 1, U)
-        np.cumsum(mix(_BYTE_CODES[self.buf] + place.astype(U) * U(PLACE)), out=sums[1:])
+        np.cumsum(mix(_BYTE_CODES[self.buf] + place.astype(U) * U(PLACE) + U(key)), out=sums[1:])
         return mix(sums[self.ends] - sums[self.starts] + (self.ends - self.starts).astype(U) * U(0xA0761D6478BD642F))
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Indexes of the words at which a window of width words of one text starts, and two independent hashes of each."""
-        values = self.hashes()
-        every = fixed_hashes(prefix_sums(values, WORD_BASE), width, WORD_BASE)
-        at = np.flatnonzero(inside(self.first, width, len(every)))
-        other = fixed_hashes(prefix_sums(mix(values + U(PLACE)), BYTE_BASE), width, BYTE_BASE)
-        return at, every[at], other[at]
+    def windows(self, width: int, keys: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indexes of the words at which a window of width words of one text starts, and two hashes of each, independent for independent keys."""
+        one = fixed_hashes(prefix_sums(self.hashes(keys[0]), WORD_BASE), width, WORD_BASE)
+        at = np.flatnonzero(inside(self.first, width, len(one)))
+        two = fixed_hashes(prefix_sums(self.hashes(keys[1]), BYTE_BASE), width, BYTE_BASE)
+        return at, one[at], two[at]
 
 
 def inside(first: np.ndarray, width: int, n: int) -> np.ndarray:

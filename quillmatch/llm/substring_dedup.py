@@ -4,13 +4,15 @@ Rabin-Karp hashes of every window of `width` words are counted across the corpus
 is repeated, and repeated windows merge into maximal removal intervals.
 
 The count is kept as "has an earlier part this hash?", see parts.py: per part of 4 MB of text every distinct window goes out once, as
-two independent hashes (the bucket's bits, 40 more, and 48 of the other), and one bit comes back. False repeats are expected
+two hashes (the bucket's bits, 40 more, and 48 of the other), and one bit comes back. Each hash is made from the words' letters under a key
+of its own, drawn at random for each run: nobody can write words or windows of equal hashes beforehand, and the two are independent, so false repeats are expected
 n**2 / 2**(89 + bucket bits) times for n windows: 2**-37 at 30 GB, 2**-21 at 100 TB. Texts that repeat a smaller doc_id's whole text need no
 hashes: all their windows start earlier. Nothing is collected but the parts' bounds; a hash that every document holds costs one entry a part.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 import numpy as np
@@ -34,13 +36,14 @@ def remove_repeated_windows(docs: DataFrame, width: int = 20, bytes_per_part: in
     """
     parts = Parts(docs, keys_per_byte=0.16, bytes_per_part=bytes_per_part)
     bits = parts.bucket_bits
+    keyed = (secrets.randbits(64), secrets.randbits(64))  # a part of the plan: a task that runs again has the same
 
     def hashes(docs: pd.DataFrame, skip: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
         """Per chunk of texts: row numbers, words, starts of windows; and both hashes of all windows."""
         rows, pieces, one, two = np.flatnonzero(~skip), [], [np.empty(0, H.U)], [np.empty(0, H.U)]
         for first, texts in H.chunks(docs["t"].iloc[rows], 1 << 18):
             words = H.Words(texts)
-            at, x, y = words.windows(width)
+            at, x, y = words.windows(width, keyed)
             pieces.append((rows[first : first + len(texts)], words.first, len(words.starts), at))
             one.append(short(x, bits, BITS))
             two.append(y >> H.U(64 - MORE_BITS))

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from quillmatch.llm import hashing as H
 from quillmatch.llm import parts as P
 from quillmatch.llm.substring_dedup import remove_repeated_windows
 
@@ -53,6 +54,15 @@ def test_words_that_collide_by_powers(spark):
         assert [r.n_removed for r in remove_repeated_windows(df).collect()] == [0, 0]
 
 
+def test_words_that_collide_by_sums(spark):
+    """Two words with one sum under the key 0: windows of them don't repeat each other, ones of the same word do."""
+    one, two = "aaaaaaaaaaaaaaabbabbaabaaaaababbabaabaaaaaaaaabaaaaabbab", "baaabbbbabaababaaaaaababbaaaabaaaabbabbbbbbaaaabaaabaaba"
+    assert len(set(H.Words([f"{one} {two}".encode()]).hashes().tolist())) == 1 and len(set(H.Words([f"{one} {two}".encode()]).hashes(7).tolist())) == 2
+    shared = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{shared} {one}"), (2, f"{shared} {two}"), (3, f"{shared} {two} x")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in remove_repeated_windows(df).collect()} == {1: 0, 2: 0, 3: 20}
+
+
 def test_equal_first_hashes():
     keys, more = np.array([5, 5, 3, 5, 3], P.U), np.array([2, 1, 9, 2, 9], P.U)
     order, new = P.in_order(keys, more)
