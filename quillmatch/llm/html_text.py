@@ -2,9 +2,10 @@
 
 Pages of one host share a template. Every page's containers are scored by the text they hold; each page votes, with the shares of its
 score, for generalised paths (tags and classes from body down, digits struck out); votes are summed by (host, path) in Spark, and
-pages are read again with the path that won on their host. A page without that path, or with nothing in it, takes its own best container.
+pages are read again with the path that won on their host. A page without that path, or with nothing in it, takes its own best container. From
+there the article is followed outwards, over the containers that it is spread over (Page._whole).
 
-Tags of what isn't text (scripts, menus, footers) are left out. Names (class, id) are only a hint, as anyone may name an article "no-comments":
+Tags of what isn't text (scripts, menus, footers) are left out. Names (class, id) are only a hint, as anyone may name an article "no-comments" or "share-of-market" (a name counts if its last telling word does):
 what is inside a container named like a comment list, an advert or a form counts for MARKED of its score, once for each such container around it.
 Where the host's path lies inside such a container or is one, the name says nothing; marked parts further in are left out of the text.
 
@@ -39,6 +40,9 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 BROADCAST_HOSTS = 1 << 18
 #: Share of the score that text in a container with such a name counts.
 MARKED = 0.1
+#: A container beside the article's, both at the top of the body, belongs to it if it has more than this share of its letters.
+SIBLING = 0.25
+BODY = "/body"
 #: Levels of a path that are spelled out; a digest stands for those above.
 LEVELS = 32
 SALTS = 32
@@ -57,6 +61,11 @@ NOT_TEXT_NAMES = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright disqus footer form gdpr hidden login masthead menu menus modal nav navbar navigation newsletter "
     "notice notices overlay pagination pager paywall popup promo promoted promotion recommended related reply replies respond search share sharing shares sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets".split()
 )
+#: Words that may follow one of these in a name and say nothing: in "comment-list" the name is the comment's, in "share-of-market" it isn't the share's.
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box btn button buttons container content count cta feed group icon icons image img inner item items label left link links list listing main message module outer panel posts right row "
+    "section slot slots space stories text thread title top unit units wrap wrapper zone".split()
+)
 #: A name with one of these words says what is not there, or where.
 NOT_NAMES = frozenset("disabled enabled free has less no non not off print with without".split())
 NOT_TEXT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -78,9 +87,12 @@ def marked(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
     if not attributes or tag in ("body", "html", "main"):
         return False
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        parts = {p.lower() for p in NAME_PART.findall(name)}
-        if (parts & NOT_TEXT_NAMES or "header" in parts and not inside_article) and not parts & NOT_NAMES:
-            return True
+        parts = [p.lower() for p in NAME_PART.findall(name)]
+        if NOT_NAMES.isdisjoint(parts):
+            while len(parts) > 1 and parts[-1] in NEUTRAL:
+                parts.pop()
+            if parts and (parts[-1] in NOT_TEXT_NAMES or parts[-1] == "header" and not inside_article):
+                return True
     return False
 
 
@@ -138,6 +150,10 @@ class Page:
         #: containers: path, number of the container around it (-1: none)
         self.paths: list[str] = []
         self.parents: list[int] = []
+        #: the container around the innermost marked element that it is or is in; -1: none, or at the top
+        self.marks: list[int] = []
+        #: containers around an h1
+        self.titled: set[int] = set()
         #: blocks: innermost container, text, letters inside links, marks around it, the innermost mark's container
         self.blocks: list[tuple[int, str, int, int, int]] = []
         self._read(source)
@@ -155,6 +171,8 @@ class Page:
                 if line:
                     top = stack[-1]
                     self.blocks.append((top.container, line, linked, top.marks, top.mark))
+                    if places["h1"] and not top.marks:
+                        self.titled.add(top.container)
                 text.clear()
             linked = 0
 
@@ -224,6 +242,7 @@ class Page:
                 if tag in CONTAINERS:
                     self.paths.append(path)
                     self.parents.append(container)
+                    self.marks.append(mark)
                     container = len(self.paths) - 1
             stack.append(Level(tag, container, out, path, top.article or tag in ("article", "main"), marks, mark))
             places[tag].append(len(stack) - 1)
@@ -254,16 +273,56 @@ class Page:
         return out
 
     def text(self, path: str | None) -> str:
-        """Blocks inside the containers with this path; if there are none, inside the best container; without containers, all."""
-        chosen = {i for i, p in enumerate(self.paths) if p == path}
-        lines = self._inside(chosen)
+        """Blocks inside the containers with this path and what belongs to them, see _whole(); if there are none, the best container's; without
+        containers, all."""
+        lines = self._inside(self._whole({i for i, p in enumerate(self.paths) if p == path}))
         if not lines and self.paths:
             scores = self.scores()
-            lines = self._inside({max(range(len(scores)), key=lambda i: (scores[i], -i))})
+            lines = self._inside(self._whole({max(range(len(scores)), key=lambda i: (scores[i], -i))}))
         if not lines and not self.paths:
             lines = [t for _, t, *_ in self.blocks]
         return "\n".join(lines)
 
+    def _whole(self, chosen: set[int]) -> set[int]:
+        """The chosen containers, each widened to the container around it as long as what that adds isn't marked and isn't mostly links: an article
+        may be spread over several containers, of which the vote names the largest. The body isn't climbed to, as all the page is in it; of its
+        containers those belong to the article that are unmarked, not mostly links and have a heading of the first level, or aren't small beside what is
+        there (SIBLING of it)."""
+        if not chosen:
+            return chosen
+        n = len(self.paths)
+        titled = [i in self.titled for i in range(n)]
+        letters, linked = [0] * n, [0] * n  # of the blocks that a container gives if it is chosen
+        gone = [[0, 0] for _ in range(n)]  # of those below it that it leaves out, as they are marked inside it
+        for c, line, links, marks, mark in self.blocks:
+            if c >= 0:
+                letters[c] += len(line)
+                linked[c] += min(links, len(line))
+                if marks and mark >= 0:
+                    gone[mark][0] += len(line)
+                    gone[mark][1] += min(links, len(line))
+        for i in range(n - 1, -1, -1):  # a parent comes first
+            letters[i] -= gone[i][0]
+            linked[i] -= gone[i][1]
+            if self.parents[i] >= 0:
+                titled[self.parents[i]] |= titled[i] and self.paths[i] != BODY
+                letters[self.parents[i]] += letters[i]
+                linked[self.parents[i]] += linked[i]
+        out, seen = set(), set()
+        for i in chosen:
+            while (up := self.parents[i]) >= 0 and self.paths[up] != BODY and self.marks[i] != up and i not in seen:
+                if 2 * (linked[up] - linked[i]) > letters[up] - letters[i]:
+                    break
+                seen.add(i)
+                i = up
+            if i not in seen:
+                out.add(i)
+        least = SIBLING * sum(letters[i] for i in out)
+        tops = [i for i in range(n) if i not in out and self.parents[i] >= 0 and self.paths[self.parents[i]] == BODY and self.marks[i] != self.parents[i]]
+        if any(self.parents[i] >= 0 and self.paths[self.parents[i]] == BODY for i in out):
+            out |= {i for i in tops if (titled[i] or letters[i] > least) and 2 * linked[i] <= letters[i]}
+        return out
+
     def _inside(self, chosen: set[int]) -> list[str]:
         if not chosen:
             return []

@@ -84,3 +84,28 @@ def test_reading_is_linear():
             began = time.process_time()
             Page(part * (1_000_000 // len(part)) + end).text(None)
             assert time.process_time() - began < 10, part
+
+
+def layout(kind, i):
+    """A page of an article that is spread over containers or has parts of odd names -> (html, its text)."""
+    lines = [" ".join([f"Sentence {i} number {j}, long enough to be some text of the article."] * (1 + (i * j) % 4)) for j in range(8)]
+    p = lambda *some: "".join(f"<p>{x}</p>" for x in some)
+    core = {
+        "sections": f"<article><section class=a>{p(*lines[:3])}</section><section class=b>{p(*lines[3:])}</section></article>",
+        "top sections": f"<section class=a>{p(*lines[:3])}</section><section class=b>{p(*lines[3:])}</section>",
+        "quote": f"<article>{p(*lines[:2])}<blockquote>{p(*lines[2:6])}</blockquote>{p(*lines[6:])}</article>",
+        "heading beside": f"<div class=story><h2>{lines[0]}</h2><div class=text-1>{p(*lines[1:3])}</div><div class=text-2>{p(*lines[3:])}</div></div>",
+        "heading above": f"<article><h1>{lines[0]}</h1><div class=content>{p(*lines[1:])}</div></article>",
+        "heading alone": f"<article><h1>{lines[0]}</h1></article><div class=content>{p(*lines[1:])}</div>",
+        "names": f"<article>{p(lines[0])}<div class=share-of-market>{p(lines[1])}</div><ul class=tags-explained><li>{lines[2]}</li></ul><p class=search-results>{lines[3]}</p>{p(*lines[4:])}</article>",
+    }[kind]
+    noise = "<div class='box latest'><ul><li><a href=a>Another story</a><li><a href=b>And another one</a></ul></div>"
+    comments = f"<div class=comment-list>{p(*['I think so too, and so on. ' * 3] * 9)}</div><div class=sidebar-content>{p('Side. ' * 50)}</div>"
+    return f"<html><body><nav><a href=x>menu</a></nav><div class=ad-box>{p('Buy. ' * 60)}</div>{core}{noise}{comments}<footer>f</footer></body></html>", "\n".join(lines)
+
+
+def test_articles_spread_over_containers(spark):
+    kinds = ["sections", "top sections", "quote", "heading beside", "heading above", "heading alone", "names"]
+    rows = [(20 * k + i, f"http://h{k}.example.org/{i}", *layout(kind, i)) for k, kind in enumerate(kinds) for i in range(20)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(kinds[i // 20], i) for i, _, _, text in rows if got[i] != text] == []
