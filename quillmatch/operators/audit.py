@@ -84,6 +84,58 @@ def platform_rollup(files: DataFrame, dim: DataFrame, key: str, sums: Sequence[s
     return out.withColumn("status", F.when(F.col("files") == 0, "no files").when(F.col("errors") != "", "errors").otherwise("ok"))
 
 
+#: The states of a sheet, worst first.
+SHEET_STATES = ("unreadable", "header_not_found", "no_data", "parsed", "excluded_sheet", "excluded_by_rule")
+PARSED, FAILED = "parsed", ("unreadable", "header_not_found")
+CAUSES = 3
+
+
+def worst_states(df: DataFrame, keys: Sequence[str], state: str, cause: str, states: Sequence[str] = SHEET_STATES) -> DataFrame:
+    """keys, state (the worst of the group, by its place in states), causes: of the failed states the first CAUSES by text, "state: cause".
+
+    The worst is a minimum, the causes are ranked before they are gathered: both are made from parts, and neither grows with the group.
+    """
+    place = F.array_position(F.array(*map(F.lit, states)), F.col(state))
+    worst = df.groupBy(*keys).agg(F.min(F.struct(place.alias("p"), F.col(state).alias("s"))).alias("__w"))
+    why = df.where(F.col(state).isin(list(FAILED))).select(*keys, F.concat(F.col(state), F.lit(": "), text(cause)).alias("__c")).distinct()
+    ranked = why.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("__c"))).where(F.col("__r") <= CAUSES)
+    listed = ranked.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("__c")), " | ").alias("causes"))
+    return worst.join(listed, list(keys), "left").select(*keys, F.col("__w.s").alias(state), F.coalesce("causes", F.lit("")).alias("causes"))
+
+
+def file_states(sheets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Sheet audits and statement rows, as normalize_statements() gives them, by file: platform, source_file, status (the worst of its sheets), causes, parsed_rows,
+    feed_rows (rows of included files)."""
+    made = sheets.groupBy("platform", "source_file").agg(F.sum("parsed_rows").alias("parsed_rows"))
+    fed = rows.where("file_status = 'include'").groupBy("source_file").agg(F.count("*").alias("feed_rows"))
+    worst = worst_states(sheets, ["platform", "source_file"], "status", "sheet")
+    return worst.join(made, ["platform", "source_file"]).join(fed, "source_file", "left").na.fill(0, ["feed_rows"])
+
+
+def platform_audit(files: DataFrame, rows: DataFrame, registry: DataFrame, blocked_class: str = "non_s2_source_blocked", locked: str = "candidate_confirmed_after_reconcile") -> DataFrame:
+    """A row a platform of registry(platform, final_class, amount_rule_status, ...): files, parsed_rows, feed_rows, materialisation, projection, the check of its
+    feed against itself (check: pass, pass_with_review or skipped; checked and matched rows) and the first causes of failure.
+
+    files: file_states(); rows: statement rows with clean_key. Platforms without files are there too.
+    """
+    totals = files.groupBy("platform").agg(F.count("*").alias("files"), F.sum("parsed_rows").alias("parsed_rows"), F.sum("feed_rows").alias("feed_rows"))
+    failed = files.where(F.col("status").isin(list(FAILED))).select("platform", F.col("status"), F.concat("source_file", F.lit(" "), "causes").alias("why"))
+    why = worst_states(failed, ["platform"], "status", "why").select("platform", "causes")
+    fed = rows.where("file_status = 'include'")
+    own = fed.where(text("clean_key") != "").select("platform", "clean_key").distinct().withColumn("__in", F.lit(True))
+    n = lambda c, a: F.sum(c.cast("long")).alias(a)
+    checked = fed.join(own, ["platform", "clean_key"], "left").groupBy("platform").agg(F.count("*").alias("checked"), n(F.coalesce("__in", F.lit(False)), "matched"))
+    out = registry.select("platform", (F.col("final_class") == blocked_class).alias("__b"), (F.col("amount_rule_status") == locked).alias("__l")).join(totals, "platform", "left")
+    out = out.join(why, "platform", "left").join(checked, "platform", "left").na.fill(0).na.fill("", ["causes"])
+    state = (
+        F.when(F.col("files") == 0, "no_period_source").when((F.col("causes") != "") & (F.col("feed_rows") == 0), "parse_failed").when(F.col("__b"), "materialized_but_blocked_from_default_feed")
+        .when(F.col("feed_rows") > 0, "materialized_default_feed").otherwise("parsed_no_default_feed")
+    )
+    project = F.when(F.col("__b"), "s2_projection_blocked_non_s2_source").when(F.col("__l"), "s2_projection_candidate_after_policy").otherwise("s2_projection_blocked_by_amount_or_policy")
+    check = F.when(F.col("checked") == 0, "skipped_no_default_feed").when(F.col("matched") == F.col("checked"), "pass_after_substitution").otherwise("pass_with_review")
+    return out.select("platform", "files", "parsed_rows", "feed_rows", state.alias("materialisation"), project.alias("projection"), check.alias("check"), "checked", "matched", "causes")
+
+
 #: Platforms whose channels depend on words in the file's name, by first match, and the channels each then takes.
 NAME_RULES = [
     ("네이버", ["광고", "장르"], ["네이버_장르(광고수익)"]),

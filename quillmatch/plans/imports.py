@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions.text import field_candidates
 from quillmatch.operators import audit as A
-from quillmatch.operators import gates, sheets
+from quillmatch.operators import gates, names, sheets
 from quillmatch.operators import linkage as L
 from quillmatch.operators import refresh as R
 from quillmatch.plans import statements
@@ -31,7 +31,7 @@ def detect_channel_segments(spark, sf_dir):
     name = F.when(k == 0, F.concat(F.lit("2026-02__"), "p_brand", F.lit("__x Brand#25.xlsx"))).when(k == 1, F.concat(F.lit("in/2026 report "), "p_brand", F.lit(" .xlsx"))).otherwise("Brand#1/report.xlsx")
     p = table(spark, sf_dir, "part")
     channels = p.select("p_brand", F.concat(F.lit("P"), F.substring("p_brand", 7, 1)).alias("platform")).distinct()
-    return _assigned(L.detect_channel(p.select("p_partkey", name.alias("file")), "file", channels, "p_brand", "platform"))
+    return _assigned(names.detect_channel(p.select("p_partkey", name.alias("file")), "file", channels, "p_brand", "platform"))
 
 
 def _assigned(files):
@@ -41,7 +41,7 @@ def _assigned(files):
 def detect_platform(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     aliases = p.where("p_brand = 'Brand#1'").select(F.col("p_brand").alias("platform"), F.lit("Blue").alias("alias"), F.lit(0).alias("pos")).distinct()
-    return L.detect_platform(p.select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("file")), "file", aliases, p.select(F.col("p_brand").alias("platform")).distinct()).select("p_partkey", "platform")
+    return names.detect_platform(p.select("p_partkey", F.concat("p_name", F.lit(" "), "p_brand").alias("file")), "file", aliases, p.select(F.col("p_brand").alias("platform")).distinct()).select("p_partkey", "platform")
 
 
 def lookups(spark, sf_dir):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmatch.functions.text import id_text, numeric_zero, parse_amount
 from quillmatch.functions.titles import KEYWORDS, PHRASES, CleaningPolicy, add_clean_key, add_master_title, drop_disabled
 from quillmatch.operators import linkage as L
+from quillmatch.operators.names import longest_contained
 from quillmatch.operators.nearkeys import nearest_text
 from quillmatch.operators.nearkeys import residual_partition as residual
 from quillmatch.sources.reference import index_table
@@ -210,10 +211,13 @@ def rule_impact(spark, sf_dir):
 
 
 def detect_channel(spark, sf_dir):
+    """Names with a brand, with a type instead (no channel there), with two brands; half of the brands are no channels, so that some names hold only the
+    beginning of theirs. Aliases of one length and one rank go by text."""
     p = table(spark, sf_dir, "part")
-    files = p.select("p_partkey", F.concat(F.lit("2026-02 "), "p_brand", F.lit(" report "), "p_size", F.lit(".xlsx")).alias("file"))
-    brands = p.select("p_brand").union(p.select(F.substring("p_brand", 1, 7))).distinct()
-    return L.longest_contained(files, "file", brands, "p_brand").select("p_partkey", F.col("found").alias("channel"))
+    what = F.when(F.col("p_size") > 45, F.col("p_type")).when(F.col("p_size") > 40, F.concat("p_brand", F.lit(" Brand#11 Brand#12"))).otherwise(F.col("p_brand"))
+    files = p.select("p_partkey", F.concat(F.lit("2026-02 "), what, F.lit(" report "), "p_size", F.lit(".xlsx")).alias("file"))
+    brands = p.where("substr(p_brand, 7) < '2'").select("p_brand").union(p.select(F.concat(F.lit("and#"), F.substring("p_brand", 7, 1)))).distinct()
+    return longest_contained(files, "file", brands, "p_brand").select("p_partkey", F.col("found").alias("channel"))
 
 
 def _clean(e: str) -> str:
@@ -308,5 +312,7 @@ un AS (SELECT p_type AS c, key AS k, count(*) AS "rows" FROM p WHERE p_size > 25
     "rule_impact": REF_SQL + f""", sh AS (SELECT DISTINCT p_brand, regexp_extract(clean_key, '^[^aeiou]*') AS k FROM kp WHERE p_size <= 25),
  af AS (SELECT mp.p_brand, ref_status, CASE WHEN regexp_extract(clean_key, '^[^aeiou]*') = '' THEN 'blank_key' WHEN EXISTS (SELECT 1 FROM sh WHERE sh.p_brand = mp.p_brand AND sh.k = regexp_extract(clean_key, '^[^aeiou]*')) THEN 'matched' ELSE 'no_match' END AS new_status FROM mp)
 SELECT p_brand, ref_status AS old_status, new_status, count(*) AS "rows" FROM af WHERE ref_status <> new_status GROUP BY ALL""",
-    "detect_channel": "SELECT p_partkey, p_brand AS channel FROM part",
+    "detect_channel": """WITH f AS (SELECT p_partkey, '2026-02 ' || CASE WHEN p_size > 45 THEN p_type WHEN p_size > 40 THEN p_brand || ' Brand#11 Brand#12' ELSE p_brand END || ' report ' || p_size || '.xlsx' AS file FROM part),
+b AS (SELECT DISTINCT p_brand AS w FROM part WHERE substr(p_brand, 7) < '2' UNION SELECT 'and#' || substr(p_brand, 7, 1) FROM part)
+SELECT p_partkey, coalesce((SELECT w FROM b WHERE contains(file, w) ORDER BY length(w) DESC, w LIMIT 1), '') AS channel FROM f""",
 }

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmatch.operators import audit as A
 from quillmatch.operators import sheets as S
 from quillmatch.plans.linkage import table
 from quillmatch.sources import io, scratch
@@ -103,7 +104,17 @@ def sheet_audit(spark, sf_dir):
     return S.audit(S.standardize(c, candidates(spark)), c)
 
 
-QUERIES = {"header_detect": header_detect, "sections": sections, "normalize_cells": normalize_cells, "sheet_audit": sheet_audit, "workbook_sheet": workbook_sheet, "normalize_workbooks": normalize_workbooks, "workbook_audit": workbook_audit}
+def platform_audit(spark, sf_dir):
+    """The workbooks' platforms: odd ones with an adapter that finds no header in nations 1 to 9, even ones, and one without files."""
+    rows, sheets = normalized(spark, sf_dir)
+    torn = F.col("source_file").rlike("_[13579]\\.") & (F.col("status") == "parsed")
+    sheets = scratch.landed(sheets.withColumns({"status": F.when(torn, "header_not_found").otherwise(F.col("status")), "parsed_rows": F.when(torn, 0).otherwise(F.col("parsed_rows"))}))
+    rows = rows.where(~F.col("source_file").rlike("_[13579]\\."))
+    registry = spark.createDataFrame([("even", "x", "candidate_confirmed_after_reconcile"), ("odd", "x", "needs_policy"), ("spare", "non_s2_source_blocked", "blocked")], "platform string, final_class string, amount_rule_status string")
+    return A.platform_audit(A.file_states(sheets, rows), rows, registry)
+
+
+QUERIES = {"platform_audit": platform_audit, "header_detect": header_detect, "sections": sections, "normalize_cells": normalize_cells, "sheet_audit": sheet_audit, "workbook_sheet": workbook_sheet, "normalize_workbooks": normalize_workbooks, "workbook_audit": workbook_audit}
 
 _ROWS = "WITH p AS (SELECT *, o_orderpriority || ' ' || o_custkey AS sheet, CASE WHEN o_orderpriority LIKE '1-%' THEN 3 ELSE 2 END AS top, o_orderkey % 50 = 0 AS again FROM orders), o AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY o_orderkey) + top AS r FROM p), s AS (SELECT *, coalesce(max(CASE WHEN again THEN r END) OVER (PARTITION BY sheet ORDER BY r), top) AS h, o_orderpriority LIKE '5-%' AS low FROM o) "
 _BOOKS = """WITH c AS (SELECT *, n_name || '.xlsx' AS f, n_nationkey % 2 = 0 AS even, CASE WHEN n_nationkey % 5 = 0 THEN 3 ELSE 2 END AS top FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -114,6 +125,13 @@ ORACLE_SQL = {
     "sections": _ROWS + 'SELECT sheet, h AS header_row, count(*) AS "rows" FROM s WHERE NOT again GROUP BY 1, 2',
     "normalize_cells": _ROWS + "SELECT sheet, r AS source_row, 'order ' || o_orderkey AS title, CAST(o_custkey AS VARCHAR) AS author, '' AS external_id, CASE WHEN NOT low THEN round(o_totalprice) END AS sale_amount FROM s WHERE NOT again AND NOT contains('order ' || o_orderkey, '0000')",
     "sheet_audit": _ROWS + "SELECT 'f.xlsx' AS source_file, sheet, count(*) + any_value(top) AS sheet_rows, count(*) AS data_rows, count(*) FILTER (again OR low) AS bad_sale, CASE WHEN count(*) FILTER (again OR low) > 0 THEN 'sales that are no numbers' ELSE '' END AS messages FROM s GROUP BY sheet",
+    "platform_audit": _BOOKS + """, s AS (SELECT f, c_mktsegment AS g, even, scope AND n_name <> 'NATION_7' AS ok, regexp_matches(f, '_[13579][.]') AS torn, count(*) AS n FROM b GROUP BY ALL),
+w AS (SELECT f, string_agg('header_not_found: ' || g, ' | ' ORDER BY g) FILTER (k <= 3) AS c FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY g) AS k FROM s WHERE ok AND torn) GROUP BY f),
+y AS (SELECT string_agg('header_not_found: ' || f || ' ' || c, ' | ' ORDER BY f || ' ' || c) FILTER (k <= 3) AS c FROM (SELECT *, row_number() OVER (ORDER BY f || ' ' || c) AS k FROM w)),
+t AS (SELECT CASE WHEN even THEN 'even' ELSE 'odd' END AS platform, count(DISTINCT f) AS files, coalesce(sum(n) FILTER (ok AND NOT torn), 0) AS r FROM s GROUP BY 1)
+SELECT platform, files, CAST(r AS BIGINT) AS parsed_rows, CAST(r AS BIGINT) AS feed_rows, 'materialized_default_feed' AS materialisation, CASE platform WHEN 'even' THEN 's2_projection_candidate_after_policy' ELSE 's2_projection_blocked_by_amount_or_policy' END AS projection,
+ 'pass_after_substitution' AS "check", CAST(r AS BIGINT) AS checked, CAST(r AS BIGINT) AS matched, CASE platform WHEN 'odd' THEN (SELECT c FROM y) ELSE '' END AS causes FROM t
+ UNION ALL SELECT 'spare', 0, 0, 0, 'no_period_source', 's2_projection_blocked_non_s2_source', 'skipped_no_default_feed', 0, 0, ''""",
     "workbook_sheet": _BOOKS + """SELECT f AS file, r AS "row", CAST(c_custkey AS VARCHAR) AS code, '[연재] ' || c_name AS title, format('{:,.2f}', c_acctbal) AS sale FROM b WHERE c_mktsegment = 'BUILDING'
  UNION ALL SELECT DISTINCT f, 1, 'Sales', NULL, NULL FROM b WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT DISTINCT f, top, 'Ｃｏｄｅ', 'Ti-tle', 'Sale (KRW)' FROM b WHERE c_mktsegment = 'BUILDING'
  UNION ALL SELECT f, max(r) + 1, NULL, 'total', CAST(max(r) AS VARCHAR) FROM b WHERE c_mktsegment = 'BUILDING' GROUP BY f""",
