@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -23,15 +23,27 @@ def col(c: Text) -> Column:
 
 
 def text(c: Text) -> Column:
-    """Null -> "", Unicode white space trimmed; NaN text of a double -> ""."""
+    """Null -> "", Unicode white space trimmed. A column doesn't know its type, so NaN of a double becomes "NaN": number_text() and text_frame() take it for missing."""
     return F.coalesce(F.regexp_replace(col(c).cast("string"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), F.lit(""))
 
 
 def number_text(c: Text) -> Column:
-    """text() of a double column: NaN counts as missing."""
+    """text() of a float or double column: NaN counts as missing."""
     return F.when(F.isnan(col(c)), F.lit("")).otherwise(text(c))
 
 
+def text_frame(df: DataFrame) -> DataFrame:
+    """All columns as text, as tables are taken in: missing values, NaN among them, are ""."""
+    return df.select(*((number_text if t in ("float", "double") else text)(F.col(f"`{c}`")).alias(c) for c, t in df.dtypes))
+
+
+def normalize_number(c: Text) -> Column:
+    """A number as text: an integral one without a point, "" if it is none."""
+    d = amount_or_null(c)
+    whole = (d == F.floor(d)) & (F.abs(d) < 1e18)
+    return F.when(d.isNull() | F.isnan(d), F.lit("")).when(whole, d.try_cast("bigint").cast("string")).otherwise(d.cast("string"))
+
+
 @F.pandas_udf(StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))

@@ -63,8 +63,8 @@ def structured_segment(c: Column | str) -> Column:
 
 
 def square_inner(c: Column | str, policy: CleaningPolicy = DEFAULT) -> Column:
-    """What a title wholly in square brackets holds, unless that is a marker or a tag; else ""."""
-    inner = text(F.regexp_extract(col(c), r"^\[([^\[\]]+)\]$", 1))
+    """What a title wholly in square brackets holds, in NFKC, unless that is a marker or a tag; else ""."""
+    inner = text(nfkc(F.regexp_extract(col(c), r"^\[([^\[\]]+)\]$", 1)))
     names = [m.strip("[]()").lower() for m in policy.markers] + list(WRAPPER_TAGS)
     return F.when(F.lower(inner).isin(names), F.lit("")).otherwise(inner)
 
@@ -80,8 +80,11 @@ def _cut(c: Column, pattern: str) -> Column:
 
 
 def add_clean_key(df: DataFrame, title: str, key: str = "clean_key", policy: CleaningPolicy = DEFAULT) -> DataFrame:
-    """df with the match key of title. The order of the steps matters; each NFKC step is a column of its own."""
-    base, shown, body = "__t0", "__t1", "__t2"
+    """df with the match key of title. The order of the steps matters; each NFKC step is a column of its own. A title that is a date is its month and day."""
+    base, shown, body, inside = "__t0", "__t1", "__t2", "__t3"
+    if dict(df.dtypes)[title] in ("date", "timestamp", "timestamp_ntz"):
+        day = F.concat(F.month(title).cast("string"), F.lit("월"), F.dayofmonth(title).cast("string"), F.lit("일"))
+        return df.withColumn(key, F.coalesce(day, F.lit("")))
     t = _cut(_cut(text(title), r"\s*~[^~]+~\s*$"), r"\s+\d+부(?:\s*-\s*.*)?$")
     out = df.withColumn(base, t).withColumn(shown, nfkc(base))
     contract = contract_title(shown)
@@ -92,8 +95,8 @@ def add_clean_key(df: DataFrame, title: str, key: str = "clean_key", policy: Cle
     t = F.regexp_replace(t, r"(?U)(^|\s)제\s*\d+[권화]", " ")
     t = F.translate(t, "?~,-_", "")
     out = out.withColumn(body, t)
-    inner = square_inner(body, policy)
-    t = F.when(inner != "", inner).otherwise(F.col(body))
+    out = out.withColumn(inside, square_inner(body, policy))
+    t = F.when(F.col(inside) != "", F.col(inside)).otherwise(F.col(body))
     t = _cut(_cut(t, r"\([^)]*\)|\[[^\]]*\]"), r"【[^】]*】")
     for phrase in PHRASES:
         t = F.replace(t, F.lit(phrase), F.lit(""))
@@ -110,7 +113,7 @@ def add_clean_key(df: DataFrame, title: str, key: str = "clean_key", policy: Cle
     special = F.coalesce(*(F.when(F.contains(F.col(base), F.lit(e)), F.lit(e.lower())) for e in policy.exceptions)) if policy.exceptions else F.lit(None).cast("string")
     dated = F.when(F.col(base).rlike(r"(?U)^\d{1,2}월\d{1,2}일$"), F.lower(base))
     out = out.withColumn(body, F.coalesce(special, dated, t))
-    return out.withColumn(key, F.col(body)).drop(*({base, shown, body} - {key}))
+    return out.withColumn(key, F.col(body)).drop(*({base, shown, body, inside} - {key}))
 
 
 def add_master_title(df: DataFrame, title: str, out: str = "master_title", policy: CleaningPolicy = DEFAULT) -> DataFrame:

@@ -96,6 +96,21 @@ def map_statements(stmt: DataFrame, ref_index: DataFrame, on: Sequence[str], mas
     return out.withColumn("review_reason", reason).withColumn("review", F.when(reason != "", F.lit("Y")).otherwise(F.lit("N")))
 
 
+def with_source_columns(rows: DataFrame, prefix: str = "source_", known: Sequence[str] = ()) -> DataFrame:
+    """rows with the columns that aren't known (the statement schema's by default, and what mapping adds) under a prefix, behind the others."""
+    own = set(known) | {c for c in rows.columns if c.startswith(("ref_", "master_"))} | {"review", "review_reason", "clean_key"}
+    return rows.select(*(c for c in rows.columns if c in own), *(F.col(f"`{c}`").alias(prefix + c) for c in rows.columns if c not in own))
+
+
+def all_duplicates(sides: dict[str, DataFrame]) -> DataFrame:
+    """The duplicates of several references in one table, with the reference's name; columns that a side lacks are null."""
+    out = None
+    for name, df in sides.items():
+        df = df.select(F.lit(name).alias("reference"), "*")
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def duplicates(index: DataFrame, stmt: DataFrame, on: Sequence[str]) -> DataFrame:
     """Index rows of several ids whose key occurs in the statements."""
     return index.where("id_count > 1").join(stmt.where(text(on[-1]) != "").select(*on), list(on), "left_semi")

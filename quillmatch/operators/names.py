@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions.text import nfkc, norm_header, text
 from quillmatch.operators.ranks import global_rank
+from quillmatch.sources.scratch import landed
 
 #: Words of one automaton (some 200 MB); more of them go by blocks.
 MAX_WORDS = 1 << 20
@@ -34,7 +35,9 @@ def best_contained(names: DataFrame, name: str, words: DataFrame, word: str, ord
     out = None
     for rows in blocks:
         got = _looked_up(left, name, [tuple(r) for r in rows.select(word, *payload).collect()], payload)  # `block` rows at most
-        left = left.join(got, name, "left_anti") if len(blocks) > 1 else left
+        if len(blocks) > 1:
+            got = landed(got)  # the next block's names depend on it: kept, or plans double with every block
+            left = landed(left.join(got, name, "left_anti"))
         out = got if out is None else out.unionByName(got)
     return out
 

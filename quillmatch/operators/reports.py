@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.functions.text import numeric_sum, pipe_ids, text, unique_list
+from quillmatch.functions.text import numeric_sum, numeric_zero, pipe_ids, text, unique_list
 from quillmatch.operators.linkage import capped_list, capped_lists
 from quillmatch.operators.ranks import global_rank
 
@@ -56,15 +56,45 @@ def coverage_gap(service: DataFrame, lookup: DataFrame, samples: DataFrame, id_c
     return out.select(*service.columns, yes.alias("paid"), F.array_join(F.coalesce("files", F.array()), " | ").alias("sample_files"), grade.alias("grade"))
 
 
+#: What to do about each grade.
+GRADE_ACTIONS = {
+    "A_SEEN_WITHOUT_PAYMENT": "candidate for a missing-payment suffix; no automatic match before its payment is set up",
+    "B_WITHOUT_PAYMENT": "keep under audit; becomes a candidate when a statement shows it",
+    "C_DISABLED": "block before matching",
+    "OK_PAID": "usable",
+}
+
+
+def coverage_judgement(service: DataFrame, lookup: DataFrame, samples: DataFrame, id_col: str, key: str, file: str, disabled: str, row_no: str, shown: Sequence[str] = ()) -> DataFrame:
+    """coverage_gap() with action, in_samples (Y/N) and paid_<column> for the columns shown of the lookup: those of its first row (by row_no) of the id, "" where it
+    has none."""
+    first = lookup.where(text(id_col) != "").groupBy(id_col).agg(*(F.min_by(text(c), row_no).alias(f"paid_{c}") for c in shown)) if shown else None
+    out = coverage_gap(service, lookup, samples, id_col, key, file, disabled)
+    action = F.coalesce(*(F.when(F.col("grade") == g, F.lit(a)) for g, a in GRADE_ACTIONS.items()))
+    out = out.withColumns({"action": action, "in_samples": F.when(F.col("sample_files") != "", "Y").otherwise("N")})
+    if first is None:
+        return out
+    return out.join(first, id_col, "left").na.fill("", [f"paid_{c}" for c in shown]).select(*out.columns, *(f"paid_{c}" for c in shown))
+
+
+def coverage_summary(judged: DataFrame, by: str) -> DataFrame:
+    """Rows of the judgement by `by` and grade, and over all (by ""), in one pass."""
+    each = F.array(F.struct(F.lit(False).alias("total"), text(by).alias("v")), F.struct(F.lit(True).alias("total"), F.lit("").alias("v")))
+    long = judged.select("grade", F.explode(each).alias("x"))
+    return long.groupBy(F.col("x.v").alias(by), F.col("x.total").alias("total"), "grade").agg(F.count("*").alias("n"))
+
+
 def grade_pivot(graded: DataFrame, by: str) -> DataFrame:
     grades = ["A_SEEN_WITHOUT_PAYMENT", "B_WITHOUT_PAYMENT", "C_DISABLED", "OK_PAID"]
     return graded.groupBy(by).pivot("grade", grades).count().select(by, *(F.coalesce(F.col(g), F.lit(0)).cast("long").alias(g.lower()) for g in grades))
 
 
-def safe_candidates(rows: DataFrame, reason: str, master_ids: DataFrame, special: Sequence[str], channel: str, label: str = "id", evidence: str = "detail_evidence", detail: str = "detail_reason", guard: str = "") -> DataFrame:
-    """Rows of exactly this reason: content_id if the evidence names one that the master has, and why others are excluded ("" if safe).
+def safe_candidates(rows: DataFrame, reason: str, master_ids: DataFrame, special: Sequence[str], channel: str, label: str = "id", evidence: str = "detail_evidence", detail: str = "detail_reason", guard: str = "", counts: Sequence[str] = ()) -> DataFrame:
+    """Rows of exactly this reason: content_id if the evidence names one that the master has, and why others are excluded ("" if safe; else the first
+    of: special channel, not one content, not in master, a guard's count).
 
-    guard: only that guard's section of the evidence counts; all sections if empty.
+    guard: only that guard's section of the evidence counts; all sections if empty. counts: columns with the number of hits of guards, which must be 0
+    or blank; those that rows lack are passed over.
     """
     sections = F.filter(F.split(evidence, r" \|\| "), lambda s: s.startswith(f"{guard}: " if guard else ""))
     rows = rows.withColumn(evidence, F.array_join(sections, " || "))
@@ -72,7 +102,10 @@ def safe_candidates(rows: DataFrame, reason: str, master_ids: DataFrame, special
     known = master_ids.select(text(master_ids.columns[0]).alias("content_id")).distinct().withColumn("_m", F.lit(True))
     out = rows.where(F.col(detail) == reason).withColumn("_ids", ids).withColumn("content_id", F.when(F.size("_ids") == 1, F.col("_ids")[0]).otherwise(F.lit("")))
     out = out.join(known, "content_id", "left")
-    why = F.when(F.col(channel).isin(list(special)), "special channel").when(F.size("_ids") != 1, "not one content").when(F.col("_m").isNull(), "not in master").otherwise("")
+    why = F.when(F.col(channel).isin(list(special)), "special channel").when(F.size("_ids") != 1, "not one content").when(F.col("_m").isNull(), "not in master")
+    for c in (c for c in counts if c in rows.columns):
+        why = why.when(~numeric_zero(c), F.concat(F.lit(f"{c}="), text(c)))
+    why = why.otherwise("")
     return out.withColumn("excluded_because", why).drop("_ids", "_m")
 
 

@@ -143,6 +143,25 @@ def gap_grades(spark, sf_dir):
     return graded(spark, sf_dir).select("p_partkey", "paid", "sample_files", "grade")
 
 
+def judged(spark, sf_dir):
+    """Parts as service contents; lines returned at a discount as payments, dear lines as statement samples."""
+    k = Keys(spark, sf_dir)
+    p = keyed_parts(k).select("p_partkey", "p_brand", "clean_key", F.when(F.col("p_size") == 1, "Y").otherwise("N").alias("disabled"))
+    l = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    no = F.col("l_orderkey") * 10**8 + F.col("l_linenumber") * 10**6 + F.col("l_suppkey")
+    paid = l.where("l_returnflag = 'R' and l_discount >= 0.08 and l_tax <= 0.01").withColumn("no", no)
+    seen = l.where("l_extendedprice > 99000").join(p, "p_partkey").select("clean_key", F.concat(F.lit("file"), F.col("l_suppkey").cast("string")).alias("f"))
+    return P.coverage_judgement(p, paid, seen, "p_partkey", "clean_key", "f", "disabled", "no", ["l_linestatus", "l_suppkey"])
+
+
+def coverage_judgement(spark, sf_dir):
+    return judged(spark, sf_dir).drop("disabled", "clean_key")
+
+
+def coverage_summary(spark, sf_dir):
+    return P.coverage_summary(judged(spark, sf_dir), "p_brand")
+
+
 def grade_pivot(spark, sf_dir):
     return P.grade_pivot(graded(spark, sf_dir), "p_brand")
 
@@ -191,9 +210,17 @@ QUERIES = {
     "status_table": status_table, "gate_allowed": gate_allowed, "gate_blocked": gate_blocked, "gate_audit": gate_audit, "gate_summary": gate_summary, "status_by_department": status_by_department,
     "only_blocked_alerts": only_blocked_alerts, "blocked_title_hits": blocked_title_hits, "latest_lookup": latest_lookup, "conflict_counts": conflict_counts, "profile": profile, "value_counts": value_counts,
     "snapshot_diff": snapshot_diff, "change_summary": change_summary, "change_feed": change_feed, "compare_ids": compare_ids, "work_order": work_order, "combined_report": combined_report,
-    "batch_summary": batch_summary, "reconcile_amounts": reconcile_amounts, "gap_grades": gap_grades, "grade_pivot": grade_pivot, "safe_candidates": safe_candidates, "reflection": reflection, "schema_clusters": schema_clusters,
+    "batch_summary": batch_summary, "reconcile_amounts": reconcile_amounts, "gap_grades": gap_grades, "coverage_judgement": coverage_judgement, "coverage_summary": coverage_summary, "grade_pivot": grade_pivot, "safe_candidates": safe_candidates, "reflection": reflection, "schema_clusters": schema_clusters,
 }
 
+_JUDGED = f"""WITH {linkage.PART_SQL} pd AS (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.08 AND l_tax <= 0.01),
+pf AS (SELECT l_partkey, arg_min(l_linestatus, no) AS ls, arg_min(l_suppkey, no) AS sk FROM (SELECT *, l_orderkey * 100000000 + l_linenumber * 1000000 + l_suppkey AS no FROM pd) GROUP BY 1),
+sm AS (SELECT DISTINCT clean_key, 'file' || l_suppkey AS f FROM lineitem JOIN kp ON l_partkey = p_partkey WHERE l_extendedprice > 99000 AND clean_key <> ''),
+sl AS (SELECT clean_key, string_agg(f, ' | ' ORDER BY f) AS fs FROM (SELECT *, row_number() OVER (PARTITION BY clean_key ORDER BY f) AS n FROM sm) WHERE n <= 10 GROUP BY 1),
+jg AS (SELECT p_partkey, p_brand, CASE WHEN pf.l_partkey IS NULL THEN 'N' ELSE 'Y' END AS paid, coalesce(fs, '') AS sample_files, ls, sk,
+ CASE WHEN p_size = 1 THEN 'C_DISABLED' WHEN pf.l_partkey IS NOT NULL THEN 'OK_PAID' WHEN fs IS NOT NULL THEN 'A_SEEN_WITHOUT_PAYMENT' ELSE 'B_WITHOUT_PAYMENT' END AS grade FROM kp LEFT JOIN pf ON l_partkey = p_partkey LEFT JOIN sl USING (clean_key))
+"""
+_ACTION = "CASE grade " + " ".join(f"WHEN '{g}' THEN '{a}'" for g, a in P.GRADE_ACTIONS.items()) + " END"
 ORACLE_SQL = {
     "status_table": _STATUS + "SELECT id, content, paid, disabled, department, mixed_risk, status, as_of FROM sa",
     "gate_allowed": _STATUS + f"SELECT {_R}, gate_status FROM gt WHERE gate_status LIKE 'OK\\_%' ESCAPE '\\'",
@@ -215,6 +242,8 @@ ORACLE_SQL = {
     "combined_report": linkage.REF_SQL + f"SELECT {_R}, ref_status, detail_reason, '' AS note FROM xp",
     "batch_summary": linkage.REF_SQL + "SELECT p_brand, count(*) AS \"rows\", count(*) FILTER (ref_status = 'matched') AS matched, count(*) FILTER (ref_status = 'no_match') AS no_match, count(*) FILTER (review_reason <> '') AS to_review FROM mr GROUP BY 1",
     "reconcile_amounts": "WITH a AS (SELECT l_suppkey, count(*) AS r, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY 1), b AS (SELECT l_suppkey, count(*) AS r, round(sum(l_quantity + CASE WHEN l_suppkey % 5 = 2 THEN 1 ELSE 0 END), 2) AS q FROM lineitem WHERE l_suppkey % 5 <> 1 GROUP BY 1), j AS (SELECT CAST(s_suppkey AS VARCHAR) AS s, coalesce(a.r, 0) AS a_rows, coalesce(a.q, 0) AS a_l_quantity, coalesce(b.r, 0) AS b_rows, coalesce(b.q, 0) AS b_l_quantity FROM supplier LEFT JOIN a ON a.l_suppkey = s_suppkey LEFT JOIN b ON b.l_suppkey = s_suppkey) SELECT *, round(a_l_quantity - b_l_quantity, 2) AS delta_l_quantity, CASE WHEN a_rows = 0 AND b_rows = 0 THEN 'absent' WHEN a_rows = 0 THEN 'only_b' WHEN b_rows = 0 THEN 'only_a' WHEN abs(a_l_quantity - b_l_quantity) < 1 THEN CASE WHEN a_rows = b_rows THEN 'equal' ELSE 'amounts_equal' END ELSE 'differs' END AS status FROM j",
+    "coverage_judgement": _JUDGED + "SELECT p_partkey, p_brand, paid, sample_files, grade, " + _ACTION + " AS action, CASE WHEN sample_files <> '' THEN 'Y' ELSE 'N' END AS in_samples, coalesce(ls, '') AS paid_l_linestatus, coalesce(CAST(sk AS VARCHAR), '') AS paid_l_suppkey FROM jg",
+    "coverage_summary": _JUDGED + "SELECT p_brand, false AS total, grade, count(*) AS n FROM jg GROUP BY 1, 3 UNION ALL SELECT '', true, grade, count(*) FROM jg GROUP BY 3",
     "gap_grades": _GRADE + "SELECT p_partkey, paid, sample_files, grade FROM gg",
     "grade_pivot": _GRADE + "SELECT p_brand, count(*) FILTER (grade = 'A_SEEN_WITHOUT_PAYMENT') AS a_seen_without_payment, count(*) FILTER (grade = 'B_WITHOUT_PAYMENT') AS b_without_payment, count(*) FILTER (grade = 'C_DISABLED') AS c_disabled, count(*) FILTER (grade = 'OK_PAID') AS ok_paid FROM gg GROUP BY 1",
     "safe_candidates": linkage.REF_SQL + f", bx AS (SELECT *, string_split(b_ids, ' | ') AS bl FROM xp WHERE detail_reason = 'billing | master') SELECT {_R}, CASE WHEN len(bl) = 1 THEN bl[1] ELSE '' END AS content_id, CASE WHEN p_brand = 'Brand#11' THEN 'special channel' WHEN len(bl) <> 1 THEN 'not one content' WHEN NOT EXISTS (SELECT 1 FROM part WHERE CAST(p_partkey AS VARCHAR) = bl[1] AND p_size % 2 = 0) THEN 'not in master' ELSE '' END AS excluded_because FROM bx",

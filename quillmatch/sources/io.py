@@ -19,15 +19,44 @@ from quillmatch.sources.workbooks import BROKEN, CELLS, shared_strings, sheet_ce
 
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    files, make = _hadoop(spark, path)
+    return len(files.globStatus(make(path)) or []) > 0
+
+
 def scan_lookup(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """CSV as text, exactly these columns: absent ones are "", cells may span lines. No path: no rows."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
+    """CSV as text, exactly these columns: absent ones are "", cells may span lines. Paths may be patterns; no path, or none of them there: no rows."""
+    paths = [p for p in ([paths] if isinstance(paths, str) else paths) if _there(spark, p)]
     if not paths:
         return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))
     df = spark.read.csv(paths, header=True, multiLine=True, escape='"', inferSchema=False)
     return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns))
 
 
+def scan_parts(spark: SparkSession, folder: str, stem: str, columns: Sequence[str]) -> DataFrame:
+    """A table that was landed in parts, <stem>_part_*.csv, or else in one file, <stem>.csv; no rows if neither is there."""
+    parts = f"{folder}/{stem}_part_*.csv"
+    return scan_lookup(spark, parts if _there(spark, parts) else f"{folder}/{stem}.csv", columns)
+
+
+#: Columns that tell the interface's own layout of payment rows.
+RAW_MARKERS = ("schnCtnsId", "ctnsId", "ctnsNm", "pymtSetlId", "pymtSetlDtlId")
+
+
+def payment_rows(df: DataFrame, names: dict[str, str], required: Sequence[str]) -> DataFrame:
+    """Payment rows in the standard layout: as they are if they have the required columns; with raw names (names: raw -> standard) made standard ones if the
+    columns of RAW_MARKERS are there, where a standard column that is there already is kept. ValueError that lists what is missing."""
+    if all(c in df.columns for c in required):
+        return df
+    out = df
+    if all(c in df.columns for c in RAW_MARKERS):
+        out = df.withColumns({new: F.col(old) for old, new in names.items() if old in df.columns and new not in df.columns})
+    absent = [c for c in required if c not in out.columns]
+    if absent:
+        raise ValueError("the payment rows lack columns: " + ", ".join(absent))
+    return out
+
+
 def payment_from_json(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Raw names to standard ones as text; a standard column that is there already is kept."""
     out = [F.coalesce(*(F.col(c).cast("string") for c in (new, old) if c in df.columns), F.lit("")).alias(new) for old, new in names.items()]
