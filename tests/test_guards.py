@@ -6,7 +6,7 @@ from quillmatch.operators import audit as A
 from quillmatch.operators import gates, sheets
 from quillmatch.operators import guards as G
 from quillmatch.operators import linkage as L
-from quillmatch.operators import names
+from quillmatch.operators import names as N
 from quillmatch.operators import refresh as R
 from quillmatch.sources import io
 
@@ -63,9 +63,9 @@ def test_channels_of_files(spark):
     channels = spark.createDataFrame([("네이버_장르", "네이버"), ("네이버_장르(광고수익)", "네이버"), ("토스(구루컴퍼니)", "토스"), ("a", "P1"), ("a", "P2"), (None, "x")], "c string, p string")
     names = ["2026년 2월 네이버_장르(광고수익) 정산상세.xlsx", "2026-02__토스(구루컴퍼니)__네이버_장르.xlsx", "2026년 2월 카카오 정산상세.xlsx", "x\\y\\네이버 장르.xlsx", "a/없음.xlsx", None]
     files = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, name string")
-    got = [(r.channel, r.platform) for r in names.detect_channel(files, "name", channels, "c", "p").orderBy("i").collect()]
+    got = [(r.channel, r.platform) for r in N.detect_channel(files, "name", channels, "c", "p").orderBy("i").collect()]
     assert got == [("네이버_장르(광고수익)", "네이버"), ("토스(구루컴퍼니)", "토스"), ("", ""), ("네이버_장르", "네이버"), ("", ""), ("", "")]
-    assert {r.status for r in L.assign_channels(names.detect_channel(files, "name", channels, "c", "p")).collect()} == {"ok", "choose"}
+    assert {r.status for r in L.assign_channels(N.detect_channel(files, "name", channels, "c", "p")).collect()} == {"ok", "choose"}
     assert L.assign_channels(files.withColumns({"channel": F.lit(""), "platform": F.lit("")}), chosen="a").first().applied == "a"
     names = [("네이버", "네이버 광고 장르.xlsx"), ("네이버", "네이버 연 재.xlsx"), ("네이버", "네이버.xlsx"), ("카카오", "창작지원금"), ("else", "x")]
     files = spark.createDataFrame(names, "platform string, name string")

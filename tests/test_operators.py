@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.operators import gates as G
 from quillmatch.operators import linkage as L
-from quillmatch.operators import names
+from quillmatch.operators import names as N
 from quillmatch.operators import refresh as R
 from quillmatch.operators import reports as P
 from quillmatch.operators import sheets as S
@@ -71,7 +71,7 @@ def test_snapshot_diff(spark):
 def test_channel_detection(spark):
     words = spark.createDataFrame([("네이버_장르",), ("네이버_장르(광고수익)",), ("토스",)], "w string")
     files = spark.createDataFrame([(1, "2026년 2월 네이버_장르(광고수익) 정산상세.xlsx"), (2, "2026년 2월 카카오.xlsx")], "i int, f string")
-    assert {r.i: r.found for r in names.longest_contained(files, "f", words, "w").collect()} == {1: "네이버_장르(광고수익)", 2: ""}
+    assert {r.i: r.found for r in N.longest_contained(files, "f", words, "w").collect()} == {1: "네이버_장르(광고수익)", 2: ""}
 
 
 def test_work_order(spark):
