@@ -143,7 +143,7 @@ def gap_grades(spark, sf_dir):
     return graded(spark, sf_dir).select("p_partkey", "paid", "sample_files", "grade")
 
 
-def judged(spark, sf_dir):
+def coverage_judged(spark, sf_dir):
     """Parts as service contents; lines returned at a discount as payments, dear lines as statement samples."""
     k = Keys(spark, sf_dir)
     p = keyed_parts(k).select("p_partkey", "p_brand", "clean_key", F.when(F.col("p_size") == 1, "Y").otherwise("N").alias("disabled"))
@@ -155,11 +155,11 @@ def judged(spark, sf_dir):
 
 
 def coverage_judgement(spark, sf_dir):
-    return judged(spark, sf_dir).drop("disabled", "clean_key")
+    return coverage_judged(spark, sf_dir).drop("disabled", "clean_key")
 
 
 def coverage_summary(spark, sf_dir):
-    return P.coverage_summary(judged(spark, sf_dir), "p_brand")
+    return P.coverage_summary(coverage_judged(spark, sf_dir), "p_brand")
 
 
 def grade_pivot(spark, sf_dir):
