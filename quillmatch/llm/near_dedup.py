@@ -10,8 +10,8 @@ candidates left between different components. Larger (dense) regions then take a
 shingles (prefix filter), and every class meets the one class of each of its shingles that has the fewest rare ones, the likeliest centre
 of a group of near copies. These three only spare work: they make the last round, which is complete, small. It takes what can still
 join two components: of a region of up to REGION classes all pairs of different components; the classes of dense regions with more than
-one component meet by the whole prefix filter, an equi-join that holds every pair of the similarity, at any size of the
-region. All are checked on full sets, if the share of equal minima isn't five deviations below the limit (a pair at the limit fails that by chance
+one component meet by the shingles that few of them hold, or else by parts of the shingles that many hold (`_parted` says why no pair of the
+similarity is left out), at any size of the region. All are checked on full sets, if the share of equal minima isn't five deviations below the limit (a pair at the limit fails that by chance
 with probability 3e-7).
 
 At similarity 0.8 an order shares MIN_DEPTH minima with probability 0.41, so 32 orders miss a pair with probability 5e-8. Dense regions
@@ -39,6 +39,8 @@ from quillmatch.llm.workers import sparing
 
 DEPTH, MIN_DEPTH = 8, 4
 REGION = 48
+#: Classes of dense regions that hold a shingle, up to which all of them meet by it; a shingle of more is common.
+COMMON = 48
 SET_BITS = 48
 #: Candidates up to which their ids (8 bytes each) are broadcast to pick their texts; beyond, texts are shuffled to meet them.
 BROADCAST_IDS = 1 << 21
@@ -115,11 +117,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         likely = cut(_estimated(pairs.join(neighbours, ["a", "b"], "left_anti"), classes, percent))
         return cut(_confirmed(likely, cut(_sets(rows, likely, shingle)), classes, percent))
 
-    rare = cut(_rare(rows, cut(_rooted(members, joined)), shingle, percent))
+    ranked = cut(_ranked(rows, cut(_rooted(members, joined)), shingle))
+    rare = cut(_rare(ranked, percent))
     links = links.union(checked(_stars(cut(_rooted(rare, joined)), percent)))
     joined = components(links)
 
-    across = _across(cut(_rooted(members, joined))).union(_sharing(_rooted(rare, joined), percent)).distinct()
+    dense = _sharing(_rooted(rare.where(F.col("f") <= COMMON), joined), percent).union(_agreeing(_rooted(_parted(ranked, percent), joined), percent))
+    across = _across(cut(_rooted(members, joined))).union(dense).distinct()
     roots = components(links.union(checked(across))).withColumnRenamed("v", "k")
 
     named = classes.select("s", "k").join(roots, "k", "left").select("s", F.coalesce("root", "k").alias("root"))
@@ -192,11 +196,10 @@ def _rooted(of: DataFrame, joined: DataFrame) -> DataFrame:
     return of.join(joined.withColumnRenamed("v", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
 
 
-def _rare(rows: DataFrame, rooted: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """k, n, left, h: the index of a prefix filter over the classes of dense regions that hold more than one component.
+def _ranked(rows: DataFrame, rooted: DataFrame, shingle: int) -> DataFrame:
+    """k, n, hs: the sets of the classes of dense regions that hold more than one component, as (f, h) in order.
 
-    Shingles are ordered by the number of these classes that hold them, then by hash. A link has percent % of either set in common, so its first
-    common shingle is among the first n - ceil(percent * n / 100) + 1 of both; left counts h and what follows it in the set.
+    Shingles are ordered by f, the number of these classes that hold them, then by hash.
     """
     dense = rooted.where("dense")
     mixed = dense.groupBy("tree", "p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "p")
@@ -211,10 +214,75 @@ def _rare(rows: DataFrame, rooted: DataFrame, shingle: int, percent: int) -> Dat
     held = cut(wanted.mapInPandas(sparing(run), "k long, n long, hs array<long>").dropDuplicates(["k", "n", "hs"]))
     every = held.select("k", "n", F.xxhash64("hs").alias("s"), F.explode("hs").alias("h"))
     often = every.groupBy("h").agg(F.count("*").alias("f"))
-    ranked = every.join(often, "h").groupBy("k", "n", "s").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    return every.join(often, "h").groupBy("k", "n", "s").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs")).select("k", "n", "hs")
+
+
+def _rare(ranked: DataFrame, percent: int) -> DataFrame:
+    """k, n, left, f, h: the index of a prefix filter.
+
+    A link has percent % of either set in common, so its first common shingle is among the first n - ceil(percent * n / 100) + 1 of both;
+    left counts h and what follows it in the set.
+    """
     length = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     first = ranked.select("k", "n", F.posexplode(F.slice("hs", 1, length)).alias("at", "w"))
-    return first.where("w.f > 1").select("k", "n", (F.col("n") - F.col("at")).alias("left"), F.col("w.h").alias("h"))
+    return first.where("w.f > 1").select("k", "n", (F.col("n") - F.col("at")).alias("left"), "w.f", "w.h")
+
+
+PARITIES = ("x0", "x1", "x2", "x3")
+
+
+def _parted(ranked: DataFrame, percent: int) -> DataFrame:
+    """k, n, room, own, h, x0 to x3: keys of which two classes share one of, if they are a link and no shingle in common is held by COMMON classes or fewer.
+
+    A link's sets differ in at most (100 - percent) / (100 + percent) * (na + nb) shingles. If only common shingles are shared, all others
+    differ, which leaves the common ones room for (room_a + room_b) / (100 + percent) differences, where room = (100 - percent) * n -
+    (100 + percent) * others: at most twice the larger room's, fewer than a power of two, 2^j. Of 2^j parts of the common shingles, by hash, one
+    then has no difference: its contents are the key. own marks the keys of a class for its own j; it also has keys for each larger j that a partner
+    of its size and enough room can have, so pairs of which neither has that much room don't meet there. Few shingles can leave a part empty, which
+    many classes share: such keys go with a common shingle of the prefix (the first one that a link shares), up to 16 parts; with more parts, a link whose
+    every part without a difference is empty has a probability below 1e-9, and empty parts make no keys.
+
+    x0 to x3 are 256 parities of the common shingles, by hash: two sets have at least as many differences as parities that aren't the same, so
+    `_agreeing` leaves out pairs that have too many before it makes them.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for k, n, f, h in zip(pdf["k"], pdf["n"], pdf["f"], pdf["h"], strict=True):
+                h = np.asarray(h).astype(H.U)
+                keys, room, own = _part_keys(np.asarray(f), h, percent)
+                if len(keys):
+                    odd = np.bincount((H.mix(h[np.asarray(f) > COMMON]) & H.U(255)).astype(np.int64), minlength=256) & 1
+                    x = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+                    yield pd.DataFrame({"k": k, "n": n, "room": room, "own": own, "h": keys.view(np.int64), **dict(zip(PARITIES, x, strict=True))})
+
+    lists = ranked.select("k", "n", F.col("hs.f").alias("f"), F.col("hs.h").alias("h"))
+    return lists.mapInPandas(sparing(run), f"k long, n long, room long, own boolean, h long, {' long, '.join(PARITIES)} long")
+
+
+def _part_keys(f: np.ndarray, h: np.ndarray, percent: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """The keys of one ordered set, its room, and which are its own."""
+    n, differ, same = len(h), 100 - percent, 100 + percent
+    others = int(np.searchsorted(f, COMMON, "right"))
+    prefix = h[others : n + (-percent * n) // 100 + 1]
+    room = differ * n - same * others
+    first = (2 * abs(room) // same).bit_length()  # with less than no room: the least that a partner must have
+    last = (2 * differ * (100 * n // percent) // same).bit_length()
+    keys, own = [], []
+    if len(prefix):
+        mixed = H.mix(h[others:])
+        mixed.sort()
+        for j in range(first, last + 1):
+            at = (mixed >> H.U(64 - j)).astype(np.int64) if j else np.zeros(len(mixed), np.int64)
+            begun = np.flatnonzero(np.diff(at, prepend=-1))
+            tag = (H.U(j) << H.U(32)) + at[begun].astype(H.U)
+            found = [H.mix(np.add.reduceat(H.mix(mixed), begun) + H.mix(tag))]
+            if j <= 4:
+                for part in np.setdiff1d(np.arange(1 << j), at[begun]):
+                    found.append(H.mix(H.mix(prefix) + H.U((j << 32) + int(part))))
+            keys += found
+            own += [np.full(len(x), j == first and room >= 0) for x in found]
+    return (np.concatenate(keys), room, np.concatenate(own)) if keys else (np.empty(0, H.U), room, np.empty(0, bool))
 
 
 def _linkable(percent: int):
@@ -222,8 +290,8 @@ def _linkable(percent: int):
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * F.least("lefta", "leftb") >= percent * (F.col("na") + F.col("nb")))
 
 
-def _side(rare: DataFrame, end: str) -> DataFrame:
-    return rare.select("h", *(F.col(c).alias(c + end) for c in ("k", "root", "n", "left")))
+def _side(index: DataFrame, end: str, *more: str) -> DataFrame:
+    return index.select("h", *(F.col(c).alias(c + end) for c in ("k", "root", "n", *(more or ("left",)))))
 
 
 def _stars(rare: DataFrame, percent: int) -> DataFrame:
@@ -235,7 +303,7 @@ def _stars(rare: DataFrame, percent: int) -> DataFrame:
 
 
 def _sharing(rare: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a row of the index and can be links: none that is one is left out."""
+    """All pairs of different components that share a row of the index, of shingles that aren't common, and can be links."""
     rare = cut(rare)
     shared = rare.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
     rare = cut(rare.join(shared, "h", "left_semi"))
@@ -244,6 +312,18 @@ def _sharing(rare: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("ka").alias("a"), F.col("kb").alias("b")).distinct()
 
 
+def _agreeing(parted: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that agree in a part of their common shingles and can be links, one of them by its own key."""
+    parted = cut(parted)
+    shared = parted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("own").alias("own")).where("lo < hi and own").select("h")
+    parted = cut(parted.join(shared, "h", "left_semi"))
+    one, two = _side(parted.where("own"), "a", "room", *PARITIES), _side(parted, "b", "room", *PARITIES)
+    odd = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in PARITIES), F.lit(0))
+    sized = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("rooma") + F.col("roomb") >= (100 + percent) * odd)
+    met = one.join(two, "h").where((F.col("roota") != F.col("rootb")) & sized)
+    return met.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """a, b, equal (share of equal minima): pairs whose sizes allow a link and whose estimate isn't five deviations below the limit."""
 

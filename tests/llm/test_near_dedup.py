@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmatch.llm import near_dedup as N
 from quillmatch.llm.components import components
@@ -98,6 +99,73 @@ def test_dense_regions_lose_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in N.near_duplicates(df, shingle=4).collect()) == brute(rows, 4)
 
 
+def crowd(n, words=200, changed=5, seed=18):
+    """Copies of one text with words changed in each: similar (about 0.66), no links."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = [f"w{j}" for j in range(words)]
+        for at in rng.sample(range(words), changed):
+            w[at] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("shingle", [4, 5])
+def test_crowd_of_similar_documents_makes_few_pairs(spark, shingle):
+    """Twice the crowd makes about twice the pairs that are estimated, not four times."""
+    made = []
+    for n in (700, 1400):
+        df = spark.createDataFrame(crowd(n), "k long, t string")
+        members = df.select("k", F.lit(0).alias("tree"), F.lit(0).alias("p"), F.lit(True).alias("dense"), F.col("k").alias("root"))
+        ranked = N.cut(N._ranked(df, members, shingle))
+        rare, parted = N._rare(ranked, 80), N._parted(ranked, 80)
+        pairs = [N._sharing(rare.where(F.col("f") <= N.COMMON).withColumn("root", F.col("k")), 80), N._agreeing(parted.withColumn("root", F.col("k")), 80)]
+        made.append(sum(p.count() for p in pairs))
+    assert made[1] <= 2.2 * max(made[0], 50), made
+
+
+def test_part_keys_lose_no_link(monkeypatch):
+    """Sets of common shingles alone, or with some of their own: every pair that is a link agrees in a key that is one's own."""
+    rng = np.random.default_rng(19)
+    pool = rng.integers(0, 1 << 63, 4000, np.uint64)
+    often = {int(h): 100 + i for i, h in enumerate(pool)}
+    links = 0
+    for _ in range(4000):
+        n = int(rng.choice([1, 2, 3, 5, 8, 12, 30, 80, 300]))
+        base = rng.choice(pool, n, replace=False)
+        sides = []
+        for _ in range(2):
+            own = base[rng.random(n) >= rng.choice([0, 0.03, 0.08, 0.12])]
+            more = rng.integers(0, 1 << 63, rng.integers(0, 1 + n // 8), np.uint64)
+            extra = rng.choice(pool, rng.integers(0, 1 + n // 12), replace=False)
+            sides.append(np.unique(np.concatenate((own, more, extra))))
+        a, b = sides
+        both = len(np.intersect1d(a, b))
+        if not both or 100 * both < 80 * (len(a) + len(b) - both):
+            continue
+        links += 1
+        found = []
+        for x in sides:
+            f = np.array([often.get(int(h), 1) for h in x])
+            order = np.lexsort((x, f))
+            keys, room, own = N._part_keys(f[order], x[order], 80)
+            found.append((set(keys.tolist()), set(keys[own].tolist()), room))
+        (ka, oa, ra), (kb, ob, rb) = found
+        assert ra + rb >= 0 and (oa & kb or ob & ka)
+    assert links > 1000
+
+
+def test_ways_beyond_the_broadcast_and_below_common(spark, monkeypatch):
+    """Candidates' texts by a shuffle; regions and common shingles so small that every way is taken."""
+    monkeypatch.setattr(N, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(N, "REGION", 6)
+    monkeypatch.setattr(N, "COMMON", 2)
+    rows = [(len(corpus()) + i, t) for i, t in crowd(60, 120, 4)] + [(1000 + i, t) for i, t in crowd(40, 120, 2, 21)] + corpus()
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    assert sorted(tuple(r) for r in N.near_duplicates(df, shingle=4).collect()) == brute(rows, 4)
+
+
 @pytest.mark.parametrize("pairs", [1, 3])
 @pytest.mark.parametrize("partitions", [1, 200])
 def test_any_number_of_partitions(spark, pairs, partitions):
