@@ -3,7 +3,9 @@
 Three base patterns report by their form alone. Beyond them, every maximal run of base64 (MIN_BASE64 digits or more) or hex (MIN_HEX) is
 decoded whole and reported only if what it holds parses: DER private keys whose nested lengths all close (plain, or encrypted by a password),
 the binary OpenSSH form, PEM blocks around either (with headers, or with line ends written out as in JSON), and signed tokens whose header and claims decode to JSON with an algorithm. Decoded text is looked through
-in the same way, so a PEM block or a token in base64 is found too; its kind is then key or token. Rows are independent, so nothing is shuffled.
+in the same way, so a PEM block or a token in base64 is found too; its kind is then key or token. A run that isn't a key as a whole may hold one: where a
+key's first bytes stand in it, its outer length says how far to read on, over line breaks too (its parts' heads are read first, so this takes linear time), so a key behind a letter or path, or wrapped over lines
+without markers, is found if it is at most MAX_INNER bytes long. So is DER in hex with a colon between bytes. Rows are independent, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,9 +41,22 @@ PEM_HEADER = re.compile(r"([A-Za-z0-9-]{1,40}):[ \t]*(.*)")
 CIPHER = re.compile(r"[A-Za-z0-9-]{3,40},[0-9A-Fa-f]{16,64}\Z")
 #: Object ids, in DER, under which keys are encrypted by a password.
 PASSWORD_OIDS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-
+#: What a token's header can begin with: a brace, or white space before it, in base64.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?:e[w-z0-9_-]|I[A-P]|C[Q-Za-v]|D[Q-Za-f])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*")
+#: The digits of the alphabet for URLs to those of the standard one.
+STANDARD = {0x2D: 0x2B, 0x5F: 0x2F}
+PADDING = re.compile(r"={0,2}")
+#: The longest key that is looked for inside a run, in bytes: what two bytes of length can say.
+MAX_INNER = 4 + 0xFFFF
+#: A sequence of a length in one, two or three bytes and the head of a version or of another sequence, or the OpenSSH form's magic.
+KEY_START = re.compile(r"M(?=[A-H][AEIMQUYcgkosw048][Cw]|I[GH].[AM]|I[I-L]...(?:IB|[A-D]))|b(?=3BlbnNzaC1rZXktdjEA)")
+PIECE = re.compile(r"([A-Za-z0-9+/_-]+)|\\+[rn]|[ \t]*[\r\n][ \t]*")
+COLON_HEX = re.compile(r"(?<![0-9A-Fa-f:])30(?::\s*[0-9A-Fa-f]{2}){15,}")
+
+OPENSSH = b"openssh-key-v1\0"
 INTEGER, BIT_STRING, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
+#: What a private key's sequence is made of, and of how many parts at most.
+PARTS, MAX_PARTS = (INTEGER, OCTETS, SEQUENCE, 0xA0, 0xA1, 0x81), 12
 
 
 def elements(data: bytes) -> list[tuple[int, bytes]]:
@@ -66,8 +82,8 @@ def elements(data: bytes) -> list[tuple[int, bytes]]:
 
 def private_key(data: bytes) -> bool:
     """Whether data is one private key: PKCS 1, PKCS 8 (plain or encrypted), SEC 1 or DSA in DER, or the OpenSSH form."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return _openssh(data[15:])
+    if data.startswith(OPENSSH):
+        return _openssh(data) == len(data)
     try:
         outer = elements(data)
         if len(outer) != 1 or outer[0][0] != SEQUENCE:
@@ -95,8 +111,8 @@ def _held(data: bytes) -> bool:
     return len(elements(data)) == 1
 
 
-def _openssh(data: bytes) -> bool:
-    """Cipher, derivation, its options, the number of keys, public keys, private part: each behind its length, nothing left over."""
+def _openssh(data: bytes) -> int:
+    """Where the OpenSSH form ends: cipher, derivation, its options, the number of keys, public keys, private part, each behind its length. 0 if it isn't one."""
 
     def field(at: int) -> tuple[bytes, int]:
         if at + 4 > len(data):
@@ -107,15 +123,74 @@ def _openssh(data: bytes) -> bool:
         return data[at + 4 : end], end
 
     try:
-        cipher, at = field(0)
+        cipher, at = field(len(OPENSSH))
         derivation, at = field(at)
         _, at = field(at)
         count, at = int.from_bytes(data[at : at + 4], "big"), at + 4
         for _ in range(min(count, 1000) + 1):
             _, at = field(at)
-        return 0 < count < 1000 and cipher.isascii() and len(cipher) > 0 and len(derivation) > 0 and at == len(data)
+        return at if 0 < count < 1000 and cipher.isascii() and len(cipher) > 0 and len(derivation) > 0 else 0
     except ValueError:
-        return False
+        return 0
+
+
+def _bytes(digits: str, start: int, at: int, n: int) -> bytes:
+    """The n bytes (fewer at the end) behind the first `at` of those that digits hold from start on."""
+    first = start + at // 3 * 4
+    some = digits[first : first + (at % 3 + n + 2) // 3 * 4]
+    some = some[: len(some) - (len(some) % 4 == 1)]
+    return binascii.a2b_base64(some + "=" * (-len(some) % 4))[at % 3 :][:n]
+
+
+def _head(data: bytes) -> tuple[int, int, int]:
+    """Tag, length of the head and of the contents of an element that begins with data; ValueError for lengths of more than two bytes."""
+    if len(data) < 2 or data[1] in (0x80, *range(0x83, 0x100)) or len(data) < 2 + (data[1] & 0x7F if data[1] & 0x80 else 0):
+        raise ValueError("no head")
+    width = data[1] & 0x7F if data[1] & 0x80 else 0
+    return data[0], 2 + width, int.from_bytes(data[2 : 2 + width], "big") if width else data[1]
+
+
+def _der_size(digits: str, start: int = 0) -> int:
+    """The bytes of the key that may begin at start: a sequence that its parts, by their heads alone, fill exactly. 0 for anything else."""
+    try:
+        tag, at, n = _head(_bytes(digits, start, 0, 4))
+        end, parts = at + n, 0
+        while tag == SEQUENCE and at < end:
+            part, width, n = _head(_bytes(digits, start, at, 4))
+            at, parts = at + width + n, parts + 1
+            if part not in PARTS or parts > MAX_PARTS:
+                return 0
+        return end if tag == SEQUENCE and at == end else 0
+    except ValueError:
+        return 0
+
+
+def _openssh_size(digits: str, start: int) -> int:
+    n = int.from_bytes(_bytes(digits, start, len(OPENSSH), 4), "big")  # of the cipher's name
+    return _openssh(_bytes(digits, start, 0, MAX_INNER)) if 0 < n <= 64 else 0
+
+
+def inner_keys(text: str, start: int) -> tuple[list[tuple[int, int]], int]:
+    """Keys in the base64 that begins at start and goes on over line breaks, and where it ends. What belongs to one key isn't looked through again."""
+    pieces, begun, total, end = [], [], 0, start
+    while m := PIECE.match(text, end):
+        end = m.end()
+        if m[1]:
+            pieces.append(m[1])
+            begun.append((total, m.start()))
+            total += len(m[1])
+    digits, found, at = "".join(pieces).translate(STANDARD), [], 0
+    for m in KEY_START.finditer(digits):
+        if m.start() < at:
+            continue
+        size = (_der_size if m[0] == "M" else _openssh_size)(digits, m.start())
+        stop = m.start() + (4 * size + 2) // 3
+        if size and stop <= total and private_key(unbase64(digits[m.start() : stop]) or b""):
+            at = stop
+            first, last = (begun[bisect_right(begun, (i, len(text))) - 1] for i in (m.start(), stop - 1))
+            close = last[1] + stop - last[0]
+            found.append((first[1] + m.start() - first[0], close + len(PADDING.match(text, close)[0])))
+    return found, end
 
 
 def pem_blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -150,7 +225,7 @@ def pem_key(body: str) -> bool:
 
 
 def unbase64(text: str) -> bytes | None:
-    plain = text.rstrip("=").translate({0x2D: 0x2B, 0x5F: 0x2F})
+    plain = text.rstrip("=").translate(STANDARD)
     if len(plain) % 4 == 1:
         return None
     try:
@@ -188,11 +263,25 @@ def structures(text: str) -> list[tuple[str, int, int]]:
     for m in HEX_KEY.finditer(text):
         if len(m[0]) % 2 == 0 and (kind := held(bytes.fromhex(m[0]))):
             found.append((kind, m.start(), m.end()))
-    found += [(kind, m.start(), m.end()) for m in BASE64_KEY.finditer(text) if (kind := held(unbase64(m[0])))]
-    if "-----BEGIN " in text:
-        found += [("pem", a, b) for a, b in pem_blocks(text)]
-    if "eyJ" in text:
-        found += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
+    if "30:" in text:
+        for m in COLON_HEX.finditer(text):
+            data = bytes.fromhex("".join(m[0].replace(":", " ").split()))
+            if private_key(data[: sum(_head(data)[1:])] if data[1] < 0x83 and data[1] != 0x80 else data):
+                found.append(("key", m.start(), m.end()))
+    blocks = list(pem_blocks(text)) if "-----BEGIN " in text else []
+    found += [("pem", a, b) for a, b in blocks]
+    at, block = 0, 0
+    for m in BASE64_KEY.finditer(text):
+        if kind := held(unbase64(m[0])):
+            found.append((kind, m.start(), m.end()))
+            continue
+        while block < len(blocks) and blocks[block][1] <= m.start():
+            block += 1
+        if m.start() < at or block < len(blocks) and blocks[block][0] <= m.start():  # looked through with what stands before it
+            continue
+        inner, at = inner_keys(text, m.start())
+        found += [("key", a, b) for a, b in inner]
+    found += [("token", m.start(), m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
     return found
 
 
