@@ -6,7 +6,8 @@ through the noisy-or; sentence probabilities then point at the offending sentenc
 
 A word's score is the sum of the weights of the word and its prefixes, so that inflected forms share what they have in common. The fit
 runs in one task on a bounded sample (`sample` toxic and twice as many clean documents, `sample_bytes` of text at most, a third of them for
-toxic documents, picked by a hash of doc_id; a text that doesn't fit any more is passed over); scoring is a map over all documents with the weights (2**bits floats) broadcast.
+toxic documents, picked by a hash of doc_id; a text that doesn't fit any more is passed over, and where none of a label fits,
+sentences of its shortest text stand for it); scoring is a map over all documents with the weights (2**bits floats) broadcast.
 """
 
 from __future__ import annotations
@@ -131,8 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes:
     """Weights from rows whose crc32(doc_id as text) mod folds isn't 0. labels(doc_id, toxic, ...).
 
     sample: toxic documents at most; twice as many clean ones at most; sample_bytes: their text in all at most (whole texts), a third of it
-    for toxic documents and two for clean ones. In order of hash, a text that doesn't fit its share any more is passed over; ValueError where
-    none of a label fits. Null doc_id, null toxic and labels without a document are left out; of several labels of one document the highest
+    for toxic documents and two for clean ones. In order of hash, a text that doesn't fit its share any more is passed over; where none of a
+    label fits, its shortest text (ties: by hash) takes part by some of its instances (`some_of`). Null doc_id, null toxic and labels without a document are left out; of several labels of one document the highest
     counts, of equal texts of one document one.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
@@ -149,7 +150,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes:
         for y, size in zip(pdf["y"].tolist(), pdf["size"].tolist(), strict=True):
             taken.append(size <= room[y])
             room[y] -= size if taken[-1] else 0
-        return pdf[["doc_id", "t", "y"]].assign(taken=taken)
+        pdf["room"] = np.where(taken, pdf["size"], 0)
+        for y, own in pdf.groupby("y"):
+            if not own["room"].any() and own["size"].min() > shares[y]:
+                pdf.loc[own["size"].idxmin(), "room"] = max(shares[y], 1)
+                taken[own["size"].idxmin()] = True
+        return pdf[["doc_id", "t", "room"]][taken]
+
+    @F.pandas_udf("string")
+    def shortened(text: pd.Series, room: pd.Series) -> pd.Series:
+        return pd.Series([some_of(t, int(n)) for t, n in zip(text, room, strict=True)], dtype=object)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "text"], ignore_index=True)
@@ -161,15 +171,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2500, sample_bytes:
     # the sample is chosen by sizes alone, so what meets in the one task is bounded
     sized = one.withColumns({"size": F.octet_length("text"), "t": F.xxhash64("text"), "y": F.col("toxic") > 0, "task": F.pmod("h", F.lit(1))})
     ids = sized.select("task", "doc_id", "h", "t", "y", "size").distinct()
-    chosen = cut(ids.groupBy("task").applyInPandas(fits, "doc_id long, t long, y boolean, taken boolean"))
-    starved = [r.y for r in chosen.groupBy("y").agg(F.max("taken").alias("taken")).where("not taken").collect()]
-    if starved:
-        raise ValueError(f"no {' and no '.join('toxic' if y else 'clean' for y in starved)} text fits its share of sample_bytes = {sample_bytes}")
-    limit = chosen.where("taken").select("doc_id", "t")
-    row = sized.join(F.broadcast(limit), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"]).groupBy("task").applyInPandas(run, "w binary").first()
+    limit = cut(ids.groupBy("task").applyInPandas(fits, "doc_id long, t long, room long"))
+    kept = sized.join(F.broadcast(limit), ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])
+    kept = kept.withColumn("text", F.when(F.col("size") <= F.col("room"), F.col("text")).otherwise(shortened("text", "room")))
+    row = kept.groupBy("task").applyInPandas(run, "w binary").first()
     return np.frombuffer(row[0], np.float32) if row else fit([], np.empty(0), bits)
 
 
+def some_of(text: str, room: int) -> str:
+    """Instances of text, a sentence each, in order of a hash until the next one doesn't fit into room bytes; one at least, whole if it has any words."""
+    every = [" ".join(words[lo : lo + INSTANCE]) for _, _, words in sentences(text) for lo in range(0, len(words), INSTANCE)]
+    out, left = [], room
+    for x in sorted(set(every), key=lambda x: (zlib.crc32(x.encode("utf-8", "replace")), x)):
+        size = len(x.encode("utf-8", "replace")) + 2
+        if out and size > left:
+            break
+        out.append(x)
+        left -= size
+    return ". ".join(out)
+
+
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, score (0 to 1), sentences array<struct<start, end, score>> of the offending ones (code points).
 

@@ -50,8 +50,21 @@ def test_long_texts_do_not_starve_the_fit(spark):
     labels = spark.createDataFrame([(i, y) for i, _, y in rows + long], "doc_id long, toxic int")
     scores = {r.doc_id: r.score for r in T.score(docs, T.train(docs, labels, sample_bytes=size)).collect()}
     assert np.mean([(scores[i] >= 0.5) == y for i, _, y in rows]) > 0.97 and len(scores) == len(rows) + len(long)
-    with pytest.raises(ValueError, match="sample_bytes"):
-        T.train(docs, labels, sample_bytes=10)
+
+
+def test_a_label_none_of_whose_texts_fits_takes_part_by_sentences(spark):
+    rows = corpus(400)
+    calm = [r for r in rows if not r[2]]
+    bad = [(i, "you vile wretch. " * 3000 + "word1 word2 word3. " * 100, 1) for i in (2001, 2002, 2003)]
+    docs = spark.createDataFrame([r[:2] for r in calm + bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in calm + bad], "doc_id long, toxic int")
+    weights = T.train(docs, labels, sample_bytes=60_000)
+    got = {r.doc_id: r.score for r in T.score(docs, weights).collect()}
+    assert all(got[i] >= 0.5 for i, _, _ in bad) and np.mean([got[i] < 0.5 for i, _, _ in calm]) > 0.97
+    assert T.score(docs, T.train(docs, labels, sample_bytes=10)).count() == len(calm) + len(bad)
+    assert T.some_of("", 10) == "" and T.some_of("...", 10) == "" and T.some_of("Ab cd. ef", 1) in ("ab cd", "ef")
+    long = " ".join(f"w{i}" for i in range(1000))
+    assert 0 < len(T.some_of(long, 500)) <= 500 and set(T.some_of(long, 500).replace(".", "").split()) <= set(long.split())
 
 
 def test_noisy_or():
