@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,16 +85,25 @@ def match(stmt: DataFrame, index: DataFrame, on: Sequence[str], prefix: str) ->
     return out.select(*stmt.columns, status.alias(prefix + "status"), *fill)
 
 
-def map_statements(stmt: DataFrame, ref_index: DataFrame, on: Sequence[str], master_index: DataFrame | None = None, master_on: Sequence[str] = ("clean_key",)) -> DataFrame:
-    """Statement rows with ref_* and master_* columns, review_reason and review (Y/N). Without a master its status is skipped."""
-    out = match(stmt, ref_index, on, "ref_")
-    out = out.withColumn("master_status", F.lit(SKIPPED)) if master_index is None else match(out, master_index, master_on, "master_")
+def map_statements(stmt: DataFrame, ref_index: DataFrame, on: Sequence[str], master_index: DataFrame | None = None, master_on: Sequence[str] = ("clean_key",), clustered: bool = False) -> DataFrame:
+    """Statement rows with ref_* and master_* columns, review_reason and review (Y/N). Without a master its status is skipped.
+
+    The distinct keys of the statements are matched, then joined with the statements once: an index's lists move once a key, never once a row.
+    clustered: rows come in order of their keys within each task, so that a table written from them holds each key's lists about once.
+    """
+    keys = list(dict.fromkeys([*on, *(master_on if master_index is not None else ())]))
+    known = match(stmt.select(*keys).distinct(), ref_index, on, "ref_")
+    known = known.withColumn("master_status", F.lit(SKIPPED)) if master_index is None else match(known, master_index, master_on, "master_")
     reasons = [F.when(text(on[-1]) == "", F.lit("no key"))]
     for side in ("ref", "master"):
         for status, what in ((NO_MATCH, "not mapped"), (AMBIGUOUS, "several candidates"), (BLANK, "cannot be matched")):
             reasons.append(F.when(F.col(f"{side}_status") == status, F.lit(f"{side} {what}")))
     reason = F.array_join(F.array_compact(F.array(*reasons)), " | ")
-    return out.withColumn("review_reason", reason).withColumn("review", F.when(reason != "", F.lit("Y")).otherwise(F.lit("N")))
+    known = known.withColumn("review_reason", reason).withColumn("review", F.when(reason != "", F.lit("Y")).otherwise(F.lit("N")))
+    added = [c for c in known.columns if c not in keys]
+    known = known.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), *added)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)))
+    return stmt.join(known.hint("merge") if clustered else known, same).select(*stmt.columns, *added)
 
 
 def with_source_columns(rows: DataFrame, prefix: str = "source_", known: Sequence[str] = ()) -> DataFrame:

@@ -73,8 +73,8 @@ def statements(k: Keys) -> DataFrame:
     return lines.join(parts, "l_partkey")
 
 
-def mapped(k: Keys) -> DataFrame:
-    return L.map_statements(statements(k), k.reference, ["p_brand", "clean_key"], master(k))
+def mapped(k: Keys, clustered: bool = False) -> DataFrame:
+    return L.map_statements(statements(k), k.reference, ["p_brand", "clean_key"], master(k), clustered=clustered)
 
 
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

@@ -32,7 +32,7 @@ def mapping_run(spark, sf_dir):
     path = scratch.folder(spark, "runs")
     dup = L.duplicates(k.reference, linkage.statements(k), KEYS)
     validation = G.input_validation({"statement": (linkage.statements(k), "title", None, None)})
-    summary = io.write_mapping_run(linkage.mapped(k), dup, validation, path)
+    summary = io.write_mapping_run(linkage.mapped(k, clustered=True), dup, validation, path)
     review = spark.read.parquet(f"{path}/review").agg(F.lit("rows written to review").alias("item"), F.count("*").alias("value"))
     return summary.unionByName(review)
 
