@@ -6,6 +6,8 @@ A sheet is a relation of cells (source_file, sheet, row, col, value); all files
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,18 +36,29 @@ def header_key(c: Column | str) -> Column:
     return norm_header(nfkc(text(c)))
 
 
+def add_header_key(df: DataFrame, c: str, out: str) -> DataFrame:
+    """df with header_key(c), in steps of their own so that each is made once a cell."""
+    return df.withColumn("_t", text(c)).withColumn("_t", nfkc("_t")).withColumn(out, norm_header("_t")).drop("_t")
+
+
 def _by(candidates: DataFrame) -> list[str]:
     return ["platform"] if "platform" in candidates.columns else []
 
 
+def _score(fields: Column) -> Column:
+    """The score of a row by the fields that its cells name, a bit each in the order of WEIGHTS; null without a title header."""
+    named = lambda f: fields.bitwiseAND(1 << list(WEIGHTS).index(f)) != 0
+    return F.when(named("title"), reduce(add, (F.when(named(f), w).otherwise(0) for f, w in WEIGHTS.items())))
+
+
 def header_scores(cells: DataFrame, candidates: DataFrame) -> DataFrame:
     """Score of every row that has a title header. candidates(field, header, pos): the names under which a field is known; with a platform there,
     a sheet's cells have one too, and only its platform's names count."""
     by = _by(candidates)
-    known = candidates.select(*by, "field", header_key("header").alias("h")).distinct()
-    hit = cells.where(text("value") != "").select(*SHEET, *by, "row", header_key("value").alias("h")).join(known, [*by, "h"]).select(*SHEET, "row", "field").distinct()
-    weight = F.coalesce(*(F.when(F.col("field") == f, w) for f, w in WEIGHTS.items()), F.lit(0))
-    return hit.groupBy(*SHEET, "row").agg(F.sum(weight).alias("score"), F.max(F.col("field") == "title").alias("titled")).where("titled").drop("titled")
+    bit = F.coalesce(*(F.when(F.col("field") == f, 1 << i) for i, f in enumerate(WEIGHTS)), F.lit(0))
+    known = candidates.select(*by, header_key("header").alias("h"), bit.alias("_bit")).groupBy(*by, "h").agg(F.bit_or("_bit").alias("_bit"))
+    hit = add_header_key(cells.select(*SHEET, *by, "row", "value"), "value", "h").join(known, [*by, "h"]).where(text("value") != "")
+    return hit.groupBy(*SHEET, "row").agg(_score(F.bit_or("_bit")).cast("long").alias("score")).where("score is not null")
 
 
 def find_header(cells: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -55,13 +68,36 @@ def find_header(cells: DataFrame, candidates: DataFrame) -> DataFrame:
     return scored.withColumn("n", F.row_number().over(w)).where("n = 1").select(*SHEET, F.col("row").alias("header_row"), "score")
 
 
+def _headed(cells: DataFrame, candidates: DataFrame, fields: Sequence[str] = (), repeated: bool = True) -> DataFrame:
+    """cells below a header, with _head: the row of the header that applies and, for each of fields, the column that it names (_0, _1, ...; null if none).
+
+    repeated: every headed row begins a section, else the best row among the first HEADER_ROWS is the sheet's header (the first on ties). Cells move once, to
+    the task of their sheet, and are sorted once, by row; cells that a caller has dealt out by SHEET don't move at all.
+    """
+    by = _by(candidates)
+    names = list(dict.fromkeys([*WEIGHTS, *fields]))
+    place = [F.min(F.when(F.col("field") == f, F.col("pos").cast("long"))).alias(f"_{i}") for i, f in enumerate(names)]
+    known = candidates.withColumn("_h", header_key("header")).groupBy(*by, "_h").agg(*place).select(*by, "_h", F.struct(*(f"_{i}" for i in range(len(names)))).alias("_hit"))
+    rows = add_header_key(cells.where(" and ".join(f"{c} is not null" for c in (*SHEET, "row", "col"))), "value", "_h").join(known, [*by, "_h"], "left")
+    sheet = Window.partitionBy(*SHEET)
+    row = sheet.orderBy("row").rangeBetween(Window.currentRow, Window.currentRow)
+    bits = reduce(add, (F.when(F.col(f"_hit._{i}").isNotNull(), 1 << i).otherwise(0) for i in range(len(WEIGHTS))))
+    score = _score(F.bit_or(F.when(F.col("_hit").isNotNull() & (text("value") != ""), bits)).over(row))
+    first = [F.min(F.shiftleft(F.col(f"_hit._{names.index(f)}"), 32) + F.col("col")).over(row).alias(f"_{i}") for i, f in enumerate(fields)]  # by place, then column
+    rows = rows.select(*cells.columns, score.alias("_score"), *first)
+    found = F.struct(F.col("row").alias("row"), *(F.col(f"_{i}").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias(f"_{i}") for i in range(len(fields))))
+    if repeated:
+        head = F.last(F.when(F.col("_score") >= LEAST_SCORE, found), ignorenulls=True).over(sheet.orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
+    else:
+        best = F.when((F.col("_score") >= LEAST_SCORE) & (F.col("row") <= HEADER_ROWS), F.struct(-F.col("_score"), F.col("row"), found.alias("head")))
+        head = F.min(best).over(sheet)["head"]
+    return rows.select(*cells.columns, head.alias("_head")).where("row > _head.row")
+
+
 def sections(cells: DataFrame, candidates: DataFrame) -> DataFrame:
     """cells below a header row, with the row of the header that applies: each headed row begins a section."""
-    heads = header_scores(cells, candidates).where(F.col("score") >= LEAST_SCORE).select(*SHEET, "row", F.col("row").alias("_head"))
-    rows = cells.select(*SHEET, "row").distinct().join(heads, [*SHEET, "row"], "left")
-    w = Window.partitionBy(*SHEET).orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("header_row", F.last("_head", ignorenulls=True).over(w)).where("header_row is not null and row > header_row").drop("_head")
-    return cells.join(rows, [*SHEET, "row"])
+    others = [c for c in cells.columns if c not in (*SHEET, "row")]
+    return _headed(cells, candidates).select(*SHEET, "row", *others, F.col("_head.row").alias("header_row"))
 
 
 def unique_headers(headers: DataFrame) -> DataFrame:
@@ -77,16 +113,9 @@ def standardize(cells: DataFrame, candidates: DataFrame, fields: Sequence[str] =
     A field takes the first of its candidate names that the header has, and of equal headers the leftmost column. repeated: sheets of
     several sections, else one header row.
     """
-    if repeated:
-        body = sections(cells, candidates)
-    else:
-        body = cells.join(find_header(cells, candidates).select(*SHEET, "header_row"), SHEET).where("row > header_row")
-    heads = body.select(*SHEET, "header_row").distinct().join(cells.withColumnRenamed("row", "header_row"), [*SHEET, "header_row"])
-    by = _by(candidates)
-    known = candidates.select(*by, "field", header_key("header").alias("h"), "pos")
-    named = heads.select(*SHEET, *by, "header_row", "col", header_key("value").alias("h")).join(known, [*by, "h"])
-    column = named.groupBy(*SHEET, "header_row", "field").agg(F.min_by("col", F.struct("pos", "col")).alias("col"))
-    wide = body.join(column, [*SHEET, "header_row", "col"]).groupBy(*SHEET, "row").pivot("field", list(fields)).agg(F.first("value"))
+    body = _headed(cells, candidates, fields, repeated)
+    mine = [F.col("col") == F.col(f"_head._{i}") for i in range(len(fields))]
+    wide = body.where(reduce(or_, (F.coalesce(m, F.lit(False)) for m in mine))).groupBy(*SHEET, "row").agg(*(F.max(F.when(m, F.col("value"))).alias(f) for m, f in zip(mine, fields, strict=True)))
     return wide.select(*SHEET, F.col("row").alias("source_row"), *(text(f).alias(f) for f in fields))
 
 
@@ -192,12 +221,14 @@ def normalize_statements(
 def drop_blocked_columns(cells: DataFrame, header_row: DataFrame, blocked: DataFrame) -> DataFrame:
     """cells (with a platform) without the columns whose header holds a word of blocked(platform, word); header_row: find_header's.
 
-    Headers come to one row a column before the words are joined by platform, so cells aren't multiplied.
+    Headers come to one row a column before the words are joined by platform, and the columns that go to one row a sheet, so cells aren't multiplied and
+    don't move where they are dealt out by SHEET.
     """
-    heads = cells.join(header_row.select(*SHEET, F.col("header_row").alias("row")), [*SHEET, "row"]).select(*SHEET, "platform", "col", header_key("value").alias("h"))
+    heads = cells.join(header_row.select(*SHEET, "header_row"), SHEET).where("row - header_row = 0")  # no equality: cells would move by row, too
+    heads = heads.select(*SHEET, "platform", "col", header_key("value").alias("h"))
     words = blocked.select("platform", header_key("word").alias("w")).where("w <> ''")
-    gone = heads.join(words, "platform").where(F.contains("h", "w")).select(*SHEET, "col").distinct()
-    return cells.join(gone, [*SHEET, "col"], "left_anti")
+    gone = heads.join(words, "platform").where(F.contains("h", "w")).groupBy(*SHEET).agg(F.collect_set("col").alias("_gone"))
+    return cells.join(gone, SHEET, "left").where(~F.coalesce(F.array_contains("_gone", F.col("col")), F.lit(False))).select(*SHEET, *(c for c in cells.columns if c not in SHEET))
 
 
 def drop_platform_totals(rows: DataFrame, rules: DataFrame, title: str = "title") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.operators import audit as A
 from quillmatch.operators import sheets as S
-from quillmatch.plans.linkage import table
+from quillmatch.plans.linkage import few, table
 from quillmatch.sources import io, scratch
 from quillmatch.sources.workbooks import read_workbooks, write_workbooks
 
@@ -17,24 +17,25 @@ CANDIDATES = [("title", "title", 0), ("title", "name", 1), ("author", "customer"
 
 
 def candidates(spark) -> DataFrame:
-    return spark.createDataFrame(CANDIDATES, "field string, header string, pos int")
+    return few(spark, CANDIDATES, "field string, header string, pos int")
 
 
-def cells(spark, sf_dir) -> DataFrame:
+def cells(spark, sf_dir, file=None) -> DataFrame:
     """A banner (two rows in urgent sheets), the header (another name of the amount in low ones), then orders; a row of an order key divisible by 50
-    repeats the header."""
+    repeats the header. All sheets are in one file, or in the one that the column `file` names. Orders move once, to the task of their sheet; banner and header come with a sheet's first order."""
     o = table(spark, sf_dir, "orders").withColumn("sheet", F.concat("o_orderpriority", F.lit(" "), F.col("o_custkey").cast("string")))
+    by = ["sheet"] if file is None else S.SHEET  # a constant is no key to deal out by
+    o = scratch.dealt(o.withColumn("source_file", F.lit("f.xlsx") if file is None else file), by)
     head = F.when(F.col("sheet").startswith("1-"), 3).otherwise(2)
     names = [F.when(F.col("sheet").startswith("5-"), "Amount").otherwise(h) if h == "Sale Amount" else F.lit(h) for h in HEADERS]
-    o = o.withColumn("row", F.row_number().over(Window.partitionBy("sheet").orderBy("o_orderkey")) + head)
+    o = o.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("o_orderkey")))
     again = F.col("o_orderkey") % 50 == 0
     data = [F.col("o_custkey").cast("string"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")), F.concat(F.format_number(F.round("o_totalprice"), 0), F.lit("원")), F.lit("x"), F.lit(None).cast("string")]
-    picked = [F.struct(F.lit(i + 1).alias("col"), F.when(again, h).otherwise(d).alias("value")) for i, (h, d) in enumerate(zip(names, data, strict=True))]
-    body = o.select(F.lit("f.xlsx").alias("source_file"), "sheet", "row", F.explode(F.array(*picked)).alias("c"))
-    banner = F.transform(F.sequence(F.lit(1), head - 1), lambda r: F.struct(r.alias("row"), F.lit(1).alias("col"), F.lit("Sales of the month").alias("value")))
-    top = F.concat(banner, F.array(*(F.struct(head.alias("row"), F.lit(i + 1).alias("col"), h.alias("value")) for i, h in enumerate(names))))
-    head_cells = o.select(F.lit("f.xlsx").alias("source_file"), "sheet").distinct().withColumn("c", F.explode(top))
-    return body.select("source_file", "sheet", "row", "c.col", "c.value").unionByName(head_cells.select("source_file", "sheet", "c.row", "c.col", "c.value"))
+    cell = lambda row, at, value: F.struct(row.alias("row"), F.lit(at).alias("col"), value.alias("value"))
+    body = F.array(*(cell(F.col("n") + head, i, F.when(again, h).otherwise(d)) for i, (h, d) in enumerate(zip(names, data, strict=True), 1)))
+    banner = F.transform(F.sequence(F.lit(1), head - 1), lambda r: cell(r, 1, F.lit("Sales of the month")))
+    top = F.concat(banner, F.array(*(cell(head, i, h) for i, h in enumerate(names, 1))))
+    return o.select(*S.SHEET, F.inline(F.when(F.col("n") == 1, F.concat(top, body)).otherwise(body)))
 
 
 def workbooks(spark, sf_dir) -> str:
@@ -66,12 +67,12 @@ ADAPTERS = [("even", "Title", "없음", "code / ISBN", "Sale(KRW) 후보", "sing
 
 
 def normalized(spark, sf_dir):
-    registry = spark.createDataFrame(ADAPTERS, "platform string, title_from string, author_from string, external_id_from string, sale_from string, parser_contract string, amount_rule_status string, s2_gate string")
+    registry = few(spark, ADAPTERS, "platform string, title_from string, author_from string, external_id_from string, sale_from string, parser_contract string, amount_rule_status string, s2_gate string")
     cells, merges = io.split_merges(scratch.landed(read_workbooks(spark, workbooks(spark, sf_dir))))
     cells = cells.withColumn("source_file", F.regexp_extract("source_file", "([^/]*)$", 1))
     n = table(spark, sf_dir, "nation")
     files = n.select(F.concat("n_name", F.lit(".xlsx")).alias("source_file"), F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd").alias("platform"), F.when(F.col("n_name") == "NATION_7", "excluded_by_rule").otherwise("include").alias("file_status"))
-    scope = spark.createDataFrame([("even", None, "^MACH"), ("odd", "ING$", None), ("odd", "MOBILE", None)], "platform string, wanted string, unwanted string")
+    scope = few(spark, [("even", None, "^MACH"), ("odd", "ING$", None), ("odd", "MOBILE", None)], "platform string, wanted string, unwanted string")
     return S.normalize_statements(cells, merges, files, registry, scope, exact=["total"])
 
 
@@ -95,7 +96,7 @@ def sections(spark, sf_dir):
 def normalize_cells(spark, sf_dir):
     rows = S.standardize(cells(spark, sf_dir), candidates(spark), repeated=True)
     kept = S.drop_non_data(rows, ["Title", "total"], ["0000"])
-    files = rows.select("source_file").distinct().withColumn("file_status", F.lit("include"))
+    files = few(spark, [("f.xlsx", "include")], "source_file string, file_status string")
     return S.feed(kept, files).select("sheet", "source_row", "title", "author", "external_id", "sale_amount")
 
 
@@ -110,7 +111,7 @@ def platform_audit(spark, sf_dir):
     torn = F.col("source_file").rlike("_[13579]\\.") & (F.col("status") == "parsed")
     sheets = scratch.landed(sheets.withColumns({"status": F.when(torn, "header_not_found").otherwise(F.col("status")), "parsed_rows": F.when(torn, 0).otherwise(F.col("parsed_rows"))}))
     rows = rows.where(~F.col("source_file").rlike("_[13579]\\."))
-    registry = spark.createDataFrame([("even", "x", "candidate_confirmed_after_reconcile"), ("odd", "x", "needs_policy"), ("spare", "non_s2_source_blocked", "blocked")], "platform string, final_class string, amount_rule_status string")
+    registry = few(spark, [("even", "x", "candidate_confirmed_after_reconcile"), ("odd", "x", "needs_policy"), ("spare", "non_s2_source_blocked", "blocked")], "platform string, final_class string, amount_rule_status string")
     return A.platform_audit(A.file_states(sheets, rows), rows, registry)
 
 
