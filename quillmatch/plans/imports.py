@@ -11,7 +11,7 @@ from quillmatch.operators import gates, names, sheets
 from quillmatch.operators import linkage as L
 from quillmatch.operators import refresh as R
 from quillmatch.plans import statements
-from quillmatch.plans.linkage import table
+from quillmatch.plans.linkage import few, table
 from quillmatch.sources import io
 
 
@@ -88,12 +88,12 @@ def split_master(spark, sf_dir):
 
 def sheet_cells(spark, sf_dir):
     """The order sheets as files of two platforms."""
-    return statements.cells(spark, sf_dir).withColumns({"source_file": F.concat("sheet", F.lit(".xlsx")), "platform": F.when(F.col("sheet") < "3", "A").otherwise("B")})
+    return statements.cells(spark, sf_dir, F.concat("sheet", F.lit(".xlsx"))).withColumn("platform", F.when(F.col("sheet") < "3", "A").otherwise("B"))
 
 
 def drop_blocked_columns(spark, sf_dir):
     c = sheet_cells(spark, sf_dir)
-    blocked = spark.createDataFrame([("A", "No-te"), ("B", "isbn")], "platform string, word string")
+    blocked = few(spark, [("A", "No-te"), ("B", "isbn")], "platform string, word string")
     left = sheets.drop_blocked_columns(c, sheets.find_header(c, statements.candidates(spark)), blocked)
     return left.groupBy("sheet", "col").agg(F.count("*").alias("cells"))
 
@@ -105,7 +105,7 @@ def field_rules(spark, sf_dir):
 
 def normalize_registry(spark, sf_dir):
     adapters = [("A", "Title", "Customer", "없음", "Sale Amount", "contract a", "locked", "open"), ("B", "Name / Title 후보", "없음", "Customer 또는 ISBN", "sale-amount", "contract b", "candidate", "closed")]
-    registry = spark.createDataFrame(adapters, "platform string, title_from string, author_from string, external_id_from string, sale_from string, parser_contract string, amount_rule_status string, s2_gate string")
+    registry = few(spark, adapters, "platform string, title_from string, author_from string, external_id_from string, sale_from string, parser_contract string, amount_rule_status string, s2_gate string")
     c = sheet_cells(spark, sf_dir)
     rows = sheets.standardize(c, sheets.registry_candidates(registry), repeated=True)
     files = c.select("source_file", "platform").distinct().withColumn("file_status", F.lit("include"))
@@ -113,7 +113,7 @@ def normalize_registry(spark, sf_dir):
 
 
 def drop_platform_totals(spark, sf_dir):
-    rules = spark.createDataFrame([("Brand#2", "small", "ring"), ("Brand#2", "red", ""), ("Brand#3", "x", "y")], "platform string, prefix string, suffix string")
+    rules = few(spark, [("Brand#2", "small", "ring"), ("Brand#2", "red", ""), ("Brand#3", "x", "y")], "platform string, prefix string, suffix string")
     return sheets.drop_platform_totals(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("platform"), F.col("p_name").alias("title")), rules)
 
 
