@@ -123,8 +123,9 @@ def platform_audit(files: DataFrame, rows: DataFrame, registry: DataFrame, block
     why = worst_states(failed, ["platform"], "status", "why").select("platform", "causes")
     fed = rows.where("file_status = 'include'")
     own = fed.where(text("clean_key") != "").select("platform", "clean_key").distinct().withColumn("__in", F.lit(True))
-    n = lambda c, a: F.sum(c.cast("long")).alias(a)
-    checked = fed.join(own, ["platform", "clean_key"], "left").groupBy("platform").agg(F.count("*").alias("checked"), n(F.coalesce("__in", F.lit(False)), "matched"))
+    counted = fed.groupBy("platform", "clean_key").agg(F.count("*").alias("__n"))  # by key first: a key of many rows is joined as one
+    found = F.when(F.col("__in"), F.col("__n")).otherwise(0)
+    checked = counted.join(own, ["platform", "clean_key"], "left").groupBy("platform").agg(F.sum("__n").alias("checked"), F.sum(found).alias("matched"))
     out = registry.select("platform", (F.col("final_class") == blocked_class).alias("__b"), (F.col("amount_rule_status") == locked).alias("__l")).join(totals, "platform", "left")
     out = out.join(why, "platform", "left").join(checked, "platform", "left").na.fill(0).na.fill("", ["causes"])
     state = (

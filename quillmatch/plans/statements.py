@@ -110,7 +110,7 @@ def platform_audit(spark, sf_dir):
     rows, sheets = normalized(spark, sf_dir)
     torn = F.col("source_file").rlike("_[13579]\\.") & (F.col("status") == "parsed")
     sheets = scratch.landed(sheets.withColumns({"status": F.when(torn, "header_not_found").otherwise(F.col("status")), "parsed_rows": F.when(torn, 0).otherwise(F.col("parsed_rows"))}))
-    rows = rows.where(~F.col("source_file").rlike("_[13579]\\."))
+    rows = scratch.landed(rows.where(~F.col("source_file").rlike("_[13579]\\.")))  # read four times
     registry = few(spark, [("even", "x", "candidate_confirmed_after_reconcile"), ("odd", "x", "needs_policy"), ("spare", "non_s2_source_blocked", "blocked")], "platform string, final_class string, amount_rule_status string")
     return A.platform_audit(A.file_states(sheets, rows), rows, registry)
 
