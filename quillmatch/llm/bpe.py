@@ -25,14 +25,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmatch.llm.workers import sparing
+from quillmatch.llm.workers import give_back, sparing
 
 SPACE, REST = r"\p{White_Space}", r"[^\p{White_Space}\p{L}\p{N}]"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{REST}+|{SPACE}+(?!\P{{White_Space}})|{SPACE}+"
 #: Bytes of known words that a task remembers (WORD_COST is what one takes beside its letters and ids), and pairs of tokens.
 WORD_BYTES, WORD_COST, PAIRS = 64 << 20, 200, 1 << 17
 #: Letters of text, and words of a long text, that are encoded at a time.
-LETTERS, WORDS = 1 << 20, 1 << 17
+LETTERS, WORDS = 1 << 18, 1 << 17
 
 
 def byte_letters() -> dict[str, int]:
@@ -202,6 +202,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(path)
+        give_back()  # what the file took while it was read
         for part in batches(frames, "text", LETTERS):
             ids = v.encode(part["text"].to_pylist())
             columns = [part["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(list(map(v.decode, ids)), pa.string())]

@@ -83,3 +83,12 @@ def test_long_texts(monkeypatch):
 
 def test_empty_table(spark):
     assert bpe.token_digests(spark.createDataFrame([], "doc_id long, text string"), bpe.default_path()).count() == 0
+
+
+def test_parts_of_a_batch_are_small():
+    """What a worker holds beside its batch goes with a part's letters."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["word " * 10_000] * 40})
+    parts = [sum(map(len, p["text"].to_pylist())) for p in bpe.batches(iter([batch]), "text", bpe.LETTERS)]
+    assert sum(parts) == 2_000_000 and max(parts) <= (1 << 18) + 50_000
