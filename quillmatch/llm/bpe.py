@@ -3,8 +3,9 @@
 A text is split by the vocabulary's pattern. The distinct words not met before form a trie, laid out as the words in order of their bytes with
 the lengths of the prefixes that neighbours share; reading them in order is its depth-first walk. The walk gives every node the last
 token of its prefix's encoding. A token t may end a prefix p + t if (last token of p, t) is a pair that the merges leave as it is; exactly one
-token does, as any valid encoding is a sequence of such pairs. So the states of a prefix that many words share are computed once, and a word's
-encoding is read off its node by stepping back from last token to last token.
+token does, as any valid encoding is a sequence of such pairs. The tokens that end at a node are read, longest first, off an automaton of the
+vocabulary that steps along. So the states of a prefix that many words share are computed once, and a word's encoding is read off its node by
+stepping back from last token to last token.
 
 Words known to a task stay in a memory bounded by bytes that is cleared when full; nothing grows with the corpus or outlives the
 task, and nothing is shuffled. One Python worker encodes and decodes.
@@ -30,7 +31,7 @@ from quillmatch.llm.workers import give_back, sparing
 SPACE, REST = r"\p{White_Space}", r"[^\p{White_Space}\p{L}\p{N}]"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?{REST}+|{SPACE}+(?!\P{{White_Space}})|{SPACE}+"
 #: Bytes of known words that a task remembers (WORD_COST is what one takes beside its letters and ids), and pairs of tokens.
-WORD_BYTES, WORD_COST, PAIRS = 64 << 20, 200, 1 << 17
+WORD_BYTES, WORD_COST, PAIRS = 32 << 20, 200, 1 << 17
 #: Letters of text, and words of a long text, that are encoded at a time.
 LETTERS, WORDS = 1 << 18, 1 << 17
 
@@ -48,33 +49,24 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = byte_letters()
-        as_bytes = lambda s: bytes(letters[c] for c in s)
-        ids = {as_bytes(k): v for k, v in spec["model"]["vocab"].items()}
+        table = str.maketrans({letter: chr(b) for letter, b in byte_letters().items()})
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        ids = {k.translate(table).encode("latin-1"): v for k, v in vocab.items()}
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = 1 + max(itertools.chain(ids.values(), self.specials.values()))
         self.pieces = [b""] * self.size
         for k, v in itertools.chain(ids.items(), ((k.encode(), v) for k, v in self.specials.items())):
             self.pieces[v] = k
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in merges)
         #: merges: rank of a pair a * size + b; rank and parts of the token that a merge makes (bytes: -1)
         self.merges: dict[int, int] = {}
         self.rank, self.left, self.right = (array("i", [-1]) * self.size for _ in range(3))
         for rank, (a, b) in enumerate(pairs):
-            x, y, made = ids[as_bytes(a)], ids[as_bytes(b)], ids[as_bytes(a + b)]
+            x, y, made = vocab[a], vocab[b], vocab[a + b]
             self.merges[x * self.size + y] = self.rank[made] = rank
             self.left[made], self.right[made] = x, y
         self.length = array("i", map(len, self.pieces))
-        #: arcs of a trie of the vocabulary, node + byte; the node of token t is t << 8, other nodes and the root come behind
-        self.root, self.arcs = self.size << 8, {}
-        new = self.root + 256
-        for token in sorted(ids, key=len):  # a prefix that is a token is named first
-            node = self.root
-            for b in token[:-1]:
-                to = self.arcs.setdefault(node + b, new)
-                new += 256 * (to == new)
-                node = to
-            self.arcs[node + token[-1]] = ids[token] << 8
+        self._automaton(ids)
         self.words: dict[str, bytes] = {}
         self.held = 0
         self.pairs: dict[int, bool] = {}
@@ -82,6 +74,33 @@ class Vocabulary:
         self.find, self.each = compiled.findall, compiled.finditer
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")").split if self.specials else lambda t: [t]
 
+    def _automaton(self, ids: dict[bytes, int]) -> None:
+        """arcs of a trie of the vocabulary, node + byte (the node of token t is t << 8, other nodes and the root come behind), and by node >> 8:
+        fail, the node of its longest other suffix, and ends, the longest token that is a suffix (none: -1); shorter, by token: the next one."""
+        root = self.root = self.size << 8
+        arcs: dict[int, int] = {}
+        new, levels = root + 256, [[] for _ in range(max(map(len, ids)))]
+        for token in sorted(ids, key=len):  # a prefix that is a token is named first
+            node = root
+            for depth, b in enumerate(token[:-1]):
+                to = arcs.get(node + b)
+                if to is None:
+                    arcs[node + b] = to = new
+                    levels[depth].append(node + b)
+                    new += 256
+                node = to
+            arcs[node + token[-1]] = ids[token] << 8
+            levels[len(token) - 1].append(node + token[-1])
+        fail, ends = array("i", [root]) * (new >> 8), array("i", [-1]) * (new >> 8)
+        for at in itertools.chain.from_iterable(levels):
+            node, above, byte, to = arcs[at], at & -256, at & 255, root
+            while to == root and above != root:
+                above = fail[above >> 8]
+                to = arcs.get(above + byte, root)
+            fail[node >> 8], ends[node >> 8] = to, node >> 8 if node < root else ends[to >> 8]
+        self.arcs, self.fail, self.ends = arcs, fail, ends
+        self.shorter = array("i", [ends[to >> 8] for to in fail[: self.size]])
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether tokens a and b, side by side, are what the merges make of their bytes.
 
@@ -113,26 +132,32 @@ class Vocabulary:
     def learn(self, words: set[str]) -> None:
         """Encode words: one trie, one walk."""
         order = sorted([(w.encode("utf-8", "surrogatepass"), w) for w in words])
-        compatible, arc, length, root = self.compatible, self.arcs.get, self.length, self.root
+        compatible, known, arc, fail, ends, shorter, length, size, root = self.compatible, self.pairs.get, self.arcs.get, self.fail, self.ends, self.shorter, self.length, self.size, self.root
         last: list[int] = []  # the last token of the prefix of each length on the path, from 1 on
-        begun: list[list[tuple[int, int]]] = [[]]  # by length of the prefix: tokens begun on the path that may go on
+        nodes = [root]  # the automaton's node at each length of the prefix
         shared = 0
         for i, (path, word) in enumerate(order):
             beyond = _common(path, order[i + 1][0]) if i + 1 < len(order) else 0
-            del last[shared:], begun[shared + 1 :]
-            going = begun[shared]
-            for depth in range(shared, len(path)):
-                byte, found, on = path[depth], -1, []
-                for begin, node in (*going, (depth, root)):
-                    to = arc(node + byte)
-                    if to is not None:
-                        on.append((begin, to))
-                        if found < 0 and to < root and (not begin or compatible(last[begin - 1], to >> 8)):
-                            found = to >> 8
-                last.append(found)
-                going = on
-                if depth < beyond:
-                    begun.append(on)
+            del last[shared:], nodes[shared + 1 :]
+            node = nodes[shared]
+            for depth, byte in enumerate(path[shared:], shared):
+                to = arc(node + byte)
+                while to is None:
+                    if node == root:
+                        to = root
+                    else:
+                        node = fail[node >> 8]
+                        to = arc(node + byte)
+                node = to
+                token = ends[node >> 8]
+                while token >= 0 and (begin := depth - length[token]) >= 0:
+                    before = last[begin]
+                    ok = known(before * size + token)
+                    if compatible(before, token) if ok is None else ok:
+                        break
+                    token = shorter[token]
+                last.append(token)
+                nodes.append(node)
             out, at = [], len(path)
             while at:
                 out.append(last[at - 1])
@@ -164,7 +189,7 @@ class Vocabulary:
                 yield b"".join(map(self.words.__getitem__, some))
 
     def _know(self, words: set[str]) -> None:
-        new = words - self.words.keys()
+        new = set(itertools.filterfalse(self.words.__contains__, words))  # a difference from the keys would go through all of them
         if new and self.held > WORD_BYTES:
             self.words.clear()
             self.held, new = 0, words

@@ -81,6 +81,41 @@ def test_long_texts(monkeypatch):
     assert v.encode(long) == library_ids(long)
 
 
+class Counted(dict):
+    """A dict that counts what is looked up, and whose keys aren't gone through."""
+
+    looked = 0
+
+    def get(self, *a):
+        self.looked += 1
+        return super().get(*a)
+
+    def keys(self):
+        raise AssertionError("all keys are gone through")
+
+
+def test_steps_of_the_walk():
+    """A byte takes two steps of the automaton at most, however many tokens are begun at it; words known aren't gone through for each part."""
+    rng = random.Random(7)
+    words = sorted({" " + "".join(rng.choice(["th", "er", "in", "tion", "ou", "ed", "a", "s"]) for _ in range(rng.randrange(2, 9))) for _ in range(500)})
+    v = bpe.Vocabulary(bpe.default_path())
+    v.arcs, v.words = Counted(v.arcs), Counted()
+    assert v.encode(words) == library_ids(words)
+    assert v.arcs.looked <= 2 * sum(map(len, words))
+
+
+def test_tokens_that_end():
+    v = bpe.Vocabulary(bpe.default_path())
+    tokens = {p for i, p in enumerate(v.pieces) if i not in v.specials.values()}
+    rng = random.Random(8)
+    for token in rng.sample(sorted(tokens), 2000):
+        i, found = v.pieces.index(token), []
+        while i >= 0:
+            found.append(v.pieces[i])
+            i = v.shorter[i]
+        assert found == [token[k:] for k in range(len(token)) if token[k:] in tokens]
+
+
 def test_empty_table(spark):
     assert bpe.token_digests(spark.createDataFrame([], "doc_id long, text string"), bpe.default_path()).count() == 0
 
