@@ -104,6 +104,15 @@ def test_steps_of_the_walk():
     assert v.arcs.looked <= 2 * sum(map(len, words))
 
 
+def test_ascii_is_split_alike():
+    import regex
+
+    v, rng = bpe.Vocabulary(bpe.default_path()), random.Random(9)
+    every = [chr(i) for i in range(128)]
+    texts = ["".join(rng.choice(every) for _ in range(60)) for _ in range(1500)] + ["".join(rng.choice("'strvelmd STA01 \t\n.") for _ in range(60)) for _ in range(1500)]
+    assert [v.find(t) for t in texts] == [regex.findall(bpe.PATTERN, t) for t in texts]
+
+
 def test_tokens_that_end():
     v = bpe.Vocabulary(bpe.default_path())
     tokens = {p for i, p in enumerate(v.pieces) if i not in v.specials.values()}
