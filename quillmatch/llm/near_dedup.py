@@ -117,7 +117,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         likely = cut(_estimated(pairs.join(neighbours, ["a", "b"], "left_anti"), classes, percent))
         return cut(_confirmed(likely, cut(_sets(rows, likely, shingle)), classes, percent))
 
-    ranked = cut(_ranked(rows, cut(_rooted(members, joined)), shingle))
+    ranked = cut(_ranked(rows, cut(_rooted(members, joined)), shingle, percent))
     rare = cut(_rare(ranked, percent))
     links = links.union(checked(_stars(cut(_rooted(rare, joined)), percent)))
     joined = components(links)
@@ -196,10 +196,11 @@ def _rooted(of: DataFrame, joined: DataFrame) -> DataFrame:
     return of.join(joined.withColumnRenamed("v", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
 
 
-def _ranked(rows: DataFrame, rooted: DataFrame, shingle: int) -> DataFrame:
+def _ranked(rows: DataFrame, rooted: DataFrame, shingle: int, percent: int = 80) -> DataFrame:
     """k, n, hs: the sets of the classes of dense regions that hold more than one component, as (f, h) in order.
 
-    Shingles are ordered by f, the number of these classes that hold them, then by hash.
+    Shingles are ordered by f, the number of these classes that hold them, then by hash; common ones all have COMMON + 1 for f. Only shingles that
+    aren't common are joined with their number: a class's common ones are what is left of its set. Classes that can't have a link are left out (`_shared`).
     """
     dense = rooted.where("dense")
     mixed = dense.groupBy("tree", "p").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("tree", "p")
@@ -211,10 +212,22 @@ def _ranked(rows: DataFrame, rooted: DataFrame, shingle: int) -> DataFrame:
             found = [own.astype(np.int64) for own in shingles(pdf["t"].tolist(), shingle)]
             yield pd.DataFrame({"k": pdf["k"], "n": [len(h) for h in found], "hs": found})
 
-    held = cut(wanted.mapInPandas(sparing(run), "k long, n long, hs array<long>").dropDuplicates(["k", "n", "hs"]))
-    every = held.select("k", "n", F.xxhash64("hs").alias("s"), F.explode("hs").alias("h"))
-    often = every.groupBy("h").agg(F.count("*").alias("f"))
-    return every.join(often, "h").groupBy("k", "n", "s").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs")).select("k", "n", "hs")
+    held = cut(wanted.mapInPandas(sparing(run), "k long, n long, hs array<long>").dropDuplicates(["k", "n", "hs"]).withColumn("s", F.xxhash64("hs")))
+    held = cut(_shared(held, percent))
+    every = held.select("k", "n", "s", F.explode("hs").alias("h"))
+    few = every.groupBy("h").agg(F.count("*").alias("f")).where(F.col("f") <= COMMON)
+    rare = every.join(few, "h").groupBy("k", "n", "s").agg(F.collect_list(F.struct("f", "h")).alias("rare"))
+    both = held.join(rare, ["k", "n", "s"], "left").withColumn("rare", F.coalesce("rare", F.array().cast("array<struct<f:bigint,h:bigint>>")))
+    common = F.transform(F.array_except("hs", F.transform("rare", lambda w: w["h"])), lambda h: F.struct(F.lit(COMMON + 1).cast("long").alias("f"), h.alias("h")))
+    return both.select("k", "n", F.sort_array(F.concat("rare", common)).alias("hs"))
+
+
+def _shared(held: DataFrame, percent: int) -> DataFrame:
+    """The rows of held(k, n, s, hs) that may have a link among them: a link has percent % of either set in common, so a set with more shingles of its own than the rest has none."""
+    every = held.select(F.struct("k", "n", "s").alias("c"), F.explode("hs").alias("h"))
+    alone = every.groupBy("h").agg(F.count("*").alias("f"), F.min("c").alias("c")).where("f = 1").groupBy("c").agg(F.count("*").alias("own"))
+    own = held.join(alone.select("c.*", "own"), ["k", "n", "s"], "left")
+    return own.where(F.coalesce("own", F.lit(0)) <= F.col("n") - F.ceil(F.col("n") * percent / 100)).select(*held.columns)
 
 
 def _rare(ranked: DataFrame, percent: int) -> DataFrame:
@@ -246,13 +259,15 @@ def _parted(ranked: DataFrame, percent: int) -> DataFrame:
     `_agreeing` leaves out pairs that have too many before it makes them.
     """
 
+    common = COMMON
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for k, n, f, h in zip(pdf["k"], pdf["n"], pdf["f"], pdf["h"], strict=True):
                 h = np.asarray(h).astype(H.U)
-                keys, room, own = _part_keys(np.asarray(f), h, percent)
+                keys, room, own = _part_keys(np.asarray(f), h, percent, common)
                 if len(keys):
-                    odd = np.bincount((H.mix(h[np.asarray(f) > COMMON]) & H.U(255)).astype(np.int64), minlength=256) & 1
+                    odd = np.bincount((H.mix(h[np.asarray(f) > common]) & H.U(255)).astype(np.int64), minlength=256) & 1
                     x = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
                     yield pd.DataFrame({"k": k, "n": n, "room": room, "own": own, "h": keys.view(np.int64), **dict(zip(PARITIES, x, strict=True))})
 
@@ -260,10 +275,10 @@ def _parted(ranked: DataFrame, percent: int) -> DataFrame:
     return lists.mapInPandas(sparing(run), f"k long, n long, room long, own boolean, h long, {' long, '.join(PARITIES)} long")
 
 
-def _part_keys(f: np.ndarray, h: np.ndarray, percent: int) -> tuple[np.ndarray, int, np.ndarray]:
+def _part_keys(f: np.ndarray, h: np.ndarray, percent: int, common: int = COMMON) -> tuple[np.ndarray, int, np.ndarray]:
     """The keys of one ordered set, its room, and which are its own."""
     n, differ, same = len(h), 100 - percent, 100 + percent
-    others = int(np.searchsorted(f, COMMON, "right"))
+    others = int(np.searchsorted(f, common, "right"))
     prefix = h[others : n + (-percent * n) // 100 + 1]
     room = differ * n - same * others
     first = (2 * abs(room) // same).bit_length()  # with less than no room: the least that a partner must have

@@ -125,6 +125,23 @@ def test_crowd_of_similar_documents_makes_few_pairs(spark, shingle):
     assert made[1] <= 2.2 * max(made[0], 50), made
 
 
+def test_classes_without_links_are_not_ranked(spark):
+    """Texts that share a passage but are more of their own can't be links: left out; common shingles aren't joined with their number."""
+    rng = random.Random(22)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join(passage + [f"v{rng.randrange(10**9)}" for _ in range(60)])) for i in range(100)]
+    rows += [(1000 + i, t) for i, t in crowd(100, 120, 1)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    members = df.select("k", F.lit(0).alias("tree"), F.lit(0).alias("p"), F.lit(True).alias("dense"), F.col("k").alias("root"))
+    got = {r.k: r for r in N._ranked(df, members, 4).collect()}
+    assert sorted(got) == [k for k, _ in rows if k >= 1000]
+    for k, held in sets_of(rows, 4):
+        if k >= 1000:
+            hs = got[k].hs
+            assert got[k].n == len(hs) == len({w.h for w in hs}) == len(held) and hs == sorted(hs)
+            assert sum(w.f <= N.COMMON for w in hs) <= 8 and {w.f for w in hs if w.f > N.COMMON} == {N.COMMON + 1}
+
+
 def test_part_keys_lose_no_link(monkeypatch):
     """Sets of common shingles alone, or with some of their own: every pair that is a link agrees in a key that is one's own."""
     rng = np.random.default_rng(19)
