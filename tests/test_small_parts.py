@@ -91,3 +91,15 @@ def test_names_by_blocks_and_ties(spark):
     many = spark.range(10_000).selectExpr("concat('w', id) w")
     assert names.longest_contained(spark.createDataFrame([("xw9999y",)], "f string"), "f", many, "w").first().found == "w9999"
     assert names.longest_contained(df, "f", table.limit(0), "w").where("found <> ''").count() == 0
+
+
+def test_blocked_title_hits_come_key_by_key(spark):
+    """Of one task the rows of a key, and of a statement in it, lie together (files of the result keep what repeats once), and none is lost."""
+    stmt = spark.createDataFrame([(i, f"k{i % 30}" if i % 31 else "") for i in range(600)], "line long, k string").repartition(3)
+    blocked = spark.createDataFrame([(f"k{i % 20}" if i % 29 else None, i) for i in range(200)], "k string, blocked_id long").repartition(3)
+    got = G.blocked_title_hits(stmt, blocked, "k").withColumn("task", F.spark_partition_id()).collect()
+    runs = sum(i == 0 or (a.task, a.k) != (b.task, b.k) for i, (a, b) in enumerate(zip(got, [None, *got[:-1]])))
+    statements = sum(i == 0 or a.line != b.line for i, (a, b) in enumerate(zip(got, [None, *got[:-1]])))
+    assert runs == len({(r.task, r.k) for r in got}) and statements == len({r.line for r in got})
+    want = [(i, f"k{i % 30}", j) for i in range(600) for j in range(200) if i % 31 and j % 29 and i % 30 == j % 20]
+    assert sorted((r.line, r.k, r.blocked_id) for r in got) == sorted(want)
