@@ -103,3 +103,16 @@ def test_blocked_title_hits_come_key_by_key(spark):
     assert runs == len({(r.task, r.k) for r in got}) and statements == len({r.line for r in got})
     want = [(i, f"k{i % 30}", j) for i in range(600) for j in range(200) if i % 31 and j % 29 and i % 30 == j % 20]
     assert sorted((r.line, r.k, r.blocked_id) for r in got) == sorted(want)
+
+
+def test_blocked_title_hits_of_a_hot_key_are_dealt_out(spark):
+    """The statements of one key go to several tasks, and lists of contents lose no row at their ends."""
+    stmt = spark.createDataFrame([(i, "hot" if i % 50 else f"k{i}") for i in range(2_000)], "line long, k string").repartition(2)
+    blocked = spark.createDataFrame([("hot", i % 15) for i in range(30)] + [("k100", 7), ("k100", None), (None, 1), (" ", 2)], "k string, blocked_id long")
+    want = sorted([(i, "hot", j % 15) for i in range(2_000) if i % 50 for j in range(30)] + [(100, "k100", 7), (100, "k100", None)], key=str)
+    for each in (7, 4096):
+        got = G.blocked_title_hits(stmt, blocked, "k", each=each).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(((r.line, r.k, r.blocked_id) for r in got), key=str) == want
+        tasks = [sum(r.k == "hot" and r.task == t for r in got) for t in {r.task for r in got}]
+        assert len(tasks) > 1 and max(tasks) < 0.8 * sum(tasks)
+    assert G.blocked_title_hits(stmt, blocked.limit(0), "k").collect() == [] and G.blocked_title_hits(stmt.limit(0), blocked, "k").collect() == []
