@@ -99,12 +99,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     classes = signed.where("n > 0").groupBy("s").agg(F.min_by(F.struct("k", "n", "sig"), "k").alias("c")).select("s", "c.*")
     classes = cut(classes)  # k: the least document of each distinct set
 
-    members = cut(_regions(classes.select("k", F.posexplode("sig").alias("tree", "label"))))
-    neighbours = cut(_in_order(members).mapInPandas(sparing(_neighbours), "a long, b long").distinct())
+    orders = classes.count() * trees
+    members = cut(_regions(classes.select("k", F.posexplode("sig").alias("tree", "label"))), orders)
+    neighbours = cut(_in_order(members).mapInPandas(sparing(_neighbours), "a long, b long").distinct(), orders)
     pairs = cut(_estimated(neighbours, classes, percent))
 
     sets = cut(_sets(rows, pairs, shingle))
-    first = cut(_best(pairs))
+    first = cut(_best(pairs), pairs.count())
     links = cut(_confirmed(first, sets, classes, percent))
     joined = components(links)
 
@@ -117,13 +118,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         likely = cut(_estimated(pairs.join(neighbours, ["a", "b"], "left_anti"), classes, percent))
         return cut(_confirmed(likely, cut(_sets(rows, likely, shingle)), classes, percent))
 
-    ranked = cut(_ranked(rows, cut(_rooted(members, joined)), shingle, percent))
+    ranked = cut(_ranked(rows, cut(_rooted(members, joined), orders), shingle, percent))
     rare = cut(_rare(ranked, percent))
     links = links.union(checked(_stars(cut(_rooted(rare, joined)), percent)))
     joined = components(links)
 
     dense = _sharing(_rooted(rare.where(F.col("f") <= COMMON), joined), percent).union(_agreeing(_rooted(_parted(ranked, percent), joined), percent))
-    across = _across(cut(_rooted(members, joined))).union(dense).distinct()
+    across = _across(cut(_rooted(members, joined), orders)).union(dense).distinct()
     roots = components(links.union(checked(across))).withColumnRenamed("v", "k")
 
     named = classes.select("s", "k").join(roots, "k", "left").select("s", F.coalesce("root", "k").alias("root"))
@@ -369,7 +370,7 @@ def _members(pairs: DataFrame) -> DataFrame:
 
 def _sets(rows: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """k, set (sorted hashes, packed) of the documents in pairs."""
-    ids = cut(_members(pairs))
+    ids = cut(_members(pairs), 2 * pairs.count())
     wanted = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "k", "left_semi")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -241,6 +241,33 @@ def test_components(spark):
     assert not got
 
 
+def test_components_take_few_rounds_and_files(spark, monkeypatch):
+    """Rows of a known number aren't spread over as many files as a shuffle has partitions, and ends that are reached aren't followed once more."""
+    from quillmatch.llm import components as C
+
+    files, real = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda *a: files.append(real(*a)) or files[-1])
+    held = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        star = spark.createDataFrame([(1, i) for i in range(2, 600)], "a long, b long")
+        assert {(r.v, r.root) for r in C.components(star).collect()} == {(i, 1) for i in range(1, 600)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) == 5 and all(len(f.inputFiles()) <= spark.sparkContext.defaultParallelism for f in files)
+
+
+def test_cut_of_a_known_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr("quillmatch.llm.checkpoints.EACH", 100)
+    tasks = spark.sparkContext.defaultParallelism
+    for rows, most in ((50, tasks), (100 * tasks + 1, tasks + 1), (5_000, 50)):
+        out = N.cut(spark.range(0, rows, 1, 64), rows)
+        assert out.count() == rows and len(out.inputFiles()) == min(64, most)
+
+
 def test_minima_estimate_similarity():
     rng = np.random.default_rng(15)
     make = N.MinHash(32)
