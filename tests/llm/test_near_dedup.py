@@ -254,10 +254,13 @@ def test_components_take_few_rounds_and_files(spark, monkeypatch):
             spark.conf.set(k, v)
         star = spark.createDataFrame([(1, i) for i in range(2, 600)], "a long, b long")
         assert {(r.v, r.root) for r in C.components(star).collect()} == {(i, 1) for i in range(1, 600)}
+        of_star = len(files)
+        path = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+        assert {(r.v, r.root) for r in C.components(path).collect()} == {(1, 1), (2, 1), (3, 1)}
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    assert len(files) == 5 and all(len(f.inputFiles()) <= spark.sparkContext.defaultParallelism for f in files)
+    assert of_star == len(files) - of_star == 5 and all(len(f.inputFiles()) <= spark.sparkContext.defaultParallelism for f in files)
 
 
 def test_cut_of_a_known_number_of_rows(spark, monkeypatch):
